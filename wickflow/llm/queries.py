@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import mixing, quality, warc
 
 QUERIES = {
+    "op1_mix_sources": mixing.op1_mix_sources,
     "op7_quality_rules": quality.op7_quality_rules,
+    "op9_warc_round_trip": warc.op9_warc_round_trip,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_mix_sources": mixing.ORACLE,
+    "op9_warc_round_trip": warc.ORACLE,
+}
