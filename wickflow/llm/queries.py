@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, warc
+from . import chat, licenses, mixing, quality, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
+    "op4_chat_format": chat.op4_chat_format,
     "op7_quality_rules": quality.op7_quality_rules,
     "op9_warc_round_trip": warc.op9_warc_round_trip,
+    "op10_license_scan": licenses.op10_license_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {
