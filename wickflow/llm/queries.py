@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, licenses, mixing, quality, warc
+from . import chat, licenses, mixing, packing, quality, token_counts, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
+    "op3_pack_sequences": packing.op3_pack_sequences,
     "op4_chat_format": chat.op4_chat_format,
+    "op5_token_counts": token_counts.op5_token_counts,
     "op7_quality_rules": quality.op7_quality_rules,
     "op9_warc_round_trip": warc.op9_warc_round_trip,
     "op10_license_scan": licenses.op10_license_scan,
