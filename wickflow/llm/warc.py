@@ -12,6 +12,7 @@ each comes back; an empty table writes no record; columns of pages other than pa
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_by_count, read, shared_dir
+from .common import join_by_count, read, shared_dir, written
 
 #: Payloads of fewer bytes are stored each time.
 LEAST_REVISITED = 1000
@@ -73,7 +74,7 @@ def head(kind: str, *fields: tuple[str, Column | str]) -> Column:
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
-    """Uncompressed WARC files under path, three records for each row of pages."""
+    """WARC files under path, compressed by gzip, with three records for each row of pages."""
     p = planned(pages)
     url = F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), r"[\r\n]", " ")
     sized = lambda body: F.octet_length(body).cast("string")
@@ -90,11 +91,13 @@ def write_archives(pages: DataFrame, path: str) -> None:
     metadata = F.concat(head("metadata", ("WARC-Record-ID", record_id(F.col("page_id"), F.col("url"), F.col("_digest"), "metadata")), ("WARC-Concurrent-To", F.col("_id")), ("Content-Type", "application/warc-fields"), ("Content-Length", sized(noted))), noted)
     # Spark's text writer ends each value with the line separator, which makes the second of the two CRLF after a block.
     rows = p.select(F.explode(F.array(request, capture, metadata)).alias("value")).select(F.concat("value", F.lit("\r\n")).alias("value"))
-    rows.write.option("lineSep", "\r\n").option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
+    rows.write.option("lineSep", "\r\n").option("maxRecordsPerFile", RECORDS_A_FILE).option("compression", "gzip").text(path)
 
 
 def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields (names in lower case) and block of each record of an uncompressed archive."""
+    """Header fields (names in lower case) and block of each record of an archive, compressed by gzip (of one or many members) or not."""
+    if data[:2] == b"\x1f\x8b":
+        data = gzip.decompress(data)
     at, end = 0, len(data)
     while at < end:
         stop = data.index(b"\r\n\r\n", at)
@@ -160,7 +163,7 @@ def assemble(found: DataFrame) -> DataFrame:
 def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/wickflow/warc-{uuid.uuid4().hex}"
     write_archives(read(spark, sf_dir, "pages"), path)
-    out = assemble(read_archives(spark, path, payload=False))
+    out = assemble(written(read_archives(spark, path, payload=False), "records"))
     # A record id holds its page's id: 16 hex digits, past the version and variant digits.
     h = F.regexp_replace(F.col("refers_to"), r"^<urn:uuid:|[->]", "")
     bits = F.conv(F.concat(F.substring(h, 1, 12), F.substring(h, 14, 3), F.substring(h, 18, 1)), 16, -10).cast("long")
