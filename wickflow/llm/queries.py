@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, licenses, mixing, packing, quality, token_counts, warc
+from . import chat, fingerprints, licenses, mixing, packing, quality, token_counts, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
+    "op2_fingerprints": fingerprints.op2_fingerprints,
     "op3_pack_sequences": packing.op3_pack_sequences,
     "op4_chat_format": chat.op4_chat_format,
     "op5_token_counts": token_counts.op5_token_counts,
