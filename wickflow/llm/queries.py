@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, licenses, mixing, packing, quality, token_counts, warc
+from . import chat, fingerprints, licenses, mixing, packing, quality, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_chat_format": chat.op4_chat_format,
     "op5_token_counts": token_counts.op5_token_counts,
     "op7_quality_rules": quality.op7_quality_rules,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_warc_round_trip": warc.op9_warc_round_trip,
     "op10_license_scan": licenses.op10_license_scan,
 }
