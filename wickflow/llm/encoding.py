@@ -12,12 +12,15 @@ import hashlib
 import json
 import os
 import re
-from collections.abc import Iterable
+from itertools import chain
 
 import numpy as np
 
-#: Pieces that a cache holds before it starts anew; about 150 bytes each.
-CACHE_PIECES = 400_000
+#: Pieces that a cache holds before it starts anew; about 200 bytes each.
+CACHE_PIECES = 1_000_000
+#: Marks that are tokens of their own after letters, in both families; last characters of a sentence.
+MARKS = frozenset(",.;:!?")
+CLOSING = frozenset("\n.!?。！？")
 #: The two pre-tokenizers, as their files describe them.
 DROPPED = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
@@ -25,14 +28,21 @@ SPACE_AFTER_SPACE = re.compile(r"\s ")
 
 
 class Pieces(dict):
-    """From a piece to its number; a new one is also put on the list of those to encode."""
+    """From a piece to its number. A new one is put on the encoder's list; letters and a mark after them are two known parts."""
 
-    def __init__(self, lead: str, new: list[str], numbers: Iterable[int]) -> None:
-        self.lead, self.new, self.numbers = lead, new, numbers
+    def __init__(self, lead: str, owner: Encoder) -> None:
+        self.lead, self.owner = lead, owner
 
     def __missing__(self, piece: str) -> int:
-        self.new.append(self.lead + piece)
-        number = self[piece] = next(self.numbers)
+        owner, parts = self.owner, None
+        if owner.kind == "dropped" and piece.isascii() and piece.isalpha() and not piece.islower():
+            self[piece] = number = self[piece.lower()]  # the tokenizer lower-cases
+            return number
+        if piece[-1:] in MARKS and piece[:-1].isalpha() and piece[:-1].lower().isalpha():  # dotted capital I gets a mark in lower case
+            parts = self[piece[:-1]], owner.first[piece[-1]]
+        self[piece] = number = owner.known
+        owner.known += 1
+        owner.new.append((self.lead + piece, parts))
         return number
 
 
@@ -56,10 +66,10 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        numbers = iter(range(1 << 62))
-        self.new: list[str] = []
-        self.first, self.inner = Pieces("", self.new, numbers), Pieces(" ", self.new, numbers)
-        self.ids, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.new: list[tuple[str, tuple[int, int] | None]] = []
+        self.known = 0
+        self.first, self.inner = Pieces("", self), Pieces(" ", self)
+        self.ids, self.starts, self.closes = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, bool)
 
     def numbers(self, text: str) -> np.ndarray:
         """The numbers of a text's pieces."""
@@ -79,12 +89,18 @@ class Encoder:
         return np.concatenate([[self.first[found[0]]], out])
 
     def learn(self) -> None:
-        """Encodes the pieces that are new."""
-        if self.new:
-            found = self.library(self.new)
-            self.ids = np.concatenate([self.ids, np.fromiter((i for x in found for i in x), np.uint32)])
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(x) for x in found])])
-            self.new.clear()
+        """Encodes the pieces that are new, and notes which end a sentence."""
+        if not self.new:
+            return
+        before, found = len(self.closes), []
+        whole = iter(self.library([x for x, parts in self.new if not parts]))
+        own = lambda n: found[n - before] if n >= before else self.ids[self.starts[n] : self.starts[n + 1]].tolist()
+        for _, parts in self.new:
+            found.append(own(parts[0]) + own(parts[1]) if parts else next(whole))
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32)])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))])
+        self.closes = np.concatenate([self.closes, np.fromiter((x[-1:] in CLOSING for x, _ in self.new), bool, len(self.new))])
+        self.new.clear()
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         """The piece numbers of each text; they hold until the next batch."""

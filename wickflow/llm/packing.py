@@ -145,10 +145,6 @@ def packed(items: Iterator[Item], first: int = 0, window: int = WINDOW, block: i
         yield pieces(held, ends, first)[0]
 
 
-def sentence_ends(piece: str) -> bool:
-    return piece[-1:] in ("\n", ".", "!", "?", "。", "！", "？")
-
-
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -185,31 +181,12 @@ def encoded(own, texts: list[str], end_id: int) -> tuple[list[np.ndarray], list[
             ends.append(np.zeros(0, np.int64))
         return ids, ends
     for numbers in own.batch(texts):
-        closes = closing(own)
         where = np.cumsum(own.starts[numbers + 1] - own.starts[numbers])
         ids.append(np.append(own.expand(numbers), np.uint32(end_id)))
-        ends.append(np.unique(where[closes[numbers]]))
+        ends.append(np.unique(where[own.closes[numbers]]))
     return ids, ends
 
 
-def closing(own) -> np.ndarray:
-    """Whether each piece that own knows ends a sentence."""
-    have = getattr(own, "closes", None)
-    n = len(own.starts) - 1
-    if have is None or len(have) > n or own.closes_of is not own.first:
-        have, own.closes_of = np.zeros(0, bool), own.first
-    if len(have) < n:
-        known = [None] * (n - len(have))
-        for pieces_ in (own.first, own.inner):
-            for piece in reversed(pieces_):  # the newest come last
-                if (i := pieces_[piece]) < len(have):
-                    break
-                known[i - len(have)] = sentence_ends(piece)
-        have = np.concatenate([have, np.array(known, bool)])
-    own.closes = have
-    return have
-
-
 def op3_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
