@@ -18,6 +18,8 @@ import numpy as np
 
 #: Pieces that a cache holds before it starts anew; about 200 bytes each.
 CACHE_PIECES = 1_000_000
+#: Pieces of letters that are encoded at once.
+JOINED = 500
 #: Marks that are tokens of their own after letters, in both families; last characters of a sentence.
 MARKS = frozenset(",.;:!?")
 CLOSING = frozenset("\n.!?。！？")
@@ -35,11 +37,14 @@ class Pieces(dict):
 
     def __missing__(self, piece: str) -> int:
         owner, parts = self.owner, None
-        if owner.kind == "dropped" and piece.isascii() and piece.isalpha() and not piece.islower():
-            self[piece] = number = self[piece.lower()]  # the tokenizer lower-cases
-            return number
-        if piece[-1:] in MARKS and piece[:-1].isalpha() and piece[:-1].lower().isalpha():  # dotted capital I gets a mark in lower case
-            parts = self[piece[:-1]], owner.first[piece[-1]]
+        if piece.isalpha():
+            if owner.kind == "dropped" and not piece.islower() and piece.isascii():
+                self[piece] = number = self[piece.lower()]  # the tokenizer lower-cases
+                return number
+        elif piece[-1:] in MARKS:
+            core = piece[:-1]
+            if core.isalpha() and (core.isascii() or core.lower().isalpha()):  # dotted capital I gets a mark in lower case
+                parts = self[core], owner.first[piece[-1]]
         self[piece] = number = owner.known
         owner.known += 1
         owner.new.append((self.lead + piece, parts))
@@ -63,6 +68,9 @@ class Encoder:
             model.no_padding()
             self.library = lambda texts: [x.ids for x in model.encode_batch_fast(texts, add_special_tokens=False)]
             self.kind = family(json.loads(model.to_str()))
+            # In either family, what marks a word of letters among the tokens of many: its last token, or its first.
+            mark = {"dropped": lambda x: x.endswith("</w>"), "leading": lambda x: x.startswith("\u0120")}.get(self.kind)
+            self.bounds = mark and np.array([mark(model.id_to_token(i) or "") for i in range(model.get_vocab_size())])
         self.clear()
 
     def clear(self) -> None:
@@ -93,7 +101,7 @@ class Encoder:
         if not self.new:
             return
         before, found = len(self.closes), []
-        whole = iter(self.library([x for x, parts in self.new if not parts]))
+        whole = iter(self.pieces([x for x, parts in self.new if not parts]))
         own = lambda n: found[n - before] if n >= before else self.ids[self.starts[n] : self.starts[n + 1]].tolist()
         for _, parts in self.new:
             found.append(own(parts[0]) + own(parts[1]) if parts else next(whole))
@@ -102,6 +110,22 @@ class Encoder:
         self.closes = np.concatenate([self.closes, np.fromiter((x[-1:] in CLOSING for x, _ in self.new), bool, len(self.new))])
         self.new.clear()
 
+    def pieces(self, texts: list[str]) -> list[list[int]]:
+        """The ids of each piece. Those of letters alone are encoded many in one text, and told apart by their bounds."""
+        letters = [i for i, x in enumerate(texts) if x[0:1].isalpha() == (self.kind == "dropped") and x[self.kind == "leading" :].isalpha() and x.lower()[self.kind == "leading" :].isalpha()]
+        out: list = [None] * len(texts)
+        groups = [letters[i : i + JOINED] for i in range(0, len(letters), JOINED)]
+        for group, ids in zip(groups, self.library([("" if self.kind == "leading" else " ").join(texts[i] for i in g) for g in groups]), strict=True):
+            cuts = np.flatnonzero(self.bounds[ids])
+            cuts = [*cuts.tolist(), len(ids)] if self.kind == "leading" else [0, *(cuts + 1).tolist()]
+            if len(cuts) == len(group) + 1:  # else this Python's letters aren't the tokenizer's; each is encoded by itself
+                for i, a, b in zip(group, cuts, cuts[1:], strict=False):
+                    out[i] = ids[a:b]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, ids in zip(rest, self.library([texts[i] for i in rest]), strict=True):
+            out[i] = ids
+        return out
+
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         """The piece numbers of each text; they hold until the next batch."""
         if len(self.first) + len(self.inner) > CACHE_PIECES:
