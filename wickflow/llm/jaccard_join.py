@@ -4,9 +4,10 @@ Two texts link when the Jaccard similarity of their sets of word shingles reache
 
 1. Texts with equal sets are one class, found by digest; its least id stands for it.
 2. Neighbourhoods. If two sets differ in at most d tokens and tokens fall by hash into d + 1 + SPARE parts, then more
-   than SPARE parts are equal. So two linked texts share the digest of a part, or (if only empty parts are equal) a
-   choice of SPARE + 1 empty parts. d follows from the sizes, which are taken in classes of neighbouring sizes. Texts that
-   share one fall into one neighbourhood, whose members are found by passing on the least id.
+   than SPARE parts are equal. So two linked texts share the digest of a part, or, if the only equal parts are ones that
+   say little (empty, or of common shingles alone), a choice of SPARE + 1 of those. d follows from the sizes, which are
+   taken in classes of neighbouring sizes. Texts that share one fall into one neighbourhood, whose members are found by
+   passing on the least id. Which shingles are common changes the size of neighbourhoods only, never a result.
 3. In a neighbourhood the token-group matrix decides. Texts of similar sets are partitioned into groups of at most GROUP;
    a group's tokens are united. A text's overlap with the union bounds its overlap with each member, so only groups whose
    bound reaches the threshold are opened, and of those none that the text is already linked with through others.
@@ -35,7 +36,10 @@ from .token_counts import text_batches
 
 #: Shingles of the library's near-duplicate stages, and the least similarity, in hundredths.
 SHINGLE, PERCENT = 5, 80
-SPARE, GROUP, MOST, COMMON = 2, 32, 3000, 16
+SPARE, FEW, GROUP, MOST, SHARED = 3, 14, 32, 3000, 16
+#: A shingle is common if a COMMON_IN-th of all texts have it, and COMMON_LEAST of a block; tokens of a block.
+#: There are at most 2 * COMMON_IN times as many as a text has on average, whatever the number of texts.
+COMMON_IN, COMMON_LEAST, BLOCK_TOKENS = 1500, 5, 3_000_000
 CACHE_WORDS = 500_000
 B1 = np.uint64(0x9E3779B97F4A7C15)
 
@@ -82,15 +86,36 @@ def differing(percent: int, largest: np.ndarray) -> np.ndarray:
     return 2 * largest * (100 - percent) // (100 + percent)
 
 
-def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(which set, signature) of all parts of all sets, each as a member of its own size class and as a smaller partner in the next."""
+def choices(n: int) -> np.ndarray:
+    if n not in _choices:
+        _choices[n] = np.array(list(combinations(range(n), SPARE + 1)))
+    return _choices[n]
+
+
+_choices: dict[int, np.ndarray] = {}
+
+
+def signatures(sets: list[np.ndarray], percent: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(which set, signature, few) of all sets, each as a member of its own size class and as a smaller partner in the next.
+
+    A part with a token that isn't common gives a signature. Up to FEW other parts give one for each choice of SPARE + 1 of
+    them. More than FEW give one each; so that these find partners, sets with few give these too, marked few:
+    such a signature counts only if a set that isn't marked has it.
+    """
     keep = [i for i, x in enumerate(sets) if len(x)]
     if not keep:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
     sizes = np.array([len(sets[i]) for i in keep])
     tokens = np.concatenate([sets[i] for i in keep])
+    rare = ~inside(tokens, common) if len(common) else np.ones(len(tokens), bool)
     bounds = size_classes(percent, int(sizes.max()))
-    owners, found = [], []
+    owners, found, marked = [], [], []
+
+    def put(owner, signature, few=False):
+        owners.append(owner)
+        found.append(signature)
+        marked.append(np.full(len(owner), few) if isinstance(few, bool) else few)
+
     inner = mixed(tokens ^ B1)
     for step in (0, 1):
         cls = np.searchsorted(bounds, sizes, "right") - 1 + step
@@ -102,19 +127,21 @@ def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nda
         slot = base[who] + (tokens[live] % parts[who].astype(np.uint64)).astype(np.int64)
         sums = np.zeros(base[-1], np.uint64)
         np.add.at(sums, slot, inner[live])
-        full = np.bincount(slot, minlength=base[-1]) > 0
+        telling = np.bincount(slot[rare[live]], minlength=base[-1]) > 0
         owner = np.repeat(np.arange(len(keep)), parts)
-        number = np.arange(base[-1]) - base[owner]
-        key = mixed(cls[owner].astype(np.uint64) * np.uint64(1 << 32) + number.astype(np.uint64))
-        owners.append(owner[full])
-        found.append(mixed(sums[full] ^ key[full]))
-        empty = np.bincount(owner[~full], minlength=len(keep))
-        for i in np.flatnonzero(empty > SPARE):
-            own = key[(owner == i) & ~full].tolist()
-            more = [int.from_bytes(hashlib.blake2b(repr(c).encode(), digest_size=8).digest(), "little") for c in combinations(own, SPARE + 1)]
-            owners.append(np.full(len(more), i))
-            found.append(np.array(more, np.uint64))
-    return np.array(keep)[np.concatenate(owners)], np.concatenate(found)
+        key = mixed(cls[owner].astype(np.uint64) * np.uint64(1 << 32) + (np.arange(base[-1]) - base[owner]).astype(np.uint64))
+        own = mixed(sums ^ key)
+        put(owner[telling], own[telling])
+        others = np.bincount(owner[~telling], minlength=len(keep))
+        single = ~telling & (others[owner] > SPARE)
+        put(owner[single], mixed(own[single] + B1), others[owner[single]] <= FEW)
+        for i in np.flatnonzero((others > SPARE) & (others <= FEW)):
+            mine = own[base[i] : base[i + 1]][~telling[base[i] : base[i + 1]]][choices(int(others[i]))]
+            out = np.zeros(len(mine), np.uint64)
+            for column in mine.T:
+                out = mixed(out * B1 + column)
+            put(np.full(len(mine), i), out)
+    return np.array(keep)[np.concatenate(owners)], np.concatenate(found), np.concatenate(marked)
 
 
 # ------------------------------------------------------------------ the matrix
@@ -199,29 +226,50 @@ def components(sets: list[np.ndarray], percent: int, asked: np.ndarray | None =
 
 
 def sizes_and_digests(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles and the digest of the set of each row of (doc_id, text)."""
+    """doc_id, n_shingles and the digest of the set of each row of (doc_id, text).
+
+    Rows without a digest are counts instead: of a shingle (in doc_id's place) that at least a COMMON_IN-th of a block's
+    texts have, counting texts with the same least shingle once. A shingle that a COMMON_IN-th of all such texts have does
+    so in some block.
+    """
 
     def run(batches):
+        firsts, held, size = set(), [], 0
+
+        def counts():
+            found, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            often = n >= max(COMMON_LEAST, len(held) / COMMON_IN)
+            return pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(n[often], pa.int64()), pa.nulls(int(often.sum()), pa.binary())], names=["doc_id", "n_shingles", "digest"])
+
         for whole in batches:
             for b in text_batches(whole, 1):
                 sets = [shingles(x.as_py() or b"", k) for x in b.column(1).cast(pa.binary())]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets], pa.binary())], names=["doc_id", "n_shingles", "digest"])
+                for x in sets:
+                    if len(x) and x[0] not in firsts:
+                        firsts.add(x[0])
+                        held.append(x)
+                        size += len(x)
+                if size > BLOCK_TOKENS:
+                    yield counts()
+                    firsts, held, size = set(), [], 0
+        yield counts()
 
     return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary")
 
 
-def hubs(docs: DataFrame, k: int, percent: int) -> DataFrame:
+def hubs(docs: DataFrame, k: int, percent: int, common: np.ndarray) -> DataFrame:
     """doc_id and hub, the least id that shares a signature with it, for each signature that documents share."""
 
     def run(batches):
         for whole in batches:
             for b in text_batches(whole, 1):
-                who, found = signatures([shingles(x.as_py() or b"", k) for x in b.column(1).cast(pa.binary())], percent)
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), b.column(0).take(pa.array(who))], names=["signature", "doc_id"])
+                who, found, few = signatures([shingles(x.as_py() or b"", k) for x in b.column(1).cast(pa.binary())], percent, common)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), b.column(0).take(pa.array(who)), pa.array(few)], names=["signature", "doc_id", "few"])
 
-    rows = docs.mapInArrow(run, "signature long, doc_id long")
-    rows = rows.withColumn("hub", F.first("doc_id").over(Window.partitionBy("signature").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.where("hub < doc_id").groupBy("doc_id", "hub").count().drop("count")
+    rows, same = docs.mapInArrow(run, "signature long, doc_id long, few boolean"), Window.partitionBy("signature")
+    rows = rows.withColumns({"hub": F.min("doc_id").over(same), "_few": F.bool_and("few").over(same)})
+    return rows.where("hub < doc_id AND NOT _few").groupBy("doc_id", "hub").count().drop("count")
 
 
 def least_reachable(links: DataFrame) -> DataFrame:
@@ -282,12 +330,15 @@ def join_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, i
     """A row for each row of docs: id, n_shingles, component_id (the least id reachable by links, itself included)."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sized = written(sizes_and_digests(docs, k), "sized")
+    counted = written(sizes_and_digests(docs, k), "sized")
+    sized = counted.where("digest IS NOT NULL")
+    often = counted.where("digest IS NULL").groupBy("doc_id").agg(F.sum("n_shingles").alias("n")).where(F.col("n") >= sized.count() / (2 * COMMON_IN))
+    common = np.sort(np.array([r[0] for r in often.select("doc_id").collect()], np.int64).view(np.uint64))
     own = sized.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = written(own.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("_n")), "classes")
     copies = own.join(classes.where("_n > 1").drop("_n"), "digest").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     found = docs.where("doc_id IS NOT NULL")
-    near = written(hubs(found, k, percent), "hubs")
+    near = written(hubs(found, k, percent, common), "hubs")
     # Ids of copies give way to those that stand for them, so each set is compared once.
     stands = copies.groupBy(F.col("a").alias("doc_id")).agg(F.min("b").alias("rep"))
     near = near.join(stands, "doc_id", "left").select(F.coalesce("rep", "doc_id").alias("a"), F.col("hub").alias("doc_id")).join(stands, "doc_id", "left").select("a", F.coalesce("rep", "doc_id").alias("b")).where("a <> b").distinct()
@@ -298,7 +349,7 @@ def join_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, i
     large = pods.where(F.col("_size") > most)
     blocks = large.select("pod", F.ceil(F.col("_size") / most).cast("int").alias("_blocks")).distinct()
     some = Window.partitionBy("pod").orderBy(F.xxhash64("id", F.lit(2)), "id")
-    shared = large.select("pod", "id").withColumn("_n", F.row_number().over(some)).where(F.col("_n") <= COMMON).join(blocks, "pod")
+    shared = large.select("pod", "id").withColumn("_n", F.row_number().over(some)).where(F.col("_n") <= SHARED).join(blocks, "pod")
     shared = shared.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select("pod", "block", "id", F.lit(True).alias("asked"), F.lit(None).cast("long").alias("known"))
     links = written(resolve(with_text(found, at.unionByName(shared).distinct()), k, percent), "links")
     if large.limit(1).count():
