@@ -8,6 +8,7 @@ Any other tokenizer gets whole texts. Each distinct piece goes through the libra
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import os
@@ -36,18 +37,22 @@ class Pieces(dict):
         self.lead, self.owner = lead, owner
 
     def __missing__(self, piece: str) -> int:
-        owner, parts = self.owner, None
+        owner = self.owner
         if piece.isalpha():
-            if owner.kind == "dropped" and not piece.islower() and piece.isascii():
-                self[piece] = number = self[piece.lower()]  # the tokenizer lower-cases
-                return number
+            if piece.isascii():
+                if owner.kind == "dropped" and not piece.islower():
+                    self[piece] = number = self[piece.lower()]  # the tokenizer lower-cases
+                    return number
+                owner.letters[self.lead].append(len(owner.new))
+            elif piece.lower().isalpha():  # dotted capital I gets a mark in lower case
+                owner.letters[self.lead].append(len(owner.new))
         elif piece[-1:] in MARKS:
             core = piece[:-1]
-            if core.isalpha() and (core.isascii() or core.lower().isalpha()):  # dotted capital I gets a mark in lower case
+            if core.isalpha() and (core.isascii() or core.lower().isalpha()):
                 parts = self[core], owner.first[piece[-1]]
-        self[piece] = number = owner.known
-        owner.known += 1
-        owner.new.append((self.lead + piece, parts))
+                owner.joint[len(owner.new)] = parts
+        self[piece] = number = owner.known + len(owner.new)
+        owner.new.append(self.lead + piece)
         return number
 
 
@@ -74,8 +79,8 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.new: list[tuple[str, tuple[int, int] | None]] = []
-        self.known = 0
+        """Forgets all pieces. Of the new ones, letters has the places of those of letters alone, joint the two parts of others."""
+        self.known, self.new, self.letters, self.joint = 0, [], {"": [], " ": []}, {}
         self.first, self.inner = Pieces("", self), Pieces(" ", self)
         self.ids, self.starts, self.closes = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, bool)
 
@@ -100,38 +105,43 @@ class Encoder:
         """Encodes the pieces that are new, and notes which end a sentence."""
         if not self.new:
             return
-        before, found = len(self.closes), []
-        whole = iter(self.pieces([x for x, parts in self.new if not parts]))
+        found, before = self.encoded_letters(), self.known
+        rest = [i for i, x in enumerate(found) if x is None and i not in self.joint]
+        for i, ids in zip(rest, self.library([self.new[i] for i in rest]), strict=True):
+            found[i] = ids
         own = lambda n: found[n - before] if n >= before else self.ids[self.starts[n] : self.starts[n + 1]].tolist()
-        for _, parts in self.new:
-            found.append(own(parts[0]) + own(parts[1]) if parts else next(whole))
+        for i, (a, b) in self.joint.items():
+            found[i] = own(a) + own(b)
         self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32)])
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))])
-        self.closes = np.concatenate([self.closes, np.fromiter((x[-1:] in CLOSING for x, _ in self.new), bool, len(self.new))])
-        self.new.clear()
-
-    def pieces(self, texts: list[str]) -> list[list[int]]:
-        """The ids of each piece. Those of letters alone are encoded many in one text, and told apart by their bounds."""
-        letters = [i for i, x in enumerate(texts) if x[0:1].isalpha() == (self.kind == "dropped") and x[self.kind == "leading" :].isalpha() and x.lower()[self.kind == "leading" :].isalpha()]
-        out: list = [None] * len(texts)
-        groups = [letters[i : i + JOINED] for i in range(0, len(letters), JOINED)]
-        for group, ids in zip(groups, self.library([("" if self.kind == "leading" else " ").join(texts[i] for i in g) for g in groups]), strict=True):
+        self.closes = np.concatenate([self.closes, np.fromiter((x[-1:] in CLOSING for x in self.new), bool, len(self.new))])
+        self.known += len(self.new)
+        self.new, self.letters, self.joint = [], {"": [], " ": []}, {}
+
+    def encoded_letters(self) -> list[list[int] | None]:
+        """The ids of the new pieces of letters, which are encoded many in one text and told apart by their bounds."""
+        out: list = [None] * len(self.new)
+        leading = self.kind == "leading"
+        own = self.letters[" " if leading else ""]
+        groups = [own[i : i + JOINED] for i in range(0, len(own), JOINED)]
+        for group, ids in zip(groups, self.library([("" if leading else " ").join([self.new[i] for i in g]) for g in groups]), strict=True):
             cuts = np.flatnonzero(self.bounds[ids])
-            cuts = [*cuts.tolist(), len(ids)] if self.kind == "leading" else [0, *(cuts + 1).tolist()]
+            cuts = [*cuts.tolist(), len(ids)] if leading else [0, *(cuts + 1).tolist()]
             if len(cuts) == len(group) + 1:  # else this Python's letters aren't the tokenizer's; each is encoded by itself
                 for i, a, b in zip(group, cuts, cuts[1:], strict=False):
                     out[i] = ids[a:b]
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, ids in zip(rest, self.library([texts[i] for i in rest]), strict=True):
-            out[i] = ids
         return out
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         """The piece numbers of each text; they hold until the next batch."""
         if len(self.first) + len(self.inner) > CACHE_PIECES:
             self.clear()
-        out = [self.numbers(x) for x in texts]
-        self.learn()
+        gc.disable()  # many lists live for a moment, and none in cycles
+        try:
+            out = [self.numbers(x) for x in texts]
+            self.learn()
+        finally:
+            gc.enable()
         return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:

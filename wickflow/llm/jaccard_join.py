@@ -155,14 +155,22 @@ def inside(tokens: np.ndarray, of: np.ndarray) -> np.ndarray:
 
 
 def overlaps(tokens: np.ndarray, starts: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """How many of the tokens of each run (starts, and the end of all) are in query."""
-    return np.add.reduceat(inside(tokens, query).astype(np.int64), starts[:-1])
+    """How many of the tokens of each run (starts, and the end of all) are in query, 1 for each token's number that it has."""
+    return np.add.reduceat(query[tokens], starts[:-1], dtype=np.int64)
 
 
 def linked(a: int, b: int, both: np.ndarray, percent: int) -> np.ndarray:
     return 100 * both >= percent * (a + b - both)
 
 
+def runs(groups: np.ndarray, bounds: list[int]) -> list[tuple[int, int]]:
+    """The rows of groups, neighbouring ones together."""
+    if not len(groups):
+        return []
+    breaks = np.flatnonzero(np.diff(groups) > 1)
+    return [(bounds[groups[i]], bounds[groups[j] + 1]) for i, j in zip([0, *(breaks + 1)], [*breaks, len(groups) - 1], strict=True)]
+
+
 class Unions:
     def __init__(self, n: int) -> None:
         self.up = list(range(n))
@@ -190,7 +198,10 @@ def components(sets: list[np.ndarray], percent: int, asked: np.ndarray | None =
     sizes = np.array([len(x) for x in sets])
     order = np.array(sorted(range(n), key=lambda i: (unions.find(i), sizes[i], int(sets[i][0]))))
     starts = np.concatenate([[0], np.cumsum(sizes[order])])
-    tokens = np.concatenate([sets[i] for i in order])
+    tokens = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)[1]  # numbers in place of hashes
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    query = np.zeros(tokens.max() + 1, np.int8)
     bounds = [*range(0, n, group), n]
     united = [np.unique(tokens[starts[a] : starts[b]]) if b - a > 1 else tokens[starts[a] : starts[b]] for a, b in zip(bounds, bounds[1:], strict=False)]
     matrix, heads = np.concatenate(united), np.concatenate([[0], np.cumsum([len(x) for x in united])])
@@ -207,16 +218,19 @@ def components(sets: list[np.ndarray], percent: int, asked: np.ndarray | None =
         fits = (most * 100 >= size * percent) & (least * percent <= size * 100) & np.logical_or.reduceat(other, bounds[:-1])
         if not fits.any():
             continue
-        bound = overlaps(matrix, heads, sets[q])
+        mine = tokens[starts[place[q]] : starts[place[q] + 1]]
+        query[mine] = 1
+        bound = overlaps(matrix, heads, query)
         open_ = np.flatnonzero(fits & (100 * bound >= percent * np.maximum(size, least)))
         changed = False
-        for g in open_.tolist():
-            a, b = bounds[g], bounds[g + 1]
-            both = overlaps(tokens[starts[a] : starts[b]], starts[a : b + 1] - starts[a], sets[q])
-            for j in np.flatnonzero(linked(size, sizes[order[a:b]], both, percent)).tolist():
-                if unions.find(q) != unions.find(int(order[a + j])):
-                    unions.join(q, int(order[a + j]))
+        for a, b in runs(open_, bounds):
+            both = overlaps(tokens[starts[a] : starts[b]], starts[a : b + 1] - starts[a], query)
+            hits = np.flatnonzero(linked(size, sizes[order[a:b]], both, percent) & (labels[a:b] != own)) + a
+            for j in hits.tolist():
+                if unions.find(q) != unions.find(int(order[j])):
+                    unions.join(q, int(order[j]))
                     changed = True
+        query[mine] = 0
         if changed:
             labels = np.array([unions.find(i) for i in order])
     return [unions.find(i) for i in range(n)]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, licenses, mixing, packing, quality, token_counts, toxicity, warc
+from . import chat, fingerprints, jaccard_join, licenses, mixing, packing, quality, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_pack_sequences": packing.op3_pack_sequences,
     "op4_chat_format": chat.op4_chat_format,
     "op5_token_counts": token_counts.op5_token_counts,
+    "op6_jaccard_join": jaccard_join.op6_jaccard_join,
     "op7_quality_rules": quality.op7_quality_rules,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_warc_round_trip": warc.op9_warc_round_trip,
