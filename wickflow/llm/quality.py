@@ -52,6 +52,7 @@ def measures(docs: DataFrame, text: str = "text", prefix: str = "_q_") -> DataFr
         f"{p}n_dup_lines": (F.size(f"{p}l") - F.size(F.array_distinct(f"{p}l"))).cast("long"),
         f"{p}n_repeat_words": F.when(F.size(F.array_distinct(f"{p}g")) < F.size(f"{p}g"), covered).otherwise(0).cast("long"),
         f"{p}n_ends": less("[.!?]").cast("long"),
+        f"{p}row": F.monotonically_increasing_id(),
         f"{p}n_function": F.size(F.array_intersect(F.col(w), F.lit(FUNCTION_WORDS))).cast("long"),
     }).drop(w, f"{p}g", f"{p}l")
 
@@ -128,8 +129,11 @@ def decided(measured: DataFrame, corpus: DataFrame, prefix: str = "_q_", thresho
 
 
 def filter_quality(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of docs that are kept, with the columns of docs."""
-    return judged(docs, text).where("_q_kept").select(*docs.columns)
+    """The rows of docs that are kept, with the columns of docs.
+
+    The row number keeps the optimizer from moving the filter below the measures, which would compute them again and again.
+    """
+    return judged(docs, text).where("_q_kept AND _q_row >= 0").select(*docs.columns)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
