@@ -3,9 +3,9 @@
 Two texts link when the Jaccard similarity of their sets of word shingles reaches a threshold. The join loses no link:
 
 1. Texts with equal sets are one class, found by digest; its least id stands for it.
-2. Neighbourhoods. If two sets differ in at most d tokens and tokens fall by hash into d + 1 + SPARE parts, then more
-   than SPARE parts are equal. So two linked texts share the digest of a part, or, if the only equal parts are ones that
-   say little (empty, or of common shingles alone), a choice of SPARE + 1 of those. d follows from the sizes, which are
+2. Neighbourhoods. If two sets differ in at most d tokens and tokens fall by hash into d + 1 + s parts, then more than s
+   parts are equal. So two linked texts share the digest of a part, or, if the only equal parts are ones that
+   say little (empty, or of common shingles alone), a choice of s + 1 of those. d follows from the sizes, which are
    taken in classes of neighbouring sizes. Texts that share one fall into one neighbourhood, whose members are found by
    passing on the least id. Which shingles are common changes the size of neighbourhoods only, never a result.
 3. In a neighbourhood the token-group matrix decides. Texts of similar sets are partitioned into groups of at most GROUP;
@@ -23,7 +23,9 @@ no rows; other columns are not read. Sets hold 64-bit hashes of shingles in plac
 from __future__ import annotations
 
 import hashlib
+from functools import cache
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,9 @@ from .token_counts import text_batches
 
 #: Shingles of the library's near-duplicate stages, and the least similarity, in hundredths.
 SHINGLE, PERCENT = 5, 80
-SPARE, FEW, GROUP, MOST, SHARED = 3, 14, 32, 3000, 16
+CHOICES, GROUP, SHARED = 1000, 32, 16
+#: Texts, and shingles of all of them, that a task compares with each other at once.
+MOST, MOST_TOKENS = 3000, 3_000_000
 #: A shingle is common if a COMMON_IN-th of all texts have it, and COMMON_LEAST of a block; tokens of a block.
 #: There are at most 2 * COMMON_IN times as many as a text has on average, whatever the number of texts.
 COMMON_IN, COMMON_LEAST, BLOCK_TOKENS = 1500, 5, 3_000_000
@@ -86,21 +90,23 @@ def differing(percent: int, largest: np.ndarray) -> np.ndarray:
     return 2 * largest * (100 - percent) // (100 + percent)
 
 
-def choices(n: int) -> np.ndarray:
-    if n not in _choices:
-        _choices[n] = np.array(list(combinations(range(n), SPARE + 1)))
-    return _choices[n]
+def spare(d: np.ndarray) -> np.ndarray:
+    """More parts than differences, so many that few sets have as many empty ones: about one in 400 parts is empty."""
+    return 3 + d // 80
 
 
-_choices: dict[int, np.ndarray] = {}
+@cache
+def choices(n: int, k: int) -> np.ndarray:
+    return np.array(list(combinations(range(n), k)))
 
 
 def signatures(sets: list[np.ndarray], percent: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(which set, signature, few) of all sets, each as a member of its own size class and as a smaller partner in the next.
 
-    A part with a token that isn't common gives a signature. Up to FEW other parts give one for each choice of SPARE + 1 of
-    them. More than FEW give one each; so that these find partners, sets with few give these too, marked few:
-    such a signature counts only if a set that isn't marked has it.
+    A part with a token that isn't common gives a signature. Other parts give one for each choice of one more than are
+    spare, if there are at most CHOICES. Else those that aren't empty give one each, and the empty ones their choices; so
+    that these find partners, sets with fewer choices give these too, marked few: such a signature counts only if a set
+    that isn't marked has it.
     """
     keep = [i for i, x in enumerate(sets) if len(x)]
     if not keep:
@@ -120,7 +126,8 @@ def signatures(sets: list[np.ndarray], percent: int, common: np.ndarray) -> tupl
     for step in (0, 1):
         cls = np.searchsorted(bounds, sizes, "right") - 1 + step
         d = differing(percent, bounds[cls + 1] - 1)
-        parts = np.where(d > 0, d + 1 + SPARE, 0)  # no difference is allowed: equal sets are one class anyway
+        more = spare(d)
+        parts = np.where(d > 0, d + 1 + more, 0)  # no difference is allowed: equal sets are one class anyway
         base = np.concatenate([[0], np.cumsum(parts)])
         live = np.repeat(parts > 0, sizes)
         who = np.repeat(np.arange(len(keep)), sizes)[live]
@@ -132,15 +139,19 @@ def signatures(sets: list[np.ndarray], percent: int, common: np.ndarray) -> tupl
         key = mixed(cls[owner].astype(np.uint64) * np.uint64(1 << 32) + (np.arange(base[-1]) - base[owner]).astype(np.uint64))
         own = mixed(sums ^ key)
         put(owner[telling], own[telling])
+        empty = np.bincount(slot, minlength=base[-1]) == 0
         others = np.bincount(owner[~telling], minlength=len(keep))
-        single = ~telling & (others[owner] > SPARE)
-        put(owner[single], mixed(own[single] + B1), others[owner[single]] <= FEW)
-        for i in np.flatnonzero((others > SPARE) & (others <= FEW)):
-            mine = own[base[i] : base[i + 1]][~telling[base[i] : base[i + 1]]][choices(int(others[i]))]
-            out = np.zeros(len(mine), np.uint64)
-            for column in mine.T:
-                out = mixed(out * B1 + column)
-            put(np.full(len(mine), i), out)
+        few = np.array([comb(n, k + 1) <= CHOICES for n, k in zip(others.tolist(), more.tolist(), strict=True)])
+        single = ~telling & ~empty & (others > more)[owner]
+        put(owner[single], mixed(own[single] + B1), few[owner[single]])
+        for i in np.flatnonzero(others > more):
+            part = slice(base[i], base[i + 1])
+            mine = own[part][~telling[part] if few[i] else empty[part]]
+            if len(mine) > more[i]:
+                out = np.zeros(1, np.uint64)
+                for column in mine[choices(len(mine), int(more[i]) + 1)].T:
+                    out = mixed(out * B1 + column)
+                put(np.full(len(out), i), out)
     return np.array(keep)[np.concatenate(owners)], np.concatenate(found), np.concatenate(marked)
 
 
@@ -349,19 +360,21 @@ def join_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, i
     often = counted.where("digest IS NULL").groupBy("doc_id").agg(F.sum("n_shingles").alias("n")).where(F.col("n") >= sized.count() / (2 * COMMON_IN))
     common = np.sort(np.array([r[0] for r in often.select("doc_id").collect()], np.int64).view(np.uint64))
     own = sized.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = written(own.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("_n")), "classes")
-    copies = own.join(classes.where("_n > 1").drop("_n"), "digest").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    classes = written(own.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("_n"), F.max("n_shingles").alias("_tokens")), "classes")
+    copies = own.join(classes.where("_n > 1").drop("_n", "_tokens"), "digest").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     found = docs.where("doc_id IS NOT NULL")
     near = written(hubs(found, k, percent, common), "hubs")
     # Ids of copies give way to those that stand for them, so each set is compared once.
     stands = copies.groupBy(F.col("a").alias("doc_id")).agg(F.min("b").alias("rep"))
     near = near.join(stands, "doc_id", "left").select(F.coalesce("rep", "doc_id").alias("a"), F.col("hub").alias("doc_id")).join(stands, "doc_id", "left").select("a", F.coalesce("rep", "doc_id").alias("b")).where("a <> b").distinct()
     pods = least_reachable(near).withColumnRenamed("label", "pod")
-    pods = written(pods.join(pods.groupBy("pod").agg(F.count("*").alias("_size")), "pod"), "pods")
-    block = lambda seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.ceil(F.col("_size") / most)).cast("int")
+    pods = pods.join(classes.groupBy(F.col("rep").alias("id")).agg(F.sum("_tokens").alias("_tokens")), "id")
+    blocks = F.ceil(F.greatest(F.count("*") / most, F.sum("_tokens") / MOST_TOKENS)).cast("int")
+    pods = written(pods.join(pods.groupBy("pod").agg(blocks.alias("_blocks")), "pod"), "pods")
+    block = lambda seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col("_blocks")).cast("int")
     at = pods.withColumn("block", block(1)).select("pod", "block", "id", F.lit(True).alias("asked"), F.lit(None).cast("long").alias("known"))
-    large = pods.where(F.col("_size") > most)
-    blocks = large.select("pod", F.ceil(F.col("_size") / most).cast("int").alias("_blocks")).distinct()
+    large = pods.where("_blocks > 1")
+    blocks = large.select("pod", "_blocks").distinct()
     some = Window.partitionBy("pod").orderBy(F.xxhash64("id", F.lit(2)), "id")
     shared = large.select("pod", "id").withColumn("_n", F.row_number().over(some)).where(F.col("_n") <= SHARED).join(blocks, "pod")
     shared = shared.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select("pod", "block", "id", F.lit(True).alias("asked"), F.lit(None).cast("long").alias("known"))
@@ -381,8 +394,8 @@ def across(docs: DataFrame, large: DataFrame, blocks: DataFrame, links: DataFram
     labels = least_reachable(links.select(F.col("id").alias("a"), F.col("label").alias("b")))
     state = written(large.join(labels, "id", "left").withColumn("known", F.coalesce("label", "id")).withColumn("block", block).select("pod", "id", "block", "known"), "state")
     largest = state.groupBy("pod", "known").count().groupBy("pod").agg(F.max_by("known", F.struct("count", "known")).alias("main"))
-    outside = state.join(largest, "pod").where("known <> main").select("pod", "id", "known", F.floor(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30))).alias("_h"))
-    chunks = outside.groupBy("pod").agg(F.ceil(F.count("*") / most).cast("int").alias("_chunks")).join(blocks, "pod")
+    outside = state.join(largest, "pod").where("known <> main").select("pod", "id", "known", "_tokens", F.floor(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30))).alias("_h"))
+    chunks = outside.groupBy("pod").agg(F.greatest(F.ceil(F.count("*") / most), F.ceil(F.sum("_tokens") / MOST_TOKENS)).cast("int").alias("_chunks")).join(blocks, "pod")
     # A unit is a part with all its texts, and a chunk of the texts that are asked.
     unit = lambda b, c: (b * F.lit(1 << 16).cast("long") + c).alias("block")
     asked = outside.join(chunks, "pod").withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
