@@ -90,9 +90,14 @@ def differing(percent: int, largest: np.ndarray) -> np.ndarray:
     return 2 * largest * (100 - percent) // (100 + percent)
 
 
-def spare(d: np.ndarray) -> np.ndarray:
-    """More parts than differences, so many that few sets have as many empty ones: about one in 400 parts is empty."""
-    return 3 + d // 80
+def spare(d: np.ndarray, percent: int) -> np.ndarray:
+    """More parts than differences, so many that sets have as many empty ones with a chance of about 1 in 10 000.
+
+    The smallest set of a size class has percent squared of its largest size, which gives the share of empty parts.
+    """
+    t = percent / 100
+    empty = np.exp(-t * t * (1 + t) / (2 * (1 - t))) * d if percent < 100 else 0.0 * d
+    return np.ceil(empty + 4 * np.sqrt(empty) + 2).astype(np.int64)
 
 
 @cache
@@ -126,7 +131,7 @@ def signatures(sets: list[np.ndarray], percent: int, common: np.ndarray) -> tupl
     for step in (0, 1):
         cls = np.searchsorted(bounds, sizes, "right") - 1 + step
         d = differing(percent, bounds[cls + 1] - 1)
-        more = spare(d)
+        more = spare(d, percent)
         parts = np.where(d > 0, d + 1 + more, 0)  # no difference is allowed: equal sets are one class anyway
         base = np.concatenate([[0], np.cumsum(parts)])
         live = np.repeat(parts > 0, sizes)
