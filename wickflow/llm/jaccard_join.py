@@ -302,6 +302,16 @@ def hubs(docs: DataFrame, k: int, percent: int, common: np.ndarray) -> DataFrame
     return rows.where("hub < doc_id AND NOT _few").groupBy("doc_id", "hub").count().drop("count")
 
 
+def contracted(near: DataFrame) -> DataFrame:
+    """Pairs (a, b) that connect what pairs (doc_id, hub) connect: an id with its least hub, and its other hubs with that.
+
+    Many ids of a large neighbourhood have the same hubs, so the second kind collapses, and about a pair for each id is left.
+    """
+    near = written(near.withColumn("least", F.min("hub").over(Window.partitionBy("doc_id"))), "hubs")
+    pairs = near.select(F.col("doc_id").alias("a"), F.col("least").alias("b")).unionByName(near.where("hub <> least").select(F.col("hub").alias("a"), F.col("least").alias("b")))
+    return pairs.groupBy("a", "b").count().drop("count")
+
+
 def least_reachable(links: DataFrame) -> DataFrame:
     """id and label (the least id reachable) of each id in links (a, b), by passing labels on and jumping along them."""
     links = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "links")
@@ -368,10 +378,12 @@ def join_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, i
     classes = written(own.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("_n"), F.max("n_shingles").alias("_tokens")), "classes")
     copies = own.join(classes.where("_n > 1").drop("_n", "_tokens"), "digest").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     found = docs.where("doc_id IS NOT NULL")
-    near = written(hubs(found, k, percent, common), "hubs")
+    near = written(contracted(hubs(found, k, percent, common)), "near")
     # Ids of copies give way to those that stand for them, so each set is compared once.
-    stands = copies.groupBy(F.col("a").alias("doc_id")).agg(F.min("b").alias("rep"))
-    near = near.join(stands, "doc_id", "left").select(F.coalesce("rep", "doc_id").alias("a"), F.col("hub").alias("doc_id")).join(stands, "doc_id", "left").select("a", F.coalesce("rep", "doc_id").alias("b")).where("a <> b").distinct()
+    stands = copies.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("rep"))
+    for side in ("a", "b"):
+        near = near.join(stands.withColumnRenamed("id", side), side, "left").withColumn(side, F.coalesce("rep", side)).drop("rep")
+    near = near.where("a <> b").distinct()
     pods = least_reachable(near).withColumnRenamed("label", "pod")
     pods = pods.join(classes.groupBy(F.col("rep").alias("id")).agg(F.sum("_tokens").alias("_tokens")), "id")
     blocks = F.ceil(F.greatest(F.count("*") / most, F.sum("_tokens") / MOST_TOKENS)).cast("int")
