@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,17 @@ SPACE_RUN = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_clear: list[Callable[[], None]] = []
+
+
+def sole_cache(clear: Callable[[], None]) -> None:
+    """Called by an operator's code in a Python worker before it fills a cache: what others have cached there goes first."""
+    for other in _clear:
+        if other is not clear:
+            other()
+    _clear[:] = [clear]
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One of the driver's tables."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -17,6 +17,8 @@ from itertools import chain
 
 import numpy as np
 
+from .common import sole_cache
+
 #: Pieces that a cache holds before it starts anew; about 200 bytes each.
 CACHE_PIECES = 1_000_000
 #: Pieces of letters that are encoded at once.
@@ -176,10 +178,12 @@ def family(file: dict) -> str | None:
 
 
 _encoders: dict[str, Encoder] = {}
+_forget = _encoders.clear
 
 
 def encoder(path: str) -> Encoder:
     """This process's encoder for a file; Spark's workers live on between tasks, and so does the cache."""
+    sole_cache(_forget)
     if path not in _encoders:
         _encoders.clear()
         _encoders[path] = Encoder(path)

@@ -4,10 +4,10 @@ Two texts link when the Jaccard similarity of their sets of word shingles reache
 
 1. Texts with equal sets are one class, found by digest; its least id stands for it.
 2. Neighbourhoods. If two sets differ in at most d tokens and tokens fall by hash into d + 1 + s parts, then more than s
-   parts are equal. So two linked texts share the digest of a part, or, if the only equal parts are ones that
-   say little (empty, or of common shingles alone), a choice of s + 1 of those. d follows from the sizes, which are
-   taken in classes of neighbouring sizes. Texts that share one fall into one neighbourhood, whose members are found by
-   passing on the least id. Which shingles are common changes the size of neighbourhoods only, never a result.
+   parts are equal. So two linked texts share the digest of a part, or, if the only equal parts are ones that say little
+   (empty, or of common shingles alone), more than s of those, which a prefix filter finds. d follows from the sizes,
+   which are taken in classes of neighbouring sizes. Texts that share a digest fall into one neighbourhood, whose members
+   are found by passing on the least id. Which shingles are common changes the size of neighbourhoods only, never a result.
 3. In a neighbourhood the token-group matrix decides. Texts of similar sets are partitioned into groups of at most GROUP;
    a group's tokens are united. A text's overlap with the union bounds its overlap with each member, so only groups whose
    bound reaches the threshold are opened, and of those none that the text is already linked with through others.
@@ -23,9 +23,6 @@ no rows; other columns are not read. Sets hold 64-bit hashes of shingles in plac
 from __future__ import annotations
 
 import hashlib
-from functools import cache
-from itertools import combinations
-from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -33,18 +30,18 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import join_by_count, partitions, read, written
+from .common import join_by_count, partitions, read, sole_cache, written
 from .token_counts import text_batches
 
 #: Shingles of the library's near-duplicate stages, and the least similarity, in hundredths.
 SHINGLE, PERCENT = 5, 80
-CHOICES, GROUP, SHARED = 1000, 32, 16
+GROUP, SHARED = 32, 16
 #: Texts, and shingles of all of them, that a task compares with each other at once.
 MOST, MOST_TOKENS = 3000, 3_000_000
 #: A shingle is common if a COMMON_IN-th of all texts have it, and COMMON_LEAST of a block; tokens of a block.
 #: There are at most 2 * COMMON_IN times as many as a text has on average, whatever the number of texts.
-COMMON_IN, COMMON_LEAST, BLOCK_TOKENS = 1500, 5, 3_000_000
-CACHE_WORDS = 500_000
+COMMON_IN, COMMON_LEAST, BLOCK_TOKENS = 1500, 5, 1_500_000
+CACHE_WORDS = 250_000
 B1 = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -61,11 +58,13 @@ class WordHashes(dict):
 
 
 _hashes = WordHashes()
+_forget = _hashes.clear
 
 
 def shingles(data: bytes, k: int) -> np.ndarray:
     """Sorted hashes of the distinct shingles of UTF-8 text; A-Z are lower-cased, and words end at ASCII white space."""
     found = data.lower().split()
+    sole_cache(_forget)
     if len(_hashes) > CACHE_WORDS:
         _hashes.clear()
     h = np.fromiter(map(_hashes.__getitem__, found), np.uint64, len(found))
@@ -91,43 +90,33 @@ def differing(percent: int, largest: np.ndarray) -> np.ndarray:
 
 
 def spare(d: np.ndarray, percent: int) -> np.ndarray:
-    """More parts than differences, so many that sets have as many empty ones with a chance of about 1 in 10 000.
+    """More parts than differences, so many that a set has as many empty ones with a chance of about 1 in 10 000.
 
     The smallest set of a size class has percent squared of its largest size, which gives the share of empty parts.
     """
     t = percent / 100
-    empty = np.exp(-t * t * (1 + t) / (2 * (1 - t))) * d if percent < 100 else 0.0 * d
-    return np.ceil(empty + 4 * np.sqrt(empty) + 2).astype(np.int64)
+    fill, out = t * t * (1 + t) / max(2 * (1 - t), 1e-9) * d, np.zeros(len(d))
+    for _ in range(8):  # spare parts are parts too
+        parts = d + 1 + out
+        empty = parts * np.exp(-fill / parts)
+        out = np.ceil(empty + 4 * np.sqrt(empty) + 1)
+    return out.astype(np.int64)
 
 
-@cache
-def choices(n: int, k: int) -> np.ndarray:
-    return np.array(list(combinations(range(n), k)))
+def signatures(sets: list[np.ndarray], percent: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which set, signature) of all sets, each as a member of its own size class and as a smaller partner in the next.
 
-
-def signatures(sets: list[np.ndarray], percent: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(which set, signature, few) of all sets, each as a member of its own size class and as a smaller partner in the next.
-
-    A part with a token that isn't common gives a signature. Other parts give one for each choice of one more than are
-    spare, if there are at most CHOICES. Else those that aren't empty give one each, and the empty ones their choices; so
-    that these find partners, sets with fewer choices give these too, marked few: such a signature counts only if a set
-    that isn't marked has it.
+    A part with a token that isn't common gives a signature. Of n other parts, more than s must be equal if no such part is:
+    then the first n - s of them, in an order that all sets share, have one in common (prefix filter).
     """
     keep = [i for i, x in enumerate(sets) if len(x)]
     if not keep:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     sizes = np.array([len(sets[i]) for i in keep])
     tokens = np.concatenate([sets[i] for i in keep])
     rare = ~inside(tokens, common) if len(common) else np.ones(len(tokens), bool)
     bounds = size_classes(percent, int(sizes.max()))
-    owners, found, marked = [], [], []
-
-    def put(owner, signature, few=False):
-        owners.append(owner)
-        found.append(signature)
-        marked.append(np.full(len(owner), few) if isinstance(few, bool) else few)
-
-    inner = mixed(tokens ^ B1)
+    owners, found, inner = [], [], mixed(tokens ^ B1)
     for step in (0, 1):
         cls = np.searchsorted(bounds, sizes, "right") - 1 + step
         d = differing(percent, bounds[cls + 1] - 1)
@@ -141,23 +130,16 @@ def signatures(sets: list[np.ndarray], percent: int, common: np.ndarray) -> tupl
         np.add.at(sums, slot, inner[live])
         telling = np.bincount(slot[rare[live]], minlength=base[-1]) > 0
         owner = np.repeat(np.arange(len(keep)), parts)
-        key = mixed(cls[owner].astype(np.uint64) * np.uint64(1 << 32) + (np.arange(base[-1]) - base[owner]).astype(np.uint64))
-        own = mixed(sums ^ key)
-        put(owner[telling], own[telling])
-        empty = np.bincount(slot, minlength=base[-1]) == 0
+        own = mixed(sums ^ mixed(cls[owner].astype(np.uint64) * np.uint64(1 << 32) + (np.arange(base[-1]) - base[owner]).astype(np.uint64)))
+        owners.append(owner[telling])
+        found.append(own[telling])
         others = np.bincount(owner[~telling], minlength=len(keep))
-        few = np.array([comb(n, k + 1) <= CHOICES for n, k in zip(others.tolist(), more.tolist(), strict=True)])
-        single = ~telling & ~empty & (others > more)[owner]
-        put(owner[single], mixed(own[single] + B1), few[owner[single]])
         for i in np.flatnonzero(others > more):
             part = slice(base[i], base[i + 1])
-            mine = own[part][~telling[part] if few[i] else empty[part]]
-            if len(mine) > more[i]:
-                out = np.zeros(1, np.uint64)
-                for column in mine[choices(len(mine), int(more[i]) + 1)].T:
-                    out = mixed(out * B1 + column)
-                put(np.full(len(out), i), out)
-    return np.array(keep)[np.concatenate(owners)], np.concatenate(found), np.concatenate(marked)
+            first = np.sort(own[part][~telling[part]])[: others[i] - more[i]]
+            owners.append(np.full(len(first), i))
+            found.append(first)
+    return np.array(keep)[np.concatenate(owners)], np.concatenate(found)
 
 
 # ------------------------------------------------------------------ the matrix
@@ -294,12 +276,12 @@ def hubs(docs: DataFrame, k: int, percent: int, common: np.ndarray) -> DataFrame
     def run(batches):
         for whole in batches:
             for b in text_batches(whole, 1):
-                who, found, few = signatures([shingles(x.as_py() or b"", k) for x in b.column(1).cast(pa.binary())], percent, common)
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), b.column(0).take(pa.array(who)), pa.array(few)], names=["signature", "doc_id", "few"])
+                who, found = signatures([shingles(x.as_py() or b"", k) for x in b.column(1).cast(pa.binary())], percent, common)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), b.column(0).take(pa.array(who))], names=["signature", "doc_id"])
 
-    rows, same = docs.mapInArrow(run, "signature long, doc_id long, few boolean"), Window.partitionBy("signature")
-    rows = rows.withColumns({"hub": F.min("doc_id").over(same), "_few": F.bool_and("few").over(same)})
-    return rows.where("hub < doc_id AND NOT _few").groupBy("doc_id", "hub").count().drop("count")
+    rows = docs.mapInArrow(run, "signature long, doc_id long")
+    rows = rows.withColumn("hub", F.first("doc_id").over(Window.partitionBy("signature").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.where("hub < doc_id").groupBy("doc_id", "hub").count().drop("count")
 
 
 def contracted(near: DataFrame) -> DataFrame:
@@ -409,7 +391,7 @@ def join_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, i
 def across(docs: DataFrame, large: DataFrame, blocks: DataFrame, links: DataFrame, block, k: int, percent: int, most: int) -> DataFrame:
     """Links between the parts of large neighbourhoods: of every text outside its neighbourhood's largest component."""
     labels = least_reachable(links.select(F.col("id").alias("a"), F.col("label").alias("b")))
-    state = written(large.join(labels, "id", "left").withColumn("known", F.coalesce("label", "id")).withColumn("block", block).select("pod", "id", "block", "known"), "state")
+    state = written(large.join(labels, "id", "left").withColumn("known", F.coalesce("label", "id")).withColumn("block", block).select("pod", "id", "block", "known", "_tokens"), "state")
     largest = state.groupBy("pod", "known").count().groupBy("pod").agg(F.max_by("known", F.struct("count", "known")).alias("main"))
     outside = state.join(largest, "pod").where("known <> main").select("pod", "id", "known", "_tokens", F.floor(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30))).alias("_h"))
     chunks = outside.groupBy("pod").agg(F.greatest(F.ceil(F.count("*") / most), F.ceil(F.sum("_tokens") / MOST_TOKENS)).cast("int").alias("_chunks")).join(blocks, "pod")
