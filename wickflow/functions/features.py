@@ -53,7 +53,7 @@ def add_features(candles: DataFrame) -> DataFrame:
     r = F.col("range") + EPS
     out = out.withColumns({
         "body_range_ratio": F.col("body_abs") / r, "upper_wick_ratio": F.col("upper_wick") / r, "lower_wick_ratio": F.col("lower_wick") / r, "close_position": (c - lo) / r,
-        "range_vs_mean": F.col("range") / (rolled(F.avg, "range", 20, 5) + EPS), "volume_z": (v - rolled(F.avg, "volume", 20, 5)) / (rolled(F.stddev_samp, "volume", 20, 5) + EPS),
+        "range_vs_mean": F.col("range") / (rolled(F.avg, "range", 20, 5) + EPS), "volume_z": F.when(rolled(F.stddev_samp, "volume", 20, 5) < 1e-9, 0.0).otherwise((v - rolled(F.avg, "volume", 20, 5)) / (rolled(F.stddev_samp, "volume", 20, 5) + EPS)),
         "atr_14": rolled(F.avg, "true_range", 14, 5), "volatility_20": rolled(F.stddev_samp, "log_return", 20, 5), "slope_20": rolled(F.avg, "log_return", 20, 5),
         "acceleration": F.col("return") - F.lag("return").over(by_time()),
     })
@@ -82,7 +82,7 @@ def candle_features(candles: DataFrame, window: int = 20) -> DataFrame:
         "range_ratio": clip(rng / F.greatest(median(rng).over(trailing(window)), F.lit(1e-12)), 0.0, 5.0) / 5, "close_location": clip((c - lo) / rng, 0.0, 1.0),
         "direction": F.signum(c - o),
     })
-    step = lambda x: F.coalesce(clip(F.col(x) - F.lag(x).over(by_time()), -1.0, 1.0), F.lit(0.0))
+    step = lambda x: clip(F.coalesce(F.col(x) - F.lag(x).over(by_time()), F.lit(0.0)), -1.0, 1.0)
     turned = F.col("direction") * F.lag("direction").over(by_time()) < 0
     return out.withColumns({"body_change": step("body_pct"), "range_change": step("range_ratio"), "alternation": F.when(turned, 1.0).otherwise(0.0)}).drop("_rng")
 

@@ -1,6 +1,569 @@
-"""Every registered query of the library, and DuckDB SQL that returns the same rows."""
+"""Every registered query of the library, and DuckDB SQL that returns the same rows.
+
+A query runs over the events table, resampled to candles with a symbol for each event type. Doubles are rounded to six
+places, in Spark and in SQL.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import features as ft
+from ..operators import clusters as cu
+from ..operators import levels as lv
+from ..operators import mtf as mt
+from ..operators import outcomes as oc
+from ..operators import stories as sr
+from ..operators import structure as st
+from ..operators import vectors as vc
+from ..operators import windows as wd
+from ..sources import candles as src
+from .oracle import FEATURES, build, summary
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+#: In percent; events jump, so turns need a large one.
+THRESHOLD = 30.0
+#: Scales of differences between swings, for jumps of this size.
+SCALES = st.SCALES | {"swing": 1000.0, "leg": 2000.0}
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    """Doubles to six places, without a negative zero; whole numbers as long."""
+    return df.select(*((F.round(c, 6) + 0.0).alias(c) if t == "double" else F.col(c).cast("long").alias(c) if t == "int" else F.col(c) for c, t in df.dtypes))
+
+
+def query(sql: str | None = None, name: str | None = None):
+    """Registers a function of (spark, sf_dir), and the SQL that it must agree with."""
+
+    def register(function):
+        key = name or function.__name__
+        QUERIES[key] = lambda spark, sf_dir: rounded(function(spark, sf_dir))
+        if sql:
+            ORACLE_SQL[key] = sql
+        return function
+
+    return register
+
+
+def featured(spark: SparkSession, sf_dir: str, timeframe: str = "1h") -> DataFrame:
+    return ft.candle_features(src.series(spark, sf_dir, timeframe))
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return st.zigzag_turns(src.series(spark, sf_dir), THRESHOLD)
+
+
+def r(*names: str) -> str:
+    return ", ".join(f"round({x}, 6) + 0.0 AS {x}" for x in names)
+
+
+# ------------------------------------------------------------------ sources
+
+BAR = "symbol, timeframe, open_time, open_time + {step} - 1 AS close_time, " + r("open", "high", "low", "close", "volume", "quote_volume") + ", trades, CAST(1 AS BIGINT) AS is_closed"
+for tf in ("1h", "4h", "1d"):
+    query(build(f"SELECT {BAR.format(step=src.STEPS[tf])} FROM bars_{tf}"), f"candles_{tf}")(lambda spark, sf_dir, tf=tf: src.resample(spark.read.parquet(f"{sf_dir}/events.parquet"), tf))
+
+
+@query(build(f"SELECT * EXCLUDE (n) FROM (SELECT {BAR.format(step=3_600_000)}, row_number() OVER (PARTITION BY symbol ORDER BY open_time DESC) AS n FROM bars_1h) WHERE n <= 48"))
+def candles_latest_n(spark, sf_dir):
+    return src.latest(src.series(spark, sf_dir), 48).select(*src.COLUMNS)
+
+
+@query(build("SELECT symbol, timeframe, max(open_time) AS last_open_time FROM (SELECT * FROM bars_1h UNION ALL SELECT * FROM bars_1d) GROUP BY ALL"))
+def last_open_time(spark, sf_dir):
+    return src.last_open_time(src.series(spark, sf_dir).unionByName(src.series(spark, sf_dir, "1d")))
+
+
+@query(build(f"SELECT symbol, timeframe, open_time, CASE WHEN idx % 7 = 0 THEN round(close * 2, 6) ELSE round(close, 6) END AS close, trades FROM c_1h"))
+def candles_upsert_merge(spark, sf_dir):
+    stored = src.series(spark, sf_dir)
+    return src.upsert(stored, stored.where("idx % 7 = 0").withColumn("close", F.col("close") * 2)).select("symbol", "timeframe", "open_time", "close", "trades")
+
+
+@query(build("""SELECT symbol, timeframe, CAST(0 AS BIGINT) AS duplicate_open_time, CAST(count_if(high < low) AS BIGINT) AS high_below_low, CAST(count_if(open > high OR open < low) AS BIGINT) AS open_outside_range, CAST(count_if(close > high OR close < low) AS BIGINT) AS close_outside_range,
+  CAST(count_if(least(open, high, low, close, volume) < 0) AS BIGINT) AS negative_values, CAST(count_if(gap > 3600000) AS BIGINT) AS gaps FROM (SELECT *, open_time - lag(open_time) OVER (PARTITION BY symbol ORDER BY open_time) AS gap FROM bars_1h) GROUP BY ALL"""))
+def validate_report(spark, sf_dir):
+    return src.validate(src.series(spark, sf_dir), src.STEPS["1h"]).drop("errors")
+
+
+@query(build("""SELECT symbol, timeframe, open_time, round(close, 6) AS close FROM (SELECT *, max(CASE WHEN gap > 3600000 THEN open_time END) OVER (PARTITION BY symbol) AS since FROM
+  (SELECT *, open_time - lag(open_time) OVER (PARTITION BY symbol ORDER BY open_time) AS gap FROM bars_1h)) WHERE since IS NULL OR open_time >= since"""))
+def latest_contiguous_segment(spark, sf_dir):
+    return src.latest_contiguous(src.series(spark, sf_dir), src.STEPS["1h"]).select("symbol", "timeframe", "open_time", "close")
+
+
+# ------------------------------------------------------------------ features
+
+ADDED = ["return", "log_return", "true_range", "volume_change", "momentum_10", "roc_20", "body_range_ratio", "upper_wick_ratio", "lower_wick_ratio", "close_position", "range_vs_mean", "volume_z", "atr_14", "volatility_20", "slope_20", "acceleration", "atr_pct"]
+W = "(PARTITION BY symbol ORDER BY idx ROWS BETWEEN {} PRECEDING AND CURRENT ROW)"
+
+
+def roll(f: str, x: str, n: int, least: int = 5) -> str:
+    return f"CASE WHEN count({x}) OVER {W.format(n - 1)} >= {least} THEN {f}({x}) OVER {W.format(n - 1)} END"
+
+
+A1 = """SELECT *, close / lag(close) OVER s - 1 AS "return", ln(close / nullif(lag(close) OVER s, 0)) AS log_return, high - low AS rg, greatest(high - low, abs(high - lag(close) OVER s), abs(low - lag(close) OVER s)) AS true_range,
+  volume / lag(volume) OVER s - 1 AS volume_change, close / lag(close, 10) OVER s - 1 AS momentum_10, close / lag(close, 20) OVER s - 1 AS roc_20 FROM c_1h WINDOW s AS (PARTITION BY symbol ORDER BY idx)"""
+A2 = f"""SELECT *, abs(close - open) / (rg + 2.220446049250313e-16) AS body_range_ratio, (high - greatest(open, close)) / (rg + 2.220446049250313e-16) AS upper_wick_ratio, (least(open, close) - low) / (rg + 2.220446049250313e-16) AS lower_wick_ratio,
+  (close - low) / (rg + 2.220446049250313e-16) AS close_position, rg / ({roll("avg", "rg", 20)} + 2.220446049250313e-16) AS range_vs_mean, CASE WHEN {roll("stddev_samp", "volume", 20)} < 1e-9 THEN 0.0 ELSE (volume - {roll("avg", "volume", 20)}) / ({roll("stddev_samp", "volume", 20)} + 2.220446049250313e-16) END AS volume_z,
+  {roll("avg", "true_range", 14)} AS atr_14, {roll("stddev_samp", "log_return", 20)} AS volatility_20, {roll("avg", "log_return", 20)} AS slope_20, "return" - lag("return") OVER (PARTITION BY symbol ORDER BY idx) AS acceleration FROM a1"""
+A3 = "SELECT *, atr_14 / (abs(close) + 2.220446049250313e-16) AS atr_pct FROM a2"
+
+
+@query(build("SELECT symbol, open_time, " + ", ".join(f'round("{x}", 4) + 0.0 AS "{x}"' for x in ADDED) + " FROM a3", a1=A1, a2=A2, a3=A3))
+def add_features(spark, sf_dir):
+    out = ft.add_features(src.series(spark, sf_dir))
+    return out.select("symbol", "open_time", *((F.round(x, 4) + 0.0).alias(x) for x in ADDED))
+
+
+@query(build("""SELECT symbol, CAST(10 * count(*) AS BIGINT) AS length, round(sum(z), 3) + 0.0 AS total FROM (SELECT symbol, idx, """ + " + ".join(f'(v_{i} - avg(v_{i}) OVER (PARTITION BY symbol)) / (stddev_pop(v_{i}) OVER (PARTITION BY symbol) + 1e-9) * {i + 1}' for i in range(10)) + """ AS z
+  FROM (SELECT symbol, idx, """ + ", ".join(f'coalesce("{x}", 0) AS v_{i}' for i, x in enumerate(ft.PATTERN)) + """ FROM a3 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY idx DESC) <= 20)) WHERE true GROUP BY ALL""", a1=A1, a2=A2, a3=A3).replace("round(sum(z), 3) + 0.0", "round(sum(z * z), 2)"))
+def pattern_vector_last(spark, sf_dir):
+    """Length and a weighted sum of squares of each vector, row by row."""
+    v = ft.pattern_vectors(ft.add_features(src.series(spark, sf_dir)), 20)
+    rows = F.transform(F.sequence(F.lit(0), (F.size("vector") / 10 - 1).cast("int")), lambda i: sum((F.element_at("vector", (i * 10 + k + 1).cast("int")) * (k + 1) for k in range(10)), F.lit(0.0)))
+    return v.select("symbol", F.size("vector").cast("long").alias("length"), F.round(F.aggregate(rows, F.lit(0.0), lambda a, x: a + x * x), 2).alias("total"))
+
+
+@query(build(f"SELECT symbol, idx, {r(*FEATURES)} FROM f_1h"))
+def candle_features(spark, sf_dir):
+    return featured(spark, sf_dir).select("symbol", "idx", *wd.FEATURES)
+
+
+B1 = """SELECT *, nullif(high - low, 0) AS rg, (high - low) / nullif(close, 0) * 100 AS range_pct, abs(close - lag(close) OVER s) AS move, abs(close - lag(close, 12) OVER s) AS far FROM c_1h WINDOW s AS (PARTITION BY symbol ORDER BY idx)"""
+B2 = f"""SELECT *, abs(close - open) / rg * 100 AS body_pct, (high - greatest(open, close)) / rg * 100 AS upper_wick_pct, (least(open, close) - low) / rg * 100 AS lower_wick_pct,
+  CASE WHEN count(*) OVER {W.format(11)} >= 6 THEN (max(high) OVER {W.format(11)} - min(low) OVER {W.format(11)}) / nullif(close, 0) * 100 END AS rolling, range_pct / nullif({roll("median", "range_pct", 20)}, 0) AS range_vs_median, far / nullif({roll("sum", "move", 12, 6)}, 0) AS efficiency FROM b1"""
+B3 = f"SELECT *, rolling / nullif({roll('median', 'rolling', 24, 12)}, 0) AS compression_ratio FROM b2"
+B4 = """SELECT *, CASE WHEN greatest(upper_wick_pct, lower_wick_pct) > 50 AND body_pct < 40 AND range_vs_median > 1.15 THEN 'rejection' WHEN range_vs_median > 1.5 AND efficiency > 0.55 THEN 'directional' WHEN range_vs_median > 1.5 THEN 'expansion'
+  WHEN compression_ratio < 0.75 AND efficiency < 0.35 THEN 'compression' ELSE 'balanced' END AS behaviour_state,
+  coalesce(abs(range_vs_median - lag(range_vs_median) OVER s), 0) + coalesce(abs(efficiency - lag(efficiency) OVER s), 0) + coalesce(abs(compression_ratio - lag(compression_ratio) OVER s), 0) AS transition FROM b3 WINDOW s AS (PARTITION BY symbol ORDER BY idx)"""
+BEHAVED = ["body_pct", "upper_wick_pct", "lower_wick_pct", "range_vs_median", "efficiency", "compression_ratio", "transition"]
+B = {"b1": B1, "b2": B2, "b3": B3, "b4": B4}
+
+
+@query(build(f"SELECT symbol, idx, behaviour_state, {r(*BEHAVED)} FROM b4", **B))
+def behaviour_prepare(spark, sf_dir):
+    return ft.behaviour(src.series(spark, sf_dir)).select("symbol", "idx", "behaviour_state", *BEHAVED)
+
+
+@query(build("SELECT symbol, behaviour_state, count(*) AS candles FROM b4 GROUP BY ALL", **B))
+def state_counts(spark, sf_dir):
+    return ft.behaviour(src.series(spark, sf_dir)).groupBy("symbol", "behaviour_state").agg(F.count("*").alias("candles"))
+
+
+@query(build("""SELECT symbol, idx, concat_ws('|', CASE WHEN direction > 0 THEN 'BULLISH' WHEN direction < 0 THEN 'BEARISH' ELSE 'DOJI' END, CASE WHEN body_pct < 0.25 THEN 'SMALL_BODY' WHEN body_pct >= 0.6 THEN 'LARGE_BODY' ELSE 'MEDIUM_BODY' END,
+  CASE WHEN range_ratio * 5 < 0.75 THEN 'COMPRESSION' WHEN range_ratio * 5 > 1.25 THEN 'EXPANSION' ELSE 'NORMAL_RANGE' END, CASE WHEN upper_wick_pct >= 0.35 THEN 'UPPER_REJECTION' END, CASE WHEN lower_wick_pct >= 0.35 THEN 'LOWER_REJECTION' END,
+  CASE WHEN close_location >= 0.75 THEN 'CLOSE_HIGH' END, CASE WHEN close_location <= 0.25 THEN 'CLOSE_LOW' END, CASE WHEN direction > 0 AND body_pct >= 0.6 AND close_location >= 0.7 THEN 'STRONG_BULL' END, CASE WHEN direction < 0 AND body_pct >= 0.6 AND close_location <= 0.3 THEN 'STRONG_BEAR' END) AS tags FROM f_1h"""))
+def candle_tags(spark, sf_dir):
+    return ft.tags(featured(spark, sf_dir)).select("symbol", "idx", "tags")
+
+
+@query(build("""SELECT symbol, idx, CASE WHEN range_ratio <= q1 THEN 'compression' WHEN range_ratio >= q3 AND lower_wick_pct > 1.35 * upper_wick_pct AND lower_wick_pct > 0.8 * body_pct THEN 'expansion_lower_rejection'
+  WHEN range_ratio >= q3 AND upper_wick_pct > 1.35 * lower_wick_pct AND upper_wick_pct > 0.8 * body_pct THEN 'expansion_upper_rejection' WHEN range_ratio >= q3 AND body_pct >= 0.6 AND direction <> 0 THEN 'directional_expansion' WHEN range_ratio >= q3 THEN 'expansion'
+  WHEN lower_wick_pct > 1.5 * upper_wick_pct AND lower_wick_pct > body_pct THEN 'lower_rejection' WHEN upper_wick_pct > 1.5 * lower_wick_pct AND upper_wick_pct > body_pct THEN 'upper_rejection' WHEN body_pct < 0.3 THEN 'small_body' WHEN direction > 0 THEN 'bullish_body' WHEN direction < 0 THEN 'bearish_body' ELSE 'neutral_body' END AS label
+  FROM f_1h JOIN (SELECT symbol, quantile_cont(range_ratio, 0.25) AS q1, quantile_cont(range_ratio, 0.75) AS q3 FROM f_1h GROUP BY symbol) USING (symbol)"""))
+def behaviour_states(spark, sf_dir):
+    return ft.behaviour_labels(featured(spark, sf_dir)).select("symbol", "idx", "label")
+
+
+# ------------------------------------------------------------------ structure and outcomes
+
+
+@query(build(f"SELECT symbol, timeframe, index, confirmation_index, direction, {r('price')} FROM turns"))
+def zigzag_pivots(spark, sf_dir):
+    return turns(spark, sf_dir)
+
+
+@query(build(f"SELECT symbol, index, position, pivot_type, coalesce(bars_since_prev, 0) AS bars_since_prev, {r('swing_pct', 'leg_pct', 'normalized_price', 'previous_same_type_price')} FROM pivots"))
+def swing_structure(spark, sf_dir):
+    return st.structure(turns(spark, sf_dir)).select("symbol", "index", "position", "pivot_type", F.coalesce("bars_since_prev", F.lit(0)).alias("bars_since_prev"), "swing_pct", "leg_pct", "normalized_price", "previous_same_type_price")
+
+
+MATCH = ["symbol", "target", "candidate_start_index", "candidate_end_index", "candidate_confirmation_index", "pivot_type_sequence", "rank"]
+
+
+@query(build(f"SELECT {', '.join(MATCH)}, {r('similarity')} FROM pairs_top JOIN last_pivot USING (symbol, target) WHERE rank <= 10"))
+def structure_match(spark, sf_dir):
+    pivots = st.structure(turns(spark, sf_dir))
+    targets = pivots.groupBy(*src.SERIES).agg(F.max("position").alias("end_position"))
+    return st.match_structures(pivots, targets, scales=SCALES).select(*MATCH, "similarity")
+
+
+@query(build(f"SELECT {', '.join(MATCH)}, {r('similarity')} FROM pairs_top WHERE rank <= 5"))
+def walk_forward_matches(spark, sf_dir):
+    """Matches of every endpoint in one join."""
+    pivots = st.structure(turns(spark, sf_dir))
+    return st.match_structures(pivots, pivots.select(*src.SERIES, F.col("position").alias("end_position")), top_k=5, scales=SCALES).select(*MATCH, "similarity")
+
+
+def endpoint_outcomes(spark, sf_dir) -> DataFrame:
+    ends = turns(spark, sf_dir).select(*src.SERIES, F.col("confirmation_index").alias("endpoint_index")).distinct()
+    return oc.measure(ends, src.series(spark, sf_dir))
+
+
+@query(build(f"SELECT symbol, endpoint_index, horizon, bars_available, target_first, {r('entry_price', 'return_pct', 'mfe_pct', 'mae_pct')} FROM outcomes"))
+def endpoint_baseline(spark, sf_dir):
+    return endpoint_outcomes(spark, sf_dir).drop("timeframe")
+
+
+@query(build(summary("outcomes", "symbol")))
+def outcome_summary_ci(spark, sf_dir):
+    return oc.summarize(endpoint_outcomes(spark, sf_dir), "symbol")
+
+
+def matched_outcomes(spark, sf_dir) -> DataFrame:
+    found = walk_forward_matches(spark, sf_dir).withColumns({"timeframe": F.lit("1h"), "endpoint_index": F.col("candidate_confirmation_index")})
+    return oc.measure(found.select(*src.SERIES, "endpoint_index", "target", "rank", "similarity"), src.series(spark, sf_dir))
+
+
+MO = "SELECT o.*, p.target, p.rank, p.similarity FROM outcomes o JOIN pairs_top p ON p.symbol = o.symbol AND p.candidate_confirmation_index = o.endpoint_index WHERE p.rank <= 5"
+
+
+@query(build(f"SELECT symbol, target, rank, endpoint_index, horizon, target_first, {r('similarity', 'return_pct')} FROM mo", mo=MO))
+def match_outcomes(spark, sf_dir):
+    return matched_outcomes(spark, sf_dir).select("symbol", "target", "rank", "endpoint_index", "horizon", "target_first", "similarity", "return_pct")
+
+
+@query(build(summary("bk", "similarity_bucket"), mo=MO, bk="SELECT *, CASE WHEN similarity >= 0.85 THEN '0.85–1.00' WHEN similarity >= 0.80 THEN '0.80–0.85' WHEN similarity >= 0.75 THEN '0.75–0.80' WHEN similarity >= 0.70 THEN '0.70–0.75' END AS similarity_bucket FROM mo WHERE similarity >= 0.70"))
+def similarity_buckets(spark, sf_dir):
+    return oc.summarize(oc.bucketed(matched_outcomes(spark, sf_dir)), "similarity_bucket")
+
+
+@query(build("""SELECT symbol, idx, count(*) OVER w AS bars_available, round(last(close) OVER w / nullif(close, 0) - 1, 6) AS forward_return, round(max(high) OVER w / nullif(close, 0) - 1, 6) AS mfe, round(min(low) OVER w / nullif(close, 0) - 1, 6) AS mae
+  FROM c_1h WINDOW w AS (PARTITION BY symbol ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING)"""))
+def forward_outcomes(spark, sf_dir):
+    return oc.forward_outcomes(src.series(spark, sf_dir), 10).select("symbol", "idx", "bars_available", "forward_return", "mfe", "mae")
+
+
+@query(build("""SELECT symbol, count(x) AS sample_size, round(avg(x), 6) AS mean, round(median(x), 6) AS median, round(max(x), 6) AS maximum, round(min(x), 6) AS minimum, CAST(count_if(x > 0) AS BIGINT) AS up, CAST(count_if(x < 0) AS BIGINT) AS down, CAST(count_if(x = 0) AS BIGINT) AS neutral
+  FROM (SELECT symbol, last(close) OVER (PARTITION BY symbol ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING) / nullif(close, 0) - 1 AS x FROM c_1h) WHERE x IS NOT NULL GROUP BY ALL"""))
+def returns_summary(spark, sf_dir):
+    return oc.summarize_returns(oc.forward_outcomes(src.series(spark, sf_dir), 10), "forward_return", "symbol")
+
+
+@query(build("""SELECT symbol, here AS endpoint_index FROM kept WHERE keep""", numbered="SELECT symbol, endpoint_index, row_number() OVER (PARTITION BY symbol ORDER BY endpoint_index) AS n FROM ends",
+    kept="SELECT symbol, n, endpoint_index AS here, endpoint_index AS held, true AS keep FROM numbered WHERE n = 1 UNION ALL SELECT e.symbol, e.n, e.endpoint_index, CASE WHEN e.endpoint_index - k.held >= 20 THEN e.endpoint_index ELSE k.held END, e.endpoint_index - k.held >= 20 FROM kept k JOIN numbered e ON e.symbol = k.symbol AND e.n = k.n + 1"))
+def deoverlapped(spark, sf_dir):
+    ends = turns(spark, sf_dir).select(*src.SERIES, F.col("confirmation_index").alias("endpoint_index")).distinct()
+    return oc.spaced(ends, "endpoint_index", 20, ["endpoint_index"]).select("symbol", "endpoint_index")
+
+
+EV = "SELECT symbol, index, confirmation_index, direction, h.horizon, c.close AS p, arg_max(n.close, n.idx) AS cl, max(n.high) AS hi, min(n.low) AS lo FROM turns JOIN c_1h c USING (symbol) CROSS JOIN (SELECT unnest([5, 10, 20, 50])::BIGINT AS horizon) h JOIN c_1h n ON n.symbol = turns.symbol AND n.idx > confirmation_index AND n.idx <= confirmation_index + h.horizon WHERE c.idx = confirmation_index GROUP BY ALL"
+RV = "SELECT symbol, index, confirmation_index, direction, horizon, (cl / p - 1) * CASE WHEN direction = 'UP' THEN 100 ELSE -100 END AS signed_return, (CASE WHEN direction = 'UP' THEN hi / p ELSE p / nullif(lo, 0) END - 1) * 100 AS max_favorable, (CASE WHEN direction = 'UP' THEN lo / p ELSE p / nullif(hi, 0) END - 1) * 100 AS max_adverse FROM ev"
+
+
+def reversals(spark, sf_dir) -> DataFrame:
+    return oc.signed_forward(turns(spark, sf_dir), src.series(spark, sf_dir))
+
+
+@query(build(f"SELECT symbol, index, confirmation_index, direction, horizon, {r('signed_return', 'max_favorable', 'max_adverse')} FROM rv", ev=EV.replace("SELECT symbol", "SELECT turns.symbol", 1), rv=RV))
+def reversal_events(spark, sf_dir):
+    return reversals(spark, sf_dir).select("symbol", "index", "confirmation_index", "direction", "horizon", "signed_return", "max_favorable", "max_adverse")
+
+
+@query(build("SELECT horizon, count(*) AS n, round(avg(signed_return), 6) AS mean, round(median(signed_return), 6) AS median, CAST(count_if(signed_return > 0) AS BIGINT) AS positive, round(count_if(signed_return > 0) * 100.0::DOUBLE / count(*), 6) AS positive_share_pct FROM rv GROUP BY ALL", ev=EV.replace("SELECT symbol", "SELECT turns.symbol", 1), rv=RV))
+def reversal_summary(spark, sf_dir):
+    x = F.col("signed_return")
+    return reversals(spark, sf_dir).groupBy("horizon").agg(F.count("*").alias("n"), F.avg(x).alias("mean"), F.percentile(x, F.lit(0.5)).alias("median"), F.count_if(x > 0).alias("positive"), (F.count_if(x > 0) * 100.0 / F.count("*")).alias("positive_share_pct"))
+
+
+# ------------------------------------------------------------------ windows
+
+
+@query(build(f"SELECT symbol, timeframe, rank, wend - 19 AS candidate_start, wend AS candidate_end, {r('similarity')} FROM ranked WHERE rank <= 10"))
+def knn_windows(spark, sf_dir):
+    return wd.knn(featured(spark, sf_dir))
+
+
+@query(build(" UNION ALL ".join(f"SELECT symbol, timeframe, wend AS candidate_end, '{x}' AS feature, round({x}, 6) AS rmse, round({w / sum(FEATURES.values())!r}, 6) AS weight, round({x} * {w / sum(FEATURES.values())!r}, 6) AS weighted_difference FROM ranked WHERE rank = 1" for x, w in FEATURES.items())))
+def knn_feature_contrib(spark, sf_dir):
+    return wd.contributions(featured(spark, sf_dir))
+
+
+@query(build("SELECT symbol, timeframe, count(*) AS windows, round(max(similarity), 6) AS best, " + ", ".join(f"round(quantile_cont(similarity, {q}), 6) AS {x}" for q, x in [(0.5, "median"), (0.9, "p90"), (0.95, "p95"), (0.99, "p99")]) + " FROM sim GROUP BY ALL"))
+def knn_distribution(spark, sf_dir):
+    return wd.distribution(featured(spark, sf_dir))
+
+
+STATES = ["bullish", "bearish", "body", "range_level", "compression_75", "expansion_125", "upper_rejection", "lower_rejection", "alternation", "bull_first", "bull_second", "range_first", "range_second"]
+
+
+@query(build(f"SELECT symbol, wend AS window_end, {r(*STATES)} FROM d_1h"))
+def window_states(spark, sf_dir):
+    return wd.described(featured(spark, sf_dir)).select("symbol", F.col("end").alias("window_end"), *STATES)
+
+
+LABELLED = {"transition_profile": wd.profile, "micro_behaviour": wd.micro_behaviour, "archetype": wd.archetype, "pattern_code": wd.pattern_code, "regime": wd.regime, "transition_type": wd.transition_type}
+MINI = {  # SQL of the labels, thresholds in the same order
+    "transition_profile": "CASE WHEN bull_first <= 0.35 AND bull_second >= 0.65 THEN 'BEARISH_TO_BULLISH_SHIFT' WHEN bull_first >= 0.65 AND bull_second <= 0.35 THEN 'BULLISH_TO_BEARISH_SHIFT' WHEN abs(bull_first - 0.5) <= 0.2 AND abs(bull_second - 0.5) <= 0.2 AND compression_75 >= 0.3 THEN 'SIDEWAYS_LIKE' WHEN abs(bull_first - 0.5) <= 0.2 AND greatest(bull_second, 1 - bull_second) >= 0.65 AND range_second - range_first >= 0.15 THEN 'SIDEWAYS_TO_DIRECTIONAL_LIKE' WHEN range_second - range_first >= 0.2 THEN 'RANGE_EXPANSION_LIKE' WHEN range_second - range_first <= -0.2 THEN 'RANGE_COMPRESSION_LIKE' ELSE 'MIXED_SEQUENCE' END",
+    "micro_behaviour": "CASE WHEN compression >= 0.55 AND abs(bullish - 0.5) <= 0.15 AND greatest(upper_rejection, lower_rejection) >= 0.35 THEN 'WICK_REJECTION_COMPRESSION' WHEN compression >= 0.55 AND abs(bullish - 0.5) <= 0.15 THEN 'BALANCED_COMPRESSION' WHEN compression >= 0.45 AND abs(bull_second - bull_first) >= 0.25 THEN 'DIRECTIONAL_COMPRESSION' WHEN expansion >= 0.35 AND range_second - range_first >= 0.1 THEN 'RANGE_EXPANSION' WHEN greatest(upper_rejection, lower_rejection) >= 0.45 AND abs(bullish - 0.5) <= 0.25 THEN 'REJECTION_BALANCE' WHEN bull_second - bull_first >= 0.25 AND range_second >= range_first THEN 'BULLISH_SHIFT' WHEN bull_second - bull_first <= -0.25 AND range_second >= range_first THEN 'BEARISH_SHIFT' WHEN bullish >= 0.7 AND alternation <= 0.35 AND body >= 0.6 THEN 'PERSISTENT_BULLISH_BODY' WHEN bullish <= 0.3 AND alternation <= 0.35 AND body >= 0.6 THEN 'PERSISTENT_BEARISH_BODY' WHEN alternation >= 0.55 THEN 'HIGH_ALTERNATION' WHEN body <= 0.25 THEN 'SMALL_BODY_MIX' ELSE 'MIXED_MICRO_BEHAVIOUR' END",
+    "archetype": "CASE WHEN bull_second - bull_first >= 0.3 AND range_second - range_first >= 0.1 THEN 'BEARISH_TO_BULLISH_SHIFT' WHEN bull_second - bull_first <= -0.3 AND range_second - range_first >= 0.1 THEN 'BULLISH_TO_BEARISH_SHIFT' WHEN compression >= 0.55 AND abs(bullish - 0.5) <= 0.15 THEN 'SIDEWAYS_COMPRESSION' WHEN abs(bullish - 0.5) <= 0.2 AND greatest(bullish, 1 - bullish) >= 0.65 AND range_second - range_first >= 0.1 THEN 'SIDEWAYS_TO_DIRECTIONAL' WHEN expansion >= 0.35 AND range_second - range_first >= 0.1 THEN 'EXPANSION_SEQUENCE' WHEN compression >= 0.55 AND range_second - range_first <= -0.1 THEN 'COMPRESSION_SEQUENCE' WHEN either_rejection >= 0.45 AND abs(bullish - 0.5) <= 0.25 THEN 'REJECTION_MIX' WHEN bullish >= 0.7 AND alternation <= 0.35 THEN 'PERSISTENT_BULLISH_BODY' WHEN bullish <= 0.3 AND alternation <= 0.35 THEN 'PERSISTENT_BEARISH_BODY' WHEN alternation >= 0.55 THEN 'HIGH_ALTERNATION' ELSE 'MIXED_BEHAVIOUR' END",
+    "pattern_code": "concat_ws(' | ', CASE WHEN 1 - 2 * abs(bullish - 0.5) >= 0.7 THEN 'BALANCED' WHEN bullish > 0.5 THEN 'BULL_BIASED' ELSE 'BEAR_BIASED' END, CASE WHEN range_second - range_first >= 0.2 THEN 'EXPANDING' WHEN range_second - range_first <= -0.2 THEN 'COMPRESSING' ELSE 'STABLE' END, CASE WHEN lower_rejection - upper_rejection >= 0.12 THEN 'LOWER_WICK' WHEN lower_rejection - upper_rejection <= -0.12 THEN 'UPPER_WICK' ELSE 'WICK_BALANCED' END, CASE WHEN bull_second - bull_first >= 0.2 THEN 'BULL_SHIFT' WHEN bull_second - bull_first <= -0.2 THEN 'BEAR_SHIFT' ELSE 'DIRECTION_BALANCED' END, CASE WHEN pair_alternation >= 0.55 THEN 'HIGH_ALT' WHEN pair_alternation <= 0.3 THEN 'LOW_ALT' ELSE 'MID_ALT' END, CASE WHEN body >= 0.6 THEN 'LARGE_BODY' WHEN body <= 0.25 THEN 'SMALL_BODY' ELSE 'MID_BODY' END, CASE WHEN range_last_third - range_first_third >= 0.35 THEN 'COMP_TO_EXPAND' WHEN range_last_third - range_first_third <= -0.35 THEN 'EXP_TO_COMPRESS' ELSE 'RANGE_STABLE' END, CASE WHEN close_location >= 0.65 THEN 'CLOSE_HIGH' WHEN close_location <= 0.35 THEN 'CLOSE_LOW' ELSE 'CLOSE_MID' END)",
+    "regime": "CASE WHEN abs(direction_first) >= 0.2 AND abs(direction_second) >= 0.15 AND direction_first * direction_second < 0 AND (direction_second - direction_first) * direction_first < 0 THEN 'TREND_TO_OPPOSITE_DIRECTION' WHEN abs(direction_first) <= 0.15 AND abs(direction_second) >= 0.2 AND scaled_range_second - scaled_range_first >= 0.15 THEN 'SIDEWAYS_TO_DIRECTIONAL_EXPANSION' WHEN abs(direction_first) >= 0.2 AND abs(direction_second) <= 0.15 AND scaled_range_second - scaled_range_first < 0.1 THEN 'DIRECTIONAL_TO_SIDEWAYS' WHEN scaled_range_second - scaled_range_first >= 0.25 AND abs(direction_second) >= abs(direction_first) + 0.1 THEN 'COMPRESSION_TO_EXPANSION' WHEN scaled_range_second - scaled_range_first <= -0.25 AND abs(direction_second) <= abs(direction_first) + 0.05 THEN 'EXPANSION_TO_COMPRESSION' WHEN abs(direction_first) <= 0.15 AND abs(direction_second) <= 0.15 AND alternation_second >= alternation_first + 0.1 THEN 'SIDEWAYS_ALTERNATION_INCREASE' WHEN abs(direction_first - direction_second) < 0.15 AND abs(scaled_range_second - scaled_range_first) < 0.15 THEN 'STABLE_REGIME' ELSE 'MIXED_TRANSITION' END",
+    "transition_type": "CASE WHEN abs(direction_first) >= 0.2 AND abs(direction_second) >= 0.15 AND direction_first * direction_second < 0 THEN 'OPPOSITE_DIRECTION_SHIFT' WHEN abs(direction_first) <= 0.15 AND abs(direction_second) >= 0.2 AND scaled_range_second - scaled_range_first >= 0.15 THEN 'SIDEWAYS_TO_DIRECTIONAL' WHEN abs(direction_first) >= 0.2 AND abs(direction_second) <= 0.15 THEN 'DIRECTIONAL_TO_SIDEWAYS' WHEN scaled_range_second - scaled_range_first >= 0.25 THEN 'COMPRESSION_TO_EXPANSION' WHEN scaled_range_second - scaled_range_first <= -0.25 THEN 'EXPANSION_TO_COMPRESSION' WHEN abs(direction_first - direction_second) < 0.15 AND abs(scaled_range_second - scaled_range_first) < 0.15 THEN 'STABLE' ELSE 'MIXED' END",
+}
+for _name, _label in LABELLED.items():
+    query(build(f"SELECT symbol, wend AS window_end, {MINI[_name]} AS {_name} FROM d_1h"), f"window_{_name}")(lambda spark, sf_dir, n=_name, f=_label: wd.described(featured(spark, sf_dir)).select("symbol", F.col("end").alias("window_end"), f().alias(n)))
+    query(build(f"SELECT *, round(windows * 100.0::DOUBLE / sum(windows) OVER (PARTITION BY symbol), 6) AS share_pct FROM (SELECT symbol, {MINI[_name]} AS {_name}, count(*) AS windows FROM d_1h WHERE wend % 10 = 9 GROUP BY ALL)"), f"{_name}_distribution")(
+        lambda spark, sf_dir, n=_name, f=_label: wd.described(featured(spark, sf_dir)).where("end % 10 = 9").groupBy("symbol", f().alias(n)).agg(F.count("*").alias("windows")).withColumn("share_pct", F.col("windows") * 100.0 / F.sum("windows").over(wd.Window.partitionBy("symbol")))
+    )
+
+BLOCK = "SELECT symbol, timeframe, wend, off, direction, rr, upper_wick_pct, lower_wick_pct, alternation, body_pct, close_location, ntile(5) OVER (PARTITION BY symbol ORDER BY off) AS block FROM w_1h WHERE wend = last"
+BLOCKS = "SELECT symbol, wend, block, count(*) AS candles, avg((direction > 0)::DOUBLE) AS bullish, avg(rr) AS range_level, avg((upper_wick_pct >= 0.35)::DOUBLE) AS upper_rejection, avg((lower_wick_pct >= 0.35)::DOUBLE) AS lower_rejection, avg(alternation) AS alternation, avg(body_pct) AS body, avg(close_location) AS close_location FROM bl GROUP BY ALL"
+
+
+@query(build(f"SELECT symbol, wend AS window_end, block, candles, {r('bullish', 'range_level', 'upper_rejection', 'lower_rejection', 'alternation', 'body', 'close_location')} FROM bs", bl=BLOCK, bs=BLOCKS))
+def sequence_blocks(spark, sf_dir):
+    return wd.blocks(featured(spark, sf_dir)).select("symbol", F.col("end").alias("window_end"), "block", "candles", "bullish", "range_level", "upper_rejection", "lower_rejection", "alternation", "body", "close_location")
+
+
+@query(build("SELECT symbol, wend AS window_end, string_agg(CASE WHEN bullish >= 0.6 THEN 'BULL' WHEN bullish <= 0.4 THEN 'BEAR' ELSE 'BAL' END, ' -> ' ORDER BY block) AS direction_path, string_agg(CASE WHEN range_level >= 1.15 THEN 'EXP' WHEN range_level <= 0.85 THEN 'COMP' ELSE 'NORM' END, ' -> ' ORDER BY block) AS range_path FROM bs GROUP BY ALL", bl=BLOCK, bs=BLOCKS))
+def sequence_paths(spark, sf_dir):
+    return wd.block_paths(wd.blocks(featured(spark, sf_dir))).select("symbol", F.col("end").alias("window_end"), "direction_path", "range_path")
+
+
+# ------------------------------------------------------------------ windows against windows of other kinds
+
+
+@query()
+def regime_knn(spark, sf_dir):
+    """Windows of each series most like its last one by 12 half-window measures, among those of its regime if there are three."""
+    cols = ["bullish", "body", "range_level", "close_location", "alternation", "upper_rejection", "lower_rejection", "direction_first", "direction_second", "scaled_range_first", "scaled_range_second", "alternation_second"]
+    d = wd.described(featured(spark, sf_dir)).withColumn("regime", wd.regime())
+    z = wd.standardized(d.select(*wd.KEYS, "last", "regime", *cols), cols, src.SERIES)
+    now = z.where("end = last").select(*src.SERIES, F.col("regime").alias("now"), *(F.col(c).alias(f"_{c}") for c in cols))
+    both = z.where("end <= last - 20 AND end % 10 = 9").join(now, src.SERIES).withColumn("_same", (F.col("regime") == F.col("now")).cast("int"))
+    enough = F.sum("_same").over(wd.Window.partitionBy(*src.SERIES)) >= 3
+    both = both.withColumn("_enough", enough).where("NOT _enough OR _same = 1")
+    distance = F.sqrt(sum((F.pow(F.col(c) - F.col(f"_{c}"), 2) for c in cols), F.lit(0.0)) / len(cols))
+    return wd.top(both.withColumn("similarity", F.exp(-distance)), 15).select(*src.SERIES, "rank", F.col("end").alias("window_end"), "regime", "similarity")
+
+
+@query(build(f"""SELECT m.symbol, m.rank, CAST(x.part AS INTEGER) AS part, {r('bullish', 'range_level')} FROM (SELECT symbol, rank, wend FROM ranked WHERE rank <= 10) m CROSS JOIN (SELECT unnest([-1, 0, 1]) AS part) x
+  JOIN d_1h d ON d.symbol = m.symbol AND d.wend = m.wend + 20 * x.part""").replace("CAST(x.part AS INTEGER)", "CAST(x.part AS BIGINT)"))
+def neighbour_context(spark, sf_dir):
+    """The windows before, at and after each of the ten nearest ones."""
+    f = featured(spark, sf_dir)
+    found = wd.top(wd.similarities(f), 10).select("symbol", "rank", "end").withColumn("part", F.explode(F.lit([-1, 0, 1])))
+    return found.withColumn("end", F.col("end") + 20 * F.col("part")).join(wd.described(f), ["symbol", "end"]).select("symbol", "rank", "part", "bullish", "range_level")
+
+
+# ------------------------------------------------------------------ timeframes
+
+TFS = ("1h", "4h", "1d")
+
+
+def described_tf(spark, sf_dir, tf: str) -> DataFrame:
+    return wd.described(featured(spark, sf_dir, tf))
+
+
+TT = MINI["transition_type"]
+NOW = " UNION ALL ".join(f"SELECT symbol, timeframe, {', '.join(mt.HALVES)}, {TT} AS transition_type FROM d_{tf} WHERE wend = last" for tf in TFS)
+
+
+def mtf_now(spark, sf_dir) -> DataFrame:
+    return mt.current([described_tf(spark, sf_dir, tf) for tf in TFS])
+
+
+@query(build(f"SELECT symbol, timeframe, transition_type, {r(*mt.HALVES)} FROM nw", nw=NOW))
+def mtf_current(spark, sf_dir):
+    return mtf_now(spark, sf_dir)
+
+
+@query(build("SELECT a.symbol, a.timeframe AS low_timeframe, b.timeframe AS high_timeframe, round(a.direction_second - b.direction_second, 6) + 0.0 AS direction_difference, round(a.scaled_range_second - b.scaled_range_second, 6) + 0.0 AS range_difference, a.transition_type AS low_transition_type, b.transition_type AS high_transition_type FROM nw a JOIN nw b ON a.symbol = b.symbol AND (a.timeframe, b.timeframe) IN (('1h', '4h'), ('1h', '1d'), ('4h', '1d'))", nw=NOW))
+def mtf_pairs(spark, sf_dir):
+    return mt.pairs(mtf_now(spark, sf_dir))
+
+
+@query(build("""SELECT symbol, concat_ws(' | ', CASE WHEN d <= 0.2 THEN 'DIRECTION_ALIGNED' WHEN d >= 0.5 THEN 'DIRECTION_DIVERGENT' ELSE 'DIRECTION_MIXED' END, CASE WHEN g <= 0.25 THEN 'RANGE_ALIGNED' WHEN g >= 0.75 THEN 'RANGE_DIVERGENT' ELSE 'RANGE_MIXED' END,
+  CASE WHEN a THEN 'EXPANSION_CONTEXT_PRESENT' WHEN b THEN 'COOLING_CONTEXT_PRESENT' WHEN c THEN 'DIRECTION_SHIFT_PRESENT' ELSE 'NO_MAJOR_CROSS_TF_SHIFT' END) AS relationship
+  FROM (SELECT symbol, max(direction_second) - min(direction_second) AS d, max(scaled_range_second) - min(scaled_range_second) AS g, bool_or(transition_type IN ('SIDEWAYS_TO_DIRECTIONAL', 'COMPRESSION_TO_EXPANSION')) AS a, bool_or(transition_type IN ('DIRECTIONAL_TO_SIDEWAYS', 'EXPANSION_TO_COMPRESSION')) AS b, bool_or(transition_type = 'OPPOSITE_DIRECTION_SHIFT') AS c FROM nw GROUP BY symbol)""", nw=NOW))
+def mtf_relationship(spark, sf_dir):
+    return mt.relationship(mtf_now(spark, sf_dir))
+
+
+def closes(spark, sf_dir, tf: str) -> DataFrame:
+    return src.series(spark, sf_dir, tf).select("symbol", (F.col("open_time") + src.STEPS[tf]).alias("close_ts"), F.col("close").alias(f"close_{tf}"))
+
+
+CLOSES = {f"cl_{tf}": f"SELECT symbol, open_time + {src.STEPS[tf]} AS close_ts, close AS close_{tf} FROM bars_{tf}" for tf in TFS}
+
+
+@query(build(f"SELECT symbol, close_ts, {r('close_1h', 'close_4h', 'close_1d')} FROM cl_1h JOIN cl_4h USING (symbol, close_ts) JOIN cl_1d USING (symbol, close_ts)", **CLOSES))
+def mtf_exact_history(spark, sf_dir):
+    return mt.exact([closes(spark, sf_dir, tf) for tf in TFS], ["symbol", "close_ts"])
+
+
+@query(build(f"SELECT a.symbol, a.close_ts, {r('a.close_1h').replace('AS a.close_1h', 'AS close_1h')}, round(b.close_1d, 6) + 0.0 AS asof_close_1d FROM cl_1h a ASOF JOIN cl_1d b ON a.symbol = b.symbol AND a.close_ts >= b.close_ts", **CLOSES))
+def mtf_asof_context(spark, sf_dir):
+    return mt.asof(closes(spark, sf_dir, "1h"), closes(spark, sf_dir, "1d"), "close_ts", "symbol", ["close_1d"])
+
+
+# ------------------------------------------------------------------ levels and stories
+
+PRIOR = """SELECT symbol, off, source, level_type, level, CASE WHEN level_type = 'PRIOR_HIGH' AND close > level THEN 'BREAK_ABOVE_PRIOR_HIGH' WHEN level_type = 'PRIOR_LOW' AND close < level THEN 'BREAK_BELOW_PRIOR_LOW' ELSE 'LEVEL_REVISIT' END AS event FROM (
+  SELECT *, row_number() OVER (PARTITION BY symbol, off ORDER BY distance, source, ord) AS n FROM (
+    SELECT a.symbol, a.off, b.off AS source, a.high, a.low, a.close, greatest((b.high - b.low) * 0.2, 1e-12) AS tol, k.ord, ['PRIOR_HIGH', 'PRIOR_LOW', 'PRIOR_BODY'][k.ord + 1] AS level_type, [b.high, b.low, (b.open + b.close) / 2][k.ord + 1] AS level,
+      least(abs(a.high - level), abs(a.low - level), abs(a.close - level)) / tol AS distance
+    FROM w_1h a JOIN w_1h b ON a.symbol = b.symbol AND a.wend = b.wend AND b.off < a.off CROSS JOIN (SELECT unnest([0, 1, 2]) AS ord) k WHERE a.wend = a.last) WHERE distance <= 1)
+  WHERE n = 1 AND (low <= level AND level <= high OR abs(close - level) <= tol)"""
+
+
+@query(build(f"SELECT symbol, off, source, level_type, event, {r('level')} FROM pl", pl=PRIOR))
+def price_levels_v1(spark, sf_dir):
+    return lv.prior_levels(featured(spark, sf_dir)).select("symbol", "off", "source", "level_type", "event", "level")
+
+
+def level_windows(spark, sf_dir) -> DataFrame:
+    """Levels of the windows that end every fifth candle."""
+    return lv.level_rows(lv.last_windows(src.series(spark, sf_dir), every=5))
+
+
+@query()
+def price_levels_v2(spark, sf_dir):
+    return level_windows(spark, sf_dir).drop("events", "level_tokens")
+
+
+@query()
+def level_events(spark, sf_dir):
+    return level_windows(spark, sf_dir).select("symbol", "end", F.inline("events"))
+
+
+def stories(spark, sf_dir) -> DataFrame:
+    """Phases of a window, then the tokens of its level events."""
+    phases = wd.described(featured(spark, sf_dir)).select(*wd.KEYS, "last", sr.phases(20).alias("phases"))
+    both = level_windows(spark, sf_dir).select(*wd.KEYS, "level_tokens").join(phases, wd.KEYS)
+    return both.select(*wd.KEYS, "last", sr.without_repeats(F.concat("phases", "level_tokens")).alias("tokens"))
+
+
+@query()
+def story_tokens(spark, sf_dir):
+    return stories(spark, sf_dir).select("symbol", "end", F.array_join("tokens", " -> ").alias("story"))
+
+
+@query()
+def story_matches(spark, sf_dir):
+    """Coarse ranking by described measures first; edit distances only for the pool that it leaves."""
+    cols = ["direction_first", "direction_second", "range_first", "range_second", "body_first", "body_second", "close_first", "close_second", "alternation_first", "alternation_second"]
+    d = wd.standardized(wd.described(featured(spark, sf_dir)).select(*wd.KEYS, "last", *cols), cols, src.SERIES)
+    now = d.where("end = last").select(*src.SERIES, *(F.col(c).alias(f"_{c}") for c in cols))
+    near = d.where("end <> last").join(now, src.SERIES).withColumn("feature_similarity", 1 / (1 + F.sqrt(sum((F.pow(F.col(c) - F.col(f"_{c}"), 2) for c in cols), F.lit(0.0)) / len(cols))))
+    pool = wd.top(near, 100, score="feature_similarity").select(*wd.KEYS, "feature_similarity")
+    told = stories(spark, sf_dir)
+    own = told.where("end = last").select(*src.SERIES, F.col("tokens").alias("own"))
+    both = pool.join(told, wd.KEYS).join(own, src.SERIES).withColumn("sequence_similarity", sr.story_similarity("own", "tokens"))
+    both = both.withColumn("similarity", 0.75 * F.col("sequence_similarity") + 0.25 * F.col("feature_similarity"))
+    return wd.top(both, 25).select("symbol", "rank", "end", F.array_join("tokens", " -> ").alias("story"), "sequence_similarity", "feature_similarity", "similarity")
+
+
+@query()
+def story_archetypes(spark, sf_dir):
+    told = stories(spark, sf_dir).select("symbol", "end", sr.families(F.col("tokens")).alias("tokens"))
+    return sr.leader_clusters(told, "end", by="symbol").select("symbol", "end", "cluster", "distance", F.array_join("tokens", " -> ").alias("story"))
+
+
+def user_stories(spark, sf_dir) -> DataFrame:
+    """Event types of each user in order, less repeats; a user's group is user_id % 8."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: x["event_type"])
+    return e.groupBy("user_id").agg(rows.alias("all")).select("user_id", (F.col("user_id") % 8).alias("grp"), sr.without_repeats(F.col("all")).alias("tokens"))
+
+
+US = "SELECT user_id, user_id % 8 AS grp, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events) WHERE prev IS NULL OR prev <> event_type"
+TR = "SELECT user_id, grp, event_type AS from_token, nxt AS to_token FROM (SELECT *, lead(event_type) OVER (PARTITION BY user_id ORDER BY n) AS nxt FROM us) WHERE nxt IS NOT NULL"
+TC = "SELECT tr.grp, from_token, to_token, count(*) AS occurrences, count(DISTINCT user_id) AS stories, count(DISTINCT user_id) * 100.0::DOUBLE / any_value(total) AS presence_pct FROM tr JOIN (SELECT grp, count(DISTINCT user_id) AS total FROM us GROUP BY grp) USING (grp) GROUP BY ALL"
+TOLD = {"us": US, "tr": TR, "tc": TC}
+
+
+def counted(spark, sf_dir) -> DataFrame:
+    return sr.transition_counts(user_stories(spark, sf_dir), "grp", "user_id")
+
+
+@query(build(f"SELECT grp, from_token, to_token, occurrences, stories, {r('presence_pct')} FROM tc", **TOLD))
+def story_transition_counts(spark, sf_dir):
+    return counted(spark, sf_dir)
+
+
+@query(build(f"SELECT * FROM (SELECT grp, from_token, to_token, occurrences, stories, {r('presence_pct')}, row_number() OVER (PARTITION BY grp ORDER BY stories DESC, occurrences DESC, from_token, to_token) AS rank FROM tc) WHERE rank <= 15", **TOLD))
+def story_transition_top(spark, sf_dir):
+    return sr.top_transitions(counted(spark, sf_dir), "grp")
+
+
+@query(build("SELECT t.grp, t.from_token, t.to_token, coalesce(c.occurrences, 0) AS occurrences, coalesce(c.stories, 0) AS stories, round(coalesce(c.presence_pct, 0), 6) + 0.0 AS presence_pct, CASE WHEN coalesce(c.presence_pct, 0) >= 50 THEN 'COMMON' WHEN c.presence_pct > 0 THEN 'PRESENT' ELSE 'NOT_SEEN' END AS status FROM (SELECT DISTINCT grp, from_token, to_token FROM tr) t LEFT JOIN tc c ON c.grp = (t.grp + 1) % 8 AND c.from_token = t.from_token AND c.to_token = t.to_token", **TOLD))
+def story_transition_annotated(spark, sf_dir):
+    """The transitions of each group, with what the next group's stories say of them."""
+    now = sr.transitions(user_stories(spark, sf_dir)).select("grp", "from_token", "to_token").distinct()
+    counts = counted(spark, sf_dir).withColumn("grp", (F.col("grp") + 7) % 8)
+    return sr.annotated(now, counts, "grp")
+
+
+@query(build("SELECT from_token, to_token, " + ", ".join(f"CAST(count_if(grp = {g}) AS BIGINT) AS g{g}" for g in range(8)) + " FROM tr GROUP BY ALL", **TOLD))
+def transition_family_matrix(spark, sf_dir):
+    out = sr.transitions(user_stories(spark, sf_dir)).groupBy("from_token", "to_token").pivot("grp", list(range(8))).count()
+    return out.select("from_token", "to_token", *(F.coalesce(str(g), F.lit(0)).alias(f"g{g}") for g in range(8)))
+
+
+@query(build("""SELECT a.user_id AS a, b.user_id AS b, round(len(list_intersect(a.p, b.p)) / nullif(len(list_distinct(list_concat(a.p, b.p))), 0)::DOUBLE, 6) + 0.0 AS similarity FROM ps a JOIN ps b ON b.user_id = a.user_id + 1""", ps="SELECT user_id, list(DISTINCT from_token || '>' || to_token) AS p FROM tr GROUP BY user_id", **TOLD))
+def story_jaccard(spark, sf_dir):
+    """Likeness of the transitions of neighbouring users."""
+    sets = sr.transitions(user_stories(spark, sf_dir)).groupBy("user_id").agg(F.collect_set(F.concat_ws(">", "from_token", "to_token")).alias("p"))
+    other = sets.select((F.col("user_id") - 1).alias("user_id"), F.col("p").alias("q"))
+    return sets.join(other, "user_id").select(F.col("user_id").alias("a"), (F.col("user_id") + 1).alias("b"), sr.jaccard(F.col("p"), F.col("q")).alias("similarity"))
+
+
+@query(build("SELECT a.user_id AS a, b.user_id AS b, round(1 - levenshtein(a.s, b.s) / greatest(len(a.s), len(b.s))::DOUBLE, 6) + 0.0 AS similarity FROM ss a JOIN ss b ON b.user_id = a.user_id + 1", ss="SELECT user_id, string_agg(CASE event_type WHEN 'view' THEN 'I' WHEN 'click' THEN 'R' WHEN 'purchase' THEN 'D' WHEN 'signup' THEN 'B' ELSE 'L' END, '' ORDER BY n) AS s FROM us GROUP BY user_id", us=US))
+def story_alignment(spark, sf_dir):
+    """Alignment of neighbouring users' stories, their event types read as families."""
+    names = {"view": "INITIAL_CONTEXT", "click": "RANGE_CHANGE", "purchase": "DIRECTION_CHANGE", "signup": "BODY_CHANGE"}
+    as_family = F.create_map(*(F.lit(x) for kv in names.items() for x in kv))
+    told = user_stories(spark, sf_dir).select("user_id", F.transform("tokens", lambda t: F.coalesce(F.try_element_at(as_family, t), F.lit("LEVEL_INTERACTION"))).alias("t"))
+    other = told.select((F.col("user_id") - 1).alias("user_id"), F.col("t").alias("u"))
+    return told.join(other, "user_id").select(F.col("user_id").alias("a"), (F.col("user_id") + 1).alias("b"), sr.alignment(F.col("t"), F.col("u")).alias("similarity"))
+
+
+# ------------------------------------------------------------------ clusters and vectors
+
+
+def clustered(spark, sf_dir) -> DataFrame:
+    cols = ["direction_first", "direction_second", "scaled_range_first", "scaled_range_second", "alternation", "body", "close_location", "upper_rejection", "lower_rejection"]
+    points = wd.described(featured(spark, sf_dir)).where("end % 10 = 9 OR end = last").select(*wd.KEYS, F.array(*cols).alias("v"))
+    return cu.kmeans(points)
+
+
+@query()
+def kmeans_clusters(spark, sf_dir):
+    out = clustered(spark, sf_dir).groupBy("symbol", "cluster").agg(F.count("*").alias("windows"), F.avg("distance").alias("mean_distance"), F.avg(F.col("v")[1]).alias("direction"), F.avg(F.col("v")[3]).alias("range_level"), F.avg(F.col("v")[4]).alias("alternation"))
+    return out.withColumn("name", cu.cluster_name(F.col("direction"), F.col("range_level"), F.col("alternation")))
+
+
+@query()
+def cluster_rarity(spark, sf_dir):
+    return cu.rarity(clustered(spark, sf_dir))
+
+
+def embedded(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), "label", F.col("embedding").cast("array<double>").alias("v"))
+    return e, e.where("id % 100 = 0").select(F.col("id").alias("query_id"), "label", F.col("v").alias("q"))
+
+
+VEC = "SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings"
+ZV = "SELECT vec_id, label, i, (x - avg(x) OVER (PARTITION BY vec_id)) / (stddev_pop(x) OVER (PARTITION BY vec_id) + 1e-9) AS z FROM ve"
+VS = "SELECT q.vec_id AS query_id, v.vec_id AS id, 1 / (1 + sqrt(sum((v.z - q.z) * (v.z - q.z))) / sqrt(count(*))) AS euclidean, (sum(v.z * q.z) / (sqrt(sum(v.z * v.z)) * sqrt(sum(q.z * q.z))) + 1) / 2 AS cosine FROM zv q JOIN zv v ON v.label = q.label AND v.i = q.i AND v.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0 GROUP BY ALL"
+
+
+@query(build("SELECT * EXCLUDE (n), n AS rank FROM (SELECT query_id, id, round(euclidean, 6) AS euclidean, round(cosine, 6) AS cosine, row_number() OVER (PARTITION BY query_id ORDER BY round(euclidean, 9) DESC, id) AS n FROM vs) WHERE n <= 10", ve=VEC, zv=ZV, vs=VS))
+def vector_similarity_topk(spark, sf_dir):
+    v, q = embedded(spark, sf_dir)
+    v, q = v.select("id", "label", vc.zscored(F.col("v")).alias("v")), q.select("query_id", "label", vc.zscored(F.col("q")).alias("q"))
+    both = v.join(q, "label").where("id <> query_id").select("query_id", "id", *(x.alias(n) for n, x in vc.similarities(F.col("v"), F.col("q")).items() if n != "correlation"))
+    return wd.top(both, 10, ["query_id"], "euclidean", "id").select("query_id", "id", "euclidean", "cosine", "rank")
+
+
+@query()
+def ensemble_search(spark, sf_dir):
+    v, q = embedded(spark, sf_dir)
+    return vc.search(v, q)

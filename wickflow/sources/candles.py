@@ -25,7 +25,8 @@ def resample(ticks: DataFrame, timeframe: str, symbol: str | Column = "event_typ
     """Candles of one timeframe from ticks; the first and last value of a candle are by time, then by the tie column."""
     step = STEPS[timeframe]
     symbol = F.col(symbol) if isinstance(symbol, str) else symbol
-    start = (F.floor(F.unix_micros(time) / (step * 1000)) * step).cast("long")
+    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(time).cast("timestamp_ntz"))
+    start = (F.floor(micros / (step * 1000)) * step).cast("long")
     at = F.struct(time, tie)
     out = ticks.where(F.col(value).isNotNull()).groupBy(symbol.alias("symbol"), start.alias("open_time")).agg(
         F.min_by(value, at).alias("open"), F.max(value).alias("high"), F.min(value).alias("low"), F.max_by(value, at).alias("close"),
