@@ -82,8 +82,9 @@ def with_copies(docs: DataFrame, by_source: DataFrame, seed: str = SEED) -> Data
 def mix(docs: DataFrame, text: str = "text") -> DataFrame:
     """Each document as often as the mix takes it, with the columns of docs."""
     by_source = targets(docs.select("source", n_words(F.col(text)).alias("size")))
-    out = with_copies(docs, by_source).where("_copies > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    whole = docs.select("doc_id", "source", F.struct(*docs.columns).alias("_row"))  # so no column of docs can clash
+    out = with_copies(whole, by_source).where("_copies > 0")
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("_row.*")
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

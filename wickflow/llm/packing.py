@@ -75,19 +75,19 @@ def cuts(at: list[int], prices: list[int], window: int = WINDOW) -> list[int]:
     number = {p: i for i, p in enumerate(at)}
     queue = deque([0])
     key[0] = at[0]
-    shorter = [window >> 1, window >> 2] if window & (window - 1) == 0 and window >= 8 else []
+    whole = [(window, 0)]  # lengths without padding, and their prices
+    if window & (window - 1) == 0 and window >= 8:
+        whole += [(window >> 1, SHORT), (window >> 2, SHORT)]
     for j in range(1, len(at)):
         p = at[j]
         while at[queue[0]] < p - window:
             queue.popleft()
         i = queue[0]
-        best = key[i] + window - p
-        if at[i] > p - window:
-            best += SHORT
-        for length in shorter:  # a power of two needs no padding
+        best = key[i] + window - p + SHORT
+        for length, price in whole:
             k = number.get(p - length)
-            if k is not None and cost[k] + SHORT < best:
-                best, i = cost[k] + SHORT, k
+            if k is not None and cost[k] + price < best:
+                best, i = cost[k] + price, k
         cost[j], back[j] = best + prices[j], i
         key[j] = k = cost[j] + p
         while queue and key[queue[-1]] >= k:

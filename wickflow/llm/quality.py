@@ -120,6 +120,7 @@ def decided(measured: DataFrame, corpus: DataFrame, prefix: str = "_q_", thresho
     votes = rules(prefix)
     counted = corpus.select(*(v.cast("int").alias(k) for k, v in votes.items())).groupBy(*votes).count()
     prior, accuracy = fit([(tuple(r[:-1]), r[-1]) for r in counted.collect()])
+    accuracy = accuracy or [(0.8, 0.8)] * len(votes)  # an empty table has no pattern
     odds = F.lit(math.log(prior / (1 - prior)))
     for v, (good, bad) in zip(votes.values(), weights(accuracy), strict=True):
         odds = odds + F.when(v > 0, good).when(v < 0, bad).otherwise(0.0)
@@ -133,7 +134,9 @@ def filter_quality(docs: DataFrame, text: str = "text") -> DataFrame:
 
     The row number keeps the optimizer from moving the filter below the measures, which would compute them again and again.
     """
-    return judged(docs, text).where("_q_kept AND _q_row >= 0").select(*docs.columns)
+    whole = docs.select(F.struct(*docs.columns).alias("_row"))  # so no column of docs can clash with a measure
+    measured = decided(measures(whole, f"_row.{text}"), measures(docs.select(text), text))
+    return measured.where("_q_kept AND _q_row >= 0").select("_row.*")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,11 +60,13 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, id: str = "doc_id"
         own = encoder(tokenizer)
         for whole in batches:
             for b in text_batches(whole, 1):
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own.count(b.column(1).to_pylist()), pa.int64())], names=["digest", "n_tokens"])
+                texts = dict(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))  # rows that repeat id and text
+                yield pa.RecordBatch.from_arrays([pa.array(list(texts), pa.binary()), pa.array(own.count(list(texts.values())), pa.int64())], names=["digest", "n_tokens"])
 
-    # Of the texts with one digest, the one with the least id; ids that repeat are settled by the grouping after it.
+    # Of the texts with one digest, the one with the least id.
     chosen = docs.withColumn("_id", F.coalesce("_id", F.lit(-(2**63)))).join(misses.hint("shuffle_hash"), ["_id", "digest"], "left_semi")
     counted = chosen.select("digest", "_text").mapInArrow(run, "digest binary, n_tokens long")
+    counted = counted.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     counted.select(F.lit(tokenizer_digest).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache)
     counts = groups.select("digest", "_n").join(cached(spark, cache, tokenizer_digest), "digest")
     return join_by_count(keyed, counts, "digest", "_n").select(F.col("_id").alias(id), "n_bytes", "n_tokens")
