@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextlib import suppress
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,9 +23,14 @@ _clear: list[Callable[[], None]] = []
 
 def sole_cache(clear: Callable[[], None]) -> None:
     """Called by an operator's code in a Python worker before it fills a cache: what others have cached there goes first."""
+    if _clear == [clear]:
+        return
     for other in _clear:
-        if other is not clear:
-            other()
+        other()
+    if _clear:
+        gc.collect()
+        with suppress(OSError, AttributeError):  # the C library keeps what was freed, unless it is told to give it back
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
     _clear[:] = [clear]
 
 
