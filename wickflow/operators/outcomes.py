@@ -54,7 +54,7 @@ def wilson(s: Column, n: Column, z: float = Z95) -> tuple[Column, Column]:
     scale = 1 + F.try_divide(F.lit(z * z), n)
     middle = (p + F.try_divide(F.lit(z * z), 2 * n)) / scale
     half = F.lit(z) * F.sqrt(F.try_divide(p * (1 - p), n) + F.try_divide(F.lit(z * z), 4 * n * n)) / scale
-    return F.greatest(F.lit(0.0), middle - half), F.least(F.lit(1.0), middle + half)
+    return F.when(n > 0, F.greatest(F.lit(0.0), middle - half)), F.when(n > 0, F.least(F.lit(1.0), middle + half))
 
 
 def summarize(outcomes: DataFrame, *by: str) -> DataFrame:

@@ -21,7 +21,7 @@ RELATED = {
 
 def parsed(story: Column) -> Column:
     """The tokens of 'A -> B'; empty for null."""
-    return F.coalesce(F.filter(F.transform(F.split(story, "->"), F.trim), lambda x: x != ""), F.array().cast("array<string>"))
+    return F.coalesce(F.filter(F.transform(F.split(story, "->"), lambda x: F.trim(x)), lambda x: x != ""), F.array().cast("array<string>"))
 
 
 def without_repeats(tokens: Column) -> Column:
@@ -38,7 +38,7 @@ def family(token: Column) -> Column:
 
 
 def families(tokens: Column) -> Column:
-    return without_repeats(F.transform(tokens, family))
+    return without_repeats(F.transform(tokens, lambda x: family(x)))
 
 
 def phases(n: int) -> Column:

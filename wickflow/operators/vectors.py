@@ -32,6 +32,7 @@ def similarities(a: Column, b: Column) -> dict[str, Column]:
 
 def dtw(a: np.ndarray, b: np.ndarray) -> float:
     """Dynamic time warping by absolute difference; a row of the table is one running minimum over the row above."""
+    b = np.asarray(b, float)
     row = np.full(len(b) + 1, np.inf)
     row[0] = 0.0
     for x in a:

@@ -7,18 +7,18 @@ from pyspark.sql import functions as F
 
 from ..sources.candles import COLUMNS, upsert
 
-#: The fields of a kline message.
-MESSAGE = "k struct<t:long,T:long,s:string,i:string,o:string,h:string,l:string,c:string,v:string,q:string,n:long,x:boolean>"
+#: The fields of a kline message, and the columns that they fill. Some differ by case alone, so they are read by path.
+FIELDS = {
+    "open_time": ("t", "long"), "close_time": ("T", "long"), "open": ("o", "double"), "high": ("h", "double"), "low": ("l", "double"), "close": ("c", "double"),
+    "volume": ("v", "double"), "quote_volume": ("q", "double"), "trades": ("n", "long"),
+}
 
 
 def closed_candles(messages: DataFrame, column: str = "value") -> DataFrame:
     """Candles of JSON kline messages that are closed; malformed and open ones are left out."""
-    k = messages.select(F.from_json(F.col(column).cast("string"), MESSAGE).alias("_")).select("_.k.*").where("x")
-    price = lambda c: F.col(c).cast("double")
-    return k.select(
-        F.upper("s").alias("symbol"), F.col("i").alias("timeframe"), F.col("t").alias("open_time"), F.col("T").alias("close_time"), price("o").alias("open"), price("h").alias("high"), price("l").alias("low"),
-        price("c").alias("close"), price("v").alias("volume"), price("q").alias("quote_volume"), F.col("n").alias("trades"), F.lit(1).alias("is_closed"),
-    ).select(*COLUMNS)
+    field = lambda name: F.get_json_object(F.col(column).cast("string"), f"$.k.{name}")
+    columns = {c: field(name).cast(kind) for c, (name, kind) in FIELDS.items()} | {"symbol": F.upper(field("s")), "timeframe": field("i"), "is_closed": F.lit(1)}
+    return messages.where(field("x") == "true").select(*(v.alias(c) for c, v in columns.items())).select(*COLUMNS)
 
 
 def merge_into(path: str):
