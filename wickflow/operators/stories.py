@@ -165,3 +165,18 @@ def _normal(a: list[str], b: list[str]) -> float:
 
 def _jaccard(a: set, b: set) -> float:
     return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def explained(story: Column) -> Column:
+    """Up to three sentences on a story, by what it contains."""
+    rules = [
+        ("BULLISH", "it opens with buyers"), ("BEARISH", "it opens with sellers"), ("RANGE_EXPANSION", "ranges grow"), ("RANGE_COMPRESSION", "ranges shrink"), ("REJECTION", "a level is rejected"), ("DIRECTION", "direction turns"),
+    ]
+    return F.array_join(F.slice(F.array_compact(F.array(*(F.when(story.contains(k), F.lit(v)) for k, v in rules))), 1, 3), "; ")
+
+
+def archetype_summary(clustered: DataFrame, by: str) -> DataFrame:
+    """Size, share, mean distance and leader's story of each cluster; the leader is the first member."""
+    whole = Window.partitionBy(by)
+    out = clustered.groupBy(by, "cluster").agg(F.count("*").alias("members"), F.avg("distance").alias("mean_distance"), F.min_by("story", "end").alias("leader_story"), F.avg(F.size(F.split("story", " -> "))).alias("mean_phases"))
+    return out.withColumn("share_pct", F.col("members") * 100.0 / F.sum("members").over(whole))

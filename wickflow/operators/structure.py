@@ -110,3 +110,11 @@ def match_structures(pivots: DataFrame, targets: DataFrame, n: int = 8, top_k: i
     )
     rank = Window.partitionBy(*SERIES, "target").orderBy(F.desc(F.round("similarity", 9)), "candidate_end_index")
     return scored.where(F.col("similarity") >= least).withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= top_k)
+
+
+def signatures(pivots: DataFrame, n: int = 8) -> DataFrame:
+    """The last n pivots of each series as JSON, oldest first."""
+    last = Window.partitionBy(*SERIES).orderBy(F.desc("position"))
+    kept = pivots.withColumn("_n", F.row_number().over(last)).where(F.col("_n") <= n)
+    rows = F.array_sort(F.collect_list(F.struct("position", "index", "pivot_type", "price")))
+    return kept.groupBy(*SERIES).agg(F.to_json(rows).alias("signature"))

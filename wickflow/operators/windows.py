@@ -183,3 +183,29 @@ def block_paths(blocked: DataFrame) -> DataFrame:
     path = lambda i: F.array_join(F.transform(rows, lambda x: F.split_part(x["label"], F.lit("/"), F.lit(i))), " -> ")
     names = ["direction_path", "range_path", "wick_path", "alternation_path", "body_path", "close_path"]
     return blocked.groupBy(*KEYS).agg(*(path(i).alias(x) for i, x in enumerate(names, 1)))
+
+
+def around(candles: DataFrame, centres: DataFrame, radius: int) -> DataFrame:
+    """The candles within radius of each centre (series, centre), with offset and the close's way from the centre's in percent.
+
+    A centre is laid into the 2 radius + 1 places around it, so the join is an equi-join.
+    """
+    at = centres.withColumn("offset", F.explode(F.sequence(F.lit(-radius), F.lit(radius)))).withColumn("idx", F.col("centre") + F.col("offset"))
+    base = candles.select(*SERIES, F.col("idx").alias("centre"), F.col("close").alias("_base"))
+    return at.join(candles, [*SERIES, "idx"]).join(base, [*SERIES, "centre"]).withColumn("close_path_pct", (F.try_divide(F.col("close"), F.col("_base")) - 1) * 100).drop("_base")
+
+
+def tag_matrix(tagged: DataFrame, tags: list[str], n: int = 20) -> DataFrame:
+    """One column for each tag: whether the candles of each series' last window have it."""
+    w = laid_out(tagged, n).where("end = last")
+    return w.select(*KEYS, "off", *(F.array_contains(F.split("tags", r"\|"), t).cast("int").alias(t.lower()) for t in tags))
+
+
+def by_quartiles(rows: DataFrame, columns: list[str], is_query: Column, by: list[str] = SERIES) -> DataFrame:
+    """rows other than the group's query with similarity 1 / (1 + root mean square difference), each column by its group's quartile range."""
+    q = rows.groupBy(*by).agg(*(F.percentile(c, F.lit([0.25, 0.75])).alias(f"_q_{c}") for c in columns))
+    now = rows.where(is_query).select(*by, *(F.col(c).alias(f"_c_{c}") for c in columns))
+    both = rows.where(~is_query).join(q, by).join(now, by)
+    scale = lambda c: F.greatest(F.col(f"_q_{c}")[1] - F.col(f"_q_{c}")[0], F.lit(1e-9))
+    far = F.sqrt(sum((F.pow((F.col(c) - F.col(f"_c_{c}")) / scale(c), 2) for c in columns), F.lit(0.0)) / len(columns))
+    return both.withColumn("similarity", 1 / (1 + far)).drop(*(f"_{k}_{c}" for k in "qc" for c in columns))

@@ -567,3 +567,106 @@ def vector_similarity_topk(spark, sf_dir):
 def ensemble_search(spark, sf_dir):
     v, q = embedded(spark, sf_dir)
     return vc.search(v, q)
+
+
+# ------------------------------------------------------------------ more views of the above
+
+
+@query(build("SELECT symbol, position, offset_, idx, round(path, 6) + 0.0 AS close_path_pct FROM (SELECT p.symbol, p.position, c.idx - p.index AS offset_, c.idx, (c.close / nullif(b.close, 0) - 1) * 100 AS path FROM pivots p JOIN c_1h c ON c.symbol = p.symbol AND c.idx BETWEEN p.index - 8 AND p.index + 8 JOIN c_1h b ON b.symbol = p.symbol AND b.idx = p.index WHERE p.position % 10 = 0)").replace("offset_", "place"))
+def pivot_microscope(spark, sf_dir):
+    """The candles around every tenth pivot."""
+    centres = st.structure(turns(spark, sf_dir)).where("position % 10 = 0").select(*src.SERIES, "position", F.col("index").alias("centre"))
+    out = wd.around(src.series(spark, sf_dir), centres, 8)
+    return out.select("symbol", "position", F.col("offset").alias("place"), "idx", "close_path_pct")
+
+
+@query(build(f"SELECT p.symbol, p.index, p.pivot_type, {r('f.body_pct', 'f.range_ratio', 'f.close_location').replace('AS f.', 'AS ')} FROM pivots p JOIN f_1h f ON f.symbol = p.symbol AND f.idx = p.index"))
+def pivot_anatomy(spark, sf_dir):
+    pivots = st.structure(turns(spark, sf_dir)).select(*src.SERIES, F.col("index").alias("idx"), "pivot_type")
+    return pivots.join(featured(spark, sf_dir), [*src.SERIES, "idx"]).select("symbol", F.col("idx").alias("index"), "pivot_type", "body_pct", "range_ratio", "close_location")
+
+
+@query()
+def structure_signatures(spark, sf_dir):
+    return st.signatures(st.structure(turns(spark, sf_dir)))
+
+
+TAGS = ["BULLISH", "BEARISH", "DOJI", "SMALL_BODY", "LARGE_BODY", "COMPRESSION", "EXPANSION", "UPPER_REJECTION", "LOWER_REJECTION"]
+
+
+@query(build("SELECT symbol, off, (direction > 0)::BIGINT AS bullish, (direction < 0)::BIGINT AS bearish, (direction = 0)::BIGINT AS doji, (body_pct < 0.25)::BIGINT AS small_body, (body_pct >= 0.6)::BIGINT AS large_body, (rr < 0.75)::BIGINT AS compression, (rr > 1.25)::BIGINT AS expansion, (upper_wick_pct >= 0.35)::BIGINT AS upper_rejection, (lower_wick_pct >= 0.35)::BIGINT AS lower_rejection FROM w_1h WHERE wend = last"))
+def state_matrix(spark, sf_dir):
+    return wd.tag_matrix(ft.tags(featured(spark, sf_dir)), TAGS).drop("timeframe", "end")
+
+
+PHASE = "SELECT symbol, wend, CASE WHEN off < 10 THEN 'first' ELSE 'second' END AS phase, avg(body_pct) AS body, avg(rr) AS range_level, avg((direction > 0)::DOUBLE) AS bullish, avg((lower_wick_pct > 1.5 * upper_wick_pct AND lower_wick_pct > body_pct)::DOUBLE) AS lower_rejection FROM w_1h WHERE wend = last GROUP BY ALL"
+
+
+@query(build(f"SELECT symbol, phase, {r('body', 'range_level', 'bullish', 'lower_rejection')} FROM ph", ph=PHASE))
+def phase_summary(spark, sf_dir):
+    w = wd.laid_out(featured(spark, sf_dir), 20).where("end = last")
+    rejected = (F.col("lower_wick_pct") > 1.5 * F.col("upper_wick_pct")) & (F.col("lower_wick_pct") > F.col("body_pct"))
+    return w.groupBy("symbol", F.when(F.col("off") < 10, "first").otherwise("second").alias("phase")).agg(F.avg("body_pct").alias("body"), F.avg(F.col("range_ratio") * 5).alias("range_level"), F.avg((F.col("direction") > 0).cast("double")).alias("bullish"), F.avg(rejected.cast("double")).alias("lower_rejection"))
+
+
+SCREEN = ["direction_first", "direction_second", "range_first", "range_second", "body_first", "body_second", "close_first", "close_second"]
+
+
+@query(build("SELECT symbol, wend AS window_end, rank, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY round(similarity, 9) DESC, wend) AS rank FROM (SELECT d.symbol, d.wend, 1 / (1 + sqrt((" + " + ".join(f"pow((d.{x} - n.{x}) / greatest(q.q_{x}[2] - q.q_{x}[1], 1e-9), 2)" for x in SCREEN) + f") / {len(SCREEN)})) AS similarity FROM d_1h d JOIN d_1h n ON n.symbol = d.symbol AND n.wend = n.last JOIN qs q ON q.symbol = d.symbol WHERE d.wend <> d.last)) WHERE rank <= 25", qs="SELECT symbol, " + ", ".join(f"quantile_cont({x}, [0.25, 0.75]) AS q_{x}" for x in SCREEN) + " FROM d_1h GROUP BY symbol"))
+def screened_windows(spark, sf_dir):
+    """Windows most like the last one by quartile-scaled half means."""
+    d = wd.described(featured(spark, sf_dir)).select(*wd.KEYS, "last", *SCREEN)
+    return wd.top(wd.by_quartiles(d, SCREEN, F.col("end") == F.col("last")), 25).select("symbol", F.col("end").alias("window_end"), "rank", "similarity")
+
+
+@query()
+def level_ranking(spark, sf_dir):
+    """Windows most like the last one by what happened at levels."""
+    rows = level_windows(spark, sf_dir).withColumn("_last", F.max("end").over(wd.Window.partitionBy(*src.SERIES)))
+    return wd.top(wd.by_quartiles(rows, lv.COUNTS, F.col("end") == F.col("_last")), 25).select("symbol", "end", "rank", "similarity")
+
+
+@query(build(f"SELECT symbol, close_ts, {r('combined')}, rank FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY round(combined, 9) DESC, close_ts) AS rank FROM (SELECT a.symbol, a.close_ts, (a.s + b.s) / 2 AS combined FROM mh a JOIN mf b USING (symbol, close_ts))) WHERE rank <= 10", **{
+    f"m{k}": f"SELECT d.symbol, c.open_time + {src.STEPS[tf]} AS close_ts, 1 / (1 + sqrt((" + " + ".join(f"pow(d.{x} - n.{x}, 2)" for x in SCREEN) + f") / {len(SCREEN)})) AS s FROM d_{tf} d JOIN d_{tf} n ON n.symbol = d.symbol AND n.wend = n.last JOIN c_{tf} c ON c.symbol = d.symbol AND c.idx = d.wend WHERE d.wend <> d.last" for k, tf in (("h", "1h"), ("f", "4h"))}))
+def mtf_history(spark, sf_dir):
+    """Times at which 1h and 4h windows that close together were most like the current ones."""
+    frames = []
+    for tf in ("1h", "4h"):
+        d = described_tf(spark, sf_dir, tf).select(*wd.KEYS, "last", *SCREEN)
+        now = d.where("end = last").select("symbol", *(F.col(c).alias(f"_{c}") for c in SCREEN))
+        far = F.sqrt(sum((F.pow(F.col(c) - F.col(f"_{c}"), 2) for c in SCREEN), F.lit(0.0)) / len(SCREEN))
+        like = mt.with_close(d.where("end <> last").join(now, "symbol").withColumn(f"s_{tf}", 1 / (1 + far)), src.series(spark, sf_dir, tf), tf)
+        frames.append(like.select("symbol", "close_ts", f"s_{tf}"))
+    both = mt.exact(frames, ["symbol", "close_ts"]).withColumn("combined", (F.col("s_1h") + F.col("s_4h")) / 2)
+    return wd.top(both, 10, ["symbol"], "combined", "close_ts").select("symbol", "close_ts", "combined", "rank")
+
+
+RM = """SELECT a.symbol, a.position AS event, b.position AS earlier, row_number() OVER (PARTITION BY a.symbol, a.position ORDER BY round(exp(-sqrt((pow(a.swing_pct - b.swing_pct, 2) + pow(a.leg_pct - b.leg_pct, 2)) / 2) / 1000), 9) DESC, b.position) AS rank,
+  exp(-sqrt((pow(a.swing_pct - b.swing_pct, 2) + pow(a.leg_pct - b.leg_pct, 2)) / 2) / 1000) AS similarity FROM pivots a JOIN pivots b ON b.symbol = a.symbol AND b.direction = a.direction AND b.confirmation_index <= a.confirmation_index - 5 WHERE a.swing_pct IS NOT NULL AND b.swing_pct IS NOT NULL AND a.position % 20 = 0"""
+
+
+@query(build(f"SELECT symbol, event, earlier, rank, {r('similarity')} FROM rm WHERE rank <= 10", rm=RM))
+def reversal_matches(spark, sf_dir):
+    """For every twentieth reversal the earlier ones of its direction that are most like it, at least five candles apart."""
+    p = st.structure(turns(spark, sf_dir)).where("swing_pct IS NOT NULL").select(*src.SERIES, "direction", "position", "confirmation_index", "swing_pct", "leg_pct")
+    a = p.where("position % 20 = 0").select(*src.SERIES, "direction", F.col("position").alias("event"), *(F.col(c).alias(f"_{c}") for c in ("confirmation_index", "swing_pct", "leg_pct")))
+    both = a.join(p, [*src.SERIES, "direction"]).where("confirmation_index <= _confirmation_index - 5")
+    far = F.sqrt((F.pow(F.col("swing_pct") - F.col("_swing_pct"), 2) + F.pow(F.col("leg_pct") - F.col("_leg_pct"), 2)) / 2) / 1000
+    return wd.top(both.withColumn("similarity", F.exp(-far)), 10, ["symbol", "event"], "similarity", "position").select("symbol", "event", F.col("position").alias("earlier"), "rank", "similarity")
+
+
+@query(build("SELECT from_token, to_token, string_agg(DISTINCT grp::VARCHAR, ',' ORDER BY grp::VARCHAR) AS groups FROM tr GROUP BY ALL HAVING count(DISTINCT grp) >= 2", **TOLD))
+def common_transitions(spark, sf_dir):
+    """Transitions that several groups have, with the groups."""
+    t = sr.transitions(user_stories(spark, sf_dir)).select("from_token", "to_token", F.col("grp").cast("string").alias("grp")).distinct()
+    return t.groupBy("from_token", "to_token").agg(F.array_sort(F.collect_list("grp")).alias("g")).where(F.size("g") >= 2).select("from_token", "to_token", F.array_join("g", ",").alias("groups"))
+
+
+@query()
+def archetype_summary(spark, sf_dir):
+    return sr.archetype_summary(story_archetypes(spark, sf_dir), "symbol")
+
+
+@query()
+def story_explanations(spark, sf_dir):
+    return story_tokens(spark, sf_dir).withColumn("explained", sr.explained(F.col("story")))
