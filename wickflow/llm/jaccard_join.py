@@ -295,17 +295,29 @@ def contracted(near: DataFrame) -> DataFrame:
 
 
 def least_reachable(links: DataFrame) -> DataFrame:
-    """id and label (the least id reachable) of each id in links (a, b), by passing labels on and jumping along them."""
-    links = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "links")
-    labels = written(links.groupBy(F.col("a").alias("id")).agg(F.least("id", F.min("b")).alias("label")), "labels")
-    while True:
-        near = links.join(labels.select(F.col("id").alias("b"), F.col("label").alias("_near")), "b").groupBy(F.col("a").alias("id")).agg(F.min("_near").alias("_near"))
-        new = labels.join(near, "id").select("id", F.col("label").alias("_old"), F.least("label", "_near").alias("label"))
-        ahead = labels.select(F.col("id").alias("label"), F.col("label").alias("_ahead"))
-        new = written(new.join(ahead, "label", "left").select("id", "_old", F.coalesce("_ahead", "label").alias("label")), "labels")
-        if not new.where("_old <> label").limit(1).count():
-            return labels
-        labels = new.drop("_old")
+    """id and label (the least id reachable) of each id in links (a, b).
+
+    Each round every id points to its least neighbour, pointers are followed twice, and what points to one id becomes one:
+    the links that are left lie between different ids, and are few after a round. Labels are put together backwards.
+    """
+    ordered = lambda d, x, y: d.select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).where("a <> b").groupBy("a", "b").count().drop("count")
+    ahead = lambda d: d.select(F.col("id").alias("label"), F.col("label").alias("_ahead"))
+    followed = lambda d, to: written(d.join(ahead(to), "label", "left").select("id", F.coalesce("_ahead", "label").alias("label")), "labels")
+    edges, levels = written(ordered(links, "a", "b"), "links"), []
+    while edges.limit(1).count():
+        both = edges.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("id"), F.col("a").alias("other")))
+        own = written(both.groupBy("id").agg(F.least("id", F.min("other")).alias("label")), "labels")
+        own = followed(own, own)
+        own = followed(own, own)
+        levels.append(own)
+        edges = edges.join(own.select(F.col("id").alias("a"), F.col("label").alias("_a")), "a").join(own.select(F.col("id").alias("b"), F.col("label").alias("_b")), "b")
+        edges = written(ordered(edges, "_a", "_b"), "links")
+    if not levels:
+        return links.sparkSession.createDataFrame([], "id long, label long")
+    labels = levels.pop()
+    while levels:
+        labels = followed(levels.pop(), labels)
+    return labels
 
 
 UNIT = "id long, label long"
