@@ -17,8 +17,8 @@ def nearest(centres: Column, v: Column) -> Column:
 def kmeans(points: DataFrame, k: int = 8, rounds: int = 25) -> DataFrame:
     """points (series, end, v) with cluster and distance, by Lloyd's rounds from evenly spaced points of each series.
 
-    The centres of a series are k short arrays, so they travel with an equi-join on the series while the points stay
-    where they are; each round is one aggregate. It ends when no point of any series moves.
+    The centres of a series are k short arrays in one row; that table is joined on the series, by broadcast if Spark finds
+    it small enough. Each round is one aggregate. It ends when no centre of any series moves.
     """
     w, whole = Window.partitionBy(*SERIES).orderBy("end"), Window.partitionBy(*SERIES)
     ranked = points.withColumns({"_i": F.row_number().over(w) - 1, "_n": F.count("*").over(whole)})
@@ -27,7 +27,7 @@ def kmeans(points: DataFrame, k: int = 8, rounds: int = 25) -> DataFrame:
     before = None
     for _ in range(rounds):
         centres = centres.checkpoint() if centres.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else centres.cache()
-        at = points.join(F.broadcast(centres), SERIES).withColumn("_", nearest(F.col("centres"), F.col("v")))
+        at = points.join(centres, SERIES).withColumn("_", nearest(F.col("centres"), F.col("v")))
         place = F.posexplode("v")
         sums = at.select(*SERIES, F.col("_.cluster").alias("cluster"), place.alias("pos", "x")).groupBy(*SERIES, "cluster", "pos").agg(F.avg("x").alias("x"))
         new = sums.groupBy(*SERIES, "cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("_v"))
@@ -37,7 +37,7 @@ def kmeans(points: DataFrame, k: int = 8, rounds: int = 25) -> DataFrame:
         if now == before:
             break
         before = now
-    out = points.join(F.broadcast(centres), SERIES).withColumn("_", nearest(F.col("centres"), F.col("v")))
+    out = points.join(centres, SERIES).withColumn("_", nearest(F.col("centres"), F.col("v")))
     return out.select(*points.columns, F.col("_.cluster").alias("cluster"), F.col("_.distance").alias("distance"))
 
 
