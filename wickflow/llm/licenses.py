@@ -118,7 +118,7 @@ def spans(data: bytes, phrases: dict[str, str], notices: dict[str, str]) -> tupl
 
 def scan(docs: DataFrame, id: str = "doc_id", text: str = "text", phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES) -> DataFrame:
     """A row for each row of docs: id, n_words, spans."""
-    schema = pa.schema([("id", pa.from_numpy_dtype("int64")), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("label", pa.string()), ("exact", pa.bool_()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("begin", pa.int64()), ("end", pa.int64()), ("edits", pa.int32()), ("likeness", pa.float64())])))])
+    schema = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("label", pa.string()), ("exact", pa.bool_()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("begin", pa.int64()), ("end", pa.int64()), ("edits", pa.int32()), ("likeness", pa.float64())])))])
 
     def run(batches):
         for batch in batches:
