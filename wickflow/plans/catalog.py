@@ -418,9 +418,10 @@ def price_levels_v1(spark, sf_dir):
     return lv.prior_levels(featured(spark, sf_dir)).select("symbol", "off", "source", "level_type", "event", "level")
 
 
-def level_windows(spark, sf_dir) -> DataFrame:
-    """Levels of the windows that end every fifth candle."""
-    return lv.level_rows(lv.last_windows(src.series(spark, sf_dir), every=5))
+def level_windows(spark, sf_dir, keys: DataFrame | None = None) -> DataFrame:
+    """Levels of every window, or of those in keys."""
+    windows = lv.last_windows(src.series(spark, sf_dir))
+    return lv.level_rows(windows if keys is None else windows.join(keys, wd.KEYS, "left_semi"))
 
 
 @query()
@@ -433,10 +434,10 @@ def level_events(spark, sf_dir):
     return level_windows(spark, sf_dir).select("symbol", "end", F.inline("events"))
 
 
-def stories(spark, sf_dir) -> DataFrame:
-    """Phases of a window, then the tokens of its level events."""
+def stories(spark, sf_dir, keys: DataFrame | None = None) -> DataFrame:
+    """Phases of a window, then the tokens of its level events; of every window, or of those in keys."""
     phases = wd.described(featured(spark, sf_dir)).select(*wd.KEYS, "last", sr.phases(20).alias("phases"))
-    both = level_windows(spark, sf_dir).select(*wd.KEYS, "level_tokens").join(phases, wd.KEYS)
+    both = level_windows(spark, sf_dir, keys).select(*wd.KEYS, "level_tokens").join(phases, wd.KEYS)
     return both.select(*wd.KEYS, "last", sr.without_repeats(F.concat("phases", "level_tokens")).alias("tokens"))
 
 
@@ -453,7 +454,7 @@ def story_matches(spark, sf_dir):
     now = d.where("end = last").select(*src.SERIES, *(F.col(c).alias(f"_{c}") for c in cols))
     near = d.where("end <> last").join(now, src.SERIES).withColumn("feature_similarity", 1 / (1 + F.sqrt(sum((F.pow(F.col(c) - F.col(f"_{c}"), 2) for c in cols), F.lit(0.0)) / len(cols))))
     pool = wd.top(near, 100, score="feature_similarity").select(*wd.KEYS, "feature_similarity")
-    told = stories(spark, sf_dir)
+    told = stories(spark, sf_dir, pool.select(*wd.KEYS).unionByName(d.where("end = last").select(*wd.KEYS)))
     own = told.where("end = last").select(*src.SERIES, F.col("tokens").alias("own"))
     both = pool.join(told, wd.KEYS).join(own, src.SERIES).withColumn("sequence_similarity", sr.story_similarity("own", "tokens"))
     both = both.withColumn("similarity", 0.75 * F.col("sequence_similarity") + 0.25 * F.col("feature_similarity"))
@@ -621,8 +622,9 @@ def screened_windows(spark, sf_dir):
 
 @query()
 def level_ranking(spark, sf_dir):
-    """Windows most like the last one by what happened at levels."""
+    """Windows before the last one, which they don't overlap, most like it by what happened at levels."""
     rows = level_windows(spark, sf_dir).withColumn("_last", F.max("end").over(wd.Window.partitionBy(*src.SERIES)))
+    rows = rows.where("end = _last OR end <= _last - 20")
     return wd.top(wd.by_quartiles(rows, lv.COUNTS, F.col("end") == F.col("_last")), 25).select("symbol", "end", "rank", "similarity")
 
 
