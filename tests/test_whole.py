@@ -1,5 +1,7 @@
 """Queries that must cover all of their rows, none skipped by a stride, a filter or a pool."""
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from wickflow.plans import catalog
@@ -39,3 +41,23 @@ def test_level_ranking_is_of_every_earlier_window(spark, sf):
         last[symbol] = max(end, last.get(symbol, 0))
     far = got.symbol.map(last) - got.end
     assert (far >= 20).all() and (far % 5).any() and (got.groupby("symbol").size() == 25).all()
+
+
+def test_every_reversal_is_matched_by_its_20_candles(spark, sf):
+    """Against a loop over all pairs of reversals."""
+    f = catalog.featured(spark, sf).toPandas().sort_values(["symbol", "idx"])
+    turned = catalog.st.structure(catalog.turns(spark, sf)).toPandas().sort_values(["symbol", "position"])
+    want = []
+    for symbol, own in turned.groupby("symbol"):
+        x, found = f[f.symbol == symbol][catalog.wd.FEATURES].to_numpy(float), []
+        for t in own.itertuples():
+            if 19 <= t.confirmation_index < len(x) - 1:
+                w = x[t.confirmation_index - 19 : t.confirmation_index + 1]
+                far = w - np.median(w, axis=0)
+                scale = np.median(abs(far), axis=0) * 1.4826
+                v = far / np.where(scale < 1e-6, 1.0, scale)
+                near = [(-round(float(np.exp(-np.sqrt(np.mean((v - u) ** 2)))), 9), p) for p, d, c, u in found if d == t.direction and t.confirmation_index - c >= 5]
+                want += [(symbol, t.position, p, i, -s) for i, (s, p) in enumerate(sorted(near)[:10], 1)]
+                found.append((t.position, t.direction, t.confirmation_index, v))
+    got = catalog.QUERIES["reversal_matches"](spark, sf).toPandas().sort_values(["symbol", "event", "rank"], ignore_index=True)
+    pd.testing.assert_frame_equal(got, pd.DataFrame(want, columns=["symbol", "event", "earlier", "rank", "similarity"]), check_dtype=False, atol=2e-6)

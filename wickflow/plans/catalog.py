@@ -649,12 +649,18 @@ RM = """SELECT a.symbol, a.position AS event, b.position AS earlier, row_number(
 
 @query(build(f"SELECT symbol, event, earlier, rank, {r('similarity')} FROM rm WHERE rank <= 10", rm=RM))
 def reversal_matches(spark, sf_dir):
-    """For every twentieth reversal the earlier ones of its direction that are most like it, at least five candles apart."""
-    p = st.structure(turns(spark, sf_dir)).where("swing_pct IS NOT NULL").select(*src.SERIES, "direction", "position", "confirmation_index", "swing_pct", "leg_pct")
-    a = p.where("position % 20 = 0").select(*src.SERIES, "direction", F.col("position").alias("event"), *(F.col(c).alias(f"_{c}") for c in ("confirmation_index", "swing_pct", "leg_pct")))
-    both = a.join(p, [*src.SERIES, "direction"]).where("confirmation_index <= _confirmation_index - 5")
-    far = F.sqrt((F.pow(F.col("swing_pct") - F.col("_swing_pct"), 2) + F.pow(F.col("leg_pct") - F.col("_leg_pct"), 2)) / 2) / 1000
-    return wd.top(both.withColumn("similarity", F.exp(-far)), 10, ["symbol", "event"], "similarity", "position").select("symbol", "event", F.col("position").alias("earlier"), "rank", "similarity")
+    """For every reversal the earlier ones of its direction whose 20 candles up to confirmation are most like its own, at least five candles apart.
+
+    Like the reference's events, a reversal has 20 candles up to its confirmation and one after it.
+    """
+    events = st.structure(turns(spark, sf_dir)).select(*src.SERIES, F.col("confirmation_index").alias("end"), F.col("direction").alias("turn"), "position")
+    bars = wd.laid_out(featured(spark, sf_dir), 20).where("end < last").join(events.select(*wd.KEYS), wd.KEYS, "left_semi")
+    rows = F.array_sort(F.collect_list(F.struct("off", F.array(*wd.FEATURES).alias("x"))))
+    p = wd.standardized(bars, wd.FEATURES).groupBy(*wd.KEYS).agg(F.flatten(F.transform(rows, lambda r: r["x"])).alias("v")).join(events, wd.KEYS)
+    a = p.select(*src.SERIES, "turn", F.col("position").alias("event"), F.col("end").alias("_end"), F.col("v").alias("_v"))
+    both = a.join(p, [*src.SERIES, "turn"]).where("end <= _end - 5")
+    squares = F.aggregate(F.zip_with("v", "_v", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x)
+    return wd.top(both.withColumn("similarity", F.exp(-F.sqrt(squares / F.size("v")))), 10, ["symbol", "event"], "similarity", "position").select("symbol", "event", F.col("position").alias("earlier"), "rank", "similarity")
 
 
 @query(build("SELECT from_token, to_token, string_agg(DISTINCT grp::VARCHAR, ',' ORDER BY grp::VARCHAR) AS groups FROM tr GROUP BY ALL HAVING count(DISTINCT grp) >= 2", **TOLD))
