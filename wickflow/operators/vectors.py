@@ -52,17 +52,34 @@ def dtw_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([dtw(np.asarray(x, float), np.asarray(y, float)) for x, y in zip(a, b, strict=True)])
 
 
+@F.pandas_udf(T.DoubleType())
+def dtw_least(a: pd.Series, b: pd.Series) -> pd.Series:
+    """No more than dtw_distance: each value of either vector is warped to some value of the other, the nearest at best."""
+    out = []
+    for x, y in zip(a, b, strict=True):
+        far = np.abs(np.subtract.outer(np.asarray(x, float), np.asarray(y, float)))
+        out.append(max(far.min(0).sum(), far.min(1).sum()) if far.size else 0.0)
+    return pd.Series(out, dtype=float)
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, pool: int = 50, least: float = 0.0) -> DataFrame:
     """The k most similar vectors of each query's label: vectors (id, label, v), queries (query_id, label, q).
 
-    Expressions rank all of a label; only the pool of each query goes through time warping for the ensemble. queries is a
-    stated set and not a table that grows, so it is the side that is sent around.
+    Expressions rank all of a label, and the pool of each query goes through time warping for the ensemble. Of the others,
+    those go through it too whose score could reach the k-th of the pool, so the k found are those of all vectors. queries is
+    a stated set and not a table that grows, so it is the side that is sent around.
     """
     v = vectors.select("id", "label", zscored(F.col("v")).alias("v"))
     q = queries.select("query_id", "label", zscored(F.col("q")).alias("q"))
     both = v.join(q, "label").where("id <> query_id").select("*", *(x.alias(n) for n, x in similarities(F.col("v"), F.col("q")).items()))
     rank = lambda by: F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round(by, 9)), "id"))
     both = both.withColumn("_base", 0.30 * F.col("euclidean") + 0.25 * F.col("cosine") + 0.20 * F.col("correlation"))
-    near = both.withColumn("_r", rank("_base")).where(F.col("_r") <= pool)
-    near = near.withColumn("ensemble", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_base") + 0.25 / (1 + dtw_distance("v", "q") / F.sqrt(F.size("v"))))))
-    return near.where(F.col("ensemble") >= least).withColumn("rank", rank("ensemble")).where(F.col("rank") <= k).drop("v", "q", "_base", "_r")
+    warped = lambda distance: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_base") + 0.25 / (1 + distance / F.sqrt(F.size("v")))))
+    near = both.withColumn("_r", rank("_base")).where(F.col("_r") <= pool).drop("_r").withColumn("ensemble", warped(dtw_distance("v", "q")))
+    # A query's last place in the pool, and its k-th score there, if there are so many; scores are compared to nine places.
+    last = near.groupBy("query_id").agg(F.max(F.struct(-F.round("_base", 9), F.col("id"))).alias("_last"), F.get(F.sort_array(F.collect_list("ensemble"), asc=False), F.lit(k - 1)).alias("_kth"))
+    rest = both.join(last, "query_id").where(F.struct(-F.round("_base", 9), F.col("id")) > F.col("_last"))
+    reach = F.coalesce("_kth", F.lit(0.0)) - 2e-9
+    rest = rest.where(F.col("_base") + 0.25 >= reach).withColumn("_most", warped(dtw_least("v", "q"))).where(F.col("_most") >= reach).drop("_last", "_kth", "_most")
+    found = near.unionByName(rest.withColumn("ensemble", warped(dtw_distance("v", "q"))))
+    return found.where(F.col("ensemble") >= least).withColumn("rank", rank("ensemble")).where(F.col("rank") <= k).drop("v", "q", "_base")
