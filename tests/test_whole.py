@@ -1,5 +1,6 @@
 """Queries that must cover all of their rows, none skipped by a stride, a filter or a pool."""
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -80,3 +81,18 @@ def test_search_finds_the_best_of_all_vectors(spark, k, pool):
                 n = np.sqrt(len(v))
                 scores.append((-round(0.3 / (1 + np.linalg.norm(v - z[query]) / n) + 0.45 * cosine + 0.25 / (1 + vectors.dtw(v, z[query]) / n), 9), i))
         assert [r.id for r in sorted((r for r in got if r.query_id == query), key=lambda r: r["rank"])] == [i for _, i in sorted(scores)[:k]]
+
+
+FILTERS = {"pivot_microscope": " WHERE p.position % 10 = 0"} | {f"{x}_distribution": " WHERE wend % 10 = 9" for x in catalog.LABELLED if x != "regime"}
+
+
+@pytest.mark.parametrize("name", FILTERS)
+def test_no_pivot_or_window_is_skipped(spark, sf, name):
+    """Against the query's SQL without any filter of rows."""
+    with duckdb.connect() as db:
+        db.sql(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet'")
+        want = db.sql(catalog.ORACLE_SQL[name].replace(FILTERS[name], "")).df()
+    columns = sorted(want.columns)
+    got = catalog.QUERIES[name](spark, sf).toPandas()
+    tidy = lambda d: d[columns].sort_values(columns, ignore_index=True)
+    pd.testing.assert_frame_equal(tidy(got), tidy(want), check_dtype=False, atol=2e-6)

@@ -306,10 +306,12 @@ MINI = {  # SQL of the labels, thresholds in the same order
     "regime": "CASE WHEN abs(direction_first) >= 0.2 AND abs(direction_second) >= 0.15 AND direction_first * direction_second < 0 AND (direction_second - direction_first) * direction_first < 0 THEN 'TREND_TO_OPPOSITE_DIRECTION' WHEN abs(direction_first) <= 0.15 AND abs(direction_second) >= 0.2 AND scaled_range_second - scaled_range_first >= 0.15 THEN 'SIDEWAYS_TO_DIRECTIONAL_EXPANSION' WHEN abs(direction_first) >= 0.2 AND abs(direction_second) <= 0.15 AND scaled_range_second - scaled_range_first < 0.1 THEN 'DIRECTIONAL_TO_SIDEWAYS' WHEN scaled_range_second - scaled_range_first >= 0.25 AND abs(direction_second) >= abs(direction_first) + 0.1 THEN 'COMPRESSION_TO_EXPANSION' WHEN scaled_range_second - scaled_range_first <= -0.25 AND abs(direction_second) <= abs(direction_first) + 0.05 THEN 'EXPANSION_TO_COMPRESSION' WHEN abs(direction_first) <= 0.15 AND abs(direction_second) <= 0.15 AND alternation_second >= alternation_first + 0.1 THEN 'SIDEWAYS_ALTERNATION_INCREASE' WHEN abs(direction_first - direction_second) < 0.15 AND abs(scaled_range_second - scaled_range_first) < 0.15 THEN 'STABLE_REGIME' ELSE 'MIXED_TRANSITION' END",
     "transition_type": "CASE WHEN abs(direction_first) >= 0.2 AND abs(direction_second) >= 0.15 AND direction_first * direction_second < 0 THEN 'OPPOSITE_DIRECTION_SHIFT' WHEN abs(direction_first) <= 0.15 AND abs(direction_second) >= 0.2 AND scaled_range_second - scaled_range_first >= 0.15 THEN 'SIDEWAYS_TO_DIRECTIONAL' WHEN abs(direction_first) >= 0.2 AND abs(direction_second) <= 0.15 THEN 'DIRECTIONAL_TO_SIDEWAYS' WHEN scaled_range_second - scaled_range_first >= 0.25 THEN 'COMPRESSION_TO_EXPANSION' WHEN scaled_range_second - scaled_range_first <= -0.25 THEN 'EXPANSION_TO_COMPRESSION' WHEN abs(direction_first - direction_second) < 0.15 AND abs(scaled_range_second - scaled_range_first) < 0.15 THEN 'STABLE' ELSE 'MIXED' END",
 }
+#: Regimes, their neighbours and clusters are of windows that end every so many candles, as in the reference.
+REGIME_STEP = 10
 for _name, _label in LABELLED.items():
     query(build(f"SELECT symbol, wend AS window_end, {MINI[_name]} AS {_name} FROM d_1h"), f"window_{_name}")(lambda spark, sf_dir, n=_name, f=_label: wd.described(featured(spark, sf_dir)).select("symbol", F.col("end").alias("window_end"), f().alias(n)))
     query(build(f"SELECT *, round(windows * 100.0::DOUBLE / sum(windows) OVER (PARTITION BY symbol), 6) AS share_pct FROM (SELECT symbol, {MINI[_name]} AS {_name}, count(*) AS windows FROM d_1h WHERE wend % 10 = 9 GROUP BY ALL)"), f"{_name}_distribution")(
-        lambda spark, sf_dir, n=_name, f=_label: wd.described(featured(spark, sf_dir)).where("end % 10 = 9").groupBy("symbol", f().alias(n)).agg(F.count("*").alias("windows")).withColumn("share_pct", F.col("windows") * 100.0 / F.sum("windows").over(wd.Window.partitionBy("symbol")))
+        lambda spark, sf_dir, n=_name, f=_label: wd.described(featured(spark, sf_dir)).where(f"(end - 19) % {REGIME_STEP} = 0" if n == "regime" else "true").groupBy("symbol", f().alias(n)).agg(F.count("*").alias("windows")).withColumn("share_pct", F.col("windows") * 100.0 / F.sum("windows").over(wd.Window.partitionBy("symbol")))
     )
 
 BLOCK = "SELECT symbol, timeframe, wend, off, direction, rr, upper_wick_pct, lower_wick_pct, alternation, body_pct, close_location, ntile(5) OVER (PARTITION BY symbol ORDER BY off) AS block FROM w_1h WHERE wend = last"
@@ -336,7 +338,7 @@ def regime_knn(spark, sf_dir):
     d = wd.described(featured(spark, sf_dir)).withColumn("regime", wd.regime())
     z = wd.standardized(d.select(*wd.KEYS, "last", "regime", *cols), cols, src.SERIES)
     now = z.where("end = last").select(*src.SERIES, F.col("regime").alias("now"), *(F.col(c).alias(f"_{c}") for c in cols))
-    both = z.where("end <= last - 20 AND end % 10 = 9").join(now, src.SERIES).withColumn("_same", (F.col("regime") == F.col("now")).cast("int"))
+    both = z.where(f"end <= last - 20 AND (end - 19) % {REGIME_STEP} = 0").join(now, src.SERIES).withColumn("_same", (F.col("regime") == F.col("now")).cast("int"))
     enough = F.sum("_same").over(wd.Window.partitionBy(*src.SERIES)) >= 3
     both = both.withColumn("_enough", enough).where("NOT _enough OR _same = 1")
     distance = F.sqrt(sum((F.pow(F.col(c) - F.col(f"_{c}"), 2) for c in cols), F.lit(0.0)) / len(cols))
@@ -531,7 +533,7 @@ def story_alignment(spark, sf_dir):
 
 def clustered(spark, sf_dir) -> DataFrame:
     cols = ["direction_first", "direction_second", "scaled_range_first", "scaled_range_second", "alternation", "body", "close_location", "upper_rejection", "lower_rejection"]
-    points = wd.described(featured(spark, sf_dir)).where("end % 10 = 9 OR end = last").select(*wd.KEYS, F.array(*cols).alias("v"))
+    points = wd.described(featured(spark, sf_dir)).where(f"(end - 19) % {REGIME_STEP} = 0 OR end = last").select(*wd.KEYS, F.array(*cols).alias("v"))
     return cu.kmeans(points)
 
 
@@ -575,8 +577,8 @@ def ensemble_search(spark, sf_dir):
 
 @query(build("SELECT symbol, position, offset_, idx, round(path, 6) + 0.0 AS close_path_pct FROM (SELECT p.symbol, p.position, c.idx - p.index AS offset_, c.idx, (c.close / nullif(b.close, 0) - 1) * 100 AS path FROM pivots p JOIN c_1h c ON c.symbol = p.symbol AND c.idx BETWEEN p.index - 8 AND p.index + 8 JOIN c_1h b ON b.symbol = p.symbol AND b.idx = p.index WHERE p.position % 10 = 0)").replace("offset_", "place"))
 def pivot_microscope(spark, sf_dir):
-    """The candles around every tenth pivot."""
-    centres = st.structure(turns(spark, sf_dir)).where("position % 10 = 0").select(*src.SERIES, "position", F.col("index").alias("centre"))
+    """The candles around every pivot."""
+    centres = st.structure(turns(spark, sf_dir)).select(*src.SERIES, "position", F.col("index").alias("centre"))
     out = wd.around(src.series(spark, sf_dir), centres, 8)
     return out.select("symbol", "position", F.col("offset").alias("place"), "idx", "close_path_pct")
 
