@@ -83,6 +83,17 @@ def exact_places(text: str, phrases: dict[str, str]) -> list[tuple[str, int, int
     return found
 
 
+def matches(text: str, notice: str, begin: int, stop: int) -> list[regex.Match]:
+    """Places of a notice in text[begin:stop] that don't overlap: the best one, then those before and after it."""
+    found, parts, least = [], [(begin, stop)], len(notice) - edits(notice)
+    while parts:
+        begin, stop = parts.pop()
+        if stop - begin >= least and (m := pattern(notice).search(text, begin, stop)):
+            found.append(m)
+            parts += [(begin, m.start()), (m.end(), stop)]
+    return found
+
+
 def fuzzy_places(text: str, notices: dict[str, str]) -> list[tuple[str, int, int, int, float]]:
     """(label, begin, end, edits, likeness) of each place of a notice."""
     names, windows = tuple(notices), {}
@@ -99,7 +110,7 @@ def fuzzy_places(text: str, notices: dict[str, str]) -> list[tuple[str, int, int
     found = []
     for n, own in windows.items():
         for begin, stop in own:
-            for m in pattern(names[n]).finditer(text, begin, stop):
+            for m in matches(text, names[n], begin, stop):
                 e = sum(m.fuzzy_counts)
                 found.append((notices[names[n]], m.start(), m.end(), e, 1 - e / len(names[n])))
     return sorted(set(found))
