@@ -1,6 +1,6 @@
-"""Operators on documents must find all there is: places of notices."""
+"""Operators on documents must find all there is: places of notices, labelled rows to learn from."""
 
-from wickflow.llm import licenses
+from wickflow.llm import licenses, toxicity
 
 
 def test_edited_notice_before_a_better_one():
@@ -11,3 +11,16 @@ def test_edited_notice_before_a_better_one():
     ]:
         found = licenses.fuzzy_places(text, {notice: "mit"})
         assert [(a, b) for _, a, b, _, _ in found] == want and min(e for *_, e, _ in found) == 0
+
+
+def test_sample_is_of_the_labels_that_docs_have(spark, monkeypatch):
+    """docs is a small part of a large labels table, and has enough labelled rows of its own."""
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(0, 2000, 50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i // 50 % 2) for i in range(2000)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "SAMPLE", {1: 8, 0: 10})
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels: seen.append(labels))
+    monkeypatch.setattr(toxicity, "calibrate", lambda model, texts, labels, weights: seen.append(labels))
+    toxicity.learned(docs, labels)
+    found = sum(seen, [])
+    assert (found.count(1), found.count(0)) == (8, 10)
