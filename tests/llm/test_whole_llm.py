@@ -1,6 +1,6 @@
-"""Operators on documents must find all there is: places of notices, labelled rows to learn from."""
+"""Operators on documents must find all there is: places of notices, labelled rows to learn from, links."""
 
-from wickflow.llm import licenses, toxicity
+from wickflow.llm import jaccard_join, licenses, toxicity
 
 
 def test_edited_notice_before_a_better_one():
@@ -24,3 +24,11 @@ def test_sample_is_of_the_labels_that_docs_have(spark, monkeypatch):
     toxicity.learned(docs, labels)
     found = sum(seen, [])
     assert (found.count(1), found.count(0)) == (8, 10)
+
+
+def test_ids_that_repeat_with_other_texts_keep_their_links(spark):
+    a, t, u = (" ".join(f"{x}{i}" for i in range(60)) for x in "atu")
+    rows = [(3, a), (5, a), (5, t), (7, f"{t} more"), (9, ""), (9, u), (9, None), (10, f"{u} more"), (11, "alone in this table of texts")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.component_id) for r in jaccard_join.join_components(docs, 4, 85).collect()}
+    assert got == {(3, 3), (5, 3), (7, 3), (9, 9), (10, 9), (11, 11)}

@@ -343,10 +343,13 @@ def resolve(units: DataFrame, k: int, percent: int) -> DataFrame:
                         if ids:
                             yield done()
                         now, ids, asked, known, sets = (pod, block), [], [], [], []
+                    own = shingles(data[i].as_py() or b"", k)
+                    if not len(own):  # of an id that has another text too
+                        continue
                     ids.append(id_)
                     asked.append(ask)
                     known.append(id_ if comp is None else comp)
-                    sets.append(shingles(data[i].as_py() or b"", k))
+                    sets.append(own)
         if ids:
             yield done()
 
@@ -373,8 +376,9 @@ def join_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, i
     copies = own.join(classes.where("_n > 1").drop("_n", "_tokens"), "digest").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     found = docs.where("doc_id IS NOT NULL")
     near = written(contracted(hubs(found, k, percent, common)), "near")
-    # Ids of copies give way to those that stand for them, so each set is compared once.
-    stands = copies.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("rep"))
+    # Ids of copies give way to those that stand for them, so each set is compared once; ids with other sets too stay.
+    sole = own.groupBy("doc_id").agg(F.min("digest").alias("_d"), F.max("digest").alias("_e")).where("_d = _e").select(F.col("doc_id").alias("id"))
+    stands = copies.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("rep")).join(sole, "id", "left_semi")
     for side in ("a", "b"):
         near = near.join(stands.withColumnRenamed("id", side), side, "left").withColumn(side, F.coalesce("rep", side)).drop("rep")
     near = near.where("a <> b").distinct()
