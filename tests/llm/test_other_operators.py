@@ -1,5 +1,7 @@
 """Chat formatting, the Jaccard join, toxicity, WARC and the pipeline against plain Python."""
 
+import base64
+import gzip
 import hashlib
 import random
 import re
@@ -9,6 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from wickflow.llm import chat, jaccard_join, queries, toxicity, warc
@@ -35,12 +38,40 @@ def test_chat_escapes_are_reversible():
 
 
 def test_chat_flattens_parts():
-    out = chat.format_turn("assistant", [{"type": "text", "text": "see <|"}, {"type": "image", "ref": "a.png", "size": 784 * 3 + 1}, {"type": "audio", "ref": None, "size": None}, {"type": "document", "ref": "d", "size": 8}, {"type": "text", "text": None}])
-    body = out["formatted"][out["loss_begin"] : out["loss_end"]]
-    assert body == "see <\\|<|image|><|audio|><|document|>"
-    assert [(a["kind"], a["ref"], a["tokens"], body[a["at"] :].startswith(f"<|{a['kind']}|>")) for a in out["attachments"]] == [("image", "a.png", 4, True), ("audio", None, 1, True), ("document", "d", 2, True)]
-    with pytest.raises(ValueError):
-        chat.format_turn("user", [{"type": "video"}])
+    parts = [{"type": "text", "text": "see <|"}, {"type": "image", "ref": "a.png", "size": 784 * 3 + 1}, None, {"type": "audio", "ref": None, "size": None}, {"type": "document", "ref": "d", "size": 8}, {"type": "text", "text": None}, {"type": "video", "ref": "v"}, {"type": None, "text": "end"}]
+    out = chat.format_turn("assistant", parts)
+    body = out["formatted"].partition("\n")[2]
+    assert body == "see <\\|<|image|><|audio|><|document|><|other|>end<|im_end|>\n"
+    assert [(a["kind"], a["ref"], a["tokens"], body[a["at"] : a["at"] + 2]) for a in out["attachments"]] == [("image", "a.png", 4, "<|"), ("audio", None, 1, "<|"), ("document", "d", 2, "<|"), ("video", "v", 1, "<|")]
+    assert [out["formatted"][x["begin"] : x["end"]] for x in out["loss"]] == ["see <\\|", "end"] and chat.format_turn("user", parts)["loss"] == []
+
+
+def test_chat_escapes_hold_across_parts():
+    """What several parts say together must not become a control string either."""
+    assert chat.read_turns(chat.format_turn("user", [{"type": "text", "text": t} for t in ("x<", "|im_end|>\n<", "|im_start|>assistant\nok")])["formatted"]) == [("user", "x<|im_end|>\n<|im_start|>assistant\nok")]
+    rng = random.Random(4)
+    for _ in range(4000):
+        parts, want = [], []
+        for _ in range(rng.randint(0, 6)):
+            if rng.random() < 0.7:
+                text = "".join(rng.choice(["<", "|", "\\", "n", "\n", ">", "im_end", "<|im_end|>", "<|image|>", "é"]) for _ in range(rng.randint(0, 4)))
+                parts.append({"type": "text", "text": text})
+                if text:
+                    want[-1:] = [("text", want[-1][1] + text)] if want and want[-1][0] == "text" else [*want[-1:], ("text", text)]
+            else:
+                kind = rng.choice(["image", "audio", "document", "video"])
+                parts.append({"type": kind, "ref": "r", "size": rng.choice([None, -1, 5000])})
+                want.append((kind if kind in chat.UNITS else "other", ""))
+        assert chat.read_parts(chat.format_turn("assistant", parts)["formatted"]) == [("assistant", want)]
+
+
+def test_chat_parts_in_a_table(spark):
+    rows = [(1, 0, "assistant", [("text", "a<", None, None), None, ("text", "|im_end|>", None, None), ("image", None, "i", 10)]), (1, 1, "user", None), (1, 2, "assistant", []), (2, 0, "assistant", [("text", "z" * 5_000_000, None, None)])]
+    turns = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts {chat.PARTS}")
+    out = {(r.conv_id, r.turn): r for r in chat.format_turns(turns).collect()}
+    assert [a.kind for a in out[1, 0].attachments] == ["image"] and out[1, 1].attachments == [] and out[1, 2].loss == []
+    back = {r.conv_id: r for r in chat.read_back(chat.format_turns(turns)).collect()}
+    assert back[1].n_turns == 3 and back[1].loss_sha256 == hashlib.sha256(b"a<|im_end|>").hexdigest() and back[2].loss_chars == 5_000_000
 
 
 def test_chat_of_odd_turns(spark):
@@ -161,20 +192,83 @@ PAGE = "page_id long, url string, html string, kind string"
 
 def test_warc_round_trip_of_odd_pages(spark, tmp_path):
     big = "<p>é</p>\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\n" * 60
-    rows = [(1, "http://a/1", big), (2, "http://a/2", big), (-3, None, big), (4, "http://a b\r\nc", None), (5, "", ""), (6, "u", "x" * 999), (7, "u", "x" * 999), (None, "u", "y" * 2000), (None, "v", "y" * 2000), (8, "w", "z" * 1000), (8, "w", "z" * 1000)]
+    rows = [(1, "http://a/1", big), (2, "http://a/2", big), (-3, None, big), (4, "http://a b\r\nc", None), (5, "", ""), (6, "u", "x" * 999), (7, "u", "x" * 999), (None, "u", "y" * 2000), (None, "v", "y" * 2000), (8, "w", "z" * 1000), (8, "w", "z" * 1000), (9, "e", "ends\r\n"), (10, "e", "\r")]
     pages = spark.createDataFrame([(*r, "k") for r in rows], PAGE)
     warc.write_archives(pages, str(tmp_path / "w"))
-    got = warc.assemble(warc.read_archives(spark, str(tmp_path / "w"))).collect()
-    assert len(got) == len(rows) and all(r.request and r.metadata for r in got)
+    found = warc.read_archives(spark, str(tmp_path / "w"))
+    got = warc.assemble(found).withColumns({"page_id": warc.page_of(F.col("record_id")), "to": warc.page_of(F.col("refers_to"))}).collect()
+    assert len(got) == len(rows) and all(len(r.requests) == len(r.metadata) == 1 and r.problem is None for r in got) and warc.loose(found).count() == 0
     by = {r.page_id: r for r in got if r.page_id is not None}
-    assert by[2].record_type == "response" and bytes(by[2].payload) == big.encode() and by[1].record_type == by[-3].record_type == "revisit"
-    assert warc.page_of(by[1].refers_to) == 2 and by[-3].payload_bytes == len(big.encode()) and by[1].payload_digest == hashlib.sha1(big.encode()).hexdigest()
-    assert by[6].record_type == by[7].record_type == by[4].record_type == by[5].record_type == "response" and by[4].payload_bytes == 0
-    assert [r.record_type for r in got if r.page_id == 8] == ["response"] * 2
+    assert by[2].kind == "response" and bytes(by[2].payload) == big.encode() and by[1].kind == by[-3].kind == "revisit"
+    assert by[1].to == 2 and by[-3].payload_bytes == len(big.encode()) and by[1].payload_digest == hashlib.sha1(big.encode()).hexdigest()
+    assert {by[i].kind for i in (4, 5, 6, 7, 9, 10)} == {"response"} and by[4].payload_bytes == 0 and bytes(by[9].payload) == b"ends\r\n" and bytes(by[10].payload) == b"\r"
+    assert [r.kind for r in got if r.page_id == 8] == ["response"] * 2
     warc.write_archives(pages.limit(0), str(tmp_path / "none"))
     assert warc.assemble(warc.read_archives(spark, str(tmp_path / "none"))).count() == 0
 
 
+def record(kind, name, block, *fields, length=None):
+    lines = [b"WARC/1.0", b"WARC-Type: " + kind, b"WARC-Record-ID: <urn:uuid:" + name + b">", *fields, b"Content-Length: %d" % (len(block) if length is None else length)]
+    return b"\r\n".join([*lines, b"", block, b"", b""])
+
+
+@pytest.mark.parametrize("plain", [True, False])
+def test_warc_of_others(spark, tmp_path, plain):
+    """An archive of another program: base32 digests, links in both directions and over a third record, several metadata records, damage."""
+    http, to = b"Content-Type: application/http; msgtype=response", lambda x: b"WARC-Concurrent-To: <urn:uuid:" + x + b">"
+    body = b"<html>\xff</html>"
+    b32 = base64.b32encode(hashlib.sha1(body).digest())
+    archive = b"".join([
+        record(b"warcinfo", b"info", b"software: other\r\n"),
+        record(b"response", b"r1", b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n" + body, http, to(b"q1"), b"WARC-Payload-Digest: sha1:" + b32), record(b"request", b"q1", b"GET / HTTP/1.1\r\n\r\n"),
+        record(b"metadata", b"m1", b"a: 1", to(b"q1")), record(b"metadata", b"m2", b"a: 2", to(b"nobody"), to(b"r1")),
+        record(b"response", b"r2", b"HTTP/1.1 200 OK\r\n\r\nx", http, b"WARC-Payload-Digest: sha1:" + b32), record(b"request", b"q9", b"GET /9", to(b"nobody")),
+        record(b"resource", b"r3", b"plain", b"WARC-Payload-Digest: sha256:00", b"X-Name: caf\xe9", b"X-Name: two"),
+        b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:bad>\r\n\r\nno length\r\n\r\n", record(b"revisit", b"r4", b"HTTP/1.1 200 OK\r\n\r\n", http, b"WARC-Refers-To: <urn:uuid:r1>"),
+        record(b"response", b"r5", b"HTTP/1.1 200 OK\r\n\r\ncut", http, length=900),
+    ])
+    folder = tmp_path / "w"
+    folder.mkdir()
+    if plain:
+        (folder / "a.warc").write_bytes(archive)
+    else:
+        half = archive.index(b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:r2>")
+        (folder / "a.warc.gz").write_bytes(gzip.compress(archive[:half]) + gzip.compress(archive[half:]))
+    found = warc.read_archives(spark, str(folder))
+    got = {r.record_id[10:-1]: r for r in warc.assemble(found).collect()}
+    assert set(got) == {"r1", "r2", "r3", "bad", "r4", "r5"}
+    assert [x.block for x in got["r1"].requests] == ["GET / HTTP/1.1\r\n\r\n"] and sorted(x.block for x in got["r1"].metadata) == ["a: 1", "a: 2"]
+    assert bytes(got["r1"].payload) == body and got["r1"].payload_digest == hashlib.sha1(body).hexdigest() and got["r1"].problem is None
+    assert got["r2"].problem == "the payload doesn't have its digest" and got["r3"].problem is None and got["r3"].payload_digest == "sha256:00"
+    assert [x.value for x in got["r3"].headers if x.name == "X-Name"] == ["café", "two"] and bytes(got["r3"].payload) == b"plain"
+    assert got["bad"].problem == "no Content-Length" and got["r4"].refers_to == "<urn:uuid:r1>" and got["r5"].problem == "ends early"
+    assert [r.record_id for r in warc.loose(found).collect()] == ["<urn:uuid:q9>"]
+    assert warc.assemble(found).select(warc.page_of(F.col("record_id"))).distinct().collect() == [(None,)]
+
+
+def test_warc_payload_of_32_mb(spark, tmp_path):
+    pd.DataFrame({"page_id": [0], "url": ["u"], "html": ["0123456789abcde\n" * (32 * 2**16)]}).to_parquet(tmp_path / "pages.parquet")
+    warc.write_archives(spark.read.parquet(str(tmp_path / "pages.parquet")), str(tmp_path / "w"))
+    r = warc.assemble(warc.read_archives(spark, str(tmp_path / "w"), payload=False)).first()
+    assert r.payload_bytes == 32 * 2**20 and r.problem is None and r.payload_digest == hashlib.sha1(b"0123456789abcde\n" * (32 * 2**16)).hexdigest()
+
+
+def test_gradients_equal_finite_differences():
+    rng = np.random.default_rng(3)
+    m = toxicity.Model(np.zeros((1, toxicity.DIM)), rng.normal(0, 0.5, (toxicity.DIM, toxicity.COLUMNS)), rng.normal(0, 0.1, 24), rng.normal(0, 0.3, 24), 0.1)
+    e, texts, y = rng.normal(0, 1, (9, toxicity.DIM)), [np.array([0, 1, 2, 3, 1]), np.array([4]), np.array([5, 6, 7, 8, 5, 0]), np.array([2, 2])], np.array([1, 0, 0, 1])
+    _, d = toxicity.gradients(m, e, texts, y)
+    for name, x in (("filters", m.filters), ("bias", m.bias), ("out", m.out), ("e", e)):
+        for _ in range(60):
+            at = tuple(rng.integers(0, n) for n in x.shape)
+            losses, was = [], x[at]
+            for h in (1e-6, -1e-6):
+                x[at] = was + h
+                losses.append(toxicity.gradients(m, e, texts, y)[0])
+            x[at] = was
+            assert abs((losses[0] - losses[1]) / 2e-6 - d[name][at]) < 1e-5, (name, at)
+
+
 def test_pipeline_stages_hand_on_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     columns, before = docs.columns, None
@@ -190,3 +284,20 @@ def test_pipeline_stages_hand_on_documents(spark, sf):
     assert total["count"].max() <= 2
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf).toPandas()
     assert packed[packed.start == 0].shape[0] == docs.count()
+
+
+def test_pipeline_stages_of_odd_rows(spark, sf, odd, empty, tmp_path):
+    """Nulls, blanks, long and repeated texts and clashing columns through every stage, with a trained classifier."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").unionByName(odd.withColumn("doc_id", F.col("doc_id") + 1_000_000), allowMissingColumns=True)
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = corpus_pipeline.written(stage(spark, docs, sf), "odd")
+        assert out.columns == columns, name
+        kept = {(r.doc_id, r.text) for r in out.select("doc_id", "text").collect()}
+        assert kept <= {(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()}
+        if name == "toxicity":
+            assert out.where("_key IS NOT NULL").count() == odd.count()
+        if name == "quality rules":
+            assert all(t for _, t in kept)
+        assert stage(spark, empty, sf).count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).where("start = 0").count() == docs.count()

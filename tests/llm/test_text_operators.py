@@ -11,7 +11,6 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
-import regex
 from tokenizers import Tokenizer
 
 from wickflow.llm import common, fingerprints, licenses, mixing, packing, quality, queries, token_counts
@@ -109,6 +108,44 @@ def test_winnowing_is_rightmost_minimum_and_guarantees_matches():
         assert set(fingerprints.fingerprint(a)[0]) & set(fingerprints.fingerprint(b)[0])
 
 
+def plain_fingerprint(text, k=16, w=24):
+    """Rolling hash, windows and rightmost minima in plain integers: the fingerprint as text, and its hashes."""
+    m, base = 2**64, 0x9E3779B97F4A7C15
+    codes = [ord(c) + 1 for c in text]
+    if codes and len(codes) < k:
+        codes += [0] * (k - len(codes))
+    hashes = []
+    for i in range(len(codes) - k + 1 if codes else 0):
+        h = 0
+        for c in codes[i : i + k]:
+            h = (h * base + c) % m
+        h ^= h >> 32
+        h = h * 0xD6E8FEB86659FD93 % m
+        hashes.append((h ^ (h >> 32)) >> 32)
+    chosen = []
+    for i in range(max(0, len(hashes) - w) + 1 if hashes else 0):
+        j = min(range(i, min(i + w, len(hashes))), key=lambda p: (hashes[p], -p))
+        if not chosen or chosen[-1] != j:
+            chosen.append(j)
+    return "".join(f"{hashes[j]:08x}{j:08x}" for j in chosen), {hashes[j] for j in chosen}
+
+
+def test_fingerprint_query_equals_plain_python(spark):
+    rng = random.Random(12)
+    texts = ["", "short", "a" * 60, "été 😀 " * 9] + ["".join(rng.choice("abcd ") for _ in range(rng.randint(0, 160))) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in fingerprints.with_next(docs, fingerprints.compare_edited, fingerprints.EDITED).collect()}
+    alike = lambda a, b: len(a & b) / len(a | b) if a and b else float(not a and not b)
+    for i, text in enumerate(texts):
+        after = texts[(i + 1) % len(texts)]
+        half = len(text) // 2
+        own, changed, follows = plain_fingerprint(text), plain_fingerprint(text[: len(text) - half] + after[:half]), plain_fingerprint(after)
+        r = got[i]
+        assert (r.fingerprint, r.edited_fingerprint) == (own[0], changed[0]) and abs(r.near_edited - alike(own[1], changed[1])) < 1e-12 and abs(r.near_next - alike(own[1], follows[1])) < 1e-12
+        places = {p for j in range(0, len(own[0]), 16) if int(own[0][j : j + 8], 16) in changed[1] for p in range(int(own[0][j + 8 : j + 16], 16), int(own[0][j + 8 : j + 16], 16) + 16)}
+        assert r.matched_chars == len({p for p in places if p < len(text)})
+
+
 @pytest.mark.parametrize("parts", [1, 3, 8])
 def test_edited_texts_follow_doc_id_order(spark, odd, parts):
     rows = [(int(i), f"text {i} " * (i % 13)) for i in np.random.default_rng(1).permutation(500)]
@@ -238,17 +275,71 @@ def test_license_base_equals_brute_force(spark, sf, odd):
     assert got == want
 
 
-def test_fuzzy_notices_equal_a_search_without_seeds():
+def fewest_edits(notice, text):
+    """For each end in text, the fewest edits of a piece that ends there, and the latest beginning of such a piece."""
+    row = [(i, 0) for i in range(len(notice) + 1)]
+    out = [row[-1]]
+    for j, c in enumerate(text, 1):
+        new = [(0, j)]
+        for i, x in enumerate(notice, 1):
+            options = [(row[i - 1][0] + (c != x), -row[i - 1][1]), (row[i][0] + 1, -row[i][1]), (new[i - 1][0] + 1, -new[i - 1][1])]
+            e, begin = min(options)
+            new.append((e, -begin))
+        row = new
+        out.append(row[-1])
+    return out
+
+
+def test_fuzzy_notices_equal_brute_force():
+    """Several notices in a text, edited at random: every place within the bound is found once, and nothing else."""
     rng = random.Random(8)
-    for _ in range(150):
+    for _ in range(250):
         notice = rng.choice(list(licenses.NOTICES))
-        edited = list(notice)
-        for _ in range(rng.randint(0, licenses.edits(notice) + 2)):
-            i = rng.randrange(len(edited))
-            edited[i : i + 1] = rng.choice([[], [edited[i], "x"], ["y"]])
-        text = f"{'lorem ipsum ' * rng.randint(0, 5)}{''.join(edited)} dolor sit"
-        want = bool(regex.search(f"(?:{regex.escape(notice, literal_spaces=True)}){{e<={licenses.edits(notice)}}}", text))
-        assert any(label == licenses.NOTICES[notice] for label, *_ in licenses.fuzzy_places(text, {notice: licenses.NOTICES[notice]})) == want
+        label, telling = licenses.NOTICES[notice]
+        text = ""
+        for _ in range(rng.randint(1, 4)):
+            edited = list(notice)
+            for _ in range(rng.choice([0, 1, licenses.edits(notice), licenses.edits(notice) + 2])):
+                i = rng.randrange(len(edited))
+                edited[i : i + 1] = rng.choice([[], [edited[i], "x"], ["y"]])
+            text += rng.choice(["", "lorem ipsum dolor sit "]) + "".join(edited) + " "
+        text = " ".join(text.split())
+        k, best, places = licenses.edits(notice), fewest_edits(notice, text), []
+        for end, (e, begin) in sorted(enumerate(best), key=lambda x: (x[1][0], x[0])):
+            if e <= k and all(begin >= b or end <= a for a, b, _ in places):
+                places.append((begin, end, e))
+        want = sorted((a, b, e) for a, b, e in places if licenses.tells(text, a, b, telling))
+        got = sorted((a, b, e) for found, a, b, e, _ in licenses.fuzzy_places(text, {notice: (label, telling)}))
+        assert len(got) == len(want), (notice, text, got, want)
+        assert all(min(b, d) - max(a, c) > len(notice) / 2 and abs(e - f) <= 1 for (a, b, e), (c, d, f) in zip(got, want, strict=True)), (text, got, want)
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("licensed under CC BY-SA 4.0", ["cc-by-sa-4.0"]), ("licensed under CC BY-ND 4.0", ["cc-by-nd-4.0"]), ("licensed under CC BY-NC 3.0", []), ("Licensed under the Apache License, Version 1.1", ["apache-1.1"]),
+    ("licensed undr the GNU General Public License version 2", ["gpl-2.0"]), ("released under the bsd license", []), ("relesed under the mit license released under the mit license released undr the mit license", ["mit"] * 3),
+])
+def test_other_licenses_are_no_misspelt_ones(text, want):
+    found = [x["label"] for x in licenses.spans(text.encode(), licenses.PHRASES, licenses.NOTICES)[1] if not x["exact"]]
+    assert found == want
+
+
+def test_license_search_is_linear(monkeypatch):
+    """So many searches for so many notices, each in a window of bounded length."""
+    seen, real = [], licenses.pattern
+
+    class Counting:
+        def __init__(self, notice):
+            self.of = real(notice)
+
+        def search(self, text, a, b):
+            seen.append(b - a)
+            return self.of.search(text, a, b)
+
+    monkeypatch.setattr(licenses, "pattern", Counting)
+    for n in (100, 400):
+        seen.clear()
+        assert len(licenses.fuzzy_places("released undr the mit license " * n, {"released under the mit license": ("mit", "mit")})) == n
+        assert len(seen) <= 4 * n and max(seen) <= 34
 
 
 def test_license_scan_of_an_empty_table(empty):

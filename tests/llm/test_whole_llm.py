@@ -9,7 +9,7 @@ def test_edited_notice_before_a_better_one():
         ("released under the mit licence released under the mit license x", [(0, 30), (31, 61)]),
         ("released under the mit licence released under the mit lisence released under the mit license released under teh mit license", [(0, 30), (31, 61), (62, 92), (93, 123)]),
     ]:
-        found = licenses.fuzzy_places(text, {notice: "mit"})
+        found = licenses.fuzzy_places(text, {notice: ("mit", "mit")})
         assert [(a, b) for _, a, b, _, _ in found] == want and min(e for *_, e, _ in found) == 0
 
 

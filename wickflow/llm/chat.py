@@ -1,30 +1,41 @@
 """Chat formatting: typed content parts become template text with placeholders, attachments and a loss mask.
 
-A turn is `<|im_start|>role`, a line feed, its body, `<|im_end|>` and a line feed. Inside roles and texts a backslash is
-doubled and `<|` becomes `<\\|`, so no text can hold a control string, and each can be read back. Turns are formatted one by
-one, wherever they are; a conversation is the formatted turns in order. Reading back streams through a conversation with
-two running digests, so even one of any length needs the memory of a batch.
-
-Cases: null text and null role count as empty; null conv_id is one conversation; turns that tie are ordered by role and
-text; repeated turns all stay; an empty table gives no rows; other columns are not read.
+A turn is `<|im_start|>role`, a line feed, its body, `<|im_end|>` and a line feed. In roles and in each run of
+neighbouring text parts a backslash is doubled and `<|` becomes `<\\|`. A control string begins with `<|`, so neither one text
+nor several that follow each other can hold one, and what is read back is what went in. Attachments become placeholders. The
+loss mask is the runs of text of the assistant's turns: control strings and placeholders are not learned. Turns are formatted
+one by one, wherever they are; a conversation is the formatted turns in order. Reading back streams through a conversation
+with two running digests, so even one of any length needs the memory of a batch.
+
+Cases: null text and null role count as empty; a null part is left out; a part of an unknown (or null) type that has text but
+no ref is text, any other one the placeholder `<|other|>` with an attachment of its type's name; a null or negative size is one token; null conv_id is
+one conversation; turns that tie are ordered by role and text; repeated turns all stay; very long texts are formatted in
+batches of few bytes, and one by one at most; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import partitions, read
+from .token_counts import BATCH_BYTES, text_batches
 
 START, END = "<|im_start|>", "<|im_end|>"
 #: How many units of an attachment's size make a token: pixels, milliseconds, bytes.
 UNITS = {"image": 28 * 28, "audio": 40, "document": 4}
 LEARNED = "assistant"
+OTHER = "other"
+PLACEHOLDER = re.compile(rf"<\|({'|'.join([*UNITS, OTHER])})\|>")
 PARTS = "array<struct<type:string,text:string,ref:string,size:long>>"
+SPAN = pa.struct([("begin", pa.int64()), ("end", pa.int64())])
 ATTACHMENT = pa.struct([("kind", pa.string()), ("ref", pa.string()), ("at", pa.int64()), ("tokens", pa.int64())])
 
 
@@ -41,70 +52,115 @@ def unescape(text: str) -> str:
 
 
 class Flatten:
-    """Visitor of a turn's parts: builds the body and keeps the attachments in order."""
+    """Visitor of a turn's parts: builds the body and keeps the attachments and the runs of text, in order."""
 
     def __init__(self) -> None:
         self.body: list[str] = []
-        self.length, self.attachments = 0, []
+        self.pending: list[str] = []
+        self.length, self.attachments, self.runs = 0, [], []
 
-    def visit(self, part: dict) -> None:
-        getattr(self, f"visit_{part.get('type') or 'text'}", self.visit_other)(part)
+    def visit(self, part: dict | None) -> None:
+        if part is not None:
+            getattr(self, f"visit_{part.get('type')}", self.visit_other)(part)
 
     def put(self, text: str) -> None:
         self.body.append(text)
         self.length += len(text)
 
     def visit_text(self, part: dict) -> None:
-        self.put(escape(part.get("text") or ""))
-
-    def attach(self, part: dict) -> None:
-        kind = part["type"]
-        self.attachments.append({"kind": kind, "ref": part.get("ref"), "at": self.length, "tokens": max(1, -(-(part.get("size") or 0) // UNITS[kind]))})
+        self.pending.append(part.get("text") or "")
+
+    def flush(self) -> None:
+        """Escapes neighbouring texts as one, since a control string could be split over them."""
+        if run := escape("".join(self.pending)):
+            self.runs.append((self.length, self.length + len(run)))
+            self.put(run)
+        self.pending.clear()
+
+    def attach(self, part: dict, kind: str, bytes_a_token: int) -> None:
+        self.flush()
+        self.attachments.append({"kind": part.get("type"), "ref": part.get("ref"), "at": self.length, "tokens": max(1, -(-(part.get("size") or 0) // bytes_a_token))})
         self.put(f"<|{kind}|>")
 
-    visit_image = visit_audio = visit_document = attach
+    def visit_image(self, part: dict) -> None:
+        self.attach(part, "image", UNITS["image"])
+
+    def visit_audio(self, part: dict) -> None:
+        self.attach(part, "audio", UNITS["audio"])
+
+    def visit_document(self, part: dict) -> None:
+        self.attach(part, "document", UNITS["document"])
 
     def visit_other(self, part: dict) -> None:
-        raise ValueError(f"unknown part type {part['type']!r}")
+        if part.get("text") and part.get("ref") is None:
+            self.visit_text(part)
+        else:
+            self.attach(part, OTHER, UNITS["document"])
 
 
-def format_turn(role: str | None, parts: list[dict]) -> dict:
-    """formatted, the loss mask's span in it (null for none), attachments (at: offset in the body)."""
+def format_turn(role: str | None, parts: list[dict | None]) -> dict:
+    """formatted, the loss mask's spans in it (none for turns that aren't learned), attachments (at: offset in the body)."""
     flat = Flatten()
     for part in parts:
         flat.visit(part)
+    flat.flush()
     opening = f"{START}{escape_role(role or '')}\n"
-    span = (len(opening), len(opening) + flat.length) if role == LEARNED else (None, None)
-    return {"formatted": f"{opening}{''.join(flat.body)}{END}\n", "loss_begin": span[0], "loss_end": span[1], "attachments": flat.attachments}
+    loss = [{"begin": len(opening) + a, "end": len(opening) + b} for a, b in flat.runs] if role == LEARNED else []
+    return {"formatted": f"{opening}{''.join(flat.body)}{END}\n", "loss": loss, "attachments": flat.attachments}
 
 
 def read_turns(formatted: str) -> list[tuple[str, str]]:
     """(role, text) of each turn; placeholders of attachments stay in the text."""
+    return [(role, "".join(text if kind == "text" else f"<|{kind}|>" for kind, text in parts)) for role, parts in read_parts(formatted)]
+
+
+def read_parts(formatted: str) -> list[tuple[str, list[tuple[str, str]]]]:
+    """(role, parts) of each turn; a part is ("text", its text) or (a placeholder's kind, "")."""
     out = []
     for turn in formatted.split(START)[1:]:
         role, _, body = turn.partition("\n")
         if not body.endswith(f"{END}\n"):
             raise ValueError("a turn has no end")
-        out.append((unescape(role), unescape(body[: -len(END) - 1])))
+        pieces = PLACEHOLDER.split(body[: -len(END) - 1])  # texts, with the kinds of placeholders between
+        parts = [(kind, unescape(x)) if kind == "text" else (x, "") for x, kind in zip(pieces, ["text", "other"] * len(pieces), strict=False)]
+        out.append((unescape(role), [p for p in parts if p != ("text", "")]))
     return out
 
 
-TURN = pa.schema([("formatted", pa.string()), ("loss_begin", pa.int64()), ("loss_end", pa.int64()), ("attachments", pa.list_(ATTACHMENT))])
+TURN = pa.schema([("formatted", pa.string()), ("loss", pa.list_(SPAN)), ("attachments", pa.list_(ATTACHMENT))])
+
+
+def few_bytes(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of (conv_id, turn, role, text, parts), each of few bytes of text or of one row."""
+    texts = pc.fill_null(pc.binary_length(batch.column(3)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    parts = batch.column(4)
+    owners, inner = pc.list_parent_indices(parts), pc.list_flatten(parts)
+    lengths = pc.fill_null(pc.binary_length(pc.struct_field(inner, "text")), 0).to_numpy(zero_copy_only=False)
+    sizes = texts + np.bincount(owners.to_numpy(zero_copy_only=False).astype(np.int64), weights=lengths + 64, minlength=len(texts)).astype(np.int64)
+    start, size = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        size += n
+        if size >= BATCH_BYTES:
+            yield batch.slice(start, i + 1 - start)
+            start, size = i + 1, 0
+    if start < batch.num_rows:
+        yield batch.slice(start)
 
 
 def format_turns(turns: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text or parts -> the same ids with formatted, loss_begin, loss_end, attachments."""
-    parts = F.col("parts") if "parts" in turns.columns else F.lit(None).cast(PARTS)
-    text = F.col("text") if "text" in turns.columns else F.lit(None).cast("string")
+    """conv_id, turn, role, text or parts -> the same ids with formatted, loss, attachments."""
+    parts = F.col("parts") if "parts" in turns.columns else F.lit(None)
+    text = F.col("text") if "text" in turns.columns else F.lit(None)
 
     def run(batches):
-        for b in batches:
-            rows = [format_turn(role, own if own is not None else [{"type": "text", "text": text}]) for role, text, own in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
-            own = pa.RecordBatch.from_pylist(rows, schema=TURN)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *own.columns], names=["conv_id", "turn", *TURN.names])
-
-    return turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", text.alias("text"), parts.alias("parts")).mapInArrow(
-        run, "conv_id long, turn long, formatted string, loss_begin long, loss_end long, attachments array<struct<kind:string,ref:string,at:long,tokens:long>>"
+        for whole in batches:
+            for b in few_bytes(whole):
+                rows = [format_turn(role, own if own is not None else [{"type": "text", "text": text}]) for role, text, own in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
+                own = pa.RecordBatch.from_pylist(rows, schema=TURN)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *own.columns], names=["conv_id", "turn", *TURN.names])
+
+    return turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", text.cast("string").alias("text"), parts.cast(PARTS).alias("parts")).mapInArrow(
+        run, "conv_id long, turn long, formatted string, loss array<struct<begin:long,end:long>>, attachments array<struct<kind:string,ref:string,at:long,tokens:long>>"
     )
 
 
@@ -118,8 +174,8 @@ def digests(batches):
     def row():
         return {"conv_id": now, "n_turns": state[0], "turns_sha256": state[1].hexdigest(), "loss_chars": state[2], "loss_sha256": state[3].hexdigest(), "formatted_chars": state[4]}
 
-    for batch in batches:
-        for conv, formatted, begin, end in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+    for batch in (b for whole in batches for b in text_batches(whole, 1)):
+        for conv, formatted, loss in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             if state is None or conv != now:
                 if state:
                     done.append(row())
@@ -127,8 +183,8 @@ def digests(batches):
             for role, text in read_turns(formatted):
                 state[0] += 1
                 state[1].update(f"{role}\n{text}\n".encode())
-            if begin is not None:
-                learned = unescape(formatted[begin:end])
+            for x in loss:
+                learned = unescape(formatted[x["begin"] : x["end"]])
                 state[2] += len(learned)
                 state[3].update(learned.encode())
             state[4] += len(formatted)
@@ -141,7 +197,7 @@ def digests(batches):
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """A row for each conversation, from its formatted turns and their loss masks alone."""
-    dealt = formatted.select("conv_id", "formatted", "loss_begin", "loss_end", "turn").repartition(partitions(formatted.sparkSession), "conv_id")
+    dealt = formatted.select("conv_id", "formatted", "loss", "turn").repartition(partitions(formatted.sparkSession), "conv_id")
     return dealt.sortWithinPartitions("conv_id", "turn", "formatted").mapInArrow(digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 

@@ -6,8 +6,8 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable
-from contextlib import suppress
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,22 +40,62 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's checkpoint folder, or a new one where none is set (tests)."""
+    """The folder that driver and executors share: the session's checkpoint folder, or a new one in local mode where none is set (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context = spark.sparkContext
         if not context._jsc.sc().getCheckpointDir().isDefined():
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="wickflow-"))
         found = context._jsc.sc().getCheckpointDir().get()
     return found
 
 
+_scopes: list[list[str]] = []
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder. Inside scratch() it is removed at the end."""
+    path = f"{shared_dir(spark)}/wickflow/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder, read again: cuts the lineage, survives the loss of executors, keeps column pruning."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/wickflow/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables written inside are removed at the end, but for those handed to the function that this yields.
+
+    Those belong to the scope around it: a result that is read later may still need them.
+    """
+    _scopes.append([])
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._scratch_path)
+        return df
+
+    try:
+        yield keep
+    finally:
+        gone = _scopes.pop()
+        if _scopes:
+            _scopes[-1] += [x for x in gone if x in kept]
+        for x in gone:
+            if x not in kept:
+                path = spark._jvm.org.apache.hadoop.fs.Path(x)
+                path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def words(text: Column) -> Column:
@@ -74,6 +114,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def split_hot(left: DataFrame, right: DataFrame, on: str, hot: list, how: str) -> DataFrame:
+    """Equi-join with a right side of unique keys, the few hot ones by broadcast and all others by shuffle."""
+    if not hot:
+        return left.join(right, on, how)
+    is_hot = F.coalesce(F.col(on).isin(hot), F.lit(False))
+    return left.where(is_hot).join(F.broadcast(right.where(is_hot)), on, how).unionByName(left.where(~is_hot).join(right.where(~is_hot), on, how))
+
+
 def join_by_count(left: DataFrame, right: DataFrame, on: str, count: str, how: str = "left", share: int = 256) -> DataFrame:
     """Equi-join with a right side of unique keys, whose column count says how many left rows each key has.
 
@@ -81,10 +129,19 @@ def join_by_count(left: DataFrame, right: DataFrame, on: str, count: str, how: s
     whatever the input's size, so they go by broadcast; all others go by shuffle.
     """
     total = right.agg(F.sum(count)).first()[0] or 0
-    bound = max(1000, total // share)
-    hot = [r[0] for r in right.where(F.col(count) > bound).select(on).collect()]
-    rest = right.drop(count)
-    if not hot:
-        return left.join(rest, on, how)
-    is_hot = F.coalesce(F.col(on).isin(hot), F.lit(False))
-    return left.where(is_hot).join(F.broadcast(rest.where(is_hot)), on, how).unionByName(left.where(~is_hot).join(rest.where(~is_hot), on, how))
+    hot = [r[0] for r in right.where(F.col(count) > max(1000, total // share)).select(on).collect()]
+    return split_hot(left, right.drop(count), on, hot, how)
+
+
+#: Rows that one task may well take of a single key.
+FEW_ROWS = 100_000
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: str, how: str = "inner", share: int = 256) -> DataFrame:
+    """join_by_count for a right side that doesn't know the counts: one aggregate of left's keys finds the hot ones."""
+    total = left.count()
+    bound = max(FEW_ROWS, total // share)
+    if total <= bound:
+        return left.join(right, on, how)
+    hot = [r[0] for r in left.groupBy(on).agg(F.count("*").alias("_n")).where(F.col("_n") > bound).select(on).collect()]
+    return split_hot(left, right, on, hot, how)

@@ -6,7 +6,7 @@ equal ones, with its position. Two texts that share a passage of at least w + k
 Cases: an empty (or null) text has an empty fingerprint, a text shorter than k one hash of all of it, one with fewer
 than w hashes the least of them; equal texts have equal fingerprints; two empty ones are alike (1), an empty and
 another one are not (0); rows that tie in doc_id are ordered by text; null ids come first; an empty table gives no rows;
-other columns are not read.
+very long texts are hashed whole, in batches of few bytes or one text; other columns are not read.
 """
 
 from __future__ import annotations
@@ -67,8 +67,18 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def as_text(hashes: np.ndarray) -> str:
-    return hashes.astype(">u4").tobytes().hex()
+def as_text(hashes: np.ndarray, positions: np.ndarray) -> str:
+    """Eight hex digits of each hash, and eight of its position."""
+    return np.stack([hashes.astype(">u4"), positions.astype(">u4")], 1).tobytes().hex()
+
+
+def covered(hashes: np.ndarray, positions: np.ndarray, other: np.ndarray, n: int, k: int = K) -> int:
+    """How many of a text's n code points lie in chosen k-grams that the other fingerprint has too."""
+    at = positions[np.isin(hashes, other)]
+    if not len(at):
+        return 0
+    ends = np.minimum(at + k, n)
+    return int((ends - np.maximum(at, np.concatenate([[0], ends[:-1]]))).sum())
 
 
 def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -113,7 +123,7 @@ def with_next(docs: DataFrame, function, schema: str) -> DataFrame:
     return dealt.select("_flag", "doc_id", "text").mapInArrow(function, schema)
 
 
-EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, matched_chars long"
 
 
 def edited(text: str, after: str) -> str:
@@ -123,20 +133,20 @@ def edited(text: str, after: str) -> str:
 
 
 def compare_edited(batches):
-    """A row of EDITED for each row of flag 0, from the row after it."""
+    """A row of EDITED for each row of flag 0, from the row after it. matched_chars: code points in grams that the edited text shares."""
     names = [x.split()[0] for x in EDITED.split(", ")]
-    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()]
     last = None
     for whole in batches:
         for b in text_batches(whole, 2):
             out = []
             for flag, doc_id, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 text = text or ""
-                own = fingerprint(text)[0]
+                own = fingerprint(text)
                 if last is not None:
                     other = edited(last[1], text)
-                    changed = fingerprint(other)[0]
-                    out.append((last[0], len(last[1]), hashlib.sha256(other.encode()).hexdigest(), as_text(last[2]), as_text(changed), likeness(last[2], changed), likeness(last[2], own)))
+                    changed = fingerprint(other)
+                    out.append((last[0], len(last[1]), hashlib.sha256(other.encode()).hexdigest(), as_text(*last[2]), as_text(*changed), likeness(last[2][0], changed[0]), likeness(last[2][0], own[0]), covered(*last[2], changed[0], len(last[1]))))
                 last = None if flag else (doc_id, text, own)
             columns = list(zip(*out, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)

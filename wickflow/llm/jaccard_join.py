@@ -30,17 +30,19 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import join_by_count, partitions, read, sole_cache, written
+from .common import join_by_count, join_hot, partitions, read, scratch, sole_cache, written
 from .token_counts import text_batches
 
 #: Shingles of the library's near-duplicate stages, and the least similarity, in hundredths.
 SHINGLE, PERCENT = 5, 80
 GROUP, SHARED = 32, 16
 #: Texts, and shingles of all of them, that a task compares with each other at once.
-MOST, MOST_TOKENS = 3000, 3_000_000
+MOST, MOST_TOKENS = 1000, 3_000_000
 #: A shingle is common if a COMMON_IN-th of all texts have it, and COMMON_LEAST of a block; tokens of a block.
 #: There are at most 2 * COMMON_IN times as many as a text has on average, whatever the number of texts.
 COMMON_IN, COMMON_LEAST, BLOCK_TOKENS = 1500, 5, 1_500_000
+#: Signatures that a task holds at once, about 40 bytes each.
+BLOCK_SIGNATURES = 1_000_000
 CACHE_WORDS = 250_000
 B1 = np.uint64(0x9E3779B97F4A7C15)
 
@@ -271,16 +273,45 @@ def sizes_and_digests(docs: DataFrame, k: int) -> DataFrame:
 
 
 def hubs(docs: DataFrame, k: int, percent: int, common: np.ndarray) -> DataFrame:
-    """doc_id and hub, the least id that shares a signature with it, for each signature that documents share."""
+    """doc_id and hub, the least id that shares a signature with it, for each signature that documents share.
+
+    A task finds the least id of each signature among its own texts, a block of them at a time. Only that id's row goes on to
+    meet other blocks under the signature, so even one that all texts share has few rows there; the block's other ids
+    are given their hub at once, in rows with a key of their own.
+    """
 
     def run(batches):
+        held, size = [], 0
+
+        def block():
+            found, ids = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+            order = np.lexsort((ids, found))
+            found, ids = found[order], ids[order]
+            first = np.concatenate([[True], found[1:] != found[:-1]])
+            own = ids[first][np.cumsum(first) - 1]
+            a, b = ids[ids > own], own[ids > own]
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            new = np.concatenate([np.ones(min(1, len(a)), bool), (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+            a, b = a[new], b[new]
+            keys = mixed(mixed(a.view(np.uint64) + B1) ^ b.view(np.uint64))
+            hub = pa.concat_arrays([pa.nulls(int(first.sum()), pa.int64()), pa.array(b)])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([found[first], keys]).view(np.int64)), pa.array(np.concatenate([ids[first], a])), hub], names=["signature", "doc_id", "hub"])
+
         for whole in batches:
             for b in text_batches(whole, 1):
                 who, found = signatures([shingles(x.as_py() or b"", k) for x in b.column(1).cast(pa.binary())], percent, common)
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), b.column(0).take(pa.array(who))], names=["signature", "doc_id"])
-
-    rows = docs.mapInArrow(run, "signature long, doc_id long")
-    rows = rows.withColumn("hub", F.first("doc_id").over(Window.partitionBy("signature").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)))
+                held.append((found, b.column(0).to_numpy(zero_copy_only=False)[who]))
+                size += len(found)
+                if size > BLOCK_SIGNATURES:
+                    yield block()
+                    held, size = [], 0
+        if size:
+            yield block()
+
+    rows = docs.mapInArrow(run, "signature long, doc_id long, hub long")
+    least = F.first("doc_id").over(Window.partitionBy("signature").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("hub", F.coalesce("hub", least))
     return rows.where("hub < doc_id").groupBy("doc_id", "hub").count().drop("count")
 
 
@@ -299,25 +330,29 @@ def least_reachable(links: DataFrame) -> DataFrame:
 
     Each round every id points to its least neighbour, pointers are followed twice, and what points to one id becomes one:
     the links that are left lie between different ids, and are few after a round. Labels are put together backwards.
+    An id that many others point to, or have links with, is a hot key of these joins.
     """
+    spark = links.sparkSession
     ordered = lambda d, x, y: d.select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).where("a <> b").groupBy("a", "b").count().drop("count")
     ahead = lambda d: d.select(F.col("id").alias("label"), F.col("label").alias("_ahead"))
-    followed = lambda d, to: written(d.join(ahead(to), "label", "left").select("id", F.coalesce("_ahead", "label").alias("label")), "labels")
-    edges, levels = written(ordered(links, "a", "b"), "links"), []
-    while edges.limit(1).count():
-        both = edges.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("id"), F.col("a").alias("other")))
-        own = written(both.groupBy("id").agg(F.least("id", F.min("other")).alias("label")), "labels")
-        own = followed(own, own)
-        own = followed(own, own)
-        levels.append(own)
-        edges = edges.join(own.select(F.col("id").alias("a"), F.col("label").alias("_a")), "a").join(own.select(F.col("id").alias("b"), F.col("label").alias("_b")), "b")
-        edges = written(ordered(edges, "_a", "_b"), "links")
-    if not levels:
-        return links.sparkSession.createDataFrame([], "id long, label long")
-    labels = levels.pop()
-    while levels:
-        labels = followed(levels.pop(), labels)
-    return labels
+    followed = lambda d, to: written(join_hot(d, ahead(to), "label", "left").select("id", F.coalesce("_ahead", "label").alias("label")), "labels")
+    with scratch(spark) as keep:
+        edges, levels = written(ordered(links, "a", "b"), "links"), []
+        while edges.limit(1).count():
+            both = edges.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("id"), F.col("a").alias("other")))
+            own = written(both.groupBy("id").agg(F.least("id", F.min("other")).alias("label")), "labels")
+            own = followed(own, own)
+            own = followed(own, own)
+            levels.append(own)
+            edges = join_hot(edges, own.select(F.col("id").alias("a"), F.col("label").alias("_a")), "a")
+            edges = join_hot(edges, own.select(F.col("id").alias("b"), F.col("label").alias("_b")), "b")
+            edges = written(ordered(edges, "_a", "_b"), "links")
+        if not levels:
+            return spark.createDataFrame([], "id long, label long")
+        labels = levels.pop()
+        while levels:
+            labels = followed(levels.pop(), labels)
+        return keep(labels)
 
 
 UNIT = "id long, label long"
@@ -358,53 +393,62 @@ def resolve(units: DataFrame, k: int, percent: int) -> DataFrame:
     return dealt.sortWithinPartitions("pod", "block").mapInArrow(run, UNIT).where("id <> label")
 
 
-def with_text(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def with_text(texts: DataFrame, ids: DataFrame) -> DataFrame:
     """ids (id and more columns) with the texts of their documents."""
-    return docs.withColumnRenamed("doc_id", "id").join(ids.hint("shuffle_hash"), "id")
+    return texts.join(ids.hint("shuffle_hash"), "id")
 
 
 def join_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id: str = "doc_id", text: str = "text", most: int = MOST) -> DataFrame:
     """A row for each row of docs: id, n_shingles, component_id (the least id reachable by links, itself included)."""
-    spark = docs.sparkSession
     docs = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    counted = written(sizes_and_digests(docs, k), "sized")
-    sized = counted.where("digest IS NOT NULL")
-    often = counted.where("digest IS NULL").groupBy("doc_id").agg(F.sum("n_shingles").alias("n")).where(F.col("n") >= sized.count() / (2 * COMMON_IN))
-    common = np.sort(np.array([r[0] for r in often.select("doc_id").collect()], np.int64).view(np.uint64))
+    with scratch(docs.sparkSession) as keep:
+        counted = keep(written(sizes_and_digests(docs, k), "sized"))
+        sized = counted.where("digest IS NOT NULL")
+        often = counted.where("digest IS NULL").groupBy("doc_id").agg(F.sum("n_shingles").alias("n")).where(F.col("n") >= sized.count() / (2 * COMMON_IN))
+        common = np.sort(np.array([r[0] for r in often.select("doc_id").collect()], np.int64).view(np.uint64))
+        labels = keep(written(linked_ids(docs.where("doc_id IS NOT NULL"), sized, k, percent, common, most), "components"))
+    # How many of sized's rows an id has is known only of ids that repeat, so no key is hot but those.
+    repeats = sized.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("_n"))
+    labels = labels.join(repeats, "doc_id")
+    out = join_by_count(sized, labels, "doc_id", "_n")
+    return out.select(F.col("doc_id").alias(id), "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def linked_ids(docs: DataFrame, sized: DataFrame, k: int, percent: int, common: np.ndarray, most: int) -> DataFrame:
+    """doc_id and component_id of each id that is linked with another one."""
     own = sized.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = written(own.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("_n"), F.max("n_shingles").alias("_tokens")), "classes")
-    copies = own.join(classes.where("_n > 1").drop("_n", "_tokens"), "digest").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    found = docs.where("doc_id IS NOT NULL")
-    near = written(contracted(hubs(found, k, percent, common)), "near")
+    copies = join_by_count(own.select("digest", "doc_id"), classes.where("_n > 1").drop("_tokens"), "digest", "_n", "inner").where("doc_id <> rep")
+    copies = written(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "copies")
+    near = written(contracted(hubs(docs, k, percent, common)), "near")
     # Ids of copies give way to those that stand for them, so each set is compared once; ids with other sets too stay.
     sole = own.groupBy("doc_id").agg(F.min("digest").alias("_d"), F.max("digest").alias("_e")).where("_d = _e").select(F.col("doc_id").alias("id"))
-    stands = copies.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("rep")).join(sole, "id", "left_semi")
+    stands = written(copies.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("rep")).join(sole, "id", "left_semi"), "stands")
     for side in ("a", "b"):
-        near = near.join(stands.withColumnRenamed("id", side), side, "left").withColumn(side, F.coalesce("rep", side)).drop("rep")
+        near = join_hot(near, stands.withColumnRenamed("id", side), side, "left").withColumn(side, F.coalesce("rep", side)).drop("rep")
     near = near.where("a <> b").distinct()
     pods = least_reachable(near).withColumnRenamed("label", "pod")
     pods = pods.join(classes.groupBy(F.col("rep").alias("id")).agg(F.sum("_tokens").alias("_tokens")), "id")
     blocks = F.ceil(F.greatest(F.count("*") / most, F.sum("_tokens") / MOST_TOKENS)).cast("int")
-    pods = written(pods.join(pods.groupBy("pod").agg(blocks.alias("_blocks")), "pod"), "pods")
+    pods = written(join_hot(pods, pods.groupBy("pod").agg(blocks.alias("_blocks")), "pod"), "pods")
+    # The texts of neighbourhoods are set aside: all that follows reads these alone.
+    texts = written(with_text(docs.withColumnRenamed("doc_id", "id"), pods.select("id")), "texts")
     block = lambda seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col("_blocks")).cast("int")
-    at = pods.withColumn("block", block(1)).select("pod", "block", "id", F.lit(True).alias("asked"), F.lit(None).cast("long").alias("known"))
+    unasked = [F.lit(True).alias("asked"), F.lit(None).cast("long").alias("known")]
+    at = pods.withColumn("block", block(1)).select("pod", "block", "id", *unasked)
     large = pods.where("_blocks > 1")
     blocks = large.select("pod", "_blocks").distinct()
     some = Window.partitionBy("pod").orderBy(F.xxhash64("id", F.lit(2)), "id")
     shared = large.select("pod", "id").withColumn("_n", F.row_number().over(some)).where(F.col("_n") <= SHARED).join(blocks, "pod")
-    shared = shared.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select("pod", "block", "id", F.lit(True).alias("asked"), F.lit(None).cast("long").alias("known"))
-    links = written(resolve(with_text(found, at.unionByName(shared).distinct()), k, percent), "links")
+    shared = shared.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select("pod", "block", "id", *unasked)
+    links = written(resolve(with_text(texts, at.unionByName(shared).distinct()), k, percent), "links")
     if large.limit(1).count():
-        links = links.unionByName(across(found, large, blocks, links, block(1), k, percent, most))
+        links = links.unionByName(across(texts, large, blocks, links, block(1), k, percent, most))
     every = links.select(F.col("id").alias("a"), F.col("label").alias("b")).unionByName(copies)
-    labels = least_reachable(every)
-    labels = labels.join(labels.groupBy("label").agg(F.count("*").alias("_n")), "label")
-    labels = labels.select(F.col("id").alias("doc_id"), F.col("label").alias("component_id"), F.lit(1).cast("long").alias("_n"))
-    out = join_by_count(sized, labels, "doc_id", "_n")
-    return out.select(F.col("doc_id").alias(id), "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return least_reachable(every).select(F.col("id").alias("doc_id"), F.col("label").alias("component_id"))
 
 
-def across(docs: DataFrame, large: DataFrame, blocks: DataFrame, links: DataFrame, block, k: int, percent: int, most: int) -> DataFrame:
+def across(texts: DataFrame, large: DataFrame, blocks: DataFrame, links: DataFrame, block, k: int, percent: int, most: int) -> DataFrame:
     """Links between the parts of large neighbourhoods: of every text outside its neighbourhood's largest component."""
     labels = least_reachable(links.select(F.col("id").alias("a"), F.col("label").alias("b")))
     state = written(large.join(labels, "id", "left").withColumn("known", F.coalesce("label", "id")).withColumn("block", block).select("pod", "id", "block", "known", "_tokens"), "state")
@@ -418,7 +462,7 @@ def across(docs: DataFrame, large: DataFrame, blocks: DataFrame, links: DataFram
     there = state.join(chunks, "pod").withColumn("_c", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
     there = there.select("pod", unit(F.col("block").cast("long"), F.col("_c")), "id", F.lit(False).alias("asked"), "known")
     units = asked.unionByName(there).groupBy("pod", "block", "id").agg(F.max("asked").alias("asked"), F.first("known").alias("known"))
-    return resolve(with_text(docs, units), k, percent).unionByName(labels.where("id <> label"))
+    return resolve(with_text(texts, units), k, percent).unionByName(labels.where("id <> label"))
 
 
 def one_of_each(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -426,7 +470,8 @@ def one_of_each(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Da
 
     Rows with a null id and texts without words stay.
     """
-    found = written(join_components(docs, k, percent), "components")
+    with scratch(docs.sparkSession) as keep:
+        found = keep(written(join_components(docs, k, percent), "links"))
     gone = found.where("component_id <> doc_id").select("doc_id").distinct()
     out = docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti")
     repeated = found.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id")

@@ -1,15 +1,20 @@
 """License scans: exact phrases, and fuzzy search for short notices.
 
 A text becomes its lower-case words joined by one space. A notice with at most k edits holds one of k + 1 pieces of it
-unchanged (pigeonhole), so an Aho-Corasick automaton of all pieces locates candidate windows, and the regex library's
-bounded-error matching decides inside them and gives the spans.
+unchanged (pigeonhole), so an Aho-Corasick automaton of all pieces locates places where a notice could stand, and the regex
+library's bounded-error matching decides at each of them, by itself, and gives the span. A window is hardly longer than its
+notice, so the best match in it is the one that its seed belongs to, and the work grows with the number of seeds. Of places
+of one notice that overlap, the one of fewest edits stays. Edits must leave a notice's telling words (the license's name, its
+variant and its version) as they are, in order: another license is not a misspelt one.
 
 Cases: null and empty texts have no words and score 0; equal places of one label are reported once for each place; rows
-that repeat are scanned one by one; columns besides the id and the text are never read; an empty table gives no rows.
+that repeat are scanned one by one; very long texts are read whole, in batches of few bytes or one text; columns besides the
+id and the text are never read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from bisect import bisect
 from functools import cache
 
 import ahocorasick
@@ -19,20 +24,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read
+from .token_counts import text_batches
 
 #: Phrases whose words must stand consecutively, and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Short notices, as words, and their labels.
+#: Short notices, as words: their labels, and the words that tell them from other licenses.
 NOTICES = {
-    "licensed under the apache license version 2 0": "apache-2.0",
-    "released under the mit license": "mit",
-    "permission is hereby granted free of charge to any person obtaining a copy": "mit",
-    "licensed under the gnu general public license version 3": "gpl-3.0",
-    "licensed under the gnu lesser general public license": "lgpl",
-    "licensed under cc by nc 4 0": "cc-by-nc-4.0",
-    "licensed under a creative commons attribution license": "cc",
-    "redistribution and use in source and binary forms with or without modification": "bsd",
-    "subject to the terms of the mozilla public license": "mpl",
+    "licensed under the apache license version 2 0": ("apache-2.0", "apache 2 0"),
+    "licensed under the apache license version 1 1": ("apache-1.1", "apache 1 1"),
+    "released under the mit license": ("mit", "mit"),
+    "licensed under the mit license": ("mit", "mit"),
+    "permission is hereby granted free of charge to any person obtaining a copy": ("mit", "granted free copy"),
+    "licensed under the gnu general public license version 3": ("gpl-3.0", "general 3"),
+    "licensed under the gnu general public license version 2": ("gpl-2.0", "general 2"),
+    "licensed under the gnu lesser general public license": ("lgpl", "lesser"),
+    "licensed under the gnu affero general public license": ("agpl", "affero"),
+    "licensed under cc by 4 0": ("cc-by-4.0", "by 4 0"),
+    "licensed under cc by sa 4 0": ("cc-by-sa-4.0", "by sa 4 0"),
+    "licensed under cc by nd 4 0": ("cc-by-nd-4.0", "by nd 4 0"),
+    "licensed under cc by nc 4 0": ("cc-by-nc-4.0", "by nc 4 0"),
+    "licensed under cc by nc sa 4 0": ("cc-by-nc-sa-4.0", "by nc sa 4 0"),
+    "licensed under cc by nc nd 4 0": ("cc-by-nc-nd-4.0", "by nc nd 4 0"),
+    "licensed under a creative commons attribution license": ("cc", "creative commons attribution license"),
+    "redistribution and use in source and binary forms with or without modification": ("bsd", "source binary"),
+    "subject to the terms of the mozilla public license": ("mpl", "mozilla"),
 }
 #: One edit is allowed for so many characters of a notice.
 CHARS_AN_EDIT = 12
@@ -83,40 +98,37 @@ def exact_places(text: str, phrases: dict[str, str]) -> list[tuple[str, int, int
     return found
 
 
-def matches(text: str, notice: str, begin: int, stop: int) -> list[regex.Match]:
-    """Places of a notice in text[begin:stop] that don't overlap: the best one, then those before and after it."""
-    found, parts, least = [], [(begin, stop)], len(notice) - edits(notice)
-    while parts:
-        begin, stop = parts.pop()
-        if stop - begin >= least and (m := pattern(notice).search(text, begin, stop)):
-            found.append(m)
-            parts += [(begin, m.start()), (m.end(), stop)]
-    return found
+def tells(text: str, begin: int, end: int, telling: str) -> bool:
+    """Whether the words at text[begin:end], those cut by its bounds taken whole, have the telling ones, in order."""
+    first, stop = text.rfind(" ", 0, begin + 1) + 1, text.find(" ", max(begin, end - 1))
+    own = iter(text[first : len(text) if stop < 0 else stop].split())
+    return all(any(w == x for w in own) for x in telling.split())
 
 
-def fuzzy_places(text: str, notices: dict[str, str]) -> list[tuple[str, int, int, int, float]]:
+def fuzzy_places(text: str, notices: dict[str, tuple[str, str]]) -> list[tuple[str, int, int, int, float]]:
     """(label, begin, end, edits, likeness) of each place of a notice."""
     names, windows = tuple(notices), {}
     for end, at in automaton(names).iter(text):
         for n, start, length in at:
-            k = edits(names[n])
-            begin = max(0, end - length + 1 - start - k)
-            stop = min(len(text), end - length + 1 - start + len(names[n]) + k)
-            own = windows.setdefault(n, [])
-            if own and begin <= own[-1][1]:
-                own[-1] = (min(own[-1][0], begin), max(own[-1][1], stop))
-            else:
-                own.append((begin, stop))
+            windows.setdefault(n, {})[end - length + 1 - start] = None  # where the notice would begin if nothing before the seed were edited
     found = []
-    for n, own in windows.items():
-        for begin, stop in own:
-            for m in matches(text, names[n], begin, stop):
-                e = sum(m.fuzzy_counts)
-                found.append((notices[names[n]], m.start(), m.end(), e, 1 - e / len(names[n])))
+    for n, begins in windows.items():
+        notice, k, own = names[n], edits(names[n]), set()
+        label, telling = notices[notice]
+        for begin in begins:
+            m = pattern(notice).search(text, max(0, begin - k), min(len(text), begin + len(notice) + k))
+            if m and tells(text, *m.span(), telling):
+                own.add((sum(m.fuzzy_counts), *m.span()))
+        taken: list[tuple[int, int]] = []  # sorted, apart from each other
+        for e, a, b in sorted(own):
+            i = bisect(taken, (a, b))
+            if (i == 0 or taken[i - 1][1] <= a) and (i == len(taken) or taken[i][0] >= b):
+                taken.insert(i, (a, b))
+                found.append((label, a, b, e, 1 - e / len(notice)))
     return sorted(set(found))
 
 
-def spans(data: bytes, phrases: dict[str, str], notices: dict[str, str]) -> tuple[int, list[dict]]:
+def spans(data: bytes, phrases: dict[str, str], notices: dict[str, tuple[str, str]]) -> tuple[int, list[dict]]:
     """Number of words, and all places; begin and end are offsets in the joined words, in bytes of UTF-8."""
     text, n = normal(data)
     found = [(label, True, a, b, 0, 1.0) for label, a, b in exact_places(text, phrases)] + [(label, False, a, b, e, s) for label, a, b, e, s in fuzzy_places(text, notices)]
@@ -127,12 +139,12 @@ def spans(data: bytes, phrases: dict[str, str], notices: dict[str, str]) -> tupl
     return n, out
 
 
-def scan(docs: DataFrame, id: str = "doc_id", text: str = "text", phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES) -> DataFrame:
+def scan(docs: DataFrame, id: str = "doc_id", text: str = "text", phrases: dict[str, str] = PHRASES, notices: dict[str, tuple[str, str]] = NOTICES) -> DataFrame:
     """A row for each row of docs: id, n_words, spans."""
     schema = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("label", pa.string()), ("exact", pa.bool_()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("begin", pa.int64()), ("end", pa.int64()), ("edits", pa.int32()), ("likeness", pa.float64())])))])
 
     def run(batches):
-        for batch in batches:
+        for batch in (b for whole in batches for b in text_batches(whole, 1)):
             counts, found = [], []
             for data in batch.column(1).cast(pa.binary()):
                 n, own = spans(data.as_py() or b"", phrases, notices)

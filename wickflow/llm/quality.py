@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_RUN, read, words, written
+from .common import SPACE_RUN, read, scratch, words, written
 
 #: Frequent function words of English, German, French and Spanish.
 FUNCTION_WORDS = [
@@ -52,7 +52,6 @@ def measures(docs: DataFrame, text: str = "text", prefix: str = "_q_") -> DataFr
         f"{p}n_dup_lines": (F.size(f"{p}l") - F.size(F.array_distinct(f"{p}l"))).cast("long"),
         f"{p}n_repeat_words": F.when(F.size(F.array_distinct(f"{p}g")) < F.size(f"{p}g"), covered).otherwise(0).cast("long"),
         f"{p}n_ends": less("[.!?]").cast("long"),
-        f"{p}row": F.monotonically_increasing_id(),
         f"{p}n_function": F.size(F.array_intersect(F.col(w), F.lit(FUNCTION_WORDS))).cast("long"),
     }).drop(w, f"{p}g", f"{p}l")
 
@@ -130,13 +129,11 @@ def decided(measured: DataFrame, corpus: DataFrame, prefix: str = "_q_", thresho
 
 
 def filter_quality(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of docs that are kept, with the columns of docs.
-
-    The row number keeps the optimizer from moving the filter below the measures, which would compute them again and again.
-    """
+    """The rows of docs that are kept, with the columns of docs. Each row is measured once: rows and measures are written and read twice."""
     whole = docs.select(F.struct(*docs.columns).alias("_row"))  # so no column of docs can clash with a measure
-    measured = decided(measures(whole, f"_row.{text}"), measures(docs.select(text), text))
-    return measured.where("_q_kept AND _q_row >= 0").select("_row.*")
+    with scratch(docs.sparkSession) as keep:
+        measured = keep(written(measures(whole, f"_row.{text}"), "measured"))
+    return decided(measured, measured).where("_q_kept").select("_row.*")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

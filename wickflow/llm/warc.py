@@ -1,56 +1,55 @@
 """WARC archives: written from pages, read back, and assembled into one nested row for each capture.
 
-A capture is a request, a response (or a revisit of an equal payload's response) and a metadata record; request and
-metadata name the response or revisit in WARC-Concurrent-To. Spark's own writer and reader move the bytes, so any file
-system that Spark knows will do, and a task that is run again leaves no second copy. Records are split by
-Content-Length, never by searching for a marker that a payload could hold.
+A capture is a response (or a revisit of an equal payload's response, or a resource) with the request and metadata records of the same
+transaction, which name it in WARC-Concurrent-To, are named by it, or are so tied to another record of it. Spark's own writer
+and reader move the bytes, so any file system that Spark knows will do, and a task that is run again leaves no second copy.
+Records are split by Content-Length, never by searching for a marker that a payload could hold. Files compressed by gzip are
+read as a stream, so a task holds one record at a time, however large a file is; plain ones are read whole (2 GB at most).
 
 Cases: null html is an empty payload, null url an empty target; a null page_id has captures without an id that never
 serve as a response for other pages while the group has an id; rows that repeat a page's id, url and html make equal captures, and
-each comes back; an empty table writes no record; columns of pages other than page_id, url and html are not read.
+each comes back, sharing their requests and metadata; an empty table writes no record; columns of pages other than page_id, url
+and html are not read. A very large payload passes through as one value. Of other archives: a record that ends early, lacks a
+Content-Length, has another payload than its digest says or isn't a record comes back with a problem instead of an error, and
+reading goes on at the next record; headers that aren't UTF-8 are read as Latin-1; digests may be SHA-1 in hex or base32, those
+of other algorithms are kept as they are; a header may repeat; request and metadata records without a capture are `loose`.
 """
 
 from __future__ import annotations
 
-import gzip
+import base64
 import hashlib
-import uuid
+import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_by_count, read, shared_dir, written
+from .common import join_by_count, read, scratch, shared_path, written
 
 #: Payloads of fewer bytes are stored each time.
 LEAST_REVISITED = 1000
-#: Records in a file, which bounds what a reading task holds at once.
+#: Records in a file. A compressed file is read by one task.
 RECORDS_A_FILE = 1500
 DATE = "2024-01-01T00:00:00Z"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
-CAPTURE = "record_type string, record_id string, page_id long, target_uri string, payload_digest string, payload_bytes long, refers_to string"
-RECORD = f"kind string, capture string, {CAPTURE}, payload binary, request string, metadata string"
+HEADS = ("response", "revisit", "resource")
+PAIRS = "array<struct<name:string,value:string>>"
+RECORD = f"kind string, record_id string, target_uri string, concurrent_to array<string>, refers_to string, payload_digest string, payload_bytes long, headers {PAIRS}, block string, payload binary, problem string"
 
 
 def record_id(page_id: Column, url: Column, digest: Column, kind: str) -> Column:
-    """A version-8 UUID of 64 bits of page_id and 52 bits of the content; its variant nibble is 9 without a page_id."""
-    p = F.lpad(F.hex(F.coalesce(page_id, F.lit(0))), 16, "0")
-    h = F.md5(F.concat_ws("\n", F.lit(kind), F.coalesce(url, F.lit("")), digest))
-    part = lambda a, n: F.substring(p, a, n)
-    return F.lower(F.concat(F.lit("<urn:uuid:"), part(1, 8), F.lit("-"), part(9, 4), F.lit("-8"), part(13, 3), F.lit("-"), F.when(page_id.isNull(), "9").otherwise("8"), part(16, 1), F.substring(h, 1, 2), F.lit("-"), F.substring(h, 3, 12), F.lit(">")))
+    """A URN of the page_id, the kind of record, and a hash of the content."""
+    h = F.substring(F.md5(F.concat_ws("\n", F.coalesce(url, F.lit("")), digest)), 1, 16)
+    return F.concat(F.lit("<urn:x-page:"), F.coalesce(page_id.cast("string"), F.lit("none")), F.lit(f":{kind}:"), h, F.lit(">"))
 
 
-def page_of(urn: str | None) -> int | None:
-    """The page_id inside such a record id."""
-    if not urn:
-        return None
-    h = urn.rpartition(":")[2].rstrip(">").replace("-", "")
-    if h[16] == "9":
-        return None
-    n = int(h[:12] + h[13:16] + h[17], 16)
-    return n - (1 << 64) if n >> 63 else n
+def page_of(urn: Column) -> Column:
+    """The page_id in such a record id; null for any other one."""
+    return F.regexp_extract(urn, r"^<urn:x-page:(-?\d+):", 1).try_cast("long")
 
 
 def planned(pages: DataFrame) -> DataFrame:
@@ -94,80 +93,151 @@ def write_archives(pages: DataFrame, path: str) -> None:
     rows.write.option("lineSep", "\r\n").option("maxRecordsPerFile", RECORDS_A_FILE).option("compression", "gzip").text(path)
 
 
-def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields (names in lower case) and block of each record of an archive, compressed by gzip (of one or many members) or not."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at, end = 0, len(data)
-    while at < end:
-        stop = data.index(b"\r\n\r\n", at)
-        lines = data[at:stop].decode().split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
-        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        at = stop + 4 + int(fields["content-length"])
-        yield fields, data[stop + 4 : at]
-        if data[at : at + 4] != b"\r\n\r\n":
-            raise ValueError(f"a record doesn't end at byte {at}")
-        at += 4
-
-
-def parsed(keep_payload: bool):
-    names = [x.split()[0] for x in RECORD.split(", ")]
-
-    def row(fields: dict[str, str], block: bytes) -> dict:
-        kind = fields["warc-type"]
-        out = dict.fromkeys(names) | {"record_id": fields["warc-record-id"], "target_uri": fields.get("warc-target-uri")}
-        if kind in ("response", "revisit"):
-            payload = block.partition(b"\r\n\r\n")[2]
-            whole = kind == "response"
-            digest = fields.get("warc-payload-digest", "").removeprefix("sha1:")
-            if whole and digest and hashlib.sha1(payload).hexdigest() != digest:
-                raise ValueError(f"{out['record_id']}: the payload doesn't have its digest")
-            return out | {"kind": "capture", "capture": out["record_id"], "record_type": kind, "page_id": page_of(out["record_id"]), "payload_digest": digest, "payload_bytes": len(payload) if whole else None, "refers_to": fields.get("warc-refers-to"), "payload": payload if keep_payload and whole else None}
-        return out | {"kind": kind, "capture": fields.get("warc-concurrent-to"), kind: block.decode("utf-8", "replace")} if kind in names else {}
+def records(lines: Iterator[bytes]) -> Iterator[tuple[list[tuple[str, str]], bytes, str | None]]:
+    """Header fields, block and problem of each record in the lines of an archive, which end with CRLF but come without it."""
+    for line in lines:
+        if not line:
+            continue
+        if not line.startswith(b"WARC/"):
+            skipped = len(line)
+            for line in lines:
+                if line.startswith(b"WARC/"):
+                    break
+                skipped += len(line) + 2
+            yield [], b"", f"{skipped} bytes are no record"
+            if not line.startswith(b"WARC/"):
+                return
+        fields, ended = [], False
+        for x in lines:
+            if not x:
+                ended = True
+                break
+            try:
+                x = x.decode()
+            except UnicodeDecodeError:
+                x = x.decode("latin-1")
+            name, colon, value = x.partition(":")
+            if x[0] in " \t" and fields:
+                fields[-1] = (fields[-1][0], f"{fields[-1][1]} {x.strip()}")
+            elif colon:
+                fields.append((name.strip(), value.strip()))
+        length = next((v for n, v in fields if n.lower() == "content-length"), None)
+        if not ended or length is None or not length.isdigit():
+            yield fields, b"", "no Content-Length" if ended else "ends early"
+            continue
+        length, parts, got = int(length), [], 0
+        while got < length and (x := next(lines, None)) is not None:
+            parts += (x, b"\r\n")
+            got += len(x) + 2
+        block = b"".join(parts)
+        yield fields, block[:length], "ends early" if got < length else "goes on after its Content-Length" if got - length not in (0, 2) or block[length:] not in (b"", b"\r\n") else None
+
+
+def sha1_hex(digest: str) -> str:
+    """Lower-case hex of a SHA-1 given in hex or base32, with or without the algorithm's name; others as they are."""
+    name, _, value = digest.rpartition(":")
+    if name.lower() in ("", "sha1", "sha-1"):
+        if re.fullmatch(r"[0-9a-fA-F]{40}", value):
+            return value.lower()
+        if re.fullmatch(r"[A-Za-z2-7]{32}", value):
+            return base64.b32decode(value.upper()).hex()
+    return digest
+
+
+def row_of(fields: list[tuple[str, str]], block: bytes, problem: str | None, keep_payload: bool) -> dict:
+    of = {}
+    for name, value in fields:
+        of.setdefault(name.lower(), []).append(value)
+    one = lambda name: of.get(name, [None])[0]
+    kind = (one("warc-type") or "").lower() or None
+    out = {"kind": kind, "record_id": one("warc-record-id"), "target_uri": one("warc-target-uri"), "concurrent_to": of.get("warc-concurrent-to", []), "refers_to": one("warc-refers-to"), "headers": [{"name": n, "value": v} for n, v in fields], "problem": problem}
+    digest = sha1_hex(one("warc-payload-digest") or "")
+    if kind in HEADS:
+        http = (one("content-type") or "").startswith("application/http")
+        payload = block.partition(b"\r\n\r\n")[2] if http else block
+        if kind != "revisit":
+            own = hashlib.sha1(payload).hexdigest()
+            if not problem and len(digest) == 40 and digest != own:
+                out["problem"] = "the payload doesn't have its digest"
+            digest = digest or own
+            out |= {"payload_bytes": len(payload), "payload": payload if keep_payload else None}
+    elif kind in ("request", "metadata"):
+        out["block"] = block.decode("utf-8", "replace")
+    return out | {"payload_digest": digest or None}
+
+
+SCHEMA = pa.schema([
+    *((x, pa.string()) for x in ("kind", "record_id", "target_uri")), ("concurrent_to", pa.list_(pa.string())), ("refers_to", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()),
+    ("headers", pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))), ("block", pa.string()), ("payload", pa.binary()), ("problem", pa.string()),
+])
+
+
+def parsed(keep_payload: bool, whole_files: bool):
+    """From batches of (file, a line or all bytes) to rows of RECORD."""
 
     def run(batches):
-        for batch in batches:
-            for data in batch.column(0):
-                rows, size = [], 0
-                for fields, block in records(data.as_py()):
-                    if x := row(fields, block):
-                        rows.append(x)
-                        size += len(x["payload"] or b"") + 400
-                    if size > 4_000_000:
-                        yield pa.RecordBatch.from_pylist(rows, schema=SCHEMA)
-                        rows, size = [], 0
-                yield pa.RecordBatch.from_pylist(rows, schema=SCHEMA)
+        pairs = (x for b in batches for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        rows, size = [], 0
+        for _, own in groupby(pairs, lambda x: x[0]):
+            lines = (line for _, x in own for line in (x.split(b"\r\n") if whole_files else (x,)))
+            for fields, block, problem in records(lines):
+                rows.append(row_of(fields, block, problem, keep_payload))
+                size += len(block) + 400
+                if size > 4_000_000:
+                    yield pa.RecordBatch.from_pylist(rows, schema=SCHEMA)
+                    rows, size = [], 0
+        yield pa.RecordBatch.from_pylist(rows, schema=SCHEMA)
 
     return run
 
 
-SCHEMA = pa.schema([(x.split()[0], {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[x.split()[1]]) for x in RECORD.split(", ")])
+def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+    """One row for each record of the archives under path (names end with .gz, or not if they are plain)."""
+    lines = spark.read.option("lineSep", "\r\n").option("pathGlobFilter", "*.gz").text(path).select("_metadata.file_path", F.col("value").cast("binary"))
+    plain = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc").load(path).select("path", "content")
+    return lines.mapInArrow(parsed(payload, False), RECORD).unionByName(plain.mapInArrow(parsed(payload, True), RECORD))
 
 
-def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """One row for each record under path."""
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(parsed(payload), RECORD)
+def tied(found: DataFrame) -> DataFrame:
+    """(head, kind, record) of each request and metadata record and each capture that it belongs to.
+
+    A record that names another request or metadata record, or is named by it, belongs where that one does.
+    """
+    record = F.struct("record_id", "headers", "block").alias("record")
+    others = found.where("kind IN ('request', 'metadata')")
+    heads = found.where(F.col("kind").isin(*HEADS))
+    names = others.select("kind", record, F.explode("concurrent_to").alias("to"))
+    named = heads.where(F.size("concurrent_to") > 0).select(F.col("record_id").alias("head"), F.explode("concurrent_to").alias("to")).distinct()
+    named = named.join(others.select(F.col("record_id").alias("to"), "kind", record), "to")
+    direct = names.select(F.col("to").alias("head"), "kind", "record").unionByName(named.select("head", "kind", "record"))
+    steps = direct.select(F.col("record.record_id").alias("to"), "head").distinct()
+    return direct.unionByName(names.join(steps, "to").select("head", "kind", "record"))
 
 
 def assemble(found: DataFrame) -> DataFrame:
-    """One row for each capture: its record's columns, and its request and metadata blocks (null where there is none)."""
-    heads = found.where("kind = 'capture'").drop("kind", "request", "metadata")
-    other = lambda kind: found.where(f"kind = '{kind}'").groupBy("capture").agg(F.min(kind).alias(kind))
-    out = heads.join(other("request"), "capture", "left").join(other("metadata"), "capture", "left")
-    return out.withColumn("payload_bytes", F.coalesce("payload_bytes", F.regexp_extract("metadata", r"(?m)^payload-bytes: (\d+)", 1).try_cast("long")))
+    """One row for each capture: its record's columns, and its request and metadata records, each an array of (record_id, headers, block)."""
+    of = lambda kind: F.collect_set(F.when(F.col("kind") == kind, F.col("record")))
+    others = tied(found).groupBy("head").agg(of("request").alias("requests"), of("metadata").alias("metadata"))
+    heads = found.where(F.col("kind").isin(*HEADS)).drop("concurrent_to", "block")
+    out = heads.join(others.withColumnRenamed("head", "record_id"), "record_id", "left")
+    none = F.array().cast("array<struct<record_id:string,headers:" + PAIRS + ",block:string>>")
+    noted = F.regexp_extract(F.array_join(F.transform("metadata", lambda m: m["block"]), "\n"), r"(?m)^payload-bytes: (\d+)", 1).try_cast("long")
+    return out.withColumns({"payload_bytes": F.coalesce("payload_bytes", noted), "requests": F.coalesce("requests", none), "metadata": F.coalesce("metadata", none)})
+
+
+def loose(found: DataFrame) -> DataFrame:
+    """Request and metadata records that belong to no capture."""
+    heads = found.where(F.col("kind").isin(*HEADS)).select(F.col("record_id").alias("head")).distinct()
+    at_home = tied(found).join(heads, "head").select("record.record_id").distinct()
+    return found.where("kind IN ('request', 'metadata')").join(at_home, "record_id", "left_anti")
 
 
 def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/wickflow/warc-{uuid.uuid4().hex}"
-    write_archives(read(spark, sf_dir, "pages"), path)
-    out = assemble(written(read_archives(spark, path, payload=False), "records"))
-    # A record id holds its page's id: 16 hex digits, past the version and variant digits.
-    h = F.regexp_replace(F.col("refers_to"), r"^<urn:uuid:|[->]", "")
-    bits = F.conv(F.concat(F.substring(h, 1, 12), F.substring(h, 14, 3), F.substring(h, 18, 1)), 16, -10).cast("long")
-    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", F.when(F.substring(h, 17, 1) == "8", bits).alias("refers_to"))
+    with scratch(spark) as keep:
+        path = shared_path(spark, "warc")
+        write_archives(read(spark, sf_dir, "pages"), path)
+        found = keep(written(read_archives(spark, path, payload=False), "records"))
+    return assemble(found).select(page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), page_of(F.col("refers_to")).alias("refers_to"))
 
 
 ORACLE = """
