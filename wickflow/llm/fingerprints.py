@@ -69,7 +69,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 def as_text(hashes: np.ndarray, positions: np.ndarray) -> str:
     """Eight hex digits of each hash, and eight of its position."""
-    return np.stack([hashes.astype(">u4"), positions.astype(">u4")], 1).tobytes().hex()
+    return np.stack([hashes.astype(np.uint32), positions.astype(np.uint32)], 1).astype(">u4").tobytes().hex()
 
 
 def covered(hashes: np.ndarray, positions: np.ndarray, other: np.ndarray, n: int, k: int = K) -> int:
