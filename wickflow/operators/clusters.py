@@ -1,7 +1,9 @@
-"""Clusters of described windows."""
+"""Clusters of windows."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,40 +16,68 @@ def nearest(centres: Column, v: Column) -> Column:
     return F.array_min(F.transform(centres, lambda c, i: F.struct(far(c).alias("distance"), i.alias("cluster"))))
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the session's shared folder, or checkpointed where only that folder of Spark's own is set."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return df.checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df
+    path = f"{folder}/wickflow/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def kmeans(points: DataFrame, k: int = 8, rounds: int = 25) -> DataFrame:
-    """points (series, end, v) with cluster and distance, by Lloyd's rounds from evenly spaced points of each series.
+    """(series, centres) of points (series, end, v), by Lloyd's rounds from evenly spaced points of each series; k at most as many as points.
 
-    The centres of a series are k short arrays in one row; that table is joined on the series, by broadcast if Spark finds
-    it small enough. Each round is one aggregate. It ends when no centre of any series moves.
+    The points are written once. The centres of a series are k short arrays in one row; that table is joined on the series, by
+    broadcast if Spark finds it small enough. Each round is one aggregate. It ends when no centre of any series moves.
     """
+    points = stored(points, "points")
     w, whole = Window.partitionBy(*SERIES).orderBy("end"), Window.partitionBy(*SERIES)
     ranked = points.withColumns({"_i": F.row_number().over(w) - 1, "_n": F.count("*").over(whole)})
-    seeds = ranked.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).where(F.col("_i") == F.floor(F.col("_j") * (F.col("_n") - 1) / (k - 1)).cast("int"))
+    seeds = ranked.withColumn("_j", F.explode(F.sequence(F.lit(0), F.least(F.lit(k), "_n") - 1))).where(F.col("_i") == F.floor(F.col("_j") * F.coalesce(F.try_divide(F.col("_n") - 1, F.least(F.lit(k), "_n") - 1), F.lit(0.0))).cast("int"))
     centres = seeds.groupBy(*SERIES).agg(F.transform(F.array_sort(F.collect_list(F.struct("_j", "v"))), lambda x: x["v"]).alias("centres"))
     before = None
     for _ in range(rounds):
-        centres = centres.checkpoint() if centres.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else centres.cache()
-        at = points.join(centres, SERIES).withColumn("_", nearest(F.col("centres"), F.col("v")))
-        place = F.posexplode("v")
-        sums = at.select(*SERIES, F.col("_.cluster").alias("cluster"), place.alias("pos", "x")).groupBy(*SERIES, "cluster", "pos").agg(F.avg("x").alias("x"))
-        new = sums.groupBy(*SERIES, "cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("_v"))
-        new = new.groupBy(*SERIES).agg(F.map_from_entries(F.collect_list(F.struct("cluster", "_v"))).alias("_new"))
-        centres = centres.join(new, SERIES).select(*SERIES, F.transform("centres", lambda c, i: F.coalesce(F.try_element_at(F.col("_new"), i), c)).alias("centres"))
+        centres = stored(centres, "centres")
         now = centres.agg(F.sum(F.xxhash64("centres").cast("decimal(38,0)"))).first()[0]
         if now == before:
             break
         before = now
+        at = points.join(centres, SERIES).withColumn("_", nearest(F.col("centres"), F.col("v")))
+        sums = at.select(*SERIES, F.col("_.cluster").alias("cluster"), F.posexplode("v").alias("pos", "x")).groupBy(*SERIES, "cluster", "pos").agg(F.avg("x").alias("x"))
+        new = sums.groupBy(*SERIES, "cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("_v"))
+        new = new.groupBy(*SERIES).agg(F.map_from_entries(F.collect_list(F.struct("cluster", "_v"))).alias("_new"))
+        centres = centres.join(new, SERIES).select(*SERIES, F.transform("centres", lambda c, i: F.coalesce(F.try_element_at(F.col("_new"), i), c)).alias("centres"))
+    return stored(centres, "centres")
+
+
+def assigned(points: DataFrame, centres: DataFrame) -> DataFrame:
+    """points with the cluster of the nearest of their series' centres, and its distance."""
     out = points.join(centres, SERIES).withColumn("_", nearest(F.col("centres"), F.col("v")))
     return out.select(*points.columns, F.col("_.cluster").alias("cluster"), F.col("_.distance").alias("distance"))
 
 
-def cluster_name(direction: Column, range_level: Column, alternation: Column) -> Column:
-    d = F.when(direction >= 0.2, "BULLISH").when(direction <= -0.2, "BEARISH").otherwise("BALANCED")
-    return F.concat_ws("_", d, F.when(range_level >= 0.2, "WIDE").otherwise("NARROW"), F.when(alternation >= 0.2, "ALTERNATING").otherwise("STEADY"))
+def cluster_name(v: Column) -> Column:
+    """By a centre's first, second and fourth value: balance of direction, alternation and range."""
+    three = lambda i, high, low, mid: F.when(F.get(v, i) > 0.20, high).when(F.get(v, i) < -0.20, low).otherwise(mid)
+    return F.concat_ws(" | ", three(0, "BULL_BIASED", "BEAR_BIASED", "BALANCED"), three(3, "WIDE_RANGE", "TIGHT_RANGE", "MID_RANGE"), three(1, "HIGH_ALTERNATION", "LOW_ALTERNATION", "MID_ALTERNATION"))
+
+
+def summary(history: DataFrame, current: DataFrame, centres: DataFrame) -> DataFrame:
+    """A row for each cluster: name, windows, share, distance from the current window, and whether that is in it."""
+    sizes = assigned(history, centres).groupBy(*SERIES, "cluster").agg(F.count("*").alias("windows"))
+    far = F.aggregate(F.zip_with("centre", "v", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x) / F.size("v")
+    each = centres.select(*SERIES, F.posexplode("centres").alias("cluster", "centre")).join(current.select(*SERIES, "v"), SERIES).withColumn("distance_from_current", far)
+    first = Window.partitionBy(*SERIES).orderBy("distance_from_current", "cluster")
+    out = each.withColumn("is_current_cluster", F.row_number().over(first) == 1).join(sizes, [*SERIES, "cluster"], "left").fillna(0, ["windows"])
+    share = F.col("windows") * 100.0 / F.sum("windows").over(Window.partitionBy(*SERIES))
+    return out.select(*SERIES, "cluster", cluster_name(F.col("centre")).alias("name"), "windows", share.alias("share_pct"), "distance_from_current", "is_current_cluster")
 
 
-def rarity(clustered: DataFrame) -> DataFrame:
-    """For each series' last window: its cluster, distance, and the share of windows whose distance is no greater."""
-    last = F.max("end").over(Window.partitionBy(*SERIES))
-    out = clustered.withColumn("_last", last).withColumn("_now", F.max(F.when(F.col("end") == F.col("_last"), F.col("distance"))).over(Window.partitionBy(*SERIES)))
-    return out.groupBy(*SERIES).agg(F.max(F.when(F.col("end") == F.col("_last"), F.col("cluster"))).alias("cluster"), F.max("_now").alias("distance"), (F.avg((F.col("distance") <= F.col("_now")).cast("double")) * 100).alias("rarity_pct"))
+def rarity(history: DataFrame, current: DataFrame, centres: DataFrame) -> DataFrame:
+    """For each series' current window: its cluster, distance, and the share of windows that are no farther from their own cluster."""
+    now = assigned(current, centres).select(*SERIES, F.col("cluster").alias("current_cluster"), F.col("distance").alias("current_distance"))
+    out = assigned(history, centres).join(now, SERIES)
+    return out.groupBy(*SERIES, "current_cluster", "current_distance").agg(F.count("*").alias("windows"), (F.avg((F.col("distance") <= F.col("current_distance")).cast("double")) * 100).alias("rarity_pct"))

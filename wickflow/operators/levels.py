@@ -1,25 +1,30 @@
 """Price levels of a window's first half, and how its second half reacts to them.
 
-A window is a handful of rows, and its levels merge in an order that depends on what merged before, so each window is
-read in Python: windows come as arrays, many in an Arrow batch, from aggregates that spread over windows.
+A window is one row with its candles in an array, so everything here is an expression over small arrays: levels are a fold over
+sorted candidates, touches a transform of the second half, and episodes a fold over touches. Nothing is shuffled but the
+candles, once by series.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass, field
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .windows import KEYS, laid_out
+from .windows import KEYS, array_mean, array_median, ended, frame, last_candles, let, mean
 
+#: Reach of a level and distance at which levels merge, in true ranges; least body of a zone and least growth, in medians.
 TOUCH, MERGE, BODY, GROWN = 0.20, 0.50, 1.25, 1.25
-EPISODE_GAP, EPISODE_NEAR = 3, 0.0015
-COUNTS = ["interaction_count", "break_count", "hold_count", "rejection_count", "pullback_count", "repeated_level_tests", "reaction_expansion_count", "swing_high_tests", "swing_low_tests", "body_zone_tests", "level_count"]
-EVENT = "local_index int, level_price double, level_type string, interaction string, repeated_test boolean, post_interaction_expansion boolean"
+#: Candles between, and share of the price from the first to any, of touches in one episode; wick of a rejection.
+EPISODE_GAP, EPISODE_NEAR, WICK = 3, 0.0015, 0.35
+#: What is counted of a window's touches.
+COUNTS = ["interaction_count", "break_count", "hold_count", "rejection_count", "pullback_count", "repeated_level_tests", "reaction_expansion_count", "swing_high_tests", "swing_low_tests", "body_zone_tests"]
+#: Means of both halves and their difference.
+SHIFTED = {"direction": "direction", "range": "raw_range", "body": "raw_body", "close_location": "raw_close"}
+#: What is told of a touch.
+EVENT = ["local_index", "open_time", "level_price", "level_type", "interaction", "repeated_test", "post_interaction_expansion", "open", "high", "low", "close", "volume"]
+PLACES = ["first_interaction_position", "last_interaction_position"]
+FEATURES = [*COUNTS, *(x for k in SHIFTED for x in (f"first_{k}", f"second_{k}", f"{k}_shift")), *PLACES]
+STORY_FEATURES = [*FEATURES, "level_count"]
 
 
 def prior_levels(candles: DataFrame, n: int = 20) -> DataFrame:
@@ -27,7 +32,7 @@ def prior_levels(candles: DataFrame, n: int = 20) -> DataFrame:
 
     Distances are by a fifth of the earlier candle's range; of equal ones the earliest candle, then high, low, body.
     """
-    w = laid_out(candles, n).where("end = last").select(*KEYS, "off", "open", "high", "low", "close")
+    w = last_candles(candles, n).select(*KEYS, "off", "open", "high", "low", "close")
     level = lambda i, name, x: F.struct(F.lit(i).alias("order"), F.lit(name).alias("level_type"), x.alias("level"))
     before = w.select(*KEYS, F.col("off").alias("source"), F.greatest((F.col("high") - F.col("low")) * TOUCH, F.lit(1e-12)).alias("tolerance"), F.explode(F.array(
         level(0, "PRIOR_HIGH", F.col("high")), level(1, "PRIOR_LOW", F.col("low")), level(2, "PRIOR_BODY", (F.col("open") + F.col("close")) / 2))).alias("_"))
@@ -40,119 +45,156 @@ def prior_levels(candles: DataFrame, n: int = 20) -> DataFrame:
     return out.withColumn("event", kind).drop("high", "low", "close", "tolerance")
 
 
-@dataclass
-class Level:
-    price: float
-    kinds: set = field(default_factory=set)
-
-
-@dataclass
-class Bars:
-    """A window as arrays. atr is a rolling median of true ranges, filled backwards."""
-
-    o: np.ndarray
-    h: np.ndarray
-    l: np.ndarray  # noqa: E741
-    c: np.ndarray
-
-    def __post_init__(self) -> None:
-        before = np.concatenate([self.c[:1], self.c[:-1]])
-        true = np.maximum(self.h - self.l, np.maximum(abs(self.h - before), abs(self.l - before)))
-        rolled = pd.Series(true).rolling(14, min_periods=3).median().bfill().to_numpy()
-        self.atr = np.maximum(np.nan_to_num(rolled, nan=1e-12), 1e-12)
-        self.range = np.maximum(self.h - self.l, 1e-12)
-        self.direction, self.body = np.sign(self.c - self.o), abs(self.c - self.o)
-        self.split = len(self.c) // 2
-
-    def levels(self) -> list[Level]:
-        """Swings and bodies of the first half; in order of price, each joins the level before it if that is near."""
-        found, wide = [], BODY * np.median(self.body[: self.split]) if self.split else 0.0
-        for i in range(1, self.split - 1):
-            if self.h[i] >= max(self.h[i - 1], self.h[i + 1]):
-                found.append((self.h[i], i, "SWING_HIGH"))
-            if self.l[i] <= min(self.l[i - 1], self.l[i + 1]):
-                found.append((self.l[i], i, "SWING_LOW"))
-        found += [((self.o[i] + self.c[i]) / 2, i, "BODY_ZONE") for i in range(self.split) if self.body[i] >= wide > 0]
-        out: list[Level] = []
-        for price, i, kind in sorted(found):
-            if out and abs(price - out[-1].price) <= MERGE * self.atr[i]:
-                out[-1].price = (out[-1].price + price) / 2
-                out[-1].kinds.add(kind)
-            else:
-                out.append(Level(price, {kind}))
-        return out
-
-    def events(self, levels: list[Level]) -> list[dict]:
-        """What each candle of the second half does at the nearest level in reach."""
-        out, tested = [], set()
-        for i in range(self.split, len(self.c)):
-            tol = max(self.atr[i] * TOUCH, 1e-12)
-            near = [(min(abs(self.h[i] - x.price), abs(self.l[i] - x.price), abs(self.c[i] - x.price)), k) for k, x in enumerate(levels)]
-            far, k = min(near, default=(np.inf, -1))
-            if far > tol:
-                continue
-            p, kinds = levels[k].price, levels[k].kinds
-            above, below = self.c[i] > p + tol, self.c[i] < p - tol
-            upper, lower = (self.h[i] - max(self.o[i], self.c[i])) / self.range[i], (min(self.o[i], self.c[i]) - self.l[i]) / self.range[i]
-            broke = bool((self.l[i] < p - tol and above) or (self.h[i] > p + tol and below))
-            rejected = bool((kinds & {"SWING_HIGH", "BODY_ZONE"} and upper >= 0.35 and self.c[i] < p) or (kinds & {"SWING_LOW", "BODY_ZONE"} and lower >= 0.35 and self.c[i] > p))
-            held = bool(("SWING_HIGH" in kinds and not above) or ("SWING_LOW" in kinds and not below))
-            recent = np.sign(self.direction[max(0, i - 3) : i].mean()) if i > self.split else 0
-            pulled = bool(recent and self.direction[i] and self.direction[i] != recent)
-            grew = bool(i + 1 < len(self.c) and self.range[i + 1] > GROWN * np.median(self.range[max(self.split, i - 4) : i + 1]))
-            label = "REJECTION" if rejected else "BREAK" if broke else "HOLD" if held else "PULLBACK" if pulled else "TEST"
-            out.append({
-                "local_index": i, "level_price": float(p), "level_type": "+".join(sorted(kinds)), "interaction": label, "repeated_test": k in tested, "post_interaction_expansion": grew,
-                "_flags": (broke, held, rejected, pulled, k in tested, grew, "SWING_HIGH" in kinds, "SWING_LOW" in kinds, "BODY_ZONE" in kinds),
-            })
-            tested.add(k)
-        return out
-
-
-def episodes(events: list[dict]) -> list[str]:
-    """Story tokens: neighbouring events at one level are one episode, which has one token, and one more if range grew after."""
-    groups: list[list[dict]] = []
-    for e in events:
-        first = groups[-1][0]["level_price"] if groups else None
-        near = groups and abs(e["level_price"] - first) / max(abs(first), 1e-9) <= EPISODE_NEAR and e["local_index"] - groups[-1][-1]["local_index"] <= EPISODE_GAP
-        groups[-1].append(e) if near else groups.append([e])
-    tokens = []
-    for g in groups:
-        kinds = {e["interaction"] for e in g}
-        named = "PULLBACK" if kinds == {"PULLBACK"} else next((k for k in ("REJECTION", "HOLD") if k in kinds and len(kinds) <= 2), None)
-        tokens.append(f"{named}_CLUSTER" if named else "REPEATED_TEST_CLUSTER" if any(e["repeated_test"] for e in g) else "LEVEL_INTERACTION_CLUSTER")
-        if any(e["post_interaction_expansion"] for e in g):
-            tokens.append("EXPANSION_AFTER_TEST")
-    return [t for i, t in enumerate(tokens) if not i or t != tokens[i - 1]]
-
-
-OUT = "symbol string, timeframe string, end long, " + ", ".join(f"{c} int" for c in COUNTS) + ", first_interaction_position double, last_interaction_position double, level_tokens array<string>, events array<struct<" + EVENT.replace(" ", ":").replace(",:", ",") + ">>"
+def zone_bounds(price: Column, rng: Column, tolerance: float = TOUCH) -> Column:
+    """The zone around a price, of a candle's range."""
+    reach = F.greatest(rng * tolerance, F.lit(1e-12))
+    return F.struct((price - reach).alias("low"), (price + reach).alias("high"))
 
 
-def level_rows(windows: DataFrame, n: int = 20) -> DataFrame:
-    """Counts, tokens and events of each window of laid_out candles."""
-    rows = F.array_sort(F.collect_list(F.struct("off", "open", "high", "low", "close")))
-    packed = windows.groupBy(*KEYS).agg(rows.alias("_")).select("symbol", "timeframe", F.col("end").cast("long").alias("end"), *(F.col(f"_.{k}").alias(k) for k in ("open", "high", "low", "close")))
-    columns = [x.split()[0] for x in OUT.split(", level_tokens")[0].split(", ")] + ["level_tokens", "events"]
+def windows_of(candles: DataFrame, n: int = 20) -> DataFrame:
+    """A row for each window of candles (with raw_anatomy): its candles as an array, and the means that stories start from."""
+    half, third = n // 2, n // 3
+    means = {f"{side}_{k}": mean(c, n, *at) for k, c in SHIFTED.items() for side, at in (("first", (0, half)), ("second", (half, n)))}
+    thirds = {f"direction_{i}": mean("direction", n, a, b) for i, (a, b) in enumerate([(0, third), (third, 2 * third), (2 * third, n)])}
+    bars = F.collect_list(F.struct("open_time", "open", "high", "low", "close", "volume", F.col("raw_range").alias("range"), "direction"))
+    return ended(candles, n, {"bars": bars.over(frame(n)), **means, **thirds})
+
+
+def places(a: int, b: int) -> Column:
+    return F.sequence(F.lit(a), F.lit(b - 1)) if b > a else F.array().cast("array<int>")
+
+
+def true_ranges(bars: Column, n: int) -> Column:
+    """Median of the last 14 true ranges within the window at each candle; the first two have that of the third."""
+    def at(i: Column) -> Column:
+        own, before = F.get(bars, i), F.get(bars, F.greatest(i - 1, F.lit(0)))["close"]
+        return F.greatest(own["high"] - own["low"], F.abs(own["high"] - before), F.abs(own["low"] - before))
+
+    def rolled(ranges: Column) -> Column:
+        return F.transform(places(0, n), lambda i: let(F.greatest(i, F.lit(2)), lambda k: F.greatest(array_median(F.slice(ranges, F.greatest(k - 13, F.lit(0)) + 1, F.least(k + 1, F.lit(14)))), F.lit(1e-12))))
+
+    return let(F.transform(places(0, n), at), rolled)
+
+
+def candidates(bars: Column, half: int) -> Column:
+    """Swing highs and lows and wide bodies of the first half as (price, order, place, kind), by price."""
+    body = lambda b: F.abs(b["close"] - b["open"])
+    one = lambda yes, price, order, i, kind: F.when(yes, F.struct(price.alias("price"), order.alias("order"), i.alias("place"), F.lit(kind).alias("kind")))
+
+    def swings(i: Column) -> Column:
+        b, before, after = F.get(bars, i), F.get(bars, i - 1), F.get(bars, i + 1)
+        return F.array(one(b["high"] >= F.greatest(before["high"], after["high"]), b["high"], 2 * i, i, "SWING_HIGH"), one(b["low"] <= F.least(before["low"], after["low"]), b["low"], 2 * i + 1, i, "SWING_LOW"))
+
+    def zones(wide: Column) -> Column:
+        at = lambda i: let(F.get(bars, i), lambda b: one((body(b) > 0) & (body(b) >= wide), (b["open"] + b["close"]) / 2, 2 * half + i, i, "BODY_ZONE"))
+        return F.transform(places(0, half), at)
+
+    wide = array_median(F.transform(F.slice(bars, 1, half), body)) * BODY
+    return F.array_sort(F.array_compact(F.concat(F.flatten(F.transform(places(1, half - 1), swings)), let(wide, zones))))
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for symbol, timeframe, end, *prices in batch.itertuples(index=False, name=None):
-                bars = Bars(*(np.asarray(p, float) for p in prices))
-                levels = bars.levels()
-                events = bars.events(levels)
-                flags = [sum(e["_flags"][i] for e in events) for i in range(9)]
-                reacting = max(len(bars.c) - bars.split, 1)
-                places = [events[i]["local_index"] / reacting if events else -1.0 for i in (0, -1)]
-                out.append((symbol, timeframe, end, len(events), *flags, len(levels), *places, episodes(events), [{k: v for k, v in e.items() if k != "_flags"} for e in events]))
-            yield pd.DataFrame(out, columns=columns)
+LEVELS = "array<struct<price:double,kinds:array<string>>>"
 
-    return packed.mapInPandas(run, OUT)
 
+def merged(found: Column, atr: Column) -> Column:
+    """Candidates in order, each joined to the first level in reach (at the middle of both prices) or a level of its own."""
 
-def last_windows(candles: DataFrame, n: int = 20, every: int = 1) -> DataFrame:
-    """laid_out windows that end every so many candles back from the last of their series."""
-    return laid_out(candles, n).where((F.col("last") - F.col("end")) % every == 0)
+    def join(levels: Column, x: Column) -> Column:
+        reach = F.greatest(F.get(atr, x["place"]) * MERGE, F.lit(1e-12))
+        near = F.array_position(F.transform(levels, lambda e: F.abs(x["price"] - e["price"]) <= reach), True)
+        new = F.array(F.struct(x["price"].alias("price"), F.array(x["kind"]).alias("kinds")))
+        both = lambda e: F.struct(((e["price"] + x["price"]) / 2).alias("price"), F.array_union(e["kinds"], F.array(x["kind"])).alias("kinds"))
+        return let(near, lambda at: F.when(at == 0, F.concat(levels, new)).otherwise(F.transform(levels, lambda e, j: F.when(j + 1 == at, both(e)).otherwise(e))))
 
+    return F.aggregate(found, F.array().cast(LEVELS), join)
 
+
+def touches(bars: Column, atr: Column, levels: Column, half: int, n: int) -> Column:
+    """For each candle of the second half that reaches a level: the nearest one, and what the candle does there."""
+
+    def nearest(i: Column) -> Column:
+        b = F.get(bars, i)
+        reach = F.greatest(F.get(atr, i) * TOUCH, F.lit(1e-12))
+        far = F.transform(levels, lambda e, j: F.struct(F.least(F.abs(b["high"] - e["price"]), F.abs(b["low"] - e["price"]), F.abs(b["close"] - e["price"])).alias("far"), j.alias("level")))
+        return let(F.array_min(far), lambda x: F.when(x["far"] <= reach, F.struct(i.alias("i"), x["level"].alias("level"), reach.alias("reach"))))
+
+    def told(hits: Column, x: Column, k: Column) -> Column:
+        i, b, e, r = x["i"], F.get(bars, x["i"]), F.get(levels, x["level"]), x["reach"]
+        o, h, lo, c, p, kinds = b["open"], b["high"], b["low"], b["close"], e["price"], e["kinds"]
+        high, low, zone = (F.array_contains(kinds, kind) for kind in ("SWING_HIGH", "SWING_LOW", "BODY_ZONE"))
+        crossed = ((lo < p - r) & (c > p + r)) | ((h > p + r) & (c < p - r))
+        upper, lower = (h - F.greatest(o, c)) / b["range"], (F.least(o, c) - lo) / b["range"]
+        rejected = ((high | zone) & (upper >= WICK) & (c < p)) | ((low | zone) & (lower >= WICK) & (c > p))
+        held = (high & (c <= p + r)) | (low & (c >= p - r))
+        recent = F.when(i > half, F.signum(array_mean(F.transform(F.slice(bars, F.greatest(i - 3, F.lit(0)) + 1, F.least(i, F.lit(3))), lambda y: y["direction"])))).otherwise(0.0)
+        turned = (recent != 0) & (b["direction"] != 0) & (b["direction"] != recent)
+        since = F.greatest(i - 4, F.lit(half))
+        usual = array_median(F.transform(F.slice(bars, since + 1, i - since + 1), lambda y: y["range"]))
+        grew = F.coalesce((i + 1 < n) & (F.get(bars, i + 1)["range"] > usual * GROWN), F.lit(False))
+        again = F.exists(F.slice(hits, 1, k), lambda y: y["level"] == x["level"])
+        label = F.when(rejected, "REJECTION").when(crossed, "BREAK").when(held, "HOLD").when(turned, "PULLBACK").otherwise("TEST")
+        flag = lambda v, name: v.cast("int").alias(name)
+        return F.struct(
+            i.alias("local_index"), b["open_time"].alias("open_time"), p.alias("level_price"), F.array_join(F.array_sort(kinds), "+").alias("level_type"), label.alias("interaction"), flag(again, "repeated_test"),
+            flag(grew, "post_interaction_expansion"), *(b[k].alias(k) for k in ("open", "high", "low", "close", "volume")), flag(crossed, "_break"), flag(held, "_hold"), flag(rejected, "_rejection"), flag(turned, "_pullback"),
+            flag(high, "_high"), flag(low, "_low"), flag(zone, "_zone"),
+        )
+
+    return let(F.array_compact(F.transform(places(half, n), nearest)), lambda hits: F.transform(hits, lambda x, k: told(hits, x, k)))
+
+
+EPISODES = "array<struct<first:double,last:int,kinds:array<string>,again:int,grew:int>>"
+
+
+def episodes(events: Column) -> Column:
+    """Story tokens: neighbouring touches at one level are one episode, which has one token, and one more if range grew after."""
+
+    def join(groups: Column, x: Column) -> Column:
+        g = F.get(groups, F.size(groups) - 1)
+        near = (F.abs(x["level_price"] - g["first"]) / F.greatest(F.abs(g["first"]), F.lit(1e-9)) <= EPISODE_NEAR) & (x["local_index"] - g["last"] <= EPISODE_GAP)
+        row = lambda first, kinds, again, grew: F.array(F.struct(first.alias("first"), x["local_index"].alias("last"), kinds.alias("kinds"), again.alias("again"), grew.alias("grew")))
+        kind, again, grew = F.array(x["interaction"]), x["repeated_test"], x["post_interaction_expansion"]
+        more = row(g["first"], F.array_union(g["kinds"], kind), F.greatest(g["again"], again), F.greatest(g["grew"], grew))
+        return F.when(F.coalesce(near, F.lit(False)), F.concat(F.slice(groups, 1, F.greatest(F.size(groups) - 1, F.lit(0))), more)).otherwise(F.concat(groups, row(x["level_price"], kind, again, grew)))
+
+    def named(g: Column) -> Column:
+        has, few = (lambda k: F.array_contains(g["kinds"], k)), F.size(g["kinds"]) <= 2
+        token = F.when(has("PULLBACK") & (F.size(g["kinds"]) == 1), "PULLBACK_CLUSTER").when(has("REJECTION") & few, "REJECTION_CLUSTER").when(has("HOLD") & few, "HOLD_CLUSTER").when(g["again"] > 0, "REPEATED_TEST_CLUSTER").otherwise("LEVEL_INTERACTION_CLUSTER")
+        return F.array_compact(F.array(token, F.when(g["grew"] > 0, "EXPANSION_AFTER_TEST")))
+
+    return let(F.flatten(F.transform(F.aggregate(events, F.array().cast(EPISODES), join), named)), lambda t: F.filter(t, lambda x, i: (i == 0) | (x != F.get(t, i - 1))))
+
+
+def level_rows(windows: DataFrame, n: int = 20) -> DataFrame:
+    """windows_of with STORY_FEATURES, level_story, events (an array) and level_tokens of each window."""
+    half = n // 2
+    w = windows.withColumn("atr", true_ranges(F.col("bars"), n))
+    w = w.withColumn("levels", merged(candidates(F.col("bars"), half), F.col("atr")))
+    w = w.withColumn("events", touches(F.col("bars"), F.col("atr"), F.col("levels"), half, n)).drop("bars", "atr")
+    e = F.col("events")
+    total = lambda name: F.aggregate(e, F.lit(0), lambda t, x: t + x[name])
+    counted = dict(zip(COUNTS[1:], ["_break", "_hold", "_rejection", "_pullback", "repeated_test", "post_interaction_expansion", "_high", "_low", "_zone"], strict=True))
+    at = lambda i: F.when(F.size(e) > 0, F.element_at(e, i)["local_index"] / max(n - half, 1)).otherwise(-1.0)
+    w = w.withColumns({"interaction_count": F.size(e), **{k: total(v) for k, v in counted.items()}, "level_count": F.size("levels"), PLACES[0]: at(1), PLACES[1]: at(-1), "level_tokens": episodes(e)})
+    shown = lambda x: F.struct(*(x[k].alias(k) for k in EVENT))
+    w = w.withColumn("events", F.transform(e, shown))
+    w = w.withColumns({f"{k}_shift": F.col(f"second_{k}") - F.col(f"first_{k}") for k in SHIFTED})
+    said = [("interaction_count", "MEANINGFUL_LEVEL_TEST"), ("pullback_count", "PULLBACK_TO_LEVEL"), ("rejection_count", "REJECTION"), ("break_count", "BREAK"), ("hold_count", "HOLD"), ("repeated_level_tests", "REPEATED_TEST"), ("reaction_expansion_count", "POST_TEST_EXPANSION")]
+    story = F.array_join(F.array_compact(F.array(*(F.when(F.col(k) > 0, v) for k, v in said))), " -> ")
+    return w.withColumn("level_story", F.when(story == "", "NO_MEANINGFUL_LEVEL_INTERACTION").otherwise(story)).drop("levels")
+
+
+def level_events(rows: DataFrame) -> DataFrame:
+    """A row for each touch of the windows of level_rows."""
+    # Outer, since Spark would else filter by the array's size first, and compute it with all it depends on for that alone.
+    return rows.select(*KEYS, F.inline_outer("events")).where("local_index IS NOT NULL")
+
+
+#: What is said of counts, in order.
+SAID = [("rejection_count", "some tests were rejected"), ("hold_count", "some areas held"), ("pullback_count", "there were returns toward tested areas"), ("repeated_level_tests", "some areas were visited repeatedly")]
+
+
+def explained_levels() -> Column:
+    """A sentence on the counts of level_rows."""
+    text = F.array_join(F.array_compact(F.array(*(F.when(F.col(k) > 0, v) for k, v in SAID))), ", ")
+    return F.concat(F.when(text == "", "few level interactions were detected").otherwise(text), F.lit("."))

@@ -29,6 +29,8 @@ def measure(endpoints: DataFrame, candles: DataFrame, horizons=HORIZONS, target_
 
     One window pass over the candles measures every possible endpoint, so endpoints only look up their row: no range join.
     """
+    if not horizons or min(horizons) <= 0 or target_pct <= 0 or stop_pct <= 0:
+        raise ValueError("horizons, target and stop must be positive")
     w = lambda h: Window.partitionBy(*SERIES).orderBy("idx").rowsBetween(1, h)
     up, down, p = 1 + target_pct / 100, 1 - stop_pct / 100, F.col("close")
     bars = lambda h: F.collect_list(F.struct("high", "low")).over(w(h))
@@ -48,6 +50,15 @@ def measure(endpoints: DataFrame, candles: DataFrame, horizons=HORIZONS, target_
     return out.select(*endpoints.columns, F.col("close").alias("entry_price"), F.explode(F.array(*(row(h) for h in horizons))).alias("_")).select(*endpoints.columns, "entry_price", "_.*")
 
 
+#: Normal quantiles of confidence levels; any other level is read as 95 %.
+Z = {0.90: 1.6448536269514722, 0.95: Z95, 0.99: 2.5758293035489004}
+
+
+def wilson_at(s: Column, n: Column, confidence: float = 0.95) -> tuple[Column, Column]:
+    """wilson at a tabulated confidence level."""
+    return wilson(s, n, Z.get(round(confidence, 2), Z95))
+
+
 def wilson(s: Column, n: Column, z: float = Z95) -> tuple[Column, Column]:
     """Bounds of Wilson's score interval; null without samples."""
     p, n = F.try_divide(s.cast("double"), n.cast("double")), n.cast("double")
@@ -107,14 +118,75 @@ def spaced(rows: DataFrame, at: str, spacing: int, order: list, by: list[str] =
     return rows.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(run, schema)
 
 
-def sampled_endpoints(pivots: DataFrame, lengths: DataFrame, n: int = 8, most: int = 250, spacing: int = 50, horizon: int = 50) -> DataFrame:
-    """Every so many eligible pivots, at most `most`, then those at least spacing apart."""
-    fit = pivots.join(lengths, SERIES).where((F.col("position") >= 2 * n - 1) & (F.col("confirmation_index") + horizon < F.col("length")))
+def sampled_endpoints(pivots: DataFrame, candles: DataFrame, n: int = 8, most: int = 250, spacing: int = 50, horizon: int = 50) -> DataFrame:
+    """Of each series' pivots with n runs before and horizon candles after, every so many, at most `most`; of those the ones spaced apart."""
+    lengths = candles.groupBy(*SERIES).agg(F.count("*").alias("_length"))
+    fit = pivots.join(lengths, SERIES).where((F.col("position") >= 2 * n - 1) & (F.col("confirmation_index") + horizon < F.col("_length")))
     w, whole = Window.partitionBy(*SERIES).orderBy("position"), Window.partitionBy(*SERIES)
     fit = fit.withColumns({"_k": F.row_number().over(w) - 1, "_n": F.count("*").over(whole)})
     stride = F.greatest(F.lit(1), F.ceil(F.col("_n") / most))
     fit = fit.where((F.col("_k") % stride == 0) & (F.col("_k") / stride < most))
-    return spaced(fit.select(*SERIES, "position", "index", "confirmation_index"), "confirmation_index", spacing, ["confirmation_index"])
+    return spaced(fit.select(*SERIES, "position", "index", "confirmation_index"), "confirmation_index", spacing, ["position"])
+
+
+def deoverlapped(outcomes: DataFrame, horizon: int) -> DataFrame:
+    """outcomes (series, endpoint_index, target, similarity) by entry, then target, then falling similarity: those horizon candles after the last one kept."""
+    ordered = outcomes.withColumn("_unlike", -F.col("similarity"))
+    return spaced(ordered, "endpoint_index", horizon, ["endpoint_index", "target", "_unlike"]).drop("_unlike")
+
+
+def on_prefixes(candles: DataFrame, function, schema: str, start: int = 0) -> DataFrame:
+    """function (a frame of all candles up to a row, the row's idx) -> value, for each row from start on: series, idx, open_time, signal.
+
+    schema: the value's type. A task streams through a series and hands each prefix on as a view, so a row adds no copy.
+    """
+    import pandas as pd
+
+    columns = candles.columns
+    out = f"symbol string, timeframe string, idx long, open_time long, signal {schema}"
+
+    def run(batches):
+        key, held = None, None
+        for batch in batches:
+            for own, part in batch.groupby(SERIES, sort=False):
+                held = pd.concat([held, part], ignore_index=True) if own == key else part.reset_index(drop=True)
+                key, first = own, len(held) - len(part)
+                rows = [(*own, i, held.open_time.iloc[i], function(held.iloc[: i + 1], i)) for i in range(max(start, first), len(held))]
+                yield pd.DataFrame(rows, columns=[x.split()[0] for x in out.split(", ")])
+
+    return candles.select(*columns).repartition(*SERIES).sortWithinPartitions(*SERIES, "open_time").mapInPandas(run, out)
+
+
+#: Candles that a reversal's episode has up to its confirmation; least distance of confirmations of matches.
+EPISODE, MIN_GAP = 20, 5
+
+
+def reversal_events(pivots: DataFrame, candles: DataFrame) -> DataFrame:
+    """Reversals with 20 candles up to their confirmation and one after: ids by position, times, prices, delay and the episode's bounds."""
+    last = candles.groupBy(*SERIES).agg(F.max("idx").alias("_last"))
+    at = lambda name, columns: candles.select(*SERIES, F.col("idx").alias(name), *(F.col(c).alias(k) for c, k in columns.items()))
+    out = pivots.join(last, SERIES).where((F.col("confirmation_index") >= EPISODE - 1) & (F.col("confirmation_index") < F.col("_last")))
+    out = out.join(at("index", {"open_time": "pivot_time"}), [*SERIES, "index"]).join(at("confirmation_index", {"open_time": "confirmation_time", "close": "confirmation_close"}), [*SERIES, "confirmation_index"])
+    number = (F.col("position") + 1).cast("string")
+    return out.select(
+        *SERIES, F.concat(F.lit("R"), F.when(F.length(number) < 5, F.lpad(number, 5, "0")).otherwise(number)).alias("event_id"), "position", F.col("index").alias("pivot_index"), "confirmation_index", "direction", F.col("price").alias("pivot_price"), "pivot_time",
+        "confirmation_time", "confirmation_close", (F.col("confirmation_index") - F.col("index")).alias("confirmation_delay_candles"), (F.col("confirmation_index") - EPISODE + 1).alias("pre_window_start"), F.col("confirmation_index").alias("pre_window_end"),
+    )
+
+
+def reversal_matches(events: DataFrame, windows: DataFrame, top_k: int = 10) -> DataFrame:
+    """For every event the earlier ones of its direction, MIN_GAP candles apart at least, whose episodes are most like its own.
+
+    windows: (series, end, v) with all features of a window's candles scaled within it, in one array.
+    """
+    p = events.join(windows.withColumnRenamed("end", "confirmation_index"), [*SERIES, "confirmation_index"])
+    a = p.select(*SERIES, "direction", "event_id", F.col("position").alias("_p"), F.col("confirmation_index").alias("_c"), F.col("v").alias("_v"))
+    b = p.select(*SERIES, "direction", F.col("event_id").alias("match_event_id"), "position", "confirmation_index", F.col("pivot_price").alias("match_pivot_price"), F.col("confirmation_close").alias("match_confirmation_close"), "v")
+    both = a.join(b, [*SERIES, "direction"]).where((F.col("position") < F.col("_p")) & (F.abs(F.col("confirmation_index") - F.col("_c")) >= MIN_GAP))
+    squares = F.aggregate(F.zip_with("v", "_v", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x)
+    scored = both.withColumn("similarity", F.exp(-F.sqrt(squares / F.size("v"))))
+    rank = Window.partitionBy(*SERIES, "event_id").orderBy(F.desc(F.round("similarity", 9)), "position")
+    return scored.withColumn("match_rank", F.row_number().over(rank)).where(F.col("match_rank") <= top_k).drop("v", "_v", "_p", "_c", "position", "confirmation_index")
 
 
 def signed_forward(events: DataFrame, candles: DataFrame, horizons=HORIZONS) -> DataFrame:

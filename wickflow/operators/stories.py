@@ -41,21 +41,44 @@ def families(tokens: Column) -> Column:
     return without_repeats(F.transform(tokens, lambda x: family(x)))
 
 
-def phases(n: int) -> Column:
-    """Tokens of a described window (see windows.described): its opening, and what changes in its second half."""
-    d1, d2, r1, r2, b1, b2 = (F.col(x) for x in ("direction_first", "direction_second", "range_first", "range_second", "body_first", "body_second"))
-    tokens = [
-        F.when(d1 >= 0.25, "INITIAL_BULLISH").when(d1 <= -0.25, "INITIAL_BEARISH").otherwise("INITIAL_BALANCED"), F.when(r2 > r1 * 1.2, "RANGE_EXPANSION").when(r2 < r1 * 0.8, "RANGE_COMPRESSION"),
-        F.when((d1 * d2 < -0.03) & (F.abs(d2 - d1) >= 0.35), "DIRECTIONAL_SHIFT").when(F.abs(d2 - d1) >= 0.35, "DIRECTION_CHANGE_IN_CHARACTER"), F.when(b2 > b1 * 1.2, "BODY_EXPANSION").when(b2 < b1 * 0.8, "BODY_COMPRESSION"),
-    ]
-    return F.array_compact(F.array(*tokens))
+#: The phases that open a story.
+OPENINGS = ("INITIAL_BULLISH_BIAS", "INITIAL_BEARISH_BIAS", "INITIAL_BALANCED_BEHAVIOUR")
+NO_STORY = "NO_MEANINGFUL_STORY"
+
+
+def phases() -> Column:
+    """Tokens of a window of levels.windows_of: its opening, and what changes in its second half; ranges and bodies in units of price."""
+    d1, d2, r1, r2, b1, b2 = (F.col(f"{side}_{k}") for k in ("direction", "range", "body") for side in ("first", "second"))
+    x, y, z = (F.col(f"direction_{i}") for i in range(3))  # thirds
+    turn = F.abs(d2 - d1) >= 0.35
+    return F.array_compact(F.array(
+        F.when(d1 >= 0.25, OPENINGS[0]).when(d1 <= -0.25, OPENINGS[1]).otherwise(OPENINGS[2]), F.when(r2 > r1 * 1.2, "RANGE_EXPANSION").when(r2 < r1 * 0.8, "RANGE_COMPRESSION"),
+        F.when((d1 * d2 < -0.03) & turn, "DIRECTIONAL_SHIFT").when(turn, "DIRECTION_CHANGE_IN_CHARACTER"), F.when(b2 > b1 * 1.2, "BODY_EXPANSION").when(b2 < b1 * 0.8, "BODY_COMPRESSION"),
+        F.when((x * y < -0.05) & (z * x > 0.02), "COUNTERMOVE_AND_RENEWAL"),
+    ))
+
+
+def told(level_rows: DataFrame) -> DataFrame:
+    """Rows of levels.level_rows with their story's tokens: phases, then episodes at levels."""
+    return level_rows.withColumn("tokens", without_repeats(F.concat(phases(), F.col("level_tokens"))))
+
+
+def story(tokens: Column) -> Column:
+    return F.when(F.size(tokens) == 0, NO_STORY).otherwise(F.array_join(tokens, " -> "))
+
+
+def feature_similarity(columns: list[str], own: str = "own_") -> Column:
+    """1 / (1 + root mean square difference) of columns and those with a prefix, each by a quarter of the latter's size, or 1."""
+    far = [F.pow((F.col(c) - F.col(f"{own}{c}")) / F.greatest(F.abs(F.col(f"{own}{c}")) * 0.25, F.lit(1.0)), 2) for c in columns]
+    return 1 / (1 + F.sqrt(sum(far, F.lit(0.0)) / len(columns)))
 
 
 def transitions(stories: DataFrame, tokens: str = "tokens") -> DataFrame:
     """stories with a row for each pair of neighbouring tokens: place, from_token, to_token."""
     t = F.col(tokens)
     pairs = F.transform(F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))), lambda x, i: F.struct(i.alias("place"), F.get(t, i).alias("from_token"), x.alias("to_token")))
-    return stories.select(*(c for c in stories.columns if c != tokens), F.inline(pairs))
+    # Outer: see levels.level_events.
+    return stories.select(*(c for c in stories.columns if c != tokens), F.inline_outer(pairs)).where("place IS NOT NULL")
 
 
 def transition_counts(stories: DataFrame, group: str, id: str, tokens: str = "tokens") -> DataFrame:
@@ -104,52 +127,71 @@ def weighted_distance(a: list[str], b: list[str], cost: float) -> float:
     return float(row[-1])
 
 
+#: Tokens that are compared place by place.
+SIGNATURE = 16
+
+
 def sequence_similarity(a: list[str], b: list[str]) -> float:
-    """Weighted edits, identity by place, and likeness of length; 0 if either is empty."""
+    """Weighted edits, identity by place and likeness of the places' spacing over the first tokens; 0 if either is empty."""
     a, b = list(a), list(b)
     if not a or not b:
         return 0.0
-    longest = max(len(a), len(b))
-    edit = 1 - weighted_distance(a, b, 0.35) / longest
-    same = sum(x == y for x, y in zip(a, b, strict=False)) / longest
-    x, y = a[:16], b[:16]
-    spacing = 1 - abs(len(x) - len(y)) / max(len(x), len(y))
-    return 0.60 * edit + 0.25 * same + 0.15 * spacing
+    edit = 1 - weighted_distance(a, b, 0.35) / max(len(a), len(b))
+    n, m = (min(len(x), SIGNATURE) for x in (a, b))
+    same = np.mean([x == y for x, y in zip(a[:n], b[:m], strict=False)])
+    k = np.arange(min(n, m))
+    spacing = 1 - np.mean(abs(k / max(n - 1, 1) - k / max(m - 1, 1)))
+    return float(np.clip(0.60 * edit + 0.25 * same + 0.15 * spacing, 0, 1))
 
 
 @F.pandas_udf(T.DoubleType())
 def story_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([sequence_similarity(x, y) for x, y in zip(a, b, strict=True)])
+    return pd.Series([sequence_similarity(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
+
+
+@F.pandas_udf(T.DoubleType())
+def family_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    """1 less the weighted edits of two family sequences by the longer's length; 0 if either is empty."""
+    return pd.Series([1 - weighted_distance(list(x), list(y), 0.5) / max(len(x), len(y)) if len(x) and len(y) else 0.0 for x, y in zip(a, b, strict=True)], dtype=float).clip(0)
+
 
+def aligned(score: Column) -> Column:
+    return F.when(score >= 0.75, "HIGH_FAMILY_ALIGNMENT").when(score >= 0.50, "MODERATE_FAMILY_ALIGNMENT").otherwise("LOW_FAMILY_ALIGNMENT")
 
-def leader_clusters(stories: DataFrame, order: str, limit: float = 0.48, by: str | None = None) -> DataFrame:
-    """stories (id, tokens) with the leader each follows: the nearest earlier leader within limit, the first of equal ones.
 
-    Each group is one stream in order; its state is the leaders, not the stories.
+#: Distance beyond which a story leads a new archetype; shares of tokens and of transitions in it.
+LEADER, TOKENS_SHARE, PAIRS_SHARE = 0.48, 0.7, 0.3
+
+
+def leader_clusters(stories: DataFrame, order: str, by: str, names: list[str]) -> DataFrame:
+    """stories (by, order and a token array for each of names) with the archetype whose leader each follows, and the distance.
+
+    In order, a row follows the nearest leader so far (the first of equal ones) or leads a new archetype. The distance of two rows is
+    that of their token arrays, on average over names (1 for an empty one), and of all their transitions. The order decides, so
+    each group is one stream; its state is its leaders. It is meant for ranked lists of bounded length, such as the best matches.
     """
-    names, schema = stories.columns, T.StructType([*stories.schema.fields, T.StructField("cluster", T.IntegerType()), T.StructField("distance", T.DoubleType())])
-    at, key = names.index("tokens"), names.index(by) if by else None
+    columns = stories.columns
+    schema = T.StructType([*stories.schema.fields, T.StructField("cluster", T.IntegerType()), T.StructField("distance", T.DoubleType())])
+    at, key = [columns.index(x) for x in names], columns.index(by)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         group, leaders = None, []
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False, name=None):
-                own = row[key] if by else 0
-                if own != group:
-                    group, leaders = own, []
-                tokens = list(row[at])
-                pairs = set(zip(tokens, tokens[1:], strict=False))
-                found = [(0.7 * _normal(tokens, t) + 0.3 * (1 - _jaccard(pairs, p)), i) for i, (t, p) in enumerate(leaders)]
+                if row[key] != group:
+                    group, leaders = row[key], []
+                told = [list(row[i]) if row[i] is not None else [] for i in at]
+                pairs = {(i, *p) for i, t in enumerate(told) for p in zip(t, t[1:], strict=False)}
+                found = [(TOKENS_SHARE * float(np.mean([_normal(x, y) for x, y in zip(told, t, strict=True)])) + PAIRS_SHARE * (1 - _jaccard(pairs, p)), i) for i, (t, p) in enumerate(leaders)]
                 best = min(found, default=(2.0, -1))
-                if best[0] > limit:
-                    leaders.append((tokens, pairs))
+                if best[0] > LEADER:
+                    leaders.append((told, pairs))
                     best = (0.0, len(leaders) - 1)
                 out.append((*row, best[1], best[0]))
             yield pd.DataFrame(out, columns=[f.name for f in schema])
 
-    dealt = stories.repartition(by) if by else stories.coalesce(1)
-    return dealt.sortWithinPartitions(*([by] if by else []), order).mapInPandas(run, schema)
+    return stories.repartition(by).sortWithinPartitions(by, order).mapInPandas(run, schema)
 
 
 def _normal(a: list[str], b: list[str]) -> float:
@@ -167,16 +209,49 @@ def _jaccard(a: set, b: set) -> float:
     return len(a & b) / len(a | b) if a | b else 1.0
 
 
-def explained(story: Column) -> Column:
-    """Up to three sentences on a story, by what it contains."""
-    rules = [
-        ("BULLISH", "it opens with buyers"), ("BEARISH", "it opens with sellers"), ("RANGE_EXPANSION", "ranges grow"), ("RANGE_COMPRESSION", "ranges shrink"), ("REJECTION", "a level is rejected"), ("DIRECTION", "direction turns"),
-    ]
-    return F.array_join(F.slice(F.array_compact(F.array(*(F.when(story.contains(k), F.lit(v)) for k, v in rules))), 1, 3), "; ")
+#: What a token's part says, in order, and what is said when none does.
+SAID = [
+    ("COMPRESSION", "Candle movement became tighter at one or more points."), ("EXPANSION", "Candle movement became wider at one or more points."), ("DIRECTION", "The balance between upward and downward candles changed."),
+    ("REJECTION", "There were signs of rejection around tested areas."), ("HOLD", "There were periods where price stayed around an area."), ("REPEATED_TEST", "Some areas were tested repeatedly."),
+]
+MIXED = "The window shows mixed candle behaviour without a single dominant event."
+
+
+def explained(tokens: Column) -> Column:
+    """Up to three sentences on a story, by what its tokens contain."""
+    has = lambda part: F.exists(tokens, lambda t: t.contains(part))
+    text = F.array_join(F.slice(F.array_compact(F.array(*(F.when(has(k), v) for k, v in SAID))), 1, 3), " ")
+    return F.when(text == "", MIXED).otherwise(text)
+
+
+def cross_summary(now: DataFrame, order: Column) -> DataFrame:
+    """For each symbol what its timeframes' current windows (direction_shift, range_shift in units of price) have in common."""
+    lists = lambda where: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(where, F.struct(order.alias("o"), F.col("timeframe").alias("t"))))), lambda x: x["t"]), ", ")
+    out = now.groupBy("symbol").agg(lists(F.col("direction_shift") > 0.1).alias("upward"), lists(F.col("direction_shift") < -0.1).alias("downward"), F.bool_or(F.col("range_shift") > 0.05).alias("wider"), F.bool_or(F.col("range_shift") < -0.05).alias("tighter"))
+    says = lambda c, text: F.when(F.col(c) != "", F.concat(F.lit(f"More {text} behaviour is appearing on "), F.col(c), F.lit(". "))).otherwise("")
+    direction = F.concat(says("upward", "upward"), says("downward", "downward"), F.when((F.col("upward") == "") & (F.col("downward") == ""), "No large direction shift is visible in these measurements.").otherwise(""))
+    spread = F.concat(F.when(F.col("wider"), "Some timeframes show wider candle movement. ").otherwise(""), F.when(F.col("tighter"), "Some timeframes show tighter candle movement. ").otherwise(""))
+    return out.withColumns({"direction_text": direction, "range_text": F.concat(spread, F.lit("This is a description of the measured window."))})
+
+
+def archetype_name(cluster: Column) -> Column:
+    return F.concat(F.lit("ARCH-"), F.lpad((cluster + 1).cast("string"), 2, "0"))
+
+
+def archetype_summary(members: DataFrame, by: str, order: str) -> DataFrame:
+    """Size and share of each archetype of leader_clusters, and its leader, which is its first member."""
+    out = members.groupBy(by, "cluster").agg(F.count("*").alias("occurrence_count"), F.min(order).alias("representative_rank"), F.min_by("reference_timestamp", order).alias("representative_timestamp"), F.avg("distance").alias("mean_distance"))
+    return out.withColumns({"archetype": archetype_name(F.col("cluster")), "occurrence_share": F.col("occurrence_count") / F.sum("occurrence_count").over(Window.partitionBy(by))}).drop("cluster")
+
+
+def archetype_transitions(members: DataFrame, by: str, names: list[str]) -> DataFrame:
+    """In how many of the rows each timeframe's story has a transition, which a row counts once."""
+    whole = members.groupBy(by).agg(F.count("*").alias("_all"))
+    rows = members.select(by, "reference_timestamp", F.explode(F.array(*(F.struct(F.lit(x).alias("timeframe"), F.col(x).alias("tokens")) for x in names))).alias("_")).select(by, "reference_timestamp", "_.*")
+    pairs = transitions(rows).select(by, "reference_timestamp", "timeframe", "from_token", "to_token").distinct()
+    return pairs.groupBy(by, "timeframe", "from_token", "to_token").agg(F.count("*").alias("occurrence_count")).join(whole, by).withColumn("occurrence_share", F.col("occurrence_count") / F.col("_all")).drop("_all")
 
 
-def archetype_summary(clustered: DataFrame, by: str) -> DataFrame:
-    """Size, share, mean distance and leader's story of each cluster; the leader is the first member."""
-    whole = Window.partitionBy(by)
-    out = clustered.groupBy(by, "cluster").agg(F.count("*").alias("members"), F.avg("distance").alias("mean_distance"), F.min_by("story", "end").alias("leader_story"), F.avg(F.size(F.split("story", " -> "))).alias("mean_phases"))
-    return out.withColumn("share_pct", F.col("members") * 100.0 / F.sum("members").over(whole))
+def mean_phases(members: DataFrame, by: str, names: list[str]) -> DataFrame:
+    """Mean number of tokens of each archetype's stories, a column for each timeframe."""
+    return members.groupBy(by, archetype_name(F.col("cluster")).alias("archetype")).agg(*(F.avg(F.coalesce(F.size(x), F.lit(0))).alias(f"phases_{x}") for x in names))

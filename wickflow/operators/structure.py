@@ -81,32 +81,44 @@ PARTS = {"type": 0.40, "swing": 0.20, "leg": 0.20, "duration": 0.15, "shape": 0.
 SCALES = {"swing": 2.0, "leg": 4.0, "duration": 1.0, "shape": 0.05}
 
 
-def match_structures(pivots: DataFrame, targets: DataFrame, n: int = 8, top_k: int = 10, least: float = 0.0, scales: dict[str, float] = SCALES) -> DataFrame:
+def checked(parts: dict[str, float]) -> dict[str, float]:
+    """parts, if they are weights: none negative, and 1 in all."""
+    if min(parts.values()) < 0 or abs(sum(parts.values()) - 1) > 1e-9:
+        raise ValueError("weights must not be negative and must add up to 1")
+    return parts
+
+
+def runs(pivots: DataFrame, n: int) -> DataFrame:
+    """A row for each run of n pivots: position, index and confirmation of its last pivot, the first's index, and all n as arrays."""
+    w = Window.partitionBy(*SERIES).orderBy("position").rowsBetween(1 - n, 0)
+    some = lambda c, d: F.collect_list(F.coalesce(c, F.lit(d))).over(w)
+    price = F.collect_list("normalized_price").over(w)
+    out = pivots.select(
+        *SERIES, F.col("position").alias("end_position"), F.first("index").over(w).alias("start_index"), F.col("index").alias("end_index"), F.col("confirmation_index").alias("confirmation"),
+        some("pivot_type", "?").alias("types"), some("swing_pct", 0.0).alias("swing"), some("leg_pct", 0.0).alias("leg"), some(F.col("bars_since_prev").cast("double"), 1.0).alias("bars"), price.alias("shape"),
+    )
+    return out.where(F.col("end_position") >= n - 1).withColumn("shape", F.transform("shape", lambda x: F.try_divide(x, F.element_at("shape", -1))))
+
+
+def match_structures(pivots: DataFrame, targets: DataFrame, n: int = 8, top_k: int = 10, least: float = 0.0, scales: dict[str, float] = SCALES, parts: dict[str, float] = PARTS) -> DataFrame:
     """The earlier runs of n pivots most like the run that ends at each target (symbol, timeframe, end_position).
 
-    A candidate ends n positions before the target at least, and is confirmed before it. One equi-join on series lays the
-    runs of all targets beside all candidates, pivot by pivot; similarity is an aggregate of it.
+    A candidate ends n positions before the target at least, and is confirmed before it. A run is one row with its pivots in
+    arrays, so a pair of runs is one row too, and its similarity an expression. Targets are a bounded sample of each series
+    (outcomes.sampled_endpoints) or its last pivot.
     """
-    offsets = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    cols = ["pivot_type", "swing_pct", "leg_pct", "bars_since_prev", "normalized_price"]
-    runs = pivots.where(F.col("position") >= 0).withColumn("off", offsets).withColumn("end", F.col("position") + F.lit(n - 1) - F.col("off"))
-    ends = pivots.select(*SERIES, F.col("position").alias("end"), F.col("index").alias("end_index"), F.col("confirmation_index").alias("end_confirmation"), F.col("normalized_price").alias("end_price"))
-    starts = pivots.select(*SERIES, (F.col("position") + n - 1).alias("end"), F.col("index").alias("start_index"))
-    runs = runs.select(*SERIES, "end", "off", *cols).join(ends, [*SERIES, "end"]).join(starts, [*SERIES, "end"])
-    a = targets.where(F.col("end_position") + 1 >= 2 * n).select(*SERIES, F.col("end_position").alias("target")).join(runs.withColumnRenamed("end", "target"), [*SERIES, "target"])
-    a = a.select(*SERIES, "target", "off", *(F.col(c).alias(f"a_{c}") for c in [*cols, "end_confirmation", "end_price"]))
-    b = runs.select(*SERIES, "off", F.col("end").alias("candidate_end_position"), "start_index", "end_index", "end_confirmation", "end_price", *(F.col(c).alias(f"b_{c}") for c in cols))
-    pairs = a.join(b, [*SERIES, "off"]).where((F.col("candidate_end_position") <= F.col("target") - n) & (F.col("end_confirmation") < F.col("a_end_confirmation")))
-    near = lambda c: F.abs(F.coalesce(f"a_{c}", F.lit(0.0)) - F.coalesce(f"b_{c}", F.lit(0.0)))
-    bars = lambda s: F.greatest(F.coalesce(F.col(f"{s}_bars_since_prev").cast("double"), F.lit(1.0)), F.lit(1e-9))
-    rebased = F.abs(F.try_divide(F.col("a_normalized_price"), F.col("a_end_price")) - F.try_divide(F.col("b_normalized_price"), F.col("end_price")))
-    unlike = lambda x, part: F.exp(-F.avg(x) / scales[part])
-    keys = [*SERIES, "target", "candidate_end_position"]
-    scored = pairs.groupBy(*keys).agg(
-        F.first("start_index").alias("candidate_start_index"), F.first("end_index").alias("candidate_end_index"), F.first("end_confirmation").alias("candidate_confirmation_index"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("off", F.coalesce("b_pivot_type", F.lit("?")).alias("t")))), lambda x: x["t"]), " ").alias("pivot_type_sequence"),
-        (PARTS["type"] * F.avg(F.coalesce("a_pivot_type", F.lit("?")).eqNullSafe(F.coalesce("b_pivot_type", F.lit("?"))).cast("double")) + PARTS["swing"] * unlike(near("swing_pct"), "swing") + PARTS["leg"] * unlike(near("leg_pct"), "leg")
-         + PARTS["duration"] * unlike(F.abs(F.ln(bars("a") / bars("b"))), "duration") + PARTS["shape"] * unlike(rebased, "shape")).alias("similarity"),
+    every, parts = runs(pivots, n), checked(parts)
+    a = every.join(targets.select(*SERIES, "end_position").distinct(), [*SERIES, "end_position"]).where(F.col("end_position") + 1 >= 2 * n)
+    a = a.select(*SERIES, F.col("end_position").alias("target"), *(F.col(c).alias(f"a_{c}") for c in ("confirmation", "types", "swing", "leg", "bars", "shape")))
+    pairs = a.join(every, SERIES).where((F.col("end_position") <= F.col("target") - n) & (F.col("confirmation") < F.col("a_confirmation")))
+    mean = lambda c, f: F.aggregate(F.zip_with(f"a_{c}", c, f), F.lit(0.0), lambda t, x: t + x) / n
+    unlike = lambda c, part, f=lambda x, y: F.abs(x - y): F.exp(-mean(c, f) / scales[part])
+    ratio = lambda x, y: F.abs(F.ln(F.greatest(x, F.lit(1e-9)) / F.greatest(y, F.lit(1e-9))))
+    same = mean("types", lambda x, y: (x == y).cast("double"))
+    score = parts["type"] * same + parts["swing"] * unlike("swing", "swing") + parts["leg"] * unlike("leg", "leg") + parts["duration"] * unlike("bars", "duration", ratio) + parts["shape"] * unlike("shape", "shape")
+    scored = pairs.select(
+        *SERIES, "target", F.col("end_position").alias("candidate_end_position"), F.col("start_index").alias("candidate_start_index"), F.col("end_index").alias("candidate_end_index"),
+        F.col("confirmation").alias("candidate_confirmation_index"), F.array_join("types", " ").alias("pivot_type_sequence"), score.alias("similarity"),
     )
     rank = Window.partitionBy(*SERIES, "target").orderBy(F.desc(F.round("similarity", 9)), "candidate_end_index")
     return scored.where(F.col("similarity") >= least).withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= top_k)

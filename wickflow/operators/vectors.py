@@ -31,12 +31,12 @@ def similarities(a: Column, b: Column) -> dict[str, Column]:
 
 
 def dtw(a: np.ndarray, b: np.ndarray) -> float:
-    """Dynamic time warping by absolute difference; a row of the table is one running minimum over the row above."""
-    b = np.asarray(b, float)
+    """Dynamic time warping of numbers or of points (rows), by their distance; a row of the table is one running minimum over the row above."""
+    a, b = (np.asarray(x, float).reshape(len(x), -1) for x in (a, b))
     row = np.full(len(b) + 1, np.inf)
     row[0] = 0.0
     for x in a:
-        cost = np.abs(b - x)
+        cost = np.sqrt(((b - x) ** 2).sum(1))
         above = np.minimum(row[1:], row[:-1])
         new, left = np.empty(len(b) + 1), np.inf
         new[0] = np.inf

@@ -1,13 +1,20 @@
 """Windows of n candles, their similarity, and descriptions of them.
 
-A candle is laid into the n windows that hold it, as rows (series, end, off); all that follows are aggregates by window,
-so the work is spread over windows and not over series.
+A window is a frame of rows that ends at a candle of its series, so all windows of a series are described in one sorted pass:
+one shuffle by series, whatever the number of measures. What pairs windows (with the current one of the series) is an
+equi-join with one row for each series.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.features import WEIGHTS
 from ..sources.candles import SERIES
@@ -16,29 +23,68 @@ FEATURES = list(WEIGHTS)
 KEYS = [*SERIES, "end"]
 
 
-def laid_out(candles: DataFrame, n: int) -> DataFrame:
-    """Indexed candles in each full window that holds them: end is the window's last idx, off counts from 0."""
+def frame(n: int, a: int = 0, b: int | None = None) -> Window:
+    """The places a to b (not included, the end if None) of the window of n candles that ends at a row."""
+    return Window.partitionBy(*SERIES).orderBy("idx").rowsBetween(a - n + 1, (n if b is None else b) - n)
+
+
+def mean(c: str | Column, n: int, a: int = 0, b: int | None = None) -> Column:
+    return F.avg(c).over(frame(n, a, b))
+
+
+def ended(candles: DataFrame, n: int, columns: dict[str, Column]) -> DataFrame:
+    """A row for each full window of indexed candles: series, end (its last idx), last (the series' last idx) and columns over its frame."""
     last = F.max("idx").over(Window.partitionBy(*SERIES))
-    out = candles.withColumn("last", last).withColumn("off", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return out.withColumn("end", F.col("idx") + n - 1 - F.col("off")).where((F.col("end") >= n - 1) & (F.col("end") <= F.col("last")))
+    return candles.select(*SERIES, F.col("idx").alias("end"), last.alias("last"), *(c.alias(k) for k, c in columns.items())).where(F.col("end") >= n - 1)
 
 
-def standardized(windows: DataFrame, columns: list[str], keys: list[str] = KEYS) -> DataFrame:
-    """columns less the median of their window, by 1.4826 times the median absolute deviation (1 where that vanishes)."""
-    half = F.lit(0.5)
-    med = windows.groupBy(*keys).agg(*(F.percentile(c, half).alias(f"_m_{c}") for c in columns))
-    out = windows.join(med, keys)
-    mad = out.groupBy(*keys).agg(*((F.percentile(F.abs(F.col(c) - F.col(f"_m_{c}")), half) * 1.4826).alias(f"_s_{c}") for c in columns))
-    scaled = {c: (F.col(c) - F.col(f"_m_{c}")) / F.when(F.col(f"_s_{c}") < 1e-6, 1.0).otherwise(F.col(f"_s_{c}")) for c in columns}
-    return out.join(mad, keys).withColumns(scaled).drop(*(f"_{k}_{c}" for k in "ms" for c in columns))
+def last_candles(candles: DataFrame, n: int) -> DataFrame:
+    """The candles of each series' last full window: end is the window's last idx, off counts from 0."""
+    last = F.max("idx").over(Window.partitionBy(*SERIES))
+    out = candles.withColumn("end", last).where((F.col("end") >= n - 1) & (F.col("idx") > F.col("end") - n))
+    return out.withColumn("off", F.col("idx") - F.col("end") + n - 1)
+
+
+# ------------------------------------------------------------------ arrays
+
+
+def let(x: Column, then: Callable[[Column], Column]) -> Column:
+    """then(x), with x computed once."""
+    return F.transform(F.array(x), then)[0]
+
+
+def array_median(v: Column) -> Column:
+    middle = lambda s, k: F.get(s, F.floor((F.size(s) - k) / 2).cast("int"))
+    return let(F.array_sort(v), lambda s: (middle(s, 1) + middle(s, 0)) / 2)
+
+
+def array_mean(v: Column) -> Column:
+    return F.aggregate(v, F.lit(0.0), lambda t, x: t + x) / F.size(v)
+
+
+def scaled(v: Column) -> Column:
+    """v less its median, by 1.4826 times the median absolute deviation (1 where that vanishes)."""
+    by = lambda d: let(array_median(F.transform(d, F.abs)) * 1.4826, lambda m: F.when(m < 1e-6, 1.0).otherwise(m))
+    centred = let(array_median(v), lambda m: F.transform(v, lambda x: x - m))
+    return let(centred, lambda d: let(by(d), lambda m: F.transform(d, lambda x: x / m)))
+
+
+def rmse(a: Column, b: Column) -> Column:
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x) / F.size(a))
+
+
+def standardized(featured: DataFrame, n: int, columns: list[str] = FEATURES) -> DataFrame:
+    """A row for each window with each of columns as an array, scaled within the window."""
+    rows = ended(featured, n, {c: F.collect_list(c).over(frame(n)) for c in columns})
+    return rows.withColumns({c: scaled(F.col(c)) for c in columns})
 
 
 def differences(featured: DataFrame, n: int) -> DataFrame:
     """RMSE by feature of each earlier window, that doesn't overlap the last one, against the last window of its series."""
-    z = standardized(laid_out(featured, n), FEATURES)
-    now = z.where("end = last").select(*SERIES, "off", *(F.col(c).alias(f"_c_{c}") for c in FEATURES))
-    both = z.where(F.col("end") < F.col("last") - n + 1).join(now, [*SERIES, "off"])  # now has n rows for each series
-    return both.groupBy(*KEYS).agg(*(F.sqrt(F.avg(F.pow(F.col(c) - F.col(f"_c_{c}"), 2))).alias(c) for c in FEATURES))
+    z = standardized(featured, n)
+    now = z.where("end = last").select(*SERIES, *(F.col(c).alias(f"_c_{c}") for c in FEATURES))
+    both = z.where(F.col("end") < F.col("last") - n + 1).join(now, SERIES)
+    return both.select(*KEYS, *(rmse(F.col(c), F.col(f"_c_{c}")).alias(c) for c in FEATURES))
 
 
 def similarities(featured: DataFrame, n: int = 20) -> DataFrame:
@@ -66,9 +112,84 @@ def contributions(featured: DataFrame, n: int = 20) -> DataFrame:
 
 
 def distribution(featured: DataFrame, n: int = 20) -> DataFrame:
+    """Number, best and quantiles of each series' similarities, and the share of them that are no greater than the best."""
     q = F.percentile("similarity", F.lit([0.5, 0.9, 0.95, 0.99]))
-    out = similarities(featured, n).groupBy(*SERIES).agg(F.count("*").alias("windows"), F.max("similarity").alias("best"), q.alias("_q"))
-    return out.select(*SERIES, "windows", "best", *(F.col("_q")[i].alias(x) for i, x in enumerate(["median", "p90", "p95", "p99"])))
+    best = F.max("similarity")
+    out = similarities(featured, n).groupBy(*SERIES).agg(F.count("*").alias("windows"), best.alias("best"), (F.count_if(F.col("similarity").isNotNull()) * 100.0 / F.count("*")).alias("percentile_of_best"), q.alias("_q"))
+    return out.select(*SERIES, "windows", "best", "percentile_of_best", *(F.col("_q")[i].alias(x) for i, x in enumerate(["median", "p90", "p95", "p99"])))
+
+
+def histogram(scored: DataFrame, column: str = "similarity", bins: int = 60, by: list[str] = SERIES) -> DataFrame:
+    """Counts and density in bins of equal width from each group's least to its greatest value, which the last bin includes."""
+    ends = scored.groupBy(*by).agg(F.min(column).alias("_low"), F.max(column).alias("_high"), F.count("*").alias("_all"))
+    width = (F.col("_high") - F.col("_low")) / bins
+    out = scored.join(ends, by).withColumns({"bin": F.least(F.floor(F.try_divide(F.col(column) - F.col("_low"), width)), F.lit(bins - 1)), "_width": width})
+    return out.where("_width > 0").groupBy(*by, "bin").agg(F.count("*").alias("windows"), F.min(F.col("_low") + F.col("bin") * F.col("_width")).alias("low"), (F.count("*") / F.first("_all") / F.first("_width")).alias("density"))
+
+
+# ------------------------------------------------------------------ vectors of means
+
+
+def measures(n: int, totals: tuple = (), halves: tuple = (), shifts: tuple = ()) -> dict[str, Column]:
+    """Means of whole windows, of their halves, and the second half's less the first's."""
+    first, second = (lambda c: mean(c, n, 0, n // 2)), (lambda c: mean(c, n, n // 2))
+    out = {c: mean(c, n) for c in totals}
+    for c in halves:
+        out |= {f"{c}_first": first(c), f"{c}_second": second(c)}
+    return out | {f"{c}_shift": second(c) - first(c) for c in shifts}
+
+
+BASIC = ("direction", "body_pct", "range_ratio", "upper_wick_pct", "lower_wick_pct", "close_location", "alternation")
+#: The measures of a regime, of a window among timeframes, and of the coarse screen of stories.
+REGIME = {"totals": BASIC, "halves": ("direction", "body_pct", "range_ratio", "close_location", "alternation"), "shifts": ("range_ratio", "body_pct", "direction", "close_location", "upper_wick_pct", "lower_wick_pct")}
+HISTORY = {"totals": BASIC, "halves": ("direction", "range_ratio", "body_pct", "close_location", "alternation"), "shifts": ("range_ratio", "direction")}
+RAW = ("direction", "raw_range", "raw_body", "raw_close")
+SCREEN = {"halves": (*RAW, "changed", "small_body", "large_body", "upper_rejection", "lower_rejection"), "shifts": RAW}
+
+
+def vectors(candles: DataFrame, n: int, of: dict[str, tuple], more: dict[str, Column] | None = None) -> tuple[DataFrame, list[str]]:
+    """A row for each window with the measures of (totals, halves, shifts), and their names."""
+    columns = measures(n, **of)
+    return ended(candles, n, columns | (more or {})), list(columns)
+
+
+def fingerprint_measures(n: int) -> dict[str, Column]:
+    """70 means: of the window, of its four quarters and of its five fifths."""
+    d, b, r, c = (F.col(x) for x in ("direction", "body_pct", "range_ratio", "close_location"))
+    out = {x: mean(x, n) for x in ("direction", "alternation", "body_pct", "range_ratio", "upper_wick_pct", "lower_wick_pct", "close_location")}
+    shares = {"small": b <= 0.25, "large": b >= 0.60, "tight": r <= 0.85, "wide": r >= 1.15, "high": c >= 0.65, "low": c <= 0.35, "bull": d > 0, "bear": d < 0}
+    out |= {k: mean(v.cast("double"), n) for k, v in shares.items()}
+    for parts, names in ((4, ("direction", "body_pct", "range_ratio", "close_location", "alternation")), (5, BASIC)):
+        if n % parts:
+            raise ValueError(f"windows must be divisible by {parts}")
+        size = n // parts
+        out |= {f"{x}_{parts}_{i}": mean(x, n, i * size, (i + 1) * size) for i in range(parts) for x in names}
+    return out
+
+
+def spreads(rows: DataFrame, columns: list[str], by: list[str] = SERIES) -> DataFrame:
+    """Of each group the median of each column (_m_) and 1.4826 times its median absolute deviation (_s_; 1 where that vanishes)."""
+    half = F.lit(0.5)
+    middle = rows.groupBy(*by).agg(*(F.percentile(c, half).alias(f"_m_{c}") for c in columns))
+    mad = rows.join(middle, by).groupBy(*by).agg(*((F.percentile(F.abs(F.col(c) - F.col(f"_m_{c}")), half) * 1.4826).alias(f"_s_{c}") for c in columns))
+    return middle.join(mad, by).withColumns({f"_s_{c}": F.when(F.col(f"_s_{c}") < 1e-6, 1.0).otherwise(F.col(f"_s_{c}")) for c in columns})
+
+
+def by_medians(rows: DataFrame, now: DataFrame, columns: list[str], by: list[str] = SERIES, factor: float = 1.0) -> DataFrame:
+    """rows with similarity exp(-factor * root mean square difference) to their group's row of now, each column by its spread over rows."""
+    own = now.select(*by, *(F.col(c).alias(f"_c_{c}") for c in columns)).join(spreads(rows, columns, by), by)
+    far = F.sqrt(sum((F.pow((F.col(c) - F.col(f"_c_{c}")) / F.col(f"_s_{c}"), 2) for c in columns), F.lit(0.0)) / len(columns))
+    return rows.join(own, by).withColumn("similarity", F.exp(-far * factor)).drop(*(f"_{k}_{c}" for k in "cms" for c in columns))
+
+
+def by_quartiles(rows: DataFrame, columns: list[str], is_query: Column, by: list[str] = SERIES) -> DataFrame:
+    """rows other than the group's query with similarity 1 / (1 + root mean square difference), each column by its group's quartile range."""
+    q = rows.groupBy(*by).agg(*(F.percentile(c, F.lit([0.25, 0.75])).alias(f"_q_{c}") for c in columns))
+    now = rows.where(is_query).select(*by, *(F.col(c).alias(f"_c_{c}") for c in columns))
+    both = rows.where(~is_query).join(q.join(now, by), by)
+    scale = lambda c: F.greatest(F.col(f"_q_{c}")[1] - F.col(f"_q_{c}")[0], F.lit(1e-9))
+    far = F.sqrt(sum((F.pow((F.col(c) - F.col(f"_c_{c}")) / scale(c), 2) for c in columns), F.lit(0.0)) / len(columns))
+    return both.withColumn("similarity", 1 / (1 + far)).drop(*(f"_{k}_{c}" for k in "qc" for c in columns))
 
 
 # ------------------------------------------------------------------ descriptions
@@ -76,22 +197,20 @@ def distribution(featured: DataFrame, n: int = 20) -> DataFrame:
 
 def described(featured: DataFrame, n: int = 20) -> DataFrame:
     """A row for each window: shares and means of the window, its halves and thirds; ranges are scaled back by 5."""
-    w = laid_out(featured, n).withColumn("rr", F.col("range_ratio") * 5)
     half, third = max(1, n // 2), max(1, n // 3)
-    first, second = F.col("off") < half, F.col("off") >= n - half
-    bull, bear = F.col("direction") > 0, F.col("direction") < 0
+    rr, bull, bear = F.col("range_ratio") * 5, F.col("direction") > 0, F.col("direction") < 0
     up, low = F.col("upper_wick_pct") >= 0.35, F.col("lower_wick_pct") >= 0.35
-    share = lambda c: F.avg(c.cast("double"))
-    of = lambda c, where: F.avg(F.when(where, c))
-    both = lambda name, c: [of(c, first).alias(f"{name}_first"), of(c, second).alias(f"{name}_second")]
-    pairs = F.col("off") > 0
-    return w.groupBy(*KEYS, "last").agg(
-        share(bull).alias("bullish"), share(bear).alias("bearish"), F.avg("body_pct").alias("body"), F.avg("rr").alias("range_level"), F.avg("close_location").alias("close_location"),
-        F.avg("alternation").alias("alternation"), of(F.col("alternation"), pairs).alias("pair_alternation"), share(F.col("rr") < 0.75).alias("compression_75"), share(F.col("rr") > 1.25).alias("expansion_125"), share(F.col("rr") < 0.85).alias("compression"),
-        share(F.col("rr") > 1.15).alias("expansion"), share(up).alias("upper_rejection"), share(low).alias("lower_rejection"), share(up | low).alias("either_rejection"), share(F.col("body_pct") <= 0.25).alias("small_body"),
-        share(F.col("body_pct") >= 0.6).alias("large_body"), *both("bull", bull.cast("double")), *both("range", F.col("rr")), *both("direction", F.col("direction")), *both("scaled_range", F.col("range_ratio")),
-        *both("alternation", F.col("alternation")), *both("body", F.col("body_pct")), *both("close", F.col("close_location")), of(F.col("rr"), F.col("off") < third).alias("range_first_third"), of(F.col("rr"), F.col("off") >= n - third).alias("range_last_third"),
-    )
+    share = lambda c: mean(c.cast("double"), n)
+    both = lambda name, c: {f"{name}_first": mean(c, n, 0, half), f"{name}_second": mean(c, n, n - half)}
+    pairs = lambda a, b: F.coalesce(mean("alternation", n, a, b), F.lit(0.0))
+    return ended(featured, n, {
+        "bullish": share(bull), "bearish": share(bear), "body": mean("body_pct", n), "range_level": mean(rr, n), "close_location": mean("close_location", n),
+        "alternation": mean("alternation", n), "pair_alternation": mean("alternation", n, 1), "compression_75": share(rr < 0.75), "expansion_125": share(rr > 1.25), "compression": share(rr < 0.85),
+        "expansion": share(rr > 1.15), "upper_rejection": share(up), "lower_rejection": share(low), "either_rejection": share(up | low), "small_body": share(F.col("body_pct") <= 0.25),
+        "large_body": share(F.col("body_pct") >= 0.6), **both("bull", bull.cast("double")), **both("range", rr), **both("direction", F.col("direction")), **both("scaled_range", F.col("range_ratio")),
+        **both("alternation", F.col("alternation")), **both("body", F.col("body_pct")), **both("close", F.col("close_location")), "range_first_third": mean(rr, n, 0, third), "range_middle_third": mean(rr, n, third, 2 * third),
+        "range_last_third": mean(rr, n, n - third), "alternation_first_third": pairs(1, third), "alternation_last_third": pairs(n - third + 1, n),
+    })
 
 
 def profile() -> Column:
@@ -163,7 +282,7 @@ def transition_type() -> Column:
 
 def blocks(featured: DataFrame, n: int = 20, count: int = 5) -> DataFrame:
     """The last window of each series in count blocks, sizes as even as can be: measures and a label of six parts."""
-    w = laid_out(featured, n).where("end = last").withColumn("rr", F.col("range_ratio") * 5)
+    w = last_candles(featured, n).withColumn("rr", F.col("range_ratio") * 5)
     w = w.withColumn("block", F.ntile(count).over(Window.partitionBy(*KEYS).orderBy("off")))
     share = lambda c: F.avg(c.cast("double"))
     out = w.groupBy(*KEYS, "block").agg(
@@ -197,15 +316,34 @@ def around(candles: DataFrame, centres: DataFrame, radius: int) -> DataFrame:
 
 def tag_matrix(tagged: DataFrame, tags: list[str], n: int = 20) -> DataFrame:
     """One column for each tag: whether the candles of each series' last window have it."""
-    w = laid_out(tagged, n).where("end = last")
+    w = last_candles(tagged, n)
     return w.select(*KEYS, "off", *(F.array_contains(F.split("tags", r"\|"), t).cast("int").alias(t.lower()) for t in tags))
 
 
-def by_quartiles(rows: DataFrame, columns: list[str], is_query: Column, by: list[str] = SERIES) -> DataFrame:
-    """rows other than the group's query with similarity 1 / (1 + root mean square difference), each column by its group's quartile range."""
-    q = rows.groupBy(*by).agg(*(F.percentile(c, F.lit([0.25, 0.75])).alias(f"_q_{c}") for c in columns))
-    now = rows.where(is_query).select(*by, *(F.col(c).alias(f"_c_{c}") for c in columns))
-    both = rows.where(~is_query).join(q, by).join(now, by)
-    scale = lambda c: F.greatest(F.col(f"_q_{c}")[1] - F.col(f"_q_{c}")[0], F.lit(1e-9))
-    far = F.sqrt(sum((F.pow((F.col(c) - F.col(f"_c_{c}")) / scale(c), 2) for c in columns), F.lit(0.0)) / len(columns))
-    return both.withColumn("similarity", 1 / (1 + far)).drop(*(f"_{k}_{c}" for k in "qc" for c in columns))
+#: The components of a window's fingerprint.
+COMPONENTS = [
+    "direction_balance", "alternation", "body_level", "body_shift", "small_body_fraction", "large_body_fraction", "upper_rejection", "lower_rejection", "rejection_balance", "wick_bias", "range_level", "range_shift",
+    "compression_fraction", "expansion_fraction", "expansion_transition", "close_location", "close_shift", "direction_shift", "first_third_alternation", "last_third_alternation", "bullish_fraction", "bearish_fraction",
+    "middle_third_range",
+]
+
+
+@F.pandas_udf(T.StringType())
+def fingerprint_id(v: pd.Series) -> pd.Series:
+    """Of components in order of their names: SHA-1 of the bytes of their values, rounded to two places."""
+    return pd.Series(["FP-" + hashlib.sha1(np.round(np.asarray(x, "<f8"), 2).tobytes()).hexdigest()[:10].upper() for x in v])
+
+
+def fingerprints(described_: DataFrame) -> DataFrame:
+    """Described windows as fingerprints: components, pattern_code and fingerprint_id."""
+    c = F.col
+    shift = lambda name: c(f"{name}_second") - c(f"{name}_first")
+    own = {
+        "direction_balance": c("bullish") - c("bearish"), "alternation": c("pair_alternation"), "body_level": c("body"), "body_shift": shift("body"), "small_body_fraction": c("small_body"), "large_body_fraction": c("large_body"),
+        "upper_rejection": c("upper_rejection"), "lower_rejection": c("lower_rejection"), "rejection_balance": 1 - F.abs(c("upper_rejection") - c("lower_rejection")), "wick_bias": c("lower_rejection") - c("upper_rejection"),
+        "range_level": c("range_level"), "range_shift": shift("range"), "compression_fraction": c("compression"), "expansion_fraction": c("expansion"), "expansion_transition": c("range_last_third") - c("range_first_third"),
+        "close_location": c("close_location"), "close_shift": shift("close"), "direction_shift": shift("bull"), "first_third_alternation": c("alternation_first_third"), "last_third_alternation": c("alternation_last_third"),
+        "bullish_fraction": c("bullish"), "bearish_fraction": c("bearish"), "middle_third_range": c("range_middle_third"),
+    }
+    out = described_.select(*KEYS, "last", pattern_code().alias("pattern_code"), *(own[x].alias(x) for x in COMPONENTS))
+    return out.withColumn("fingerprint_id", fingerprint_id(F.array(*sorted(COMPONENTS))))

@@ -7,6 +7,7 @@ places, in Spark and in SQL.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,12 +22,12 @@ from ..operators import structure as st
 from ..operators import vectors as vc
 from ..operators import windows as wd
 from ..sources import candles as src
-from .oracle import FEATURES, build, summary
+from .oracle import FEATURES, build, medians, summary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 #: In percent; events jump, so turns need a large one.
-THRESHOLD = 30.0
+THRESHOLD, THRESHOLDS = 30.0, (20.0, 30.0, 50.0)
 #: Scales of differences between swings, for jumps of this size.
 SCALES = st.SCALES | {"swing": 1000.0, "leg": 2000.0}
 
@@ -53,8 +54,8 @@ def featured(spark: SparkSession, sf_dir: str, timeframe: str = "1h") -> DataFra
     return ft.candle_features(src.series(spark, sf_dir, timeframe))
 
 
-def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return st.zigzag_turns(src.series(spark, sf_dir), THRESHOLD)
+def turns(spark: SparkSession, sf_dir: str, threshold: float = THRESHOLD) -> DataFrame:
+    return st.zigzag_turns(src.series(spark, sf_dir), threshold)
 
 
 def r(*names: str) -> str:
@@ -193,11 +194,21 @@ def structure_match(spark, sf_dir):
     return st.match_structures(pivots, targets, scales=SCALES).select(*MATCH, "similarity")
 
 
-@query(build(f"SELECT {', '.join(MATCH)}, {r('similarity')} FROM pairs_top WHERE rank <= 5"))
-def walk_forward_matches(spark, sf_dir):
-    """Matches of every endpoint in one join."""
+def walk_forward(spark, sf_dir) -> DataFrame:
+    """Matches of all sampled endpoints in one join."""
     pivots = st.structure(turns(spark, sf_dir))
-    return st.match_structures(pivots, pivots.select(*src.SERIES, F.col("position").alias("end_position")), top_k=5, scales=SCALES).select(*MATCH, "similarity")
+    ends = oc.sampled_endpoints(pivots, src.series(spark, sf_dir)).select(*src.SERIES, F.col("position").alias("end_position"))
+    return st.match_structures(pivots, ends, top_k=5, scales=SCALES)
+
+
+@query(build(f"SELECT {', '.join(MATCH)}, {r('similarity')} FROM pairs_top JOIN sampled USING (symbol, target) WHERE rank <= 5"))
+def walk_forward_matches(spark, sf_dir):
+    return walk_forward(spark, sf_dir).select(*MATCH, "similarity")
+
+
+@query(build("SELECT symbol, target FROM sampled"))
+def walk_forward_endpoints(spark, sf_dir):
+    return oc.sampled_endpoints(st.structure(turns(spark, sf_dir)), src.series(spark, sf_dir)).select("symbol", F.col("position").alias("target"))
 
 
 def endpoint_outcomes(spark, sf_dir) -> DataFrame:
@@ -216,11 +227,13 @@ def outcome_summary_ci(spark, sf_dir):
 
 
 def matched_outcomes(spark, sf_dir) -> DataFrame:
-    found = walk_forward_matches(spark, sf_dir).withColumns({"timeframe": F.lit("1h"), "endpoint_index": F.col("candidate_confirmation_index")})
+    found = walk_forward(spark, sf_dir).withColumn("endpoint_index", F.col("candidate_confirmation_index"))
     return oc.measure(found.select(*src.SERIES, "endpoint_index", "target", "rank", "similarity"), src.series(spark, sf_dir))
 
 
-MO = "SELECT o.*, p.target, p.rank, p.similarity FROM outcomes o JOIN pairs_top p ON p.symbol = o.symbol AND p.candidate_confirmation_index = o.endpoint_index WHERE p.rank <= 5"
+# An entry may be an endpoint of its own or not, so its outcome is measured here.
+MO = """SELECT p.symbol, p.target, p.rank, p.similarity, p.candidate_confirmation_index AS endpoint_index, o.horizon, o.target_first, o.return_pct FROM pairs_top p JOIN sampled s ON s.symbol = p.symbol AND s.target = p.target
+  JOIN outcomes o ON o.symbol = p.symbol AND o.endpoint_index = p.candidate_confirmation_index WHERE p.rank <= 5"""
 
 
 @query(build(f"SELECT symbol, target, rank, endpoint_index, horizon, target_first, {r('similarity', 'return_pct')} FROM mo", mo=MO))
@@ -245,30 +258,94 @@ def returns_summary(spark, sf_dir):
     return oc.summarize_returns(oc.forward_outcomes(src.series(spark, sf_dir), 10), "forward_return", "symbol")
 
 
-@query(build("""SELECT symbol, here AS endpoint_index FROM kept WHERE keep""", numbered="SELECT symbol, endpoint_index, row_number() OVER (PARTITION BY symbol ORDER BY endpoint_index) AS n FROM ends",
-    kept="SELECT symbol, n, endpoint_index AS here, endpoint_index AS held, true AS keep FROM numbered WHERE n = 1 UNION ALL SELECT e.symbol, e.n, e.endpoint_index, CASE WHEN e.endpoint_index - k.held >= 20 THEN e.endpoint_index ELSE k.held END, e.endpoint_index - k.held >= 20 FROM kept k JOIN numbered e ON e.symbol = k.symbol AND e.n = k.n + 1"))
+@query(build("SELECT symbol, target, endpoint_index FROM kept WHERE keep", numbered="SELECT p.symbol, p.target, candidate_confirmation_index AS endpoint_index, row_number() OVER (PARTITION BY p.symbol ORDER BY candidate_confirmation_index, p.target, similarity DESC) AS n FROM pairs_top p JOIN sampled s ON s.symbol = p.symbol AND s.target = p.target WHERE p.rank <= 5",
+    kept="SELECT symbol, n, target, endpoint_index, endpoint_index AS held, true AS keep FROM numbered WHERE n = 1 UNION ALL SELECT e.symbol, e.n, e.target, e.endpoint_index, CASE WHEN e.endpoint_index - k.held >= 50 THEN e.endpoint_index ELSE k.held END, e.endpoint_index - k.held >= 50 FROM kept k JOIN numbered e ON e.symbol = k.symbol AND e.n = k.n + 1"))
 def deoverlapped(spark, sf_dir):
-    ends = turns(spark, sf_dir).select(*src.SERIES, F.col("confirmation_index").alias("endpoint_index")).distinct()
-    return oc.spaced(ends, "endpoint_index", 20, ["endpoint_index"]).select("symbol", "endpoint_index")
+    found = walk_forward(spark, sf_dir).withColumn("endpoint_index", F.col("candidate_confirmation_index"))
+    return oc.deoverlapped(found.select(*src.SERIES, "target", "endpoint_index", "similarity"), 50).select("symbol", "target", "endpoint_index")
+
+
+@query(build("""SELECT horizon, samples, target, round(greatest(0.0, (p + zz2 / 2 / samples - z * sqrt((p * (1 - p) + zz2 / 4 / samples) / samples)) / (1 + zz2 / samples)), 6) AS low, round(least(1.0, (p + zz2 / 2 / samples + z * sqrt((p * (1 - p) + zz2 / 4 / samples) / samples)) / (1 + zz2 / samples)), 6) AS high
+  FROM (SELECT *, target / samples::DOUBLE AS p, 1.6448536269514722::DOUBLE AS z, pow(1.6448536269514722::DOUBLE, 2) AS zz2 FROM (SELECT horizon, count(*) AS samples, CAST(count_if(target_first = 'target') AS BIGINT) AS target FROM outcomes GROUP BY ALL))"""))
+def target_rates_90(spark, sf_dir):
+    """Target rates of all endpoints with intervals at a tabulated level."""
+    out = endpoint_outcomes(spark, sf_dir).groupBy("horizon").agg(F.count("*").alias("samples"), F.count_if(F.col("target_first") == "target").alias("target"))
+    low, high = oc.wilson_at(F.col("target"), F.col("samples"), 0.90)
+    return out.select("horizon", "samples", "target", low.alias("low"), high.alias("high"))
+
+
+def above_mean(prefix, i):
+    """Whether the last close of a prefix is above the mean of all of it."""
+    return bool(prefix.close.iloc[-1] > prefix.close.mean() + 1e-9)
+
+
+@query(build("SELECT symbol, idx, open_time, close > avg(close) OVER (PARTITION BY symbol ORDER BY idx) + 1e-9 AS signal FROM c_1h QUALIFY idx >= 20"))
+def prefix_signals(spark, sf_dir):
+    """A signal of each candle from all candles up to it."""
+    return oc.on_prefixes(src.series(spark, sf_dir), above_mean, "boolean", 20).drop("timeframe")
 
 
 EV = "SELECT symbol, index, confirmation_index, direction, h.horizon, c.close AS p, arg_max(n.close, n.idx) AS cl, max(n.high) AS hi, min(n.low) AS lo FROM turns JOIN c_1h c USING (symbol) CROSS JOIN (SELECT unnest([5, 10, 20, 50])::BIGINT AS horizon) h JOIN c_1h n ON n.symbol = turns.symbol AND n.idx > confirmation_index AND n.idx <= confirmation_index + h.horizon WHERE c.idx = confirmation_index GROUP BY ALL"
 RV = "SELECT symbol, index, confirmation_index, direction, horizon, (cl / p - 1) * CASE WHEN direction = 'UP' THEN 100 ELSE -100 END AS signed_return, (CASE WHEN direction = 'UP' THEN hi / p ELSE p / nullif(lo, 0) END - 1) * 100 AS max_favorable, (CASE WHEN direction = 'UP' THEN lo / p ELSE p / nullif(hi, 0) END - 1) * 100 AS max_adverse FROM ev"
 
 
-def reversals(spark, sf_dir) -> DataFrame:
-    return oc.signed_forward(turns(spark, sf_dir), src.series(spark, sf_dir))
+def reversals(spark, sf_dir, threshold: float = THRESHOLD) -> DataFrame:
+    return oc.signed_forward(turns(spark, sf_dir, threshold), src.series(spark, sf_dir))
 
 
-@query(build(f"SELECT symbol, index, confirmation_index, direction, horizon, {r('signed_return', 'max_favorable', 'max_adverse')} FROM rv", ev=EV.replace("SELECT symbol", "SELECT turns.symbol", 1), rv=RV))
+EVENT_COLUMNS = ["event_id", "pivot_index", "confirmation_index", "direction", "pivot_price", "pivot_time", "confirmation_time", "confirmation_close", "confirmation_delay_candles", "pre_window_start", "pre_window_end"]
+RE = """SELECT p.symbol, 'R' || lpad(CAST(position + 1 AS VARCHAR), 5, '0') AS event_id, p.position, p.index AS pivot_index, p.confirmation_index, p.direction, p.price AS pivot_price, a.open_time AS pivot_time, b.open_time AS confirmation_time, b.close AS confirmation_close,
+  p.confirmation_index - p.index AS confirmation_delay_candles, p.confirmation_index - 19 AS pre_window_start, p.confirmation_index AS pre_window_end FROM pivots p JOIN c_1h a ON a.symbol = p.symbol AND a.idx = p.index JOIN c_1h b ON b.symbol = p.symbol AND b.idx = p.confirmation_index
+  WHERE p.confirmation_index >= 19 AND p.confirmation_index + 1 < (SELECT count(*) FROM c_1h c WHERE c.symbol = p.symbol)"""
+
+
+def episodes(spark, sf_dir, threshold: float = THRESHOLD) -> DataFrame:
+    return oc.reversal_events(st.structure(turns(spark, sf_dir, threshold)), src.series(spark, sf_dir))
+
+
+@query(build(f"SELECT symbol, {', '.join(x if x not in ('pivot_price', 'confirmation_close') else r(x) for x in EVENT_COLUMNS)} FROM re", re=RE))
 def reversal_events(spark, sf_dir):
+    return episodes(spark, sf_dir).select("symbol", *EVENT_COLUMNS)
+
+
+@query(build(f"SELECT symbol, index, confirmation_index, direction, horizon, {r('signed_return', 'max_favorable', 'max_adverse')} FROM rv", ev=EV.replace("SELECT symbol", "SELECT turns.symbol", 1), rv=RV))
+def reversal_outcomes(spark, sf_dir):
     return reversals(spark, sf_dir).select("symbol", "index", "confirmation_index", "direction", "horizon", "signed_return", "max_favorable", "max_adverse")
 
 
-@query(build("SELECT horizon, count(*) AS n, round(avg(signed_return), 6) AS mean, round(median(signed_return), 6) AS median, CAST(count_if(signed_return > 0) AS BIGINT) AS positive, round(count_if(signed_return > 0) * 100.0::DOUBLE / count(*), 6) AS positive_share_pct FROM rv GROUP BY ALL", ev=EV.replace("SELECT symbol", "SELECT turns.symbol", 1), rv=RV))
+EVT = EV.replace("SELECT symbol", "SELECT t.threshold, t.symbol", 1).replace("FROM turns JOIN c_1h c USING (symbol)", "FROM turns_all t JOIN c_1h c ON c.symbol = t.symbol").replace("turns.symbol", "t.symbol") + " HAVING confirmation_index >= 19"
+
+
+@query(build("SELECT threshold, horizon, count(*) AS n, round(avg(signed_return), 6) AS mean, round(median(signed_return), 6) AS median, CAST(count_if(signed_return > 0) AS BIGINT) AS positive, CAST(count_if(signed_return < 0) AS BIGINT) AS negative, round(count_if(signed_return > 0) * 100.0::DOUBLE / count(*), 6) AS positive_share_pct FROM rv GROUP BY ALL", ev=EVT, rv=RV.replace("SELECT symbol", "SELECT threshold, symbol", 1)))
 def reversal_summary(spark, sf_dir):
+    """What followed reversals of several sizes."""
     x = F.col("signed_return")
-    return reversals(spark, sf_dir).groupBy("horizon").agg(F.count("*").alias("n"), F.avg(x).alias("mean"), F.percentile(x, F.lit(0.5)).alias("median"), F.count_if(x > 0).alias("positive"), (F.count_if(x > 0) * 100.0 / F.count("*")).alias("positive_share_pct"))
+    rows = [reversals(spark, sf_dir, t).where("confirmation_index >= 19").withColumn("threshold", F.lit(t)) for t in THRESHOLDS]
+    out = reduce(DataFrame.unionByName, rows).groupBy("threshold", "horizon")
+    return out.agg(F.count("*").alias("n"), F.avg(x).alias("mean"), F.percentile(x, F.lit(0.5)).alias("median"), F.count_if(x > 0).alias("positive"), F.count_if(x < 0).alias("negative"), (F.count_if(x > 0) * 100.0 / F.count("*")).alias("positive_share_pct"))
+
+
+RM = """SELECT a.symbol, a.event_id, b.event_id AS match_event_id, b.position, exp(-sqrt(sum(""" + " + ".join(f"pow(x.{f} - y.{f}, 2)" for f in FEATURES) + """) / 180)) AS similarity
+  FROM re a JOIN re b ON b.symbol = a.symbol AND b.direction = a.direction AND b.position < a.position AND abs(b.confirmation_index - a.confirmation_index) >= 5
+  JOIN z x ON x.symbol = a.symbol AND x.wend = a.confirmation_index JOIN z y ON y.symbol = b.symbol AND y.wend = b.confirmation_index AND y.off = x.off GROUP BY ALL"""
+RK = "SELECT symbol, event_id, match_event_id, similarity, row_number() OVER (PARTITION BY symbol, event_id ORDER BY round(similarity, 9) DESC, position) AS match_rank FROM rm"
+
+
+def matched_reversals(spark, sf_dir, threshold: float = THRESHOLD) -> DataFrame:
+    z = wd.standardized(featured(spark, sf_dir), oc.EPISODE)
+    return oc.reversal_matches(episodes(spark, sf_dir, threshold), z.select(*wd.KEYS, F.concat(*wd.FEATURES).alias("v")))
+
+
+@query(build(f"SELECT symbol, event_id, match_event_id, match_rank, {r('similarity')} FROM rk WHERE match_rank <= 10", re=RE, rm=RM, rk=RK))
+def reversal_matches(spark, sf_dir):
+    """For every reversal the earlier ones of its direction whose 20 candles up to confirmation are most like its own."""
+    return matched_reversals(spark, sf_dir).select("symbol", "event_id", "match_event_id", "match_rank", "similarity")
+
+
+@query(build("SELECT e.symbol, e.confirmed_reversals, coalesce(m.matches, 0) AS same_direction_match_rows, coalesce(m.alike, 0) AS matches_similarity_75 FROM (SELECT symbol, count(*) AS confirmed_reversals FROM re GROUP BY symbol) e LEFT JOIN (SELECT symbol, count(*) AS matches, CAST(count_if(similarity >= 0.75) AS BIGINT) AS alike FROM rk WHERE match_rank <= 10 GROUP BY symbol) m USING (symbol)", re=RE, rm=RM, rk=RK))
+def reversal_frequency(spark, sf_dir):
+    found = matched_reversals(spark, sf_dir).groupBy("symbol").agg(F.count("*").alias("same_direction_match_rows"), F.count_if(F.col("similarity") >= 0.75).alias("matches_similarity_75"))
+    return episodes(spark, sf_dir).groupBy("symbol").agg(F.count("*").alias("confirmed_reversals")).join(found, "symbol", "left").fillna(0)
 
 
 # ------------------------------------------------------------------ windows
@@ -284,7 +361,12 @@ def knn_feature_contrib(spark, sf_dir):
     return wd.contributions(featured(spark, sf_dir))
 
 
-@query(build("SELECT symbol, timeframe, count(*) AS windows, round(max(similarity), 6) AS best, " + ", ".join(f"round(quantile_cont(similarity, {q}), 6) AS {x}" for q, x in [(0.5, "median"), (0.9, "p90"), (0.95, "p95"), (0.99, "p99")]) + " FROM sim GROUP BY ALL"))
+@query(build("SELECT symbol, timeframe, bin, count(*) AS windows, round(min(low + bin * width), 6) + 0.0 AS low, round(count(*) / any_value(total) / any_value(width), 6) AS density FROM (SELECT s.*, low, width, total, least(59, CAST(floor((similarity - low) / width) AS BIGINT)) AS bin FROM sim s JOIN (SELECT symbol, timeframe, min(similarity) AS low, (max(similarity) - min(similarity)) / 60 AS width, count(*)::DOUBLE AS total FROM sim GROUP BY ALL) USING (symbol, timeframe)) GROUP BY ALL"))
+def knn_histogram(spark, sf_dir):
+    return wd.histogram(wd.similarities(featured(spark, sf_dir)))
+
+
+@query(build("SELECT symbol, timeframe, count(*) AS windows, round(max(similarity), 6) AS best, 100.0::DOUBLE AS percentile_of_best, " + ", ".join(f"round(quantile_cont(similarity, {q}), 6) AS {x}" for q, x in [(0.5, "median"), (0.9, "p90"), (0.95, "p95"), (0.99, "p99")]) + " FROM sim GROUP BY ALL"))
 def knn_distribution(spark, sf_dir):
     return wd.distribution(featured(spark, sf_dir))
 
@@ -310,7 +392,7 @@ MINI = {  # SQL of the labels, thresholds in the same order
 REGIME_STEP = 10
 for _name, _label in LABELLED.items():
     query(build(f"SELECT symbol, wend AS window_end, {MINI[_name]} AS {_name} FROM d_1h"), f"window_{_name}")(lambda spark, sf_dir, n=_name, f=_label: wd.described(featured(spark, sf_dir)).select("symbol", F.col("end").alias("window_end"), f().alias(n)))
-    query(build(f"SELECT *, round(windows * 100.0::DOUBLE / sum(windows) OVER (PARTITION BY symbol), 6) AS share_pct FROM (SELECT symbol, {MINI[_name]} AS {_name}, count(*) AS windows FROM d_1h WHERE wend % 10 = 9 GROUP BY ALL)"), f"{_name}_distribution")(
+    query(build(f"SELECT *, round(windows * 100.0::DOUBLE / sum(windows) OVER (PARTITION BY symbol), 6) AS share_pct FROM (SELECT symbol, {MINI[_name]} AS {_name}, count(*) AS windows FROM d_1h{' WHERE wend % 10 = 9' if _name == 'regime' else ''} GROUP BY ALL)"), f"{_name}_distribution")(
         lambda spark, sf_dir, n=_name, f=_label: wd.described(featured(spark, sf_dir)).where(f"(end - 19) % {REGIME_STEP} = 0" if n == "regime" else "true").groupBy("symbol", f().alias(n)).agg(F.count("*").alias("windows")).withColumn("share_pct", F.col("windows") * 100.0 / F.sum("windows").over(wd.Window.partitionBy("symbol")))
     )
 
@@ -331,44 +413,75 @@ def sequence_paths(spark, sf_dir):
 # ------------------------------------------------------------------ windows against windows of other kinds
 
 
+CODES = {"direction_balance": "bullish - bearish", "alternation": "pair_alternation", "body_level": "body", "body_shift": "body_second - body_first", "small_body_fraction": "small_body", "large_body_fraction": "large_body", "upper_rejection": "upper_rejection", "lower_rejection": "lower_rejection",
+    "rejection_balance": "1 - abs(upper_rejection - lower_rejection)", "wick_bias": "lower_rejection - upper_rejection", "range_level": "range_level", "range_shift": "range_second - range_first", "compression_fraction": "compression", "expansion_fraction": "expansion", "expansion_transition": "range_last_third - range_first_third",
+    "close_location": "close_location", "close_shift": "close_second - close_first", "direction_shift": "bull_second - bull_first", "first_third_alternation": "alternation_first_third", "last_third_alternation": "alternation_last_third", "bullish_fraction": "bullish", "bearish_fraction": "bearish", "middle_third_range": "range_middle_third"}
+
+
+@query(build("SELECT symbol, wend AS window_end, " + ", ".join(f"round({v}, 6) + 0.0 AS {k}" for k, v in CODES.items()) + " FROM d_1h"))
+def window_fingerprint_components(spark, sf_dir):
+    return wd.fingerprints(wd.described(featured(spark, sf_dir))).select("symbol", F.col("end").alias("window_end"), *wd.COMPONENTS)
+
+
 @query()
+def window_fingerprints(spark, sf_dir):
+    return wd.fingerprints(wd.described(featured(spark, sf_dir))).select("symbol", F.col("end").alias("window_end"), "pattern_code", "fingerprint_id")
+
+
+V23 = {"pool": f"SELECT * EXCLUDE (same) FROM (SELECT v.*, d.label, d.label = n.label AS same FROM v23 v JOIN (SELECT symbol, wend, {MINI['regime']} AS label FROM d_1h) d USING (symbol, wend) JOIN (SELECT symbol, {MINI['regime']} AS label FROM d_1h WHERE wend = last) n USING (symbol) WHERE wend <= last - 20 AND (wend - 19) % 10 = 0) QUALIFY same OR count_if(same) OVER (PARTITION BY symbol) < 3",
+       "pool_now": "SELECT * FROM v23 WHERE wend = last"} | medians("pool", 23)
+
+
+@query(build(f"SELECT symbol, timeframe, rank, wend AS window_end, label AS regime, {r('similarity')} FROM (SELECT *, exp(-23 * distance) AS similarity, row_number() OVER (PARTITION BY symbol ORDER BY round(exp(-23 * distance), 9) DESC, wend) AS rank FROM pool_d) WHERE rank <= 15", **V23))
 def regime_knn(spark, sf_dir):
-    """Windows of each series most like its last one by 12 half-window measures, among those of its regime if there are three."""
-    cols = ["bullish", "body", "range_level", "close_location", "alternation", "upper_rejection", "lower_rejection", "direction_first", "direction_second", "scaled_range_first", "scaled_range_second", "alternation_second"]
-    d = wd.described(featured(spark, sf_dir)).withColumn("regime", wd.regime())
-    z = wd.standardized(d.select(*wd.KEYS, "last", "regime", *cols), cols, src.SERIES)
-    now = z.where("end = last").select(*src.SERIES, F.col("regime").alias("now"), *(F.col(c).alias(f"_{c}") for c in cols))
-    both = z.where(f"end <= last - 20 AND (end - 19) % {REGIME_STEP} = 0").join(now, src.SERIES).withColumn("_same", (F.col("regime") == F.col("now")).cast("int"))
-    enough = F.sum("_same").over(wd.Window.partitionBy(*src.SERIES)) >= 3
-    both = both.withColumn("_enough", enough).where("NOT _enough OR _same = 1")
-    distance = F.sqrt(sum((F.pow(F.col(c) - F.col(f"_{c}"), 2) for c in cols), F.lit(0.0)) / len(cols))
-    return wd.top(both.withColumn("similarity", F.exp(-distance)), 15).select(*src.SERIES, "rank", F.col("end").alias("window_end"), "regime", "similarity")
-
-
-@query(build(f"""SELECT m.symbol, m.rank, CAST(x.part AS INTEGER) AS part, {r('bullish', 'range_level')} FROM (SELECT symbol, rank, wend FROM ranked WHERE rank <= 10) m CROSS JOIN (SELECT unnest([-1, 0, 1]) AS part) x
-  JOIN d_1h d ON d.symbol = m.symbol AND d.wend = m.wend + 20 * x.part""").replace("CAST(x.part AS INTEGER)", "CAST(x.part AS BIGINT)"))
+    """Windows of each series most like its last one by 23 measures, among those of its regime if there are three."""
+    f = featured(spark, sf_dir)
+    rows, cols = wd.vectors(f, 20, wd.REGIME)
+    rows = rows.join(wd.described(f).select(*wd.KEYS, wd.regime().alias("regime")), wd.KEYS)
+    now = rows.where("end = last")
+    pool = rows.where(f"end <= last - 20 AND (end - 19) % {REGIME_STEP} = 0").join(now.select(*src.SERIES, F.col("regime").alias("_now")), src.SERIES)
+    same = F.col("regime") == F.col("_now")
+    pool = pool.withColumn("_enough", F.count_if(same).over(wd.Window.partitionBy(*src.SERIES)) >= 3).where(~F.col("_enough") | same).drop("_enough", "_now")
+    found = wd.by_medians(pool, now, cols, factor=float(len(cols)))
+    return wd.top(found, 15).select(*src.SERIES, "rank", F.col("end").alias("window_end"), "regime", "similarity")
+
+
+PARTS3 = f"""SELECT m.symbol, m.rank, x.part, d.wend AS window_end, d.bullish, d.range_level, d.alternation, coalesce({MINI['micro_behaviour']}, 'NONE') AS micro, coalesce({MINI['archetype']}, 'NONE') AS archetype FROM (SELECT symbol, rank, wend FROM ranked WHERE rank <= 10) m
+  CROSS JOIN (SELECT unnest([-1, 0, 1])::BIGINT AS part) x LEFT JOIN d_1h d ON d.symbol = m.symbol AND d.wend = m.wend + 20 * x.part"""
+
+
+@query(build(f"SELECT symbol, rank, part, CASE WHEN window_end IS NULL THEN 'NONE' ELSE micro END AS micro_behaviour, CASE WHEN window_end IS NULL THEN 'NONE' ELSE archetype END AS archetype, CASE WHEN window_end IS NULL AND part = -1 THEN 0.0 ELSE round(bullish, 6) END AS bullish, {r('range_level', 'alternation')} FROM p3", p3=PARTS3))
 def neighbour_context(spark, sf_dir):
-    """The windows before, at and after each of the ten nearest ones."""
+    """The windows before, at and after each of the ten nearest ones, and how they are labelled; NONE where there is none."""
     f = featured(spark, sf_dir)
     found = wd.top(wd.similarities(f), 10).select("symbol", "rank", "end").withColumn("part", F.explode(F.lit([-1, 0, 1])))
-    return found.withColumn("end", F.col("end") + 20 * F.col("part")).join(wd.described(f), ["symbol", "end"]).select("symbol", "rank", "part", "bullish", "range_level")
+    d = wd.described(f).select("symbol", "end", wd.micro_behaviour().alias("micro_behaviour"), wd.archetype().alias("archetype"), "bullish", "range_level", "alternation")
+    out = found.withColumn("end", F.col("end") + 20 * F.col("part")).join(d, ["symbol", "end"], "left")
+    none = lambda c: F.coalesce(c, F.lit("NONE")).alias(c)
+    return out.select("symbol", "rank", "part", none("micro_behaviour"), none("archetype"), F.when(F.col("bullish").isNull() & (F.col("part") == -1), 0.0).otherwise(F.col("bullish")).alias("bullish"), "range_level", "alternation")
 
 
 # ------------------------------------------------------------------ timeframes
+# All events are one symbol here, in eight timeframes.
 
 TFS = ("1h", "4h", "1d")
+STEP = "CASE timeframe " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in src.STEPS.items()) + " END"
 
 
-def described_tf(spark, sf_dir, tf: str) -> DataFrame:
-    return wd.described(featured(spark, sf_dir, tf))
+def featured_all(spark, sf_dir) -> DataFrame:
+    return ft.candle_features(src.all_series(spark, sf_dir))
 
 
-TT = MINI["transition_type"]
-NOW = " UNION ALL ".join(f"SELECT symbol, timeframe, {', '.join(mt.HALVES)}, {TT} AS transition_type FROM d_{tf} WHERE wend = last" for tf in TFS)
+@query(build(f"SELECT {BAR.format(step=STEP)} FROM bars_all"))
+def candles_all_timeframes(spark, sf_dir):
+    return src.all_series(spark, sf_dir).select(*src.COLUMNS)
+
+
+NOW = f"SELECT symbol, timeframe, {STEP} AS step, {', '.join(mt.HALVES)}, {MINI['transition_type']} AS transition_type FROM d_all WHERE wend = last"
 
 
 def mtf_now(spark, sf_dir) -> DataFrame:
-    return mt.current([described_tf(spark, sf_dir, tf) for tf in TFS])
+    return mt.current(wd.described(featured_all(spark, sf_dir)))
 
 
 @query(build(f"SELECT symbol, timeframe, transition_type, {r(*mt.HALVES)} FROM nw", nw=NOW))
@@ -376,7 +489,7 @@ def mtf_current(spark, sf_dir):
     return mtf_now(spark, sf_dir)
 
 
-@query(build("SELECT a.symbol, a.timeframe AS low_timeframe, b.timeframe AS high_timeframe, round(a.direction_second - b.direction_second, 6) + 0.0 AS direction_difference, round(a.scaled_range_second - b.scaled_range_second, 6) + 0.0 AS range_difference, a.transition_type AS low_transition_type, b.transition_type AS high_transition_type FROM nw a JOIN nw b ON a.symbol = b.symbol AND (a.timeframe, b.timeframe) IN (('1h', '4h'), ('1h', '1d'), ('4h', '1d'))", nw=NOW))
+@query(build("SELECT a.symbol, a.timeframe AS low_timeframe, b.timeframe AS high_timeframe, round(a.direction_second - b.direction_second, 6) + 0.0 AS direction_difference, round(a.scaled_range_second - b.scaled_range_second, 6) + 0.0 AS range_difference, round((a.scaled_range_second - a.scaled_range_first) - (b.scaled_range_second - b.scaled_range_first), 6) + 0.0 AS range_shift_difference, a.transition_type AS low_transition_type, b.transition_type AS high_transition_type FROM nw a JOIN nw b ON a.symbol = b.symbol AND a.step < b.step", nw=NOW))
 def mtf_pairs(spark, sf_dir):
     return mt.pairs(mtf_now(spark, sf_dir))
 
@@ -388,6 +501,45 @@ def mtf_relationship(spark, sf_dir):
     return mt.relationship(mtf_now(spark, sf_dir))
 
 
+@query(build(f"SELECT d.symbol, d.timeframe, c.candles AS candles_available, round(s.best, 6) AS best_similarity, {r(*(f'd.{x}' for x in STATES)).replace('AS d.', 'AS ')}, {MINI['transition_profile']} AS transition_profile FROM d_all d JOIN (SELECT symbol, timeframe, count(*) AS candles FROM c_all GROUP BY ALL) c USING (symbol, timeframe) LEFT JOIN (SELECT symbol, timeframe, max(similarity) AS best FROM sim_all GROUP BY ALL) s USING (symbol, timeframe) WHERE d.wend = d.last"))
+def mtf_analysis(spark, sf_dir):
+    """Each timeframe's last window described, with the similarity of its nearest earlier one."""
+    f = featured_all(spark, sf_dir)
+    now = wd.described(f).where("end = last").select(*src.SERIES, (F.col("last") + 1).cast("long").alias("candles_available"), *STATES, wd.profile().alias("transition_profile"))
+    return now.join(wd.similarities(f).groupBy(*src.SERIES).agg(F.max("similarity").alias("best_similarity")), src.SERIES, "left")
+
+
+WINDOWS = {"wa": f"SELECT v.symbol, v.timeframe, v.wend, c.open_time + {STEP.replace('CASE timeframe', 'CASE v.timeframe')} AS close_ts, exp(-v.distance) AS similarity FROM v19_d v JOIN c_all c ON c.symbol = v.symbol AND c.timeframe = v.timeframe AND c.idx = v.wend", "v19_now": "SELECT * FROM v19 WHERE wend = last"} | medians("v19", 19)
+
+
+def compared_all(spark, sf_dir) -> DataFrame:
+    """Every window of every timeframe with its close and its similarity to the current one by 19 measures."""
+    rows, cols = wd.vectors(featured_all(spark, sf_dir), 20, wd.HISTORY, {"close_ts": mt.closes()})
+    return wd.by_medians(rows, rows.where("end = last"), cols).select(*wd.KEYS, "close_ts", "similarity")
+
+
+def overlap_sql(tfs) -> str:
+    return f"SELECT symbol, max(a) AS common_start, min(b) AS common_end, count(*) AS timeframes FROM (SELECT symbol, timeframe, min(close_ts) AS a, max(close_ts) AS b FROM wa WHERE timeframe IN ({', '.join(repr(x) for x in tfs)}) GROUP BY ALL) GROUP BY symbol"
+
+
+@query(build("SELECT * FROM ov", **WINDOWS, ov=overlap_sql(src.STEPS)))
+def mtf_overlap(spark, sf_dir):
+    return mt.overlap(compared_all(spark, sf_dir))
+
+
+def synced_sql(mode: str) -> dict[str, str]:
+    tfs, _ = mt.MODES[mode]
+    return {"ov": overlap_sql(tfs), "rf": f"SELECT w.symbol, w.close_ts FROM wa w JOIN ov USING (symbol) WHERE w.timeframe = '{mode}' AND w.close_ts BETWEEN common_start AND common_end AND w.close_ts <> (SELECT max(close_ts) FROM wa x WHERE x.symbol = w.symbol AND x.timeframe = '{mode}')",
+            "sy": f"SELECT w.* FROM wa w JOIN rf USING (symbol, close_ts) WHERE w.timeframe IN ({', '.join(repr(x) for x in tfs)}) QUALIFY count(*) OVER (PARTITION BY symbol, close_ts) = {len(tfs)}"}
+
+
+for _mode in mt.MODES:
+    _tfs = mt.MODES[_mode][0]
+    query(build(f"SELECT symbol, close_ts AS reference_timestamp, rank, {', '.join(f'round(s_{x}, 6) AS similarity_{x}' for x in _tfs)}, round(combined, 6) AS combined_similarity FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY round(combined, 9) DESC, close_ts) AS rank FROM (SELECT symbol, close_ts, {', '.join(f"max(similarity) FILTER (timeframe = '{x}') AS s_{x}" for x in _tfs)}, ({' + '.join(f"max(similarity) FILTER (timeframe = '{x}')" for x in _tfs)}) / {len(_tfs)} AS combined FROM sy GROUP BY ALL)) WHERE rank <= 25", **WINDOWS, **synced_sql(_mode)), f"mtf_history_{_mode}")(
+        lambda spark, sf_dir, mode=_mode: mt.history(compared_all(spark, sf_dir), mode)
+    )
+
+
 def closes(spark, sf_dir, tf: str) -> DataFrame:
     return src.series(spark, sf_dir, tf).select("symbol", (F.col("open_time") + src.STEPS[tf]).alias("close_ts"), F.col("close").alias(f"close_{tf}"))
 
@@ -420,53 +572,156 @@ def price_levels_v1(spark, sf_dir):
     return lv.prior_levels(featured(spark, sf_dir)).select("symbol", "off", "source", "level_type", "event", "level")
 
 
-def level_windows(spark, sf_dir, keys: DataFrame | None = None) -> DataFrame:
-    """Levels of every window, or of those in keys."""
-    windows = lv.last_windows(src.series(spark, sf_dir))
-    return lv.level_rows(windows if keys is None else windows.join(keys, wd.KEYS, "left_semi"))
+def analysed(candles: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """Levels and stories of every window of indexed candles, or of those in keys."""
+    windows = lv.windows_of(ft.raw_anatomy(ft.candle_features(candles)))
+    return sr.told(lv.level_rows(windows if keys is None else windows.join(keys, wd.KEYS, "left_semi")))
 
 
 @query()
 def price_levels_v2(spark, sf_dir):
-    return level_windows(spark, sf_dir).drop("events", "level_tokens")
+    return analysed(src.series(spark, sf_dir)).select("symbol", "end", *lv.STORY_FEATURES, "level_story")
 
 
 @query()
 def level_events(spark, sf_dir):
-    return level_windows(spark, sf_dir).select("symbol", "end", F.inline("events"))
-
-
-def stories(spark, sf_dir, keys: DataFrame | None = None) -> DataFrame:
-    """Phases of a window, then the tokens of its level events; of every window, or of those in keys."""
-    phases = wd.described(featured(spark, sf_dir)).select(*wd.KEYS, "last", sr.phases(20).alias("phases"))
-    both = level_windows(spark, sf_dir, keys).select(*wd.KEYS, "level_tokens").join(phases, wd.KEYS)
-    return both.select(*wd.KEYS, "last", sr.without_repeats(F.concat("phases", "level_tokens")).alias("tokens"))
+    return lv.level_events(analysed(src.series(spark, sf_dir))).drop("timeframe")
 
 
 @query()
 def story_tokens(spark, sf_dir):
-    return stories(spark, sf_dir).select("symbol", "end", F.array_join("tokens", " -> ").alias("story"))
+    return analysed(src.series(spark, sf_dir)).select("symbol", "end", sr.story(F.col("tokens")).alias("story"), F.size("events").alias("story_event_count"), F.size("tokens").alias("story_phase_count"))
+
+
+POOL = 100
+
+
+def screened(spark, sf_dir) -> DataFrame:
+    """Every window but the current one with its similarity to that by 22 half means in units of price."""
+    rows, cols = wd.vectors(ft.raw_anatomy(featured(spark, sf_dir)), 20, wd.SCREEN)
+    return wd.by_quartiles(rows, cols, F.col("end") == F.col("last")).select(*wd.KEYS, "last", "similarity")
 
 
 @query()
 def story_matches(spark, sf_dir):
-    """Coarse ranking by described measures first; edit distances only for the pool that it leaves."""
-    cols = ["direction_first", "direction_second", "range_first", "range_second", "body_first", "body_second", "close_first", "close_second", "alternation_first", "alternation_second"]
-    d = wd.standardized(wd.described(featured(spark, sf_dir)).select(*wd.KEYS, "last", *cols), cols, src.SERIES)
-    now = d.where("end = last").select(*src.SERIES, *(F.col(c).alias(f"_{c}") for c in cols))
-    near = d.where("end <> last").join(now, src.SERIES).withColumn("feature_similarity", 1 / (1 + F.sqrt(sum((F.pow(F.col(c) - F.col(f"_{c}"), 2) for c in cols), F.lit(0.0)) / len(cols))))
-    pool = wd.top(near, 100, score="feature_similarity").select(*wd.KEYS, "feature_similarity")
-    told = stories(spark, sf_dir, pool.select(*wd.KEYS).unionByName(d.where("end = last").select(*wd.KEYS)))
-    own = told.where("end = last").select(*src.SERIES, F.col("tokens").alias("own"))
-    both = pool.join(told, wd.KEYS).join(own, src.SERIES).withColumn("sequence_similarity", sr.story_similarity("own", "tokens"))
+    """Coarse ranking of all windows first; stories and level features only for the pool that it leaves."""
+    pool = wd.top(screened(spark, sf_dir), POOL).select(*wd.KEYS, "last", F.col("similarity").alias("screen_similarity"))
+    keys = pool.select(*wd.KEYS).unionByName(pool.select(*src.SERIES, F.col("last").alias("end")).distinct())
+    told = analysed(src.series(spark, sf_dir), keys)
+    own = told.where("end = last").select(*src.SERIES, F.col("tokens").alias("own"), *(F.col(c).alias(f"own_{c}") for c in lv.STORY_FEATURES))
+    both = pool.drop("last").join(told, wd.KEYS).join(own, src.SERIES)
+    both = both.withColumns({"sequence_similarity": sr.story_similarity("own", "tokens"), "feature_similarity": sr.feature_similarity(lv.STORY_FEATURES)})
     both = both.withColumn("similarity", 0.75 * F.col("sequence_similarity") + 0.25 * F.col("feature_similarity"))
-    return wd.top(both, 25).select("symbol", "rank", "end", F.array_join("tokens", " -> ").alias("story"), "sequence_similarity", "feature_similarity", "similarity")
+    return wd.top(both, 25).select("symbol", "rank", "end", sr.story(F.col("tokens")).alias("story"), "sequence_similarity", "feature_similarity", "screen_similarity", "similarity")
+
+
+def current_all(spark, sf_dir) -> DataFrame:
+    """The last window of each of the eight timeframes with its levels and story."""
+    candles = src.all_series(spark, sf_dir)
+    last = candles.groupBy(*src.SERIES).agg(F.max("idx").alias("end"))
+    return analysed(candles, last)
+
+
+@query()
+def story_current(spark, sf_dir):
+    return current_all(spark, sf_dir).select(*src.SERIES, sr.story(F.col("tokens")).alias("story"), F.array_join(sr.families(F.col("tokens")), " -> ").alias("family_story"), sr.explained(F.col("tokens")).alias("explained"), "level_story", lv.explained_levels().alias("levels_explained"))
+
+
+@query()
+def story_cross_summary(spark, sf_dir):
+    return sr.cross_summary(current_all(spark, sf_dir), mt.step_of(F.col("timeframe"))).drop("wider", "tighter")
+
+
+@query()
+def story_family_alignment(spark, sf_dir):
+    """How far the current stories of each two timeframes agree."""
+    now = current_all(spark, sf_dir).select(*src.SERIES, mt.step_of(F.col("timeframe")).alias("step"), sr.families(F.col("tokens")).alias("f"))
+    side = lambda k: now.select("symbol", *(F.col(c).alias(f"{c}_{k}") for c in ("timeframe", "step", "f")))
+    both = side("a").join(side("b"), "symbol").where("step_a < step_b").withColumn("alignment_score", sr.alignment(F.col("f_a"), F.col("f_b")))
+    return both.select("symbol", "timeframe_a", "timeframe_b", "alignment_score", sr.aligned(F.col("alignment_score")).alias("relationship"))
+
+
+@query()
+def story_family_matrix(spark, sf_dir):
+    """The transitions of the current stories' families, and the timeframes that have them."""
+    now = current_all(spark, sf_dir).select(*src.SERIES, sr.families(F.col("tokens")).alias("tokens"))
+    out = sr.transitions(now).groupBy("symbol", "from_token", "to_token").pivot("timeframe", mt.ALL).agg(F.lit(1))
+    marks = [F.coalesce(F.col(tf), F.lit(0)).alias(f"in_{tf}") for tf in mt.ALL]
+    return out.select("symbol", "from_token", "to_token", *marks, sum((F.coalesce(F.col(tf), F.lit(0)) for tf in mt.ALL), F.lit(0)).alias("timeframes"), F.array_join(F.array_compact(F.array(*(F.when(F.col(tf) == 1, tf) for tf in mt.ALL))), ",").alias("names"))
+
+
+def replayed(spark, sf_dir, mode: str) -> DataFrame:
+    """Each of the best screened reference times with, for each timeframe, its window's story, family story and their similarity to the current."""
+    at = cu.stored(mt.synchronized(compared_all(spark, sf_dir), mode), "synchronized")
+    exact_only = at.where("synchronization = 'EXACT'").groupBy("symbol", "reference_timestamp").agg(F.avg("similarity").alias("candle_similarity"))
+    pool = wd.top(exact_only, POOL, ["symbol"], "candle_similarity", "reference_timestamp").withColumnRenamed("rank", "screen_rank")
+    at = cu.stored(at.drop("close_ts").join(pool, ["symbol", "reference_timestamp"]), "replayed")  # at most POOL times for each symbol
+    candles = src.all_series(spark, sf_dir)
+    last = candles.groupBy(*src.SERIES).agg(F.max("idx").alias("end"))
+    told = analysed(candles, at.select(*wd.KEYS).unionByName(last.select(*wd.KEYS)).distinct())
+    told = cu.stored(told.select(*wd.KEYS, "last", "tokens", sr.families(F.col("tokens")).alias("family")), "told")
+    now = told.where("end = last").select(*src.SERIES, F.col("family").alias("own"))
+    return at.join(told.drop("last"), wd.KEYS).join(now, src.SERIES).withColumn("story_similarity", sr.family_similarity("own", "family"))
+
+
+def replay_matches(spark, sf_dir, mode: str, top_k: int = 25) -> DataFrame:
+    """Reference times by .6 candle and .4 story similarity of the exact timeframes, with the family stories of all."""
+    rows = replayed(spark, sf_dir, mode)
+    tfs = [*mt.MODES[mode][0], *mt.MODES[mode][1]]
+    story = F.avg(F.when(F.col("synchronization") == "EXACT", F.col("story_similarity"))).alias("story_similarity")
+    out = rows.groupBy("symbol", "reference_timestamp", "screen_rank", "candle_similarity").agg(story, *(F.max(F.when(F.col("timeframe") == tf, F.col("family"))).alias(f"story_{tf}") for tf in tfs))
+    out = out.withColumn("combined_similarity", 0.60 * F.col("candle_similarity") + 0.40 * F.col("story_similarity"))
+    return wd.top(out, top_k, ["symbol"], "combined_similarity", "screen_rank")
+
+
+def told_rows(matches: DataFrame) -> DataFrame:
+    return matches.select(*(F.array_join(c, " -> ").alias(c) if t == "array<string>" else F.col(c) for c, t in matches.dtypes))
+
+
+for _mode in mt.MODES:
+    query(name=f"story_history_{_mode}")(lambda spark, sf_dir, mode=_mode: told_rows(replay_matches(spark, sf_dir, mode)))
+
+
+@query()
+def story_history_heat(spark, sf_dir):
+    """Story similarity of each timeframe at the reference times of story_history_1h."""
+    kept = replay_matches(spark, sf_dir, "1h").select("symbol", "reference_timestamp")
+    rows = replayed(spark, sf_dir, "1h").join(kept, ["symbol", "reference_timestamp"], "left_semi")
+    out = rows.groupBy("symbol", "reference_timestamp").pivot("timeframe", mt.ALL).agg(F.avg("story_similarity"))
+    return out.select("symbol", "reference_timestamp", *(F.col(tf).alias(f"story_similarity_{tf}") for tf in mt.ALL))
+
+
+TOLD_TFS = [f"story_{tf}" for tf in mt.ALL]
+
+
+def archetypes(spark, sf_dir) -> DataFrame:
+    return sr.leader_clusters(replay_matches(spark, sf_dir, "1h"), "rank", "symbol", TOLD_TFS)
 
 
 @query()
 def story_archetypes(spark, sf_dir):
-    told = stories(spark, sf_dir).select("symbol", "end", sr.families(F.col("tokens")).alias("tokens"))
-    return sr.leader_clusters(told, "end", by="symbol").select("symbol", "end", "cluster", "distance", F.array_join("tokens", " -> ").alias("story"))
+    """The archetype of each of the best reference times; the first of each leads it, and is its representative."""
+    return told_rows(archetypes(spark, sf_dir).withColumn("archetype", sr.archetype_name(F.col("cluster"))))
+
+
+@query()
+def archetype_summary(spark, sf_dir):
+    return sr.archetype_summary(archetypes(spark, sf_dir), "symbol", "rank")
+
+
+@query()
+def archetype_transitions(spark, sf_dir):
+    return sr.archetype_transitions(archetypes(spark, sf_dir), "symbol", TOLD_TFS)
+
+
+@query()
+def archetype_phases(spark, sf_dir):
+    return sr.mean_phases(archetypes(spark, sf_dir), "symbol", TOLD_TFS)
+
+
+@query()
+def story_explanations(spark, sf_dir):
+    return analysed(src.series(spark, sf_dir)).select("symbol", "end", sr.story(F.col("tokens")).alias("story"), sr.explained(F.col("tokens")).alias("explained"))
 
 
 def user_stories(spark, sf_dir) -> DataFrame:
@@ -531,21 +786,36 @@ def story_alignment(spark, sf_dir):
 # ------------------------------------------------------------------ clusters and vectors
 
 
-def clustered(spark, sf_dir) -> DataFrame:
-    cols = ["direction_first", "direction_second", "scaled_range_first", "scaled_range_second", "alternation", "body", "close_location", "upper_rejection", "lower_rejection"]
-    points = wd.described(featured(spark, sf_dir)).where(f"(end - 19) % {REGIME_STEP} = 0 OR end = last").select(*wd.KEYS, F.array(*cols).alias("v"))
-    return cu.kmeans(points)
+def fingerprinted(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(history, current, all windows) as vectors of 70 means, each by its spread over the history: every tenth earlier window that doesn't overlap the current one."""
+    own = wd.fingerprint_measures(20)
+    rows, cols = wd.ended(featured(spark, sf_dir), 20, own), list(own)
+    history = (F.col("end") <= F.col("last") - 20) & ((F.col("end") - 19) % REGIME_STEP == 0)
+    rows = rows.join(wd.spreads(rows.where(history), cols), src.SERIES)
+    rows = cu.stored(rows.select(*wd.KEYS, "last", F.array(*((F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}") for c in cols)).alias("v")), "windows")
+    return rows.where(history), rows.where("end = last"), rows
 
 
 @query()
 def kmeans_clusters(spark, sf_dir):
-    out = clustered(spark, sf_dir).groupBy("symbol", "cluster").agg(F.count("*").alias("windows"), F.avg("distance").alias("mean_distance"), F.avg(F.col("v")[1]).alias("direction"), F.avg(F.col("v")[3]).alias("range_level"), F.avg(F.col("v")[4]).alias("alternation"))
-    return out.withColumn("name", cu.cluster_name(F.col("direction"), F.col("range_level"), F.col("alternation")))
+    history, current, _ = fingerprinted(spark, sf_dir)
+    return cu.summary(history, current, cu.kmeans(history)).drop("timeframe")
 
 
 @query()
 def cluster_rarity(spark, sf_dir):
-    return cu.rarity(clustered(spark, sf_dir))
+    history, current, _ = fingerprinted(spark, sf_dir)
+    return cu.rarity(history, current, cu.kmeans(history))
+
+
+@query()
+def cluster_of_matches(spark, sf_dir):
+    """The cluster nearest to each of the 25 windows most like the current one."""
+    history, _, rows = fingerprinted(spark, sf_dir)
+    centres = cu.kmeans(history)
+    found = wd.top(wd.similarities(featured(spark, sf_dir)), 25).select(*wd.KEYS, "rank", "similarity")
+    out = cu.assigned(rows.join(found, wd.KEYS), centres).join(centres, src.SERIES)
+    return out.select("symbol", "rank", "end", "similarity", "cluster", cu.cluster_name(F.get("centres", F.col("cluster"))).alias("name"))
 
 
 def embedded(spark, sf_dir):
@@ -575,7 +845,7 @@ def ensemble_search(spark, sf_dir):
 # ------------------------------------------------------------------ more views of the above
 
 
-@query(build("SELECT symbol, position, offset_, idx, round(path, 6) + 0.0 AS close_path_pct FROM (SELECT p.symbol, p.position, c.idx - p.index AS offset_, c.idx, (c.close / nullif(b.close, 0) - 1) * 100 AS path FROM pivots p JOIN c_1h c ON c.symbol = p.symbol AND c.idx BETWEEN p.index - 8 AND p.index + 8 JOIN c_1h b ON b.symbol = p.symbol AND b.idx = p.index WHERE p.position % 10 = 0)").replace("offset_", "place"))
+@query(build("SELECT symbol, position, offset_, idx, round(path, 6) + 0.0 AS close_path_pct FROM (SELECT p.symbol, p.position, c.idx - p.index AS offset_, c.idx, (c.close / nullif(b.close, 0) - 1) * 100 AS path FROM pivots p JOIN c_1h c ON c.symbol = p.symbol AND c.idx BETWEEN p.index - 8 AND p.index + 8 JOIN c_1h b ON b.symbol = p.symbol AND b.idx = p.index)").replace("offset_", "place"))
 def pivot_microscope(spark, sf_dir):
     """The candles around every pivot."""
     centres = st.structure(turns(spark, sf_dir)).select(*src.SERIES, "position", F.col("index").alias("centre"))
@@ -594,75 +864,67 @@ def structure_signatures(spark, sf_dir):
     return st.signatures(st.structure(turns(spark, sf_dir)))
 
 
-TAGS = ["BULLISH", "BEARISH", "DOJI", "SMALL_BODY", "LARGE_BODY", "COMPRESSION", "EXPANSION", "UPPER_REJECTION", "LOWER_REJECTION"]
+#: The tags of a state matrix.
+TAGS = ["BULLISH", "BEARISH", "SMALL_BODY", "LARGE_BODY", "COMPRESSION", "EXPANSION", "UPPER_REJECTION", "LOWER_REJECTION", "CLOSE_HIGH", "CLOSE_LOW"]
 
 
-@query(build("SELECT symbol, off, (direction > 0)::BIGINT AS bullish, (direction < 0)::BIGINT AS bearish, (direction = 0)::BIGINT AS doji, (body_pct < 0.25)::BIGINT AS small_body, (body_pct >= 0.6)::BIGINT AS large_body, (rr < 0.75)::BIGINT AS compression, (rr > 1.25)::BIGINT AS expansion, (upper_wick_pct >= 0.35)::BIGINT AS upper_rejection, (lower_wick_pct >= 0.35)::BIGINT AS lower_rejection FROM w_1h WHERE wend = last"))
+@query(build("SELECT symbol, off, (direction > 0)::BIGINT AS bullish, (direction < 0)::BIGINT AS bearish, (body_pct < 0.25)::BIGINT AS small_body, (body_pct >= 0.6)::BIGINT AS large_body, (rr < 0.75)::BIGINT AS compression, (rr > 1.25)::BIGINT AS expansion, (upper_wick_pct >= 0.35)::BIGINT AS upper_rejection, (lower_wick_pct >= 0.35)::BIGINT AS lower_rejection, (close_location >= 0.75)::BIGINT AS close_high, (close_location <= 0.25)::BIGINT AS close_low FROM w_1h WHERE wend = last"))
 def state_matrix(spark, sf_dir):
     return wd.tag_matrix(ft.tags(featured(spark, sf_dir)), TAGS).drop("timeframe", "end")
 
 
-PHASE = "SELECT symbol, wend, CASE WHEN off < 10 THEN 'first' ELSE 'second' END AS phase, avg(body_pct) AS body, avg(rr) AS range_level, avg((direction > 0)::DOUBLE) AS bullish, avg((lower_wick_pct > 1.5 * upper_wick_pct AND lower_wick_pct > body_pct)::DOUBLE) AS lower_rejection FROM w_1h WHERE wend = last GROUP BY ALL"
+BS_SQL = ORACLE_SQL["behaviour_states"].partition("SELECT symbol, idx, CASE")
+PHASE = f"""SELECT b.symbol, CASE WHEN f.idx BETWEEN b.wend - 19 AND b.wend THEN 'matched_window' ELSE 'context' END AS phase, f.*, CASE{BS_SQL[2].partition(" FROM f_1h JOIN")[0]} FROM (SELECT symbol AS sy, wend FROM ranked WHERE rank = 1) m
+  JOIN (SELECT symbol, wend FROM ranked WHERE rank = 1) b ON b.symbol = m.sy JOIN f_1h f ON f.symbol = b.symbol AND f.idx BETWEEN b.wend - 29 AND b.wend + 10 JOIN (SELECT symbol, quantile_cont(range_ratio, 0.25) AS q1, quantile_cont(range_ratio, 0.75) AS q3 FROM f_1h GROUP BY symbol) q ON q.symbol = b.symbol"""
 
 
-@query(build(f"SELECT symbol, phase, {r('body', 'range_level', 'bullish', 'lower_rejection')} FROM ph", ph=PHASE))
+@query(build("""SELECT symbol, phase, min(idx) AS start_index, max(idx) AS end_index, round(avg(range_ratio), 6) AS mean_range_ratio, round(avg(body_pct), 6) AS mean_body_pct, round(avg((direction > 0)::DOUBLE), 6) AS bullish_fraction, round(avg((direction < 0)::DOUBLE), 6) AS bearish_fraction, round(avg((lower_wick_pct > upper_wick_pct * 1.5)::DOUBLE), 6) AS lower_rejection_fraction,
+  round(avg((upper_wick_pct > lower_wick_pct * 1.5)::DOUBLE), 6) AS upper_rejection_fraction, string_agg(label, ' → ' ORDER BY idx) AS behaviour_sequence FROM ph GROUP BY ALL""", ph=PHASE))
 def phase_summary(spark, sf_dir):
-    w = wd.laid_out(featured(spark, sf_dir), 20).where("end = last")
-    rejected = (F.col("lower_wick_pct") > 1.5 * F.col("upper_wick_pct")) & (F.col("lower_wick_pct") > F.col("body_pct"))
-    return w.groupBy("symbol", F.when(F.col("off") < 10, "first").otherwise("second").alias("phase")).agg(F.avg("body_pct").alias("body"), F.avg(F.col("range_ratio") * 5).alias("range_level"), F.avg((F.col("direction") > 0).cast("double")).alias("bullish"), F.avg(rejected.cast("double")).alias("lower_rejection"))
+    """The window most like the current one, and the ten candles on either side of it."""
+    f = ft.behaviour_labels(featured(spark, sf_dir))
+    best = wd.top(wd.similarities(featured(spark, sf_dir)), 1).select(*src.SERIES, F.col("end").alias("_end"))
+    rows = f.join(best, src.SERIES).where("idx BETWEEN _end - 29 AND _end + 10")
+    share = lambda c: F.avg(c.cast("double"))
+    up, low, steps = F.col("upper_wick_pct"), F.col("lower_wick_pct"), F.array_sort(F.collect_list(F.struct("idx", "label")))
+    return rows.groupBy("symbol", F.when(F.col("idx") > F.col("_end") - 20, F.when(F.col("idx") <= F.col("_end"), "matched_window").otherwise("context")).otherwise("context").alias("phase")).agg(
+        F.min("idx").alias("start_index"), F.max("idx").alias("end_index"), F.avg("range_ratio").alias("mean_range_ratio"), F.avg("body_pct").alias("mean_body_pct"), share(F.col("direction") > 0).alias("bullish_fraction"),
+        share(F.col("direction") < 0).alias("bearish_fraction"), share(low > up * 1.5).alias("lower_rejection_fraction"), share(up > low * 1.5).alias("upper_rejection_fraction"),
+        F.array_join(F.transform(steps, lambda x: x["label"]), " → ").alias("behaviour_sequence"),
+    )
 
 
-SCREEN = ["direction_first", "direction_second", "range_first", "range_second", "body_first", "body_second", "close_first", "close_second"]
+HEAT = ["body_pct", "upper_wick_pct", "lower_wick_pct", "range_vs_median", "efficiency"]
 
 
-@query(build("SELECT symbol, wend AS window_end, rank, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY round(similarity, 9) DESC, wend) AS rank FROM (SELECT d.symbol, d.wend, 1 / (1 + sqrt((" + " + ".join(f"pow((d.{x} - n.{x}) / greatest(q.q_{x}[2] - q.q_{x}[1], 1e-9), 2)" for x in SCREEN) + f") / {len(SCREEN)})) AS similarity FROM d_1h d JOIN d_1h n ON n.symbol = d.symbol AND n.wend = n.last JOIN qs q ON q.symbol = d.symbol WHERE d.wend <> d.last)) WHERE rank <= 25", qs="SELECT symbol, " + ", ".join(f"quantile_cont({x}, [0.25, 0.75]) AS q_{x}" for x in SCREEN) + " FROM d_1h GROUP BY symbol"))
-def screened_windows(spark, sf_dir):
-    """Windows most like the last one by quartile-scaled half means."""
-    d = wd.described(featured(spark, sf_dir)).select(*wd.KEYS, "last", *SCREEN)
-    return wd.top(wd.by_quartiles(d, SCREEN, F.col("end") == F.col("last")), 25).select("symbol", F.col("end").alias("window_end"), "rank", "similarity")
+@query(build("SELECT symbol, idx, " + ", ".join(f"round(coalesce({x}, 0.0), 6) + 0.0 AS {x}" for x in HEAT[:3]) + ", round(coalesce(least(greatest(range_vs_median, 0.0), 3.0) / 3 * 100, 0.0), 6) + 0.0 AS range_vs_median, round(coalesce(least(greatest(efficiency, 0.0), 1.0) * 100, 0.0), 6) + 0.0 AS efficiency FROM b4", **B))
+def anatomy_heat(spark, sf_dir):
+    return ft.heat_scaled(ft.behaviour(src.series(spark, sf_dir))).select("symbol", "idx", *HEAT)
 
 
-@query()
-def level_ranking(spark, sf_dir):
-    """Windows before the last one, which they don't overlap, most like it by what happened at levels."""
-    rows = level_windows(spark, sf_dir).withColumn("_last", F.max("end").over(wd.Window.partitionBy(*src.SERIES)))
-    rows = rows.where("end = _last OR end <= _last - 20")
-    return wd.top(wd.by_quartiles(rows, lv.COUNTS, F.col("end") == F.col("_last")), 25).select("symbol", "end", "rank", "similarity")
+@query(build(f"SELECT symbol, timeframe, open_time, open_time + 3600000 - 1 AS close_time, {r('open', 'high', 'low', 'close', 'volume', 'quote_volume')}, trades, (open_time + 3600000 <= 1706000000000)::BIGINT AS is_closed FROM bars_1h"))
+def normalized_klines(spark, sf_dir):
+    """Candles as an exchange's arrays of strings, and read from those."""
+    c = src.series(spark, sf_dir)
+    kline = F.array(*(F.col(x).cast("string") for x in ("open_time", "open", "high", "low", "close", "volume", "close_time", "quote_volume", "trades")))
+    return src.normalize_klines(c.select(*src.SERIES, kline.alias("kline")), 1_706_000_000_000)
 
 
-@query(build(f"SELECT symbol, close_ts, {r('combined')}, rank FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY round(combined, 9) DESC, close_ts) AS rank FROM (SELECT a.symbol, a.close_ts, (a.s + b.s) / 2 AS combined FROM mh a JOIN mf b USING (symbol, close_ts))) WHERE rank <= 10", **{
-    f"m{k}": f"SELECT d.symbol, c.open_time + {src.STEPS[tf]} AS close_ts, 1 / (1 + sqrt((" + " + ".join(f"pow(d.{x} - n.{x}, 2)" for x in SCREEN) + f") / {len(SCREEN)})) AS s FROM d_{tf} d JOIN d_{tf} n ON n.symbol = d.symbol AND n.wend = n.last JOIN c_{tf} c ON c.symbol = d.symbol AND c.idx = d.wend WHERE d.wend <> d.last" for k, tf in (("h", "1h"), ("f", "4h"))}))
-def mtf_history(spark, sf_dir):
-    """Times at which 1h and 4h windows that close together were most like the current ones."""
-    frames = []
-    for tf in ("1h", "4h"):
-        d = described_tf(spark, sf_dir, tf).select(*wd.KEYS, "last", *SCREEN)
-        now = d.where("end = last").select("symbol", *(F.col(c).alias(f"_{c}") for c in SCREEN))
-        far = F.sqrt(sum((F.pow(F.col(c) - F.col(f"_{c}"), 2) for c in SCREEN), F.lit(0.0)) / len(SCREEN))
-        like = mt.with_close(d.where("end <> last").join(now, "symbol").withColumn(f"s_{tf}", 1 / (1 + far)), src.series(spark, sf_dir, tf), tf)
-        frames.append(like.select("symbol", "close_ts", f"s_{tf}"))
-    both = mt.exact(frames, ["symbol", "close_ts"]).withColumn("combined", (F.col("s_1h") + F.col("s_4h")) / 2)
-    return wd.top(both, 10, ["symbol"], "combined", "close_ts").select("symbol", "close_ts", "combined", "rank")
+QS = {"qs": "SELECT symbol, timeframe, " + ", ".join(f"quantile_cont(x{i}, 0.75) - quantile_cont(x{i}, 0.25) AS q{i}" for i in range(22)) + " FROM v22 GROUP BY ALL",
+      "sc": "SELECT v.symbol, v.wend, 1 / (1 + sqrt((" + " + ".join(f"pow((v.x{i} - n.x{i}) / greatest(q{i}, 1e-9), 2)" for i in range(22)) + ") / 22)) AS similarity FROM v22 v JOIN v22 n ON n.symbol = v.symbol AND n.wend = n.last JOIN qs ON qs.symbol = v.symbol WHERE v.wend <> v.last"}
 
 
-RM = """SELECT a.symbol, a.position AS event, b.position AS earlier, row_number() OVER (PARTITION BY a.symbol, a.position ORDER BY round(exp(-sqrt((pow(a.swing_pct - b.swing_pct, 2) + pow(a.leg_pct - b.leg_pct, 2)) / 2) / 1000), 9) DESC, b.position) AS rank,
-  exp(-sqrt((pow(a.swing_pct - b.swing_pct, 2) + pow(a.leg_pct - b.leg_pct, 2)) / 2) / 1000) AS similarity FROM pivots a JOIN pivots b ON b.symbol = a.symbol AND b.direction = a.direction AND b.confirmation_index <= a.confirmation_index - 5 WHERE a.swing_pct IS NOT NULL AND b.swing_pct IS NOT NULL AND a.position % 20 = 0"""
-
+@query(build("SELECT symbol, wend AS window_end, rank, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY round(similarity, 9) DESC, wend) AS rank FROM sc) WHERE rank <= 100", **QS))
+def screened_windows(spark, sf_dir):
+    """The pool that stories are told of: windows most like the last one by 22 half means."""
+    return wd.top(screened(spark, sf_dir), POOL).select("symbol", F.col("end").alias("window_end"), "rank", "similarity")
 
-@query(build(f"SELECT symbol, event, earlier, rank, {r('similarity')} FROM rm WHERE rank <= 10", rm=RM))
-def reversal_matches(spark, sf_dir):
-    """For every reversal the earlier ones of its direction whose 20 candles up to confirmation are most like its own, at least five candles apart.
 
-    Like the reference's events, a reversal has 20 candles up to its confirmation and one after it.
-    """
-    events = st.structure(turns(spark, sf_dir)).select(*src.SERIES, F.col("confirmation_index").alias("end"), F.col("direction").alias("turn"), "position")
-    bars = wd.laid_out(featured(spark, sf_dir), 20).where("end < last").join(events.select(*wd.KEYS), wd.KEYS, "left_semi")
-    rows = F.array_sort(F.collect_list(F.struct("off", F.array(*wd.FEATURES).alias("x"))))
-    p = wd.standardized(bars, wd.FEATURES).groupBy(*wd.KEYS).agg(F.flatten(F.transform(rows, lambda r: r["x"])).alias("v")).join(events, wd.KEYS)
-    a = p.select(*src.SERIES, "turn", F.col("position").alias("event"), F.col("end").alias("_end"), F.col("v").alias("_v"))
-    both = a.join(p, [*src.SERIES, "turn"]).where("end <= _end - 5")
-    squares = F.aggregate(F.zip_with("v", "_v", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x)
-    return wd.top(both.withColumn("similarity", F.exp(-F.sqrt(squares / F.size("v")))), 10, ["symbol", "event"], "similarity", "position").select("symbol", "event", F.col("position").alias("earlier"), "rank", "similarity")
+@query()
+def level_ranking(spark, sf_dir):
+    """Windows before the last one, which they don't overlap, most like it by what happened at levels."""
+    rows = analysed(src.series(spark, sf_dir)).where("end = last OR end <= last - 20").select(*wd.KEYS, "last", *lv.FEATURES)
+    return wd.top(wd.by_quartiles(rows, lv.FEATURES, F.col("end") == F.col("last")), 25).select("symbol", "end", "rank", "similarity")
 
 
 @query(build("SELECT from_token, to_token, string_agg(DISTINCT grp::VARCHAR, ',' ORDER BY grp::VARCHAR) AS groups FROM tr GROUP BY ALL HAVING count(DISTINCT grp) >= 2", **TOLD))
@@ -670,13 +932,3 @@ def common_transitions(spark, sf_dir):
     """Transitions that several groups have, with the groups."""
     t = sr.transitions(user_stories(spark, sf_dir)).select("from_token", "to_token", F.col("grp").cast("string").alias("grp")).distinct()
     return t.groupBy("from_token", "to_token").agg(F.array_sort(F.collect_list("grp")).alias("g")).where(F.size("g") >= 2).select("from_token", "to_token", F.array_join("g", ",").alias("groups"))
-
-
-@query()
-def archetype_summary(spark, sf_dir):
-    return sr.archetype_summary(story_archetypes(spark, sf_dir), "symbol")
-
-
-@query()
-def story_explanations(spark, sf_dir):
-    return story_tokens(spark, sf_dir).withColumn("explained", sr.explained(F.col("story")))

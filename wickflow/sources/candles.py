@@ -6,6 +6,9 @@ partitioned by series, and numbers rows by idx from 0.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,11 +42,28 @@ def indexed(candles: DataFrame) -> DataFrame:
     return candles.withColumn("idx", F.row_number().over(by_time()) - 1)
 
 
+def coarser(candles: DataFrame, timeframes: list[str]) -> DataFrame:
+    """Candles of coarser timeframes from those of one that divides them: ticks are read and gathered once for all."""
+    steps = F.array(*(F.struct(F.lit(tf).alias("timeframe"), F.lit(STEPS[tf]).cast("long").alias("step")) for tf in timeframes))
+    each = candles.drop("timeframe", "close_time").withColumn("_", F.explode(steps)).select("*", "_.*").withColumn("start", F.col("open_time") - F.pmod("open_time", "step"))
+    out = each.groupBy("symbol", "timeframe", "step", "start").agg(
+        F.min_by("open", "open_time").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "open_time").alias("close"),
+        *(F.sum(c).alias(c) for c in ("volume", "quote_volume", "trades")), F.min("is_closed").alias("is_closed"),
+    )
+    return out.withColumns({"open_time": F.col("start"), "close_time": F.col("start") + F.col("step") - 1}).select(*COLUMNS)
+
+
 def series(spark: SparkSession, sf_dir: str, timeframe: str = "1h") -> DataFrame:
     """Indexed candles of the events table, a symbol for each event type."""
     return indexed(resample(spark.read.parquet(f"{sf_dir}/events.parquet"), timeframe))
 
 
+def all_series(spark: SparkSession, sf_dir: str, timeframes: list[str] = list(STEPS)) -> DataFrame:
+    """Indexed candles of the events table as one symbol, ALL, in many timeframes."""
+    fine = resample(spark.read.parquet(f"{sf_dir}/events.parquet"), "1m", F.lit("ALL"))
+    return indexed(coarser(fine, timeframes))
+
+
 def latest(candles: DataFrame, n: int | None) -> DataFrame:
     """The latest n candles of each series; all for None or 0."""
     if not n:
@@ -65,11 +85,35 @@ def upsert(stored: DataFrame, new: DataFrame) -> DataFrame:
     return picked.select(*keys, "_.*").select(*stored.columns)
 
 
-def deduplicated(candles: DataFrame) -> DataFrame:
-    """One row for each series and time: of several, the least by its values."""
-    keys = [*SERIES, "open_time"]
-    rest = [c for c in candles.columns if c not in keys]
-    return candles.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_")).select(*keys, "_.*").select(*candles.columns)
+def first_of(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key in an order; of equal ones the least by its other values, so reruns agree."""
+    rest = [c for c in rows.columns if c not in keys]
+    at = F.struct(*order, *(c for c in rest if c not in order))
+    return rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), at).alias("_")).select(*keys, "_.*").select(*rows.columns)
+
+
+def deduplicated(candles: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """One row for each series and time: the first in an order of arrival, or else by its values."""
+    return first_of(candles, [*SERIES, "open_time"], order or [])
+
+
+def deduplicated_matches(matches: DataFrame) -> DataFrame:
+    """One row for each timeframe and rank."""
+    return first_of(matches, ["timeframe", "rank"], [])
+
+
+def finite(column: str | Column, default: float = 0.0) -> Column:
+    """A column as a number; what is none, not a number or infinite becomes the default."""
+    x = (F.col(column) if isinstance(column, str) else column).try_cast("double")
+    return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), default).otherwise(x)
+
+
+def market(candles: DataFrame, symbol: str, timeframe: str) -> DataFrame:
+    """Indexed candles of one series without repeated times; an error if there are none."""
+    found = deduplicated(candles.where((F.col("symbol") == symbol) & (F.col("timeframe") == timeframe)))
+    if not found.limit(1).count():
+        raise ValueError(f"no candles of {symbol} {timeframe}")
+    return indexed(found)
 
 
 def latest_contiguous(candles: DataFrame, step: int) -> DataFrame:
@@ -80,13 +124,15 @@ def latest_contiguous(candles: DataFrame, step: int) -> DataFrame:
 
 
 REQUIRED = ["open_time", "open", "high", "low", "close", "volume"]
+#: What each failed rule is called in a report, in order.
+MESSAGES = {"duplicate_open_time": "duplicate open timestamps", "high_below_low": "high < low", "open_outside_range": "open outside high/low", "close_outside_range": "close outside high/low", "negative_values": "negative OHLCV value", "gaps": "missing timestamp gaps detected"}
 
 
 def validate(candles: DataFrame, step: int) -> DataFrame:
     """A row for each series: how many rows break each rule, and the messages in order."""
     missing = [c for c in REQUIRED if c not in candles.columns]
     if missing:
-        return candles.select(*SERIES).distinct().withColumn("errors", F.array(F.lit(f"missing columns: {', '.join(missing)}")))
+        return candles.select(*SERIES).distinct().withColumn("errors", F.array(F.lit(f"missing columns: {sorted(missing)}")))
     w = by_time()
     gap = F.col("open_time") - F.lag("open_time").over(w)
     o, h, lo, c = (F.col(x) for x in ("open", "high", "low", "close"))
@@ -99,7 +145,7 @@ def validate(candles: DataFrame, step: int) -> DataFrame:
         "gaps": gap > step,
     }
     out = candles.withColumns({k: v.cast("int") for k, v in checks.items()}).groupBy(*SERIES).agg(*(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in checks))
-    return out.withColumn("errors", F.array_compact(F.array(*(F.when(F.col(k) > 0, F.lit(k)) for k in checks))))
+    return out.withColumn("errors", F.array_compact(F.array(*(F.when(F.col(k) > 0, F.lit(MESSAGES[k])) for k in checks))))
 
 
 def normalize_klines(raw: DataFrame, now_ms: int) -> DataFrame:
@@ -117,12 +163,53 @@ def export_csv(candles: DataFrame, path: str) -> None:
     candles.select(*COLUMNS).withColumn("_timeframe", F.col("timeframe")).write.partitionBy("_timeframe").option("compression", "gzip").csv(path, header=True)
 
 
-def restore_csv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SCHEMA).csv(path, header=True).select(*COLUMNS)
+def restore_csv(spark: SparkSession, path: str, stored: DataFrame | None = None) -> DataFrame:
+    """Exported candles, merged into stored ones if given; a path without files gives stored ones, or none."""
+    try:
+        found = spark.read.schema(SCHEMA).csv(path, header=True).select(*COLUMNS)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        found = spark.createDataFrame([], SCHEMA)
+    return found if stored is None else upsert(stored, found)
+
 
+def increment(stored: DataFrame, offered: DataFrame, step: int, most: int | None = None) -> DataFrame:
+    """stored after an update. A series that is new begins with the latest contiguous run of offered candles, most of them at most.
 
-def increment(stored: DataFrame, offered: DataFrame, step: int) -> DataFrame:
-    """stored after an update: offered candles that are closed and newer than the last one stored, the last contiguous run of them."""
+    Offered candles must be closed, start at a multiple of step and be newer than the last stored one. Those that break a rule of
+    validate make an error, so nothing is merged then.
+    """
     last = last_open_time(stored).withColumnRenamed("last_open_time", "_last")
-    newer = offered.join(last, SERIES, "left").where((F.col("is_closed") == 1) & (F.col("_last").isNull() | (F.col("open_time") > F.col("_last")))).drop("_last")
-    return upsert(stored, latest_contiguous(newer, step))
+    newer = offered.where(f"is_closed = 1 AND open_time % {step} = 0").join(last, SERIES, "left").where(F.col("_last").isNull() | (F.col("open_time") > F.col("_last")))
+    newer = latest(latest_contiguous(newer.where("_last IS NULL"), step), most).unionByName(newer.where("_last IS NOT NULL")).drop("_last")
+    broken = validate(newer, step).where(F.size(F.array_remove("errors", MESSAGES["gaps"])) > 0).select(*SERIES, "errors").limit(3).collect()
+    if broken:
+        raise ValueError(f"offered candles are not valid: {broken}")
+    return upsert(stored, newer)
+
+
+def paged(fetch: Callable[[int, int], list], start: int, end: int, step: int, most: int, page: int = 1000) -> Iterator[list]:
+    """Pages of klines from start to end by a function of (start, limit), until one is empty or short, the cursor stands, or most are read."""
+    cursor, count = max(start, 0), 0
+    while cursor <= end and count < most:
+        rows = fetch(cursor, min(page, most - count))
+        if not rows:
+            return
+        yield rows
+        count += len(rows)
+        ahead = int(rows[-1][0]) + step
+        if len(rows) < min(page, most - count + len(rows)) or ahead <= cursor:
+            return
+        cursor = ahead
+
+
+def write_results(results: dict[str, DataFrame], folder: str) -> None:
+    """Each frame as CSV with a header under its name, in place of what was there; other names stay."""
+    for name, df in results.items():
+        df.write.mode("overwrite").option("escape", '"').csv(f"{folder}/{name}", header=True)
+
+
+def read_result(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A frame of write_results, types inferred, quotes minded: what the next step reads in place of the frame itself."""
+    return spark.read.option("inferSchema", True).option("escape", '"').csv(f"{folder}/{name}", header=True)
