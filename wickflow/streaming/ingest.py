@@ -46,8 +46,8 @@ def merge_into(path: str):
         except AnalysisException:  # nothing is stored yet
             stored = None
         if stored is not None:
-            touched = [tuple(r) for r in parts.collect()]  # a batch spans few folders
-            kept = stored.where(F.struct("tf", "part").isin([F.struct(F.lit(t), F.lit(p).cast("long")) for t, p in touched])) if touched else stored.limit(0)
+            touched = [f"{t}/{p}" for t, p in parts.collect()]  # a batch spans few folders
+            kept = stored.where(F.concat_ws("/", "tf", F.col("part").cast("string")).isin(touched))
             new = upsert(kept.select(*COLUMNS), new).checkpoint()
         rows = new.withColumns({"tf": F.col("timeframe"), "part": folder})
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tf", "part").parquet(path)
