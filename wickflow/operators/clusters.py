@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,11 +18,16 @@ def nearest(centres: Column, v: Column) -> Column:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the session's shared folder, or checkpointed where only that folder of Spark's own is set."""
+    """df as a table in the folder that driver and executors share; in local mode without one, checkpointed in a new temporary folder."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        return df.checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df
+        context = spark.sparkContext
+        if not context._jsc.sc().getCheckpointDir().isDefined():
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="wickflow-"))
+        return df.checkpoint()
     path = f"{folder}/wickflow/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
