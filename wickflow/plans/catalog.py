@@ -661,12 +661,11 @@ def replayed(spark, sf_dir, mode: str) -> DataFrame:
     told = analysed(candles, at.select(*wd.KEYS).unionByName(last.select(*wd.KEYS)).distinct())
     told = cu.stored(told.select(*wd.KEYS, "last", "tokens", sr.families(F.col("tokens")).alias("family")), "told")
     now = told.where("end = last").select(*src.SERIES, F.col("family").alias("own"))
-    return at.join(told.drop("last"), wd.KEYS).join(now, src.SERIES).withColumn("story_similarity", sr.family_similarity("own", "family"))
+    return cu.stored(at.join(told.drop("last"), wd.KEYS).join(now, src.SERIES).withColumn("story_similarity", sr.family_similarity("own", "family")), "replays")
 
 
-def replay_matches(spark, sf_dir, mode: str, top_k: int = 25) -> DataFrame:
-    """Reference times by .6 candle and .4 story similarity of the exact timeframes, with the family stories of all."""
-    rows = replayed(spark, sf_dir, mode)
+def replay_matches(rows: DataFrame, mode: str, top_k: int = 25) -> DataFrame:
+    """Reference times of replayed rows by .6 candle and .4 story similarity of the exact timeframes, with the family stories of all."""
     tfs = [*mt.MODES[mode][0], *mt.MODES[mode][1]]
     story = F.avg(F.when(F.col("synchronization") == "EXACT", F.col("story_similarity"))).alias("story_similarity")
     out = rows.groupBy("symbol", "reference_timestamp", "screen_rank", "candle_similarity").agg(story, *(F.max(F.when(F.col("timeframe") == tf, F.col("family"))).alias(f"story_{tf}") for tf in tfs))
@@ -679,14 +678,15 @@ def told_rows(matches: DataFrame) -> DataFrame:
 
 
 for _mode in mt.MODES:
-    query(name=f"story_history_{_mode}")(lambda spark, sf_dir, mode=_mode: told_rows(replay_matches(spark, sf_dir, mode)))
+    query(name=f"story_history_{_mode}")(lambda spark, sf_dir, mode=_mode: told_rows(replay_matches(replayed(spark, sf_dir, mode), mode)))
 
 
 @query()
 def story_history_heat(spark, sf_dir):
     """Story similarity of each timeframe at the reference times of story_history_1h."""
-    kept = replay_matches(spark, sf_dir, "1h").select("symbol", "reference_timestamp")
-    rows = replayed(spark, sf_dir, "1h").join(kept, ["symbol", "reference_timestamp"], "left_semi")
+    rows = replayed(spark, sf_dir, "1h")
+    kept = replay_matches(rows, "1h").select("symbol", "reference_timestamp")
+    rows = rows.join(kept, ["symbol", "reference_timestamp"], "left_semi")
     out = rows.groupBy("symbol", "reference_timestamp").pivot("timeframe", mt.ALL).agg(F.avg("story_similarity"))
     return out.select("symbol", "reference_timestamp", *(F.col(tf).alias(f"story_similarity_{tf}") for tf in mt.ALL))
 
@@ -695,7 +695,7 @@ TOLD_TFS = [f"story_{tf}" for tf in mt.ALL]
 
 
 def archetypes(spark, sf_dir) -> DataFrame:
-    return sr.leader_clusters(replay_matches(spark, sf_dir, "1h"), "rank", "symbol", TOLD_TFS)
+    return sr.leader_clusters(replay_matches(replayed(spark, sf_dir, "1h"), "1h"), "rank", "symbol", TOLD_TFS)
 
 
 @query()
