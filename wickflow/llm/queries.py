@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, conversation_repair, fingerprints, jaccard_join, licenses, mixing, packing, quality, token_counts, toxicity, warc
+from . import bpe, chat, conversation_repair, fingerprints, jaccard_join, licenses, mixing, packing, quality, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_warc_round_trip": warc.op9_warc_round_trip,
     "op10_license_scan": licenses.op10_license_scan,
     "op11_conversation_repair": conversation_repair.op11_conversation_repair,
+    "op12_bpe_round_trip": bpe.op12_bpe_round_trip,
 }
 
 ORACLE_SQL: dict[str, str] = {
