@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, conversation_repair, fingerprints, jaccard_join, licenses, mixing, packing, quality, token_counts, toxicity, warc
+from . import bpe, chat, conversation_repair, fingerprints, jaccard_join, licenses, mixing, packing, quality, spelling, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_license_scan": licenses.op10_license_scan,
     "op11_conversation_repair": conversation_repair.op11_conversation_repair,
     "op12_bpe_round_trip": bpe.op12_bpe_round_trip,
+    "op13_spelling_variants": spelling.op13_spelling_variants,
 }
 
 ORACLE_SQL: dict[str, str] = {
