@@ -7,10 +7,11 @@ candles, once by series.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import KEYS, array_mean, array_median, ended, frame, last_candles, let, mean
+from ..sources.candles import SERIES
+from .windows import KEYS, array_mean, array_median, ended, frame, let, mean
 
 #: Reach of a level and distance at which levels merge, in true ranges; least body of a zone and least growth, in medians.
 TOUCH, MERGE, BODY, GROWN = 0.20, 0.50, 1.25, 1.25
@@ -27,22 +28,93 @@ FEATURES = [*COUNTS, *(x for k in SHIFTED for x in (f"first_{k}", f"second_{k}",
 STORY_FEATURES = [*FEATURES, "level_count"]
 
 
-def prior_levels(candles: DataFrame, n: int = 20) -> DataFrame:
-    """For each candle of each series' last window, the nearest earlier high, low or body middle that it touches.
+#: What an earlier candle offers as levels, in order, and what is said of a window's interactions with them.
+PRIOR = ["PRIOR_HIGH", "PRIOR_LOW", "PRIOR_BODY"]
+PRIOR_SAID = {
+    "interaction_count": "PRIOR_LEVEL_INTERACTION", "pullback_count": "PULLBACK_PRESENT", "rejection_count": "REJECTION_PRESENT", "break_count": "LEVEL_BREAK_PRESENT", "hold_count": "LEVEL_HOLD_PRESENT",
+    "repeated_level_hits": "REPEATED_LEVEL_TEST", "reaction_expansion_count": "POST_INTERACTION_EXPANSION",
+}
+PRIOR_FIELDS = [
+    "interaction_count", "first_interaction_index", "last_interaction_index", "break_count", "hold_count", "rejection_count", "pullback_count", "repeated_level_hits", "reaction_expansion_count", "interaction_level_types",
+    "direction_first_third", "direction_last_third", "direction_shift", "range_first_third", "range_last_third", "range_shift", "story",
+]
+PRIOR_EVENT = ["off", "source", "level_type", "level", "event"]
+
+
+def prior_touches(bars: Column, n: int) -> Column:
+    """For each candle of a window the nearest high, low or body middle of an earlier one, if it is touched, and what happens there.
 
     Distances are by a fifth of the earlier candle's range; of equal ones the earliest candle, then high, low, body.
     """
-    w = last_candles(candles, n).select(*KEYS, "off", "open", "high", "low", "close")
-    level = lambda i, name, x: F.struct(F.lit(i).alias("order"), F.lit(name).alias("level_type"), x.alias("level"))
-    before = w.select(*KEYS, F.col("off").alias("source"), F.greatest((F.col("high") - F.col("low")) * TOUCH, F.lit(1e-12)).alias("tolerance"), F.explode(F.array(
-        level(0, "PRIOR_HIGH", F.col("high")), level(1, "PRIOR_LOW", F.col("low")), level(2, "PRIOR_BODY", (F.col("open") + F.col("close")) / 2))).alias("_"))
-    before = before.select(*KEYS, "source", "tolerance", "_.*")
-    far = F.least(*(F.abs(F.col(x) - F.col("level")) for x in ("high", "low", "close"))) / F.col("tolerance")
-    hit = w.join(before, KEYS).where(F.col("source") < F.col("off")).withColumn("distance", far).where("distance <= 1")
-    best = hit.groupBy(*KEYS, "off").agg(F.min_by(F.struct("source", "level_type", "level", "tolerance", "high", "low", "close"), F.struct("distance", "source", "order")).alias("_"))
-    out = best.select(*KEYS, "off", "_.*").where("(low <= level AND level <= high) OR abs(close - level) <= tolerance")
-    kind = F.when((F.col("level_type") == "PRIOR_HIGH") & (F.col("close") > F.col("level")), "BREAK_ABOVE_PRIOR_HIGH").when((F.col("level_type") == "PRIOR_LOW") & (F.col("close") < F.col("level")), "BREAK_BELOW_PRIOR_LOW").otherwise("LEVEL_REVISIT")
-    return out.withColumn("event", kind).drop("high", "low", "close", "tolerance")
+
+    def offered(i: Column, b: Column) -> Column:
+        def of(j: Column) -> Column:
+            p = F.get(bars, j)
+            reach = F.greatest(p["range"] * TOUCH, F.lit(1e-12))
+            prices = [p["high"], p["low"], (F.greatest(p["open"], p["close"]) + F.least(p["open"], p["close"])) / 2]
+            far = lambda x: F.least(*(F.abs(b[k] - x) for k in ("high", "low", "close"))) / reach
+            return F.array(*(F.struct(far(x).alias("far"), j.alias("source"), F.lit(k).alias("kind"), x.alias("level"), reach.alias("reach")) for k, x in enumerate(prices)))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), i - 1), of))
+
+    def nearest(i: Column) -> Column:
+        b = F.get(bars, i)
+        touched = lambda x: ((b["low"] <= x["level"]) & (x["level"] <= b["high"])) | (F.abs(b["close"] - x["level"]) <= x["reach"])
+        best = F.array_min(F.filter(offered(i, b), lambda x: x["far"] <= 1.0))
+        return let(best, lambda x: F.when(touched(x), F.struct(i.alias("off"), x["source"].alias("source"), x["kind"].alias("kind"), x["level"].alias("level"), x["reach"].alias("reach"))))
+
+    def told(hits: Column, x: Column, k: Column) -> Column:
+        i, b, p = x["off"], F.get(bars, x["off"]), x["level"]
+        c, high, low = b["close"], x["kind"] == 0, x["kind"] == 1
+        above, below = high & (c > p), low & (c < p)
+        held = (high & (c <= p)) | (low & (c >= p))
+        upper, lower = (b["high"] - F.greatest(b["open"], c)) / b["range"], (F.least(b["open"], c) - b["low"]) / b["range"]
+        rejected = (high & (upper >= WICK) & (c < p)) | (low & (lower >= WICK) & (c > p))
+        recent = F.signum(array_mean(F.transform(F.slice(bars, F.greatest(i - 3, F.lit(0)) + 1, F.least(i, F.lit(3))), lambda y: y["direction"])))
+        turned = (recent != 0) & (b["direction"] != 0) & (b["direction"] != recent)
+        since = F.greatest(i - 4, F.lit(0))
+        usual = array_median(F.transform(F.slice(bars, since + 1, i - since + 1), lambda y: y["range"]))
+        grew = F.coalesce((i + 1 < n) & (F.get(bars, i + 1)["range"] > usual * GROWN), F.lit(False))
+        again = F.exists(F.slice(hits, 1, k), lambda y: F.abs(p - y["level"]) <= x["reach"])
+        label = F.when(turned, "PULLBACK_TO_PRIOR_LEVEL").when(rejected, "REJECTION_AT_PRIOR_LEVEL").when(above, "BREAK_ABOVE_PRIOR_HIGH").when(below, "BREAK_BELOW_PRIOR_LOW").otherwise("LEVEL_REVISIT")
+        flags = {"break": above | below, "hold": held, "rejection": rejected, "pullback": turned, "again": again, "grew": grew}
+        return F.struct(i.alias("off"), x["source"].alias("source"), F.get(F.lit(PRIOR), x["kind"]).alias("level_type"), p.alias("level"), label.alias("event"), *(v.cast("int").alias(name) for name, v in flags.items()))
+
+    return let(F.array_compact(F.transform(places(1, n), nearest)), lambda hits: F.transform(hits, lambda x, k: told(hits, x, k)))
+
+
+def prior_interactions(candles: DataFrame, n: int = 20) -> DataFrame:
+    """For each window of candles (with raw_anatomy) PRIOR_FIELDS and its events as an array of PRIOR_EVENT.
+
+    A window of fewer than three candles has no interactions and says so.
+    """
+    third = max(1, n // 3)
+    thirds = {f"{k}_{side}_third": mean(c, n, a, b) for k, c in (("direction", "direction"), ("range", "raw_range")) for side, a, b in (("first", 0, third), ("last", n - third, n))}
+    bars = F.collect_list(F.struct("open", "high", "low", "close", F.col("raw_range").alias("range"), "direction"))
+    w = ended(candles, n, {"bars": bars.over(frame(n)), **thirds}).withColumn("events", prior_touches(F.col("bars"), n) if n > 2 else F.array()).drop("bars")
+    if n < 3:
+        return w.select(*KEYS, "last", F.lit(0).alias("interaction_count"), F.lit("INSUFFICIENT_WINDOW").alias("story"))
+    e, some = F.col("events"), F.size("events") > 0
+    total = lambda name: F.aggregate(e, F.lit(0), lambda t, x: t + x[name])
+    counts = {"break_count": "break", "hold_count": "hold", "rejection_count": "rejection", "pullback_count": "pullback", "repeated_level_hits": "again", "reaction_expansion_count": "grew"}
+    at = lambda i: F.when(some, F.col("end") - n + 1 + F.element_at(e, i)["off"]).otherwise(-1)
+    w = w.withColumns({"interaction_count": F.size(e), **{k: total(v) for k, v in counts.items()}, "first_interaction_index": at(1), "last_interaction_index": at(-1)})
+    w = w.withColumn("interaction_level_types", F.when(some, F.array_join(F.transform(e, lambda x: x["level_type"]), " -> ")).otherwise("NONE"))
+    w = w.withColumns({f"{k}_shift": F.col(f"{k}_last_third") - F.col(f"{k}_first_third") for k in ("direction", "range")})
+    story = F.array_join(F.array_compact(F.array(*(F.when(F.col(k) > 0, v) for k, v in PRIOR_SAID.items()))), " -> ")
+    w = w.withColumn("story", F.when(some, story).otherwise("NO_PRIOR_LEVEL_INTERACTION"))
+    return w.select(*KEYS, "last", *PRIOR_FIELDS, F.transform(e, lambda x: F.struct(*(x[k].alias(k) for k in PRIOR_EVENT))).alias("events"))
+
+
+def level_table(candles: DataFrame, windows: DataFrame, n: int = 20) -> DataFrame:
+    """For each candle of windows (series, end) but the first: the high, low and body bounds of the candle before, and its own prices."""
+    at = windows.withColumn("off", F.explode(F.sequence(F.lit(1), F.lit(n - 1)))).withColumn("idx", F.col("end") - n + 1 + F.col("off"))
+    before = lambda c: F.lag(c).over(Window.partitionBy(*SERIES).orderBy("idx"))
+    rows = candles.select(
+        *SERIES, "idx", "open_time", before("high").alias("prior_high"), before("low").alias("prior_low"), F.greatest(before("open"), before("close")).alias("prior_body_high"),
+        F.least(before("open"), before("close")).alias("prior_body_low"), F.col("high").alias("current_high"), F.col("low").alias("current_low"), F.col("close").alias("current_close"),
+    )
+    return at.join(rows, [*SERIES, "idx"])
 
 
 def zone_bounds(price: Column, rng: Column, tolerance: float = TOUCH) -> Column:

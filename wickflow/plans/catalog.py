@@ -559,17 +559,67 @@ def mtf_asof_context(spark, sf_dir):
 
 # ------------------------------------------------------------------ levels and stories
 
-PRIOR = """SELECT symbol, off, source, level_type, level, CASE WHEN level_type = 'PRIOR_HIGH' AND close > level THEN 'BREAK_ABOVE_PRIOR_HIGH' WHEN level_type = 'PRIOR_LOW' AND close < level THEN 'BREAK_BELOW_PRIOR_LOW' ELSE 'LEVEL_REVISIT' END AS event FROM (
-  SELECT *, row_number() OVER (PARTITION BY symbol, off ORDER BY distance, source, ord) AS n FROM (
-    SELECT a.symbol, a.off, b.off AS source, a.high, a.low, a.close, greatest((b.high - b.low) * 0.2, 1e-12) AS tol, k.ord, ['PRIOR_HIGH', 'PRIOR_LOW', 'PRIOR_BODY'][k.ord + 1] AS level_type, [b.high, b.low, (b.open + b.close) / 2][k.ord + 1] AS level,
-      least(abs(a.high - level), abs(a.low - level), abs(a.close - level)) / tol AS distance
-    FROM w_1h a JOIN w_1h b ON a.symbol = b.symbol AND a.wend = b.wend AND b.off < a.off CROSS JOIN (SELECT unnest([0, 1, 2]) AS ord) k WHERE a.wend = a.last) WHERE distance <= 1)
-  WHERE n = 1 AND (low <= level AND level <= high OR abs(close - level) <= tol)"""
+# Interactions with earlier candles of the window, by joins: what each earlier candle offers, the nearest of it, and flags of each touch.
+PL = {
+    "pl_b": """SELECT *, avg(direction) OVER (w ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS recent, median(raw_range) OVER (w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS usual, lead(raw_range) OVER w AS next_range
+  FROM w_1h WINDOW w AS (PARTITION BY symbol, wend ORDER BY off)""",
+    "pl_n": """SELECT a.*, b.off AS source, k.ord, [b.high, b.low, (greatest(b.open, b.close) + least(b.open, b.close)) / 2][k.ord + 1] AS level, greatest(b.raw_range * 0.2, 1e-12) AS tol
+  FROM pl_b a JOIN pl_b b ON a.symbol = b.symbol AND a.wend = b.wend AND b.off < a.off CROSS JOIN (SELECT unnest([0, 1, 2]) AS ord) k
+  WHERE least(abs(a.high - level), abs(a.low - level), abs(a.close - level)) / tol <= 1
+  QUALIFY row_number() OVER (PARTITION BY a.symbol, a.wend, a.off ORDER BY least(abs(a.high - level), abs(a.low - level), abs(a.close - level)) / tol, b.off, k.ord) = 1""",
+    "pl_f": """SELECT *, ['PRIOR_HIGH', 'PRIOR_LOW', 'PRIOR_BODY'][ord + 1] AS level_type, ord = 0 AND close > level AS above, ord = 1 AND close < level AS below, ord = 0 AND close <= level OR ord = 1 AND close >= level AS hold,
+    ord = 0 AND (high - greatest(open, close)) / raw_range >= 0.35 AND close < level OR ord = 1 AND (least(open, close) - low) / raw_range >= 0.35 AND close > level AS rejection,
+    sign(recent) <> 0 AND direction <> 0 AND direction <> sign(recent) AS pullback, coalesce(next_range > usual * 1.25, false) AS grew
+  FROM pl_n WHERE low <= level AND level <= high OR abs(close - level) <= tol""",
+    "pl": """SELECT e.*, EXISTS (SELECT 1 FROM pl_f p WHERE p.symbol = e.symbol AND p.wend = e.wend AND p.off < e.off AND abs(e.level - p.level) <= e.tol) AS again,
+    CASE WHEN pullback THEN 'PULLBACK_TO_PRIOR_LEVEL' WHEN rejection THEN 'REJECTION_AT_PRIOR_LEVEL' WHEN above THEN 'BREAK_ABOVE_PRIOR_HIGH' WHEN below THEN 'BREAK_BELOW_PRIOR_LOW' ELSE 'LEVEL_REVISIT' END AS event FROM pl_f e""",
+    "pl_t": """SELECT symbol, wend, avg(direction) FILTER (off < 6) AS direction_first_third, avg(direction) FILTER (off >= 14) AS direction_last_third, avg(raw_range) FILTER (off < 6) AS range_first_third, avg(raw_range) FILTER (off >= 14) AS range_last_third FROM w_1h GROUP BY ALL""",
+    "pl_c": """SELECT symbol, wend, count(*) AS interaction_count, min(off) AS first_off, max(off) AS last_off, count_if(above OR below) AS break_count, count_if(hold) AS hold_count, count_if(rejection) AS rejection_count, count_if(pullback) AS pullback_count,
+    count_if(again) AS repeated_level_hits, count_if(grew) AS reaction_expansion_count, string_agg(level_type, ' -> ' ORDER BY off) AS interaction_level_types FROM pl GROUP BY ALL""",
+    "pl_w": """SELECT symbol, wend, coalesce(interaction_count, 0) AS interaction_count, coalesce(wend - 19 + first_off, -1) AS first_interaction_index, coalesce(wend - 19 + last_off, -1) AS last_interaction_index, """
+    + ", ".join(f"CAST(coalesce({x}, 0) AS BIGINT) AS {x}" for x in ("break_count", "hold_count", "rejection_count", "pullback_count", "repeated_level_hits", "reaction_expansion_count"))
+    + """, coalesce(interaction_level_types, 'NONE') AS interaction_level_types, direction_first_third, direction_last_third, direction_last_third - direction_first_third AS direction_shift, range_first_third, range_last_third, range_last_third - range_first_third AS range_shift,
+    CASE WHEN interaction_count IS NULL THEN 'NO_PRIOR_LEVEL_INTERACTION' ELSE concat_ws(' -> ', 'PRIOR_LEVEL_INTERACTION', CASE WHEN pullback_count > 0 THEN 'PULLBACK_PRESENT' END, CASE WHEN rejection_count > 0 THEN 'REJECTION_PRESENT' END, CASE WHEN break_count > 0 THEN 'LEVEL_BREAK_PRESENT' END,
+      CASE WHEN hold_count > 0 THEN 'LEVEL_HOLD_PRESENT' END, CASE WHEN repeated_level_hits > 0 THEN 'REPEATED_LEVEL_TEST' END, CASE WHEN reaction_expansion_count > 0 THEN 'POST_INTERACTION_EXPANSION' END) END AS story FROM pl_t LEFT JOIN pl_c USING (symbol, wend)""",
+}
+PL_FIELDS = ", ".join(r(x) if x.endswith(("third", "shift")) else x for x in lv.PRIOR_FIELDS)
+
+
+def prior_interactions(spark, sf_dir) -> DataFrame:
+    return lv.prior_interactions(ft.raw_anatomy(featured(spark, sf_dir)))
+
+
+@query(build(f"SELECT symbol, off, source, level_type, event, {r('level')} FROM pl WHERE wend = last", **PL))
+def price_levels_v1(spark, sf_dir):
+    """What each candle of a series' last window does at the level of an earlier one."""
+    return prior_interactions(spark, sf_dir).where("end = last").select("symbol", F.inline("events")).select("symbol", "off", "source", "level_type", "event", "level")
 
 
-@query(build(f"SELECT symbol, off, source, level_type, event, {r('level')} FROM pl", pl=PRIOR))
-def price_levels_v1(spark, sf_dir):
-    return lv.prior_levels(featured(spark, sf_dir)).select("symbol", "off", "source", "level_type", "event", "level")
+@query(build(f"SELECT symbol, wend AS window_end, {PL_FIELDS} FROM pl_w", **PL))
+def prior_level_interactions(spark, sf_dir):
+    """Every window's interactions with the levels of its own earlier candles."""
+    return prior_interactions(spark, sf_dir).select("symbol", F.col("end").alias("window_end"), *lv.PRIOR_FIELDS)
+
+
+@query(build(f"SELECT symbol, rank, wend - 19 AS candidate_start, wend AS candidate_end, a.open_time, b.open_time + 3600000 - 1 AS close_time, {r('similarity')}, {PL_FIELDS} FROM (SELECT symbol, rank, wend, similarity FROM ranked WHERE rank <= 25) JOIN pl_w USING (symbol, wend) JOIN (SELECT symbol, idx + 19 AS wend, open_time FROM c_1h) a USING (symbol, wend) JOIN (SELECT symbol, idx AS wend, open_time FROM c_1h) b USING (symbol, wend)", **PL))
+def prior_level_matches(spark, sf_dir):
+    """The interactions of the 25 windows most like each series' last one."""
+    found = wd.top(wd.similarities(featured(spark, sf_dir)), 25).select(*wd.KEYS, "rank", "similarity")
+    times = src.series(spark, sf_dir).select(*src.SERIES, "idx", "open_time", "close_time")
+    begun = times.select(*src.SERIES, (F.col("idx") + 19).alias("end"), "open_time")
+    out = found.join(prior_interactions(spark, sf_dir), wd.KEYS).join(begun, wd.KEYS).join(times.select(*src.SERIES, F.col("idx").alias("end"), "close_time"), wd.KEYS)
+    return out.select("symbol", "rank", (F.col("end") - 19).alias("candidate_start"), F.col("end").alias("candidate_end"), "open_time", "close_time", "similarity", *lv.PRIOR_FIELDS)
+
+
+LEVELS = ["prior_high", "prior_low", "prior_body_high", "prior_body_low", "current_high", "current_low", "current_close"]
+
+
+@query(build(f"SELECT symbol, rank, candidate_end, off AS local_index, open_time, {r(*LEVELS)} FROM (SELECT w.symbol, m.rank, w.wend AS candidate_end, w.off, w.open_time, lag(w.high) OVER s AS prior_high, lag(w.low) OVER s AS prior_low, greatest(lag(w.open) OVER s, lag(w.close) OVER s) AS prior_body_high, least(lag(w.open) OVER s, lag(w.close) OVER s) AS prior_body_low, w.high AS current_high, w.low AS current_low, w.close AS current_close FROM w_1h w JOIN (SELECT symbol, wend, rank FROM ranked WHERE rank <= 25) m USING (symbol, wend) WINDOW s AS (PARTITION BY w.symbol, w.wend ORDER BY w.off)) WHERE off > 0"))
+def prior_level_table(spark, sf_dir):
+    """The levels that each candle of those windows takes from the one before it."""
+    found = wd.top(wd.similarities(featured(spark, sf_dir)), 25).select(*wd.KEYS, "rank")
+    out = lv.level_table(src.series(spark, sf_dir), found)
+    return out.select("symbol", "rank", F.col("end").alias("candidate_end"), F.col("off").alias("local_index"), "open_time", *LEVELS)
 
 
 def analysed(candles: DataFrame, keys: DataFrame | None = None) -> DataFrame:
