@@ -196,7 +196,10 @@ def by_quartiles(rows: DataFrame, columns: list[str], is_query: Column, by: list
 
 
 def described(featured: DataFrame, n: int = 20) -> DataFrame:
-    """A row for each window: shares and means of the window, its halves and thirds; ranges are scaled back by 5."""
+    """A row for each window: shares and means of the window, its halves and thirds; ranges are scaled back by 5.
+
+    Alternation is of the pairs of neighbours inside the window or third, but that of halves is of all their candles.
+    """
     half, third = max(1, n // 2), max(1, n // 3)
     rr, bull, bear = F.col("range_ratio") * 5, F.col("direction") > 0, F.col("direction") < 0
     up, low = F.col("upper_wick_pct") >= 0.35, F.col("lower_wick_pct") >= 0.35
@@ -205,7 +208,7 @@ def described(featured: DataFrame, n: int = 20) -> DataFrame:
     pairs = lambda a, b: F.coalesce(mean("alternation", n, a, b), F.lit(0.0))
     return ended(featured, n, {
         "bullish": share(bull), "bearish": share(bear), "body": mean("body_pct", n), "range_level": mean(rr, n), "close_location": mean("close_location", n),
-        "alternation": mean("alternation", n), "pair_alternation": mean("alternation", n, 1), "compression_75": share(rr < 0.75), "expansion_125": share(rr > 1.25), "compression": share(rr < 0.85),
+        "alternation": pairs(1, n), "compression_75": share(rr < 0.75), "expansion_125": share(rr > 1.25), "compression": share(rr < 0.85),
         "expansion": share(rr > 1.15), "upper_rejection": share(up), "lower_rejection": share(low), "either_rejection": share(up | low), "small_body": share(F.col("body_pct") <= 0.25),
         "large_body": share(F.col("body_pct") >= 0.6), **both("bull", bull.cast("double")), **both("range", rr), **both("direction", F.col("direction")), **both("scaled_range", F.col("range_ratio")),
         **both("alternation", F.col("alternation")), **both("body", F.col("body_pct")), **both("close", F.col("close_location")), "range_first_third": mean(rr, n, 0, third), "range_middle_third": mean(rr, n, third, 2 * third),
@@ -251,7 +254,7 @@ def pattern_code() -> Column:
     b, d = F.col("bullish"), lambda a, c: F.col(a) - F.col(c)
     three = lambda x, cut, high, low, mid: F.when(x >= cut, high).when(x <= -cut, low).otherwise(mid)
     rs, wick, ds, tr = d("range_second", "range_first"), d("lower_rejection", "upper_rejection"), d("bull_second", "bull_first"), d("range_last_third", "range_first_third")
-    a, cl = F.col("pair_alternation"), F.col("close_location")
+    a, cl = F.col("alternation"), F.col("close_location")
     return F.concat_ws(
         " | ", F.when(1 - 2 * F.abs(b - 0.5) >= 0.70, "BALANCED").when(b > 0.5, "BULL_BIASED").otherwise("BEAR_BIASED"), three(rs, 0.20, "EXPANDING", "COMPRESSING", "STABLE"), three(wick, 0.12, "LOWER_WICK", "UPPER_WICK", "WICK_BALANCED"),
         three(ds, 0.20, "BULL_SHIFT", "BEAR_SHIFT", "DIRECTION_BALANCED"), F.when(a >= 0.55, "HIGH_ALT").when(a <= 0.30, "LOW_ALT").otherwise("MID_ALT"), F.when(F.col("body") >= 0.60, "LARGE_BODY").when(F.col("body") <= 0.25, "SMALL_BODY").otherwise("MID_BODY"),
@@ -284,10 +287,11 @@ def blocks(featured: DataFrame, n: int = 20, count: int = 5) -> DataFrame:
     """The last window of each series in count blocks, sizes as even as can be: measures and a label of six parts."""
     w = last_candles(featured, n).withColumn("rr", F.col("range_ratio") * 5)
     w = w.withColumn("block", F.ntile(count).over(Window.partitionBy(*KEYS).orderBy("off")))
+    w = w.withColumn("_first", F.row_number().over(Window.partitionBy(*KEYS, "block").orderBy("off")) == 1)  # has no neighbour before it in the block
     share = lambda c: F.avg(c.cast("double"))
     out = w.groupBy(*KEYS, "block").agg(
         F.count("*").alias("candles"), share(F.col("direction") > 0).alias("bullish"), F.avg("rr").alias("range_level"), share(F.col("upper_wick_pct") >= 0.35).alias("upper_rejection"),
-        share(F.col("lower_wick_pct") >= 0.35).alias("lower_rejection"), F.avg("alternation").alias("alternation"), F.avg("body_pct").alias("body"), F.avg("close_location").alias("close_location"),
+        share(F.col("lower_wick_pct") >= 0.35).alias("lower_rejection"), F.coalesce(F.avg(F.when(~F.col("_first"), F.col("alternation"))), F.lit(0.0)).alias("alternation"), F.avg("body_pct").alias("body"), F.avg("close_location").alias("close_location"),
     )
     b, r, a, m, c, wick = F.col("bullish"), F.col("range_level"), F.col("alternation"), F.col("body"), F.col("close_location"), F.col("lower_rejection") - F.col("upper_rejection")
     label = F.concat_ws(
@@ -314,6 +318,39 @@ def around(candles: DataFrame, centres: DataFrame, radius: int) -> DataFrame:
     return at.join(candles, [*SERIES, "idx"]).join(base, [*SERIES, "centre"]).withColumn("close_path_pct", (F.try_divide(F.col("close"), F.col("_base")) - 1) * 100).drop("_base")
 
 
+def contexts(featured: DataFrame, spans: DataFrame, context: int = 10) -> DataFrame:
+    """For each span (series, start, end) its own candles, and up to context before and after it, described: part, candles and measures.
+
+    The sides are clipped at the series' ends. A side without candles has null measures and the labels NONE; one with a single candle has
+    no alternation and the labels INSUFFICIENT_DATA. Each span is laid into the places of its parts, so the join is an equi-join.
+    """
+    last = featured.groupBy(*SERIES).agg(F.max("idx").alias("_last"))
+    first, after = F.greatest(F.col("start") - context, F.lit(0)), F.least(F.col("end") + context, F.col("_last"))
+    part = lambda name, a, b: F.struct(F.lit(name).alias("part"), a.cast("long").alias("_a"), b.cast("long").alias("_b"))
+    keys = [*SERIES, "start", "end", "part"]
+    parts = spans.select(*SERIES, "start", "end").distinct().join(last, SERIES).withColumn("_", F.explode(F.array(part("before", first, F.col("start") - 1), part("matched", F.col("start"), F.col("end")), part("after", F.col("end") + 1, after))))
+    parts = parts.select(*SERIES, "start", "end", "_.*").withColumn("candles", F.greatest(F.col("_b") - F.col("_a") + 1, F.lit(0)))
+    at = parts.where("candles > 0").withColumn("idx", F.explode(F.sequence("_a", "_b")))
+    rows = at.join(featured.withColumn("idx", F.col("idx").cast("long")), [*SERIES, "idx"])
+    half, place = F.greatest(F.floor(F.col("candles") / 2), F.lit(1)), F.col("idx") - F.col("_a")
+    rr, up, low = F.col("range_ratio") * 5, F.col("upper_wick_pct") >= 0.35, F.col("lower_wick_pct") >= 0.35
+    share, bull = (lambda c: F.avg(c.cast("double"))), (F.col("direction") > 0).cast("double")
+    both = lambda name, c: [F.avg(F.when(place < half, c)).alias(f"{name}_first"), F.avg(F.when(place >= F.col("candles") - half, c)).alias(f"{name}_second")]
+    found = rows.groupBy(*keys).agg(
+        F.avg(bull).alias("bullish"), F.avg(rr).alias("range_level"), F.avg(F.when(place > 0, F.col("alternation"))).alias("alternation"), F.avg("body_pct").alias("body"), share(rr < 0.85).alias("compression"),
+        share(rr > 1.15).alias("expansion"), share(up).alias("upper_rejection"), share(low).alias("lower_rejection"), share(up | low).alias("either_rejection"), *both("bull", bull), *both("range", rr),
+    )
+    out = parts.drop("_last", "_a", "_b").join(found, keys, "left")
+    told = lambda label: F.when(F.col("candles") == 0, "NONE").when(F.col("candles") == 1, "INSUFFICIENT_DATA").otherwise(label)
+    return out.withColumns({"archetype": told(archetype()), "micro_behaviour": told(micro_behaviour())})
+
+
+def context_row(parts: DataFrame, columns: list[str]) -> DataFrame:
+    """contexts() with a row for each span: columns of its parts as before_, matched_ and after_."""
+    each = [F.max(F.when(F.col("part") == x, F.col(c))).alias(f"{x}_{c}") for c in columns for x in ("before", "matched", "after")]
+    return parts.groupBy(*SERIES, "start", "end").agg(*each)
+
+
 def tag_matrix(tagged: DataFrame, tags: list[str], n: int = 20) -> DataFrame:
     """One column for each tag: whether the candles of each series' last window have it."""
     w = last_candles(tagged, n)
@@ -339,7 +376,7 @@ def fingerprints(described_: DataFrame) -> DataFrame:
     c = F.col
     shift = lambda name: c(f"{name}_second") - c(f"{name}_first")
     own = {
-        "direction_balance": c("bullish") - c("bearish"), "alternation": c("pair_alternation"), "body_level": c("body"), "body_shift": shift("body"), "small_body_fraction": c("small_body"), "large_body_fraction": c("large_body"),
+        "direction_balance": c("bullish") - c("bearish"), "alternation": c("alternation"), "body_level": c("body"), "body_shift": shift("body"), "small_body_fraction": c("small_body"), "large_body_fraction": c("large_body"),
         "upper_rejection": c("upper_rejection"), "lower_rejection": c("lower_rejection"), "rejection_balance": 1 - F.abs(c("upper_rejection") - c("lower_rejection")), "wick_bias": c("lower_rejection") - c("upper_rejection"),
         "range_level": c("range_level"), "range_shift": shift("range"), "compression_fraction": c("compression"), "expansion_fraction": c("expansion"), "expansion_transition": c("range_last_third") - c("range_first_third"),
         "close_location": c("close_location"), "close_shift": shift("close"), "direction_shift": shift("bull"), "first_third_alternation": c("alternation_first_third"), "last_third_alternation": c("alternation_last_third"),

@@ -384,7 +384,7 @@ MINI = {  # SQL of the labels, thresholds in the same order
     "transition_profile": "CASE WHEN bull_first <= 0.35 AND bull_second >= 0.65 THEN 'BEARISH_TO_BULLISH_SHIFT' WHEN bull_first >= 0.65 AND bull_second <= 0.35 THEN 'BULLISH_TO_BEARISH_SHIFT' WHEN abs(bull_first - 0.5) <= 0.2 AND abs(bull_second - 0.5) <= 0.2 AND compression_75 >= 0.3 THEN 'SIDEWAYS_LIKE' WHEN abs(bull_first - 0.5) <= 0.2 AND greatest(bull_second, 1 - bull_second) >= 0.65 AND range_second - range_first >= 0.15 THEN 'SIDEWAYS_TO_DIRECTIONAL_LIKE' WHEN range_second - range_first >= 0.2 THEN 'RANGE_EXPANSION_LIKE' WHEN range_second - range_first <= -0.2 THEN 'RANGE_COMPRESSION_LIKE' ELSE 'MIXED_SEQUENCE' END",
     "micro_behaviour": "CASE WHEN compression >= 0.55 AND abs(bullish - 0.5) <= 0.15 AND greatest(upper_rejection, lower_rejection) >= 0.35 THEN 'WICK_REJECTION_COMPRESSION' WHEN compression >= 0.55 AND abs(bullish - 0.5) <= 0.15 THEN 'BALANCED_COMPRESSION' WHEN compression >= 0.45 AND abs(bull_second - bull_first) >= 0.25 THEN 'DIRECTIONAL_COMPRESSION' WHEN expansion >= 0.35 AND range_second - range_first >= 0.1 THEN 'RANGE_EXPANSION' WHEN greatest(upper_rejection, lower_rejection) >= 0.45 AND abs(bullish - 0.5) <= 0.25 THEN 'REJECTION_BALANCE' WHEN bull_second - bull_first >= 0.25 AND range_second >= range_first THEN 'BULLISH_SHIFT' WHEN bull_second - bull_first <= -0.25 AND range_second >= range_first THEN 'BEARISH_SHIFT' WHEN bullish >= 0.7 AND alternation <= 0.35 AND body >= 0.6 THEN 'PERSISTENT_BULLISH_BODY' WHEN bullish <= 0.3 AND alternation <= 0.35 AND body >= 0.6 THEN 'PERSISTENT_BEARISH_BODY' WHEN alternation >= 0.55 THEN 'HIGH_ALTERNATION' WHEN body <= 0.25 THEN 'SMALL_BODY_MIX' ELSE 'MIXED_MICRO_BEHAVIOUR' END",
     "archetype": "CASE WHEN bull_second - bull_first >= 0.3 AND range_second - range_first >= 0.1 THEN 'BEARISH_TO_BULLISH_SHIFT' WHEN bull_second - bull_first <= -0.3 AND range_second - range_first >= 0.1 THEN 'BULLISH_TO_BEARISH_SHIFT' WHEN compression >= 0.55 AND abs(bullish - 0.5) <= 0.15 THEN 'SIDEWAYS_COMPRESSION' WHEN abs(bullish - 0.5) <= 0.2 AND greatest(bullish, 1 - bullish) >= 0.65 AND range_second - range_first >= 0.1 THEN 'SIDEWAYS_TO_DIRECTIONAL' WHEN expansion >= 0.35 AND range_second - range_first >= 0.1 THEN 'EXPANSION_SEQUENCE' WHEN compression >= 0.55 AND range_second - range_first <= -0.1 THEN 'COMPRESSION_SEQUENCE' WHEN either_rejection >= 0.45 AND abs(bullish - 0.5) <= 0.25 THEN 'REJECTION_MIX' WHEN bullish >= 0.7 AND alternation <= 0.35 THEN 'PERSISTENT_BULLISH_BODY' WHEN bullish <= 0.3 AND alternation <= 0.35 THEN 'PERSISTENT_BEARISH_BODY' WHEN alternation >= 0.55 THEN 'HIGH_ALTERNATION' ELSE 'MIXED_BEHAVIOUR' END",
-    "pattern_code": "concat_ws(' | ', CASE WHEN 1 - 2 * abs(bullish - 0.5) >= 0.7 THEN 'BALANCED' WHEN bullish > 0.5 THEN 'BULL_BIASED' ELSE 'BEAR_BIASED' END, CASE WHEN range_second - range_first >= 0.2 THEN 'EXPANDING' WHEN range_second - range_first <= -0.2 THEN 'COMPRESSING' ELSE 'STABLE' END, CASE WHEN lower_rejection - upper_rejection >= 0.12 THEN 'LOWER_WICK' WHEN lower_rejection - upper_rejection <= -0.12 THEN 'UPPER_WICK' ELSE 'WICK_BALANCED' END, CASE WHEN bull_second - bull_first >= 0.2 THEN 'BULL_SHIFT' WHEN bull_second - bull_first <= -0.2 THEN 'BEAR_SHIFT' ELSE 'DIRECTION_BALANCED' END, CASE WHEN pair_alternation >= 0.55 THEN 'HIGH_ALT' WHEN pair_alternation <= 0.3 THEN 'LOW_ALT' ELSE 'MID_ALT' END, CASE WHEN body >= 0.6 THEN 'LARGE_BODY' WHEN body <= 0.25 THEN 'SMALL_BODY' ELSE 'MID_BODY' END, CASE WHEN range_last_third - range_first_third >= 0.35 THEN 'COMP_TO_EXPAND' WHEN range_last_third - range_first_third <= -0.35 THEN 'EXP_TO_COMPRESS' ELSE 'RANGE_STABLE' END, CASE WHEN close_location >= 0.65 THEN 'CLOSE_HIGH' WHEN close_location <= 0.35 THEN 'CLOSE_LOW' ELSE 'CLOSE_MID' END)",
+    "pattern_code": "concat_ws(' | ', CASE WHEN 1 - 2 * abs(bullish - 0.5) >= 0.7 THEN 'BALANCED' WHEN bullish > 0.5 THEN 'BULL_BIASED' ELSE 'BEAR_BIASED' END, CASE WHEN range_second - range_first >= 0.2 THEN 'EXPANDING' WHEN range_second - range_first <= -0.2 THEN 'COMPRESSING' ELSE 'STABLE' END, CASE WHEN lower_rejection - upper_rejection >= 0.12 THEN 'LOWER_WICK' WHEN lower_rejection - upper_rejection <= -0.12 THEN 'UPPER_WICK' ELSE 'WICK_BALANCED' END, CASE WHEN bull_second - bull_first >= 0.2 THEN 'BULL_SHIFT' WHEN bull_second - bull_first <= -0.2 THEN 'BEAR_SHIFT' ELSE 'DIRECTION_BALANCED' END, CASE WHEN alternation >= 0.55 THEN 'HIGH_ALT' WHEN alternation <= 0.3 THEN 'LOW_ALT' ELSE 'MID_ALT' END, CASE WHEN body >= 0.6 THEN 'LARGE_BODY' WHEN body <= 0.25 THEN 'SMALL_BODY' ELSE 'MID_BODY' END, CASE WHEN range_last_third - range_first_third >= 0.35 THEN 'COMP_TO_EXPAND' WHEN range_last_third - range_first_third <= -0.35 THEN 'EXP_TO_COMPRESS' ELSE 'RANGE_STABLE' END, CASE WHEN close_location >= 0.65 THEN 'CLOSE_HIGH' WHEN close_location <= 0.35 THEN 'CLOSE_LOW' ELSE 'CLOSE_MID' END)",
     "regime": "CASE WHEN abs(direction_first) >= 0.2 AND abs(direction_second) >= 0.15 AND direction_first * direction_second < 0 AND (direction_second - direction_first) * direction_first < 0 THEN 'TREND_TO_OPPOSITE_DIRECTION' WHEN abs(direction_first) <= 0.15 AND abs(direction_second) >= 0.2 AND scaled_range_second - scaled_range_first >= 0.15 THEN 'SIDEWAYS_TO_DIRECTIONAL_EXPANSION' WHEN abs(direction_first) >= 0.2 AND abs(direction_second) <= 0.15 AND scaled_range_second - scaled_range_first < 0.1 THEN 'DIRECTIONAL_TO_SIDEWAYS' WHEN scaled_range_second - scaled_range_first >= 0.25 AND abs(direction_second) >= abs(direction_first) + 0.1 THEN 'COMPRESSION_TO_EXPANSION' WHEN scaled_range_second - scaled_range_first <= -0.25 AND abs(direction_second) <= abs(direction_first) + 0.05 THEN 'EXPANSION_TO_COMPRESSION' WHEN abs(direction_first) <= 0.15 AND abs(direction_second) <= 0.15 AND alternation_second >= alternation_first + 0.1 THEN 'SIDEWAYS_ALTERNATION_INCREASE' WHEN abs(direction_first - direction_second) < 0.15 AND abs(scaled_range_second - scaled_range_first) < 0.15 THEN 'STABLE_REGIME' ELSE 'MIXED_TRANSITION' END",
     "transition_type": "CASE WHEN abs(direction_first) >= 0.2 AND abs(direction_second) >= 0.15 AND direction_first * direction_second < 0 THEN 'OPPOSITE_DIRECTION_SHIFT' WHEN abs(direction_first) <= 0.15 AND abs(direction_second) >= 0.2 AND scaled_range_second - scaled_range_first >= 0.15 THEN 'SIDEWAYS_TO_DIRECTIONAL' WHEN abs(direction_first) >= 0.2 AND abs(direction_second) <= 0.15 THEN 'DIRECTIONAL_TO_SIDEWAYS' WHEN scaled_range_second - scaled_range_first >= 0.25 THEN 'COMPRESSION_TO_EXPANSION' WHEN scaled_range_second - scaled_range_first <= -0.25 THEN 'EXPANSION_TO_COMPRESSION' WHEN abs(direction_first - direction_second) < 0.15 AND abs(scaled_range_second - scaled_range_first) < 0.15 THEN 'STABLE' ELSE 'MIXED' END",
 }
@@ -397,7 +397,7 @@ for _name, _label in LABELLED.items():
     )
 
 BLOCK = "SELECT symbol, timeframe, wend, off, direction, rr, upper_wick_pct, lower_wick_pct, alternation, body_pct, close_location, ntile(5) OVER (PARTITION BY symbol ORDER BY off) AS block FROM w_1h WHERE wend = last"
-BLOCKS = "SELECT symbol, wend, block, count(*) AS candles, avg((direction > 0)::DOUBLE) AS bullish, avg(rr) AS range_level, avg((upper_wick_pct >= 0.35)::DOUBLE) AS upper_rejection, avg((lower_wick_pct >= 0.35)::DOUBLE) AS lower_rejection, avg(alternation) AS alternation, avg(body_pct) AS body, avg(close_location) AS close_location FROM bl GROUP BY ALL"
+BLOCKS = "SELECT symbol, wend, block, count(*) AS candles, avg((direction > 0)::DOUBLE) AS bullish, avg(rr) AS range_level, avg((upper_wick_pct >= 0.35)::DOUBLE) AS upper_rejection, avg((lower_wick_pct >= 0.35)::DOUBLE) AS lower_rejection, coalesce(avg(alternation) FILTER (off > begins), 0.0) AS alternation, avg(body_pct) AS body, avg(close_location) AS close_location FROM (SELECT *, min(off) OVER (PARTITION BY symbol, block) AS begins FROM bl) GROUP BY ALL"
 
 
 @query(build(f"SELECT symbol, wend AS window_end, block, candles, {r('bullish', 'range_level', 'upper_rejection', 'lower_rejection', 'alternation', 'body', 'close_location')} FROM bs", bl=BLOCK, bs=BLOCKS))
@@ -413,7 +413,7 @@ def sequence_paths(spark, sf_dir):
 # ------------------------------------------------------------------ windows against windows of other kinds
 
 
-CODES = {"direction_balance": "bullish - bearish", "alternation": "pair_alternation", "body_level": "body", "body_shift": "body_second - body_first", "small_body_fraction": "small_body", "large_body_fraction": "large_body", "upper_rejection": "upper_rejection", "lower_rejection": "lower_rejection",
+CODES = {"direction_balance": "bullish - bearish", "alternation": "alternation", "body_level": "body", "body_shift": "body_second - body_first", "small_body_fraction": "small_body", "large_body_fraction": "large_body", "upper_rejection": "upper_rejection", "lower_rejection": "lower_rejection",
     "rejection_balance": "1 - abs(upper_rejection - lower_rejection)", "wick_bias": "lower_rejection - upper_rejection", "range_level": "range_level", "range_shift": "range_second - range_first", "compression_fraction": "compression", "expansion_fraction": "expansion", "expansion_transition": "range_last_third - range_first_third",
     "close_location": "close_location", "close_shift": "close_second - close_first", "direction_shift": "bull_second - bull_first", "first_third_alternation": "alternation_first_third", "last_third_alternation": "alternation_last_third", "bullish_fraction": "bullish", "bearish_fraction": "bearish", "middle_third_range": "range_middle_third"}
 
@@ -446,19 +446,42 @@ def regime_knn(spark, sf_dir):
     return wd.top(found, 15).select(*src.SERIES, "rank", F.col("end").alias("window_end"), "regime", "similarity")
 
 
-PARTS3 = f"""SELECT m.symbol, m.rank, x.part, d.wend AS window_end, d.bullish, d.range_level, d.alternation, coalesce({MINI['micro_behaviour']}, 'NONE') AS micro, coalesce({MINI['archetype']}, 'NONE') AS archetype FROM (SELECT symbol, rank, wend FROM ranked WHERE rank <= 10) m
-  CROSS JOIN (SELECT unnest([-1, 0, 1])::BIGINT AS part) x LEFT JOIN d_1h d ON d.symbol = m.symbol AND d.wend = m.wend + 20 * x.part"""
+# The parts of a match: ten candles before it, itself, ten after it, fewer at the series' ends; by a range join.
+CX = {
+    "cx_p": """SELECT m.symbol, m.rank, m.wend, m.similarity, p.part, greatest(CASE p.part WHEN 'before' THEN m.wend - 29 WHEN 'matched' THEN m.wend - 19 ELSE m.wend + 1 END, 0) AS a, least(CASE p.part WHEN 'before' THEN m.wend - 20 WHEN 'matched' THEN m.wend ELSE m.wend + 10 END, l.last) AS b
+  FROM ranked m JOIN (SELECT symbol, max(idx) AS last FROM f_1h GROUP BY symbol) l USING (symbol) CROSS JOIN (VALUES ('before'), ('matched'), ('after')) p(part) WHERE m.rank <= 25""",
+    "cx_f": "SELECT p.*, f.idx - p.a AS place, p.b - p.a + 1 AS n, f.direction, f.range_ratio * 5 AS rr, f.body_pct, f.upper_wick_pct, f.lower_wick_pct, f.alternation FROM cx_p p JOIN f_1h f ON f.symbol = p.symbol AND f.idx BETWEEN p.a AND p.b",
+    "cx_d": """SELECT symbol, rank, part, avg((direction > 0)::DOUBLE) AS bullish, avg(rr) AS range_level, avg(alternation) FILTER (place > 0) AS alternation, avg(body_pct) AS body, avg((rr < 0.85)::DOUBLE) AS compression, avg((rr > 1.15)::DOUBLE) AS expansion,
+    avg((upper_wick_pct >= 0.35)::DOUBLE) AS upper_rejection, avg((lower_wick_pct >= 0.35)::DOUBLE) AS lower_rejection, avg((upper_wick_pct >= 0.35 OR lower_wick_pct >= 0.35)::DOUBLE) AS either_rejection,
+    avg((direction > 0)::DOUBLE) FILTER (place < greatest(n // 2, 1)) AS bull_first, avg((direction > 0)::DOUBLE) FILTER (place >= n - greatest(n // 2, 1)) AS bull_second, avg(rr) FILTER (place < greatest(n // 2, 1)) AS range_first, avg(rr) FILTER (place >= n - greatest(n // 2, 1)) AS range_second
+  FROM cx_f GROUP BY ALL""",
+    "cx": "SELECT p.symbol, p.rank, p.part, p.wend, p.similarity, d.bullish, d.range_level, d.alternation, "
+    + ", ".join(f"CASE WHEN p.b < p.a THEN 'NONE' WHEN p.b = p.a THEN 'INSUFFICIENT_DATA' ELSE {MINI[x]} END AS {x}" for x in ("archetype", "micro_behaviour")) + " FROM cx_p p LEFT JOIN cx_d d USING (symbol, rank, part)",
+}
+SPAN = "symbol, rank, wend - 19 AS candidate_start, wend AS candidate_end, round(similarity, 6) AS similarity, "
+OF_PART = lambda c, out=None: ", ".join((f"round(max({c}) FILTER (part = '{x}'), 6) + 0.0" if c in ("bullish", "range_level", "alternation") else f"max({c}) FILTER (part = '{x}')") + f" AS {x}_{out or c}" for x in ("before", "matched", "after"))
 
 
-@query(build(f"SELECT symbol, rank, part, CASE WHEN window_end IS NULL THEN 'NONE' ELSE micro END AS micro_behaviour, CASE WHEN window_end IS NULL THEN 'NONE' ELSE archetype END AS archetype, CASE WHEN window_end IS NULL AND part = -1 THEN 0.0 ELSE round(bullish, 6) END AS bullish, {r('range_level', 'alternation')} FROM p3", p3=PARTS3))
-def neighbour_context(spark, sf_dir):
-    """The windows before, at and after each of the ten nearest ones, and how they are labelled; NONE where there is none."""
+def match_contexts(spark, sf_dir, columns: list[str]) -> DataFrame:
+    """The 25 windows most like each series' last one, with columns of what stands before, in and after them."""
     f = featured(spark, sf_dir)
-    found = wd.top(wd.similarities(f), 10).select("symbol", "rank", "end").withColumn("part", F.explode(F.lit([-1, 0, 1])))
-    d = wd.described(f).select("symbol", "end", wd.micro_behaviour().alias("micro_behaviour"), wd.archetype().alias("archetype"), "bullish", "range_level", "alternation")
-    out = found.withColumn("end", F.col("end") + 20 * F.col("part")).join(d, ["symbol", "end"], "left")
-    none = lambda c: F.coalesce(c, F.lit("NONE")).alias(c)
-    return out.select("symbol", "rank", "part", none("micro_behaviour"), none("archetype"), F.when(F.col("bullish").isNull() & (F.col("part") == -1), 0.0).otherwise(F.col("bullish")).alias("bullish"), "range_level", "alternation")
+    found = wd.top(wd.similarities(f), 25).select(*src.SERIES, "rank", (F.col("end") - 19).alias("start"), "end", "similarity")
+    out = found.join(wd.context_row(wd.contexts(f, found), columns), [*src.SERIES, "start", "end"])
+    return out.withColumnsRenamed({"start": "candidate_start", "end": "candidate_end"}).drop("timeframe")
+
+
+@query(build(f"SELECT {SPAN}{OF_PART('archetype')}, {OF_PART('micro_behaviour')}, {OF_PART('bullish')}, {OF_PART('range_level', 'range')} FROM cx GROUP BY symbol, rank, wend, similarity", **CX))
+def match_transitions(spark, sf_dir):
+    """How each match and the ten candles on either side of it are labelled."""
+    out = match_contexts(spark, sf_dir, ["archetype", "micro_behaviour", "bullish", "range_level"])
+    return out.withColumnsRenamed({f"{x}_range_level": f"{x}_range" for x in ("before", "matched", "after")})
+
+
+@query(build(f"SELECT * REPLACE (coalesce(before_bullish, 0.0) AS before_bullish) FROM (SELECT {SPAN}{OF_PART('bullish')}, {OF_PART('range_level', 'range')}, {OF_PART('alternation')}, {OF_PART('archetype')} FROM cx GROUP BY symbol, rank, wend, similarity)", **CX))
+def neighbour_context(spark, sf_dir):
+    """Measures of each match and the ten candles on either side of it. Without candles before it the bullish share there is 0, after it null."""
+    out = match_contexts(spark, sf_dir, ["bullish", "range_level", "alternation", "archetype"])
+    return out.withColumnsRenamed({f"{x}_range_level": f"{x}_range" for x in ("before", "matched", "after")}).withColumn("before_bullish", F.coalesce("before_bullish", F.lit(0.0)))
 
 
 # ------------------------------------------------------------------ timeframes

@@ -39,7 +39,7 @@ for _tf in ("1h", "4h", "1d", "all"):
     _both = lambda name, x: f"avg({x}) FILTER (off < 10) AS {name}_first, avg({x}) FILTER (off >= 10) AS {name}_second"
     CTE[f"d_{_tf}"] = f"""
   SELECT symbol, timeframe, wend, last, avg((direction > 0)::DOUBLE) AS bullish, avg((direction < 0)::DOUBLE) AS bearish, avg(body_pct) AS body, avg(rr) AS range_level, avg(close_location) AS close_location,
-         avg(alternation) AS alternation, avg(alternation) FILTER (off > 0) AS pair_alternation, avg((rr < 0.75)::DOUBLE) AS compression_75, avg((rr > 1.25)::DOUBLE) AS expansion_125, avg((rr < 0.85)::DOUBLE) AS compression, avg((rr > 1.15)::DOUBLE) AS expansion,
+         avg(alternation) FILTER (off > 0) AS alternation, avg((rr < 0.75)::DOUBLE) AS compression_75, avg((rr > 1.25)::DOUBLE) AS expansion_125, avg((rr < 0.85)::DOUBLE) AS compression, avg((rr > 1.15)::DOUBLE) AS expansion,
          avg((upper_wick_pct >= 0.35)::DOUBLE) AS upper_rejection, avg((lower_wick_pct >= 0.35)::DOUBLE) AS lower_rejection, avg((upper_wick_pct >= 0.35 OR lower_wick_pct >= 0.35)::DOUBLE) AS either_rejection,
          avg((body_pct <= 0.25)::DOUBLE) AS small_body, avg((body_pct >= 0.6)::DOUBLE) AS large_body, {_both("bull", "(direction > 0)::DOUBLE")}, {_both("range", "rr")}, {_both("direction", "direction")}, {_both("scaled_range", "range_ratio")},
          {_both("alternation", "alternation")}, {_both("body", "body_pct")}, {_both("close", "close_location")}, avg(rr) FILTER (off < 6) AS range_first_third, avg(rr) FILTER (off BETWEEN 6 AND 11) AS range_middle_third, avg(rr) FILTER (off >= 14) AS range_last_third,
