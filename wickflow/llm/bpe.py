@@ -21,6 +21,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
@@ -31,7 +32,9 @@ from .token_counts import text_batches
 
 #: Ends each word of a batch's string; no symbol of a byte-level vocabulary.
 END = "\n"
-NEVER = np.int64(2**62)
+NEVER = 2**62
+#: Symbols of a word that is merged without a heap.
+SHORT = 40
 #: Ids that a task decodes at once.
 BATCH_IDS = 1_000_000
 
@@ -133,6 +136,8 @@ class Merges:
         """The ids of one word by its merges in order: of those at hand the first by number, then by place."""
         symbols: list[int | None] = [self.vocab[x] for x in [*word[:-1], word[-1] + self.suffix]] if word else []
         n = len(symbols)
+        if n <= SHORT:
+            return self.merged_short(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(self.orders[a, b][0], i, a, b) for i, (a, b) in enumerate(zip(symbols, symbols[1:], strict=False)) if (a, b) in self.orders]
         heapq.heapify(heap)
@@ -150,6 +155,20 @@ class Merges:
                     heapq.heappush(heap, (own[0], x, symbols[x], symbols[y]))
         return [x for x in symbols if x is not None]
 
+    def merged_short(self, symbols: list[int]) -> list[int]:
+        """The same by looking at all pairs each time, which few symbols make faster than a heap."""
+        none = (NEVER, None)
+        found = [self.orders.get(x, none) for x in zip(symbols, symbols[1:], strict=False)]
+        while found and (best := min(found))[1] is not None:
+            i = found.index(best)
+            symbols[i : i + 2] = [best[1]]
+            del found[i]
+            if i:
+                found[i - 1] = self.orders.get((symbols[i - 1], best[1]), none)
+            if i < len(found):
+                found[i] = self.orders.get((best[1], symbols[i + 1]), none)
+        return symbols
+
 
 class Speculative(Encoder):
     """An encoder whose pieces are encoded here; the library normalises and finds the words."""
@@ -165,15 +184,15 @@ class Speculative(Encoder):
         if any(x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"] for x in added):
             raise ValueError("added tokens of a kind that isn't known here")
         self.added = {x["content"]: x["id"] for x in added}
-        self.cuts = re.compile("|".join(f"({re.escape(x)})" for x in self.added)) if added else None
+        self.cuts = re.compile("(" + "|".join(map(re.escape, self.added)) + ")") if added else None
         self.decoder = file["decoder"]["type"] if file["decoder"] else None
         if self.decoder not in (None, "ByteLevel"):
             raise ValueError("a decoder that isn't known here")
         tokens = {i: x for x, i in (self.merges.vocab | self.added).items()}
         self.tokens = [tokens.get(i, "") for i in range(max(tokens) + 1)]
         self.library = self.speculate
-        if self.decoder == "ByteLevel":
-            self.bytes = [self.raw(x) for x in self.tokens]
+        self.known_ids = np.array([x != "" for x in self.tokens])
+        self.parts = pa.array(self.tokens, pa.string()) if self.decoder is None else pa.array([self.raw(x) for x in self.tokens], pa.binary())
 
     def words_of(self, text: str) -> list[str | int]:
         """The words of a text in the vocabulary's symbols, and ids of added tokens."""
@@ -181,6 +200,8 @@ class Speculative(Encoder):
         for part in self.cuts.split(text) if self.cuts else [text]:
             if part in self.added:
                 out.append(self.added[part])
+            elif self.kind == "dropped" and part.isascii() and part.islower() and part.replace(" ", "").isalpha():
+                out += part.split()  # letters that normalisation leaves alone, and words that are their own symbols
             elif part:
                 plain = self.normalizer.normalize_str(part) if self.normalizer else part
                 out += [x for x, _ in self.splitter.pre_tokenize_str(plain) if x] if self.splitter else [plain]
@@ -200,12 +221,17 @@ class Speculative(Encoder):
         except KeyError:
             return token.encode()
 
-    def decode(self, ids: list[int]) -> str:
-        """As the library's decode with skip_special_tokens=False; ids that it doesn't know are left out."""
-        known = [i for i in ids if 0 <= i < len(self.tokens) and self.tokens[i]]
+    def decode(self, ids: pa.ListArray) -> pa.Array:
+        """Each list's text as the library's decode with skip_special_tokens=False; ids that it doesn't know are left out, null has none."""
+        sizes, flat = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), ids.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+        known = (flat >= 0) & (flat < len(self.tokens))
+        known[known] = self.known_ids[flat[known]]
+        ends = np.concatenate([[0], np.cumsum(known)])[np.concatenate([[0], np.cumsum(sizes)])]
+        parts = self.parts.take(pa.array(flat[known]))
+        each = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), parts)
         if self.decoder is None:
-            return " ".join(map(self.tokens.__getitem__, known))
-        return b"".join(map(self.bytes.__getitem__, known)).decode("utf-8", "replace")
+            return pc.binary_join(each, " ")
+        return pa.array([x.decode("utf-8", "replace") for x in pc.binary_join(each, b"").to_pylist()], pa.string())
 
 
 def byte_symbols() -> dict[str, int]:
@@ -254,8 +280,7 @@ def decode(rows: DataFrame, tokenizer: str, ids: str = "ids") -> DataFrame:
             cuts = [0, *(np.flatnonzero(np.diff(sizes // BATCH_IDS)) + 1).tolist(), whole.num_rows]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 part = whole.slice(a, b - a)
-                texts = [own.decode(x or []) for x in part.column(part.schema.get_field_index(ids)).to_pylist()]
-                yield part.append_column("decoded", pa.array(texts, pa.string()))
+                yield part.append_column("decoded", own.decode(part.column(part.schema.get_field_index(ids))))
 
     return rows.mapInArrow(run, StructType([*rows.schema.fields]).add("decoded", StringType()))
 
