@@ -1,9 +1,7 @@
 """Queries that must cover all of their rows, none skipped by a stride, a filter or a pool."""
 
-import numpy as np
 import pytest
 
-from wickflow.operators import vectors
 from wickflow.plans import catalog
 
 
@@ -21,21 +19,3 @@ def test_events_come_from_every_window_that_has_some(spark, sf):
     counts = catalog.QUERIES["price_levels_v2"](spark, sf).where("interaction_count > 0").select("symbol", "end").collect()
     found = catalog.QUERIES["level_events"](spark, sf).select("symbol", "end").distinct().collect()
     assert set(found) == set(counts) and len(found) > len(ends(spark, sf)) / 2
-
-
-@pytest.mark.parametrize(("k", "pool"), [(3, 3), (3, 1), (10, 50)])
-def test_search_finds_the_best_of_all_vectors(spark, k, pool):
-    """Among vectors of every shift of a wave, against all ensemble scores; a pool of the other similarities alone loses some."""
-    noise = np.random.default_rng(5)
-    rows = [(i, 0, [float(x) for x in np.sin(np.arange(24) / 3 + i / 9) + noise.normal(0, 0.4, 24)]) for i in range(90)]
-    data = spark.createDataFrame(rows, "id long, label int, v array<double>")
-    got = vectors.search(data, data.where("id < 6").select(catalog.F.col("id").alias("query_id"), "label", catalog.F.col("v").alias("q")), k, pool).collect()
-    z = [(np.array(v) - np.mean(v)) / (np.std(v) + 1e-9) for _, _, v in rows]
-    for query in range(6):
-        scores = []
-        for i, v in enumerate(z):
-            if i != query:
-                cosine = (v @ z[query] / np.sqrt(v @ v * (z[query] @ z[query])) + 1) / 2
-                n = np.sqrt(len(v))
-                scores.append((-round(0.3 / (1 + np.linalg.norm(v - z[query]) / n) + 0.45 * cosine + 0.25 / (1 + vectors.dtw(v, z[query]) / n), 9), i))
-        assert [r.id for r in sorted((r for r in got if r.query_id == query), key=lambda r: r["rank"])] == [i for _, i in sorted(scores)[:k]]

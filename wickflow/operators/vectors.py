@@ -1,10 +1,13 @@
-"""Similarities of vectors of equal length, and search among them."""
+"""Similarities of vectors of equal length, and exact search among them."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,56 +33,168 @@ def similarities(a: Column, b: Column) -> dict[str, Column]:
     return {"euclidean": 1 / (1 + distance / F.sqrt(n)), "cosine": clip((F.coalesce(cosine, F.lit(0.0)) + 1) / 2), "correlation": clip((F.coalesce(cosine, F.lit(0.0)) + 1) / 2)}
 
 
+def dtw_many(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Dynamic time warping of rows of a with the same rows of b: points (pairs, length, dimensions), or numbers without the last axis.
+
+    The table's antidiagonals depend on the two before them alone, so each is one step for all pairs.
+    """
+    a, b = (x.reshape(*x.shape[:2], -1) for x in (a, b))
+    pairs, n, m = len(a), a.shape[1], b.shape[1]
+    if not n or not m:
+        return np.full(pairs, 0.0 if n == m else np.inf)
+    before, last = (np.full((pairs, n + 1), np.inf) for _ in "12")  # by place in a, from 1; the two diagonals before
+    before[:, 0] = 0.0
+    for k in range(n + m - 1):
+        low, high = max(0, k - m + 1), min(n, k + 1)
+        places = np.arange(low, high)
+        cost = np.sqrt(((a[:, places] - b[:, k - places]) ** 2).sum(-1))
+        now = np.full((pairs, n + 1), np.inf)
+        now[:, low + 1 : high + 1] = cost + np.minimum(np.minimum(last[:, low:high], last[:, low + 1 : high + 1]), before[:, low:high])
+        before, last = last, now
+    return last[:, n]
+
+
 def dtw(a: np.ndarray, b: np.ndarray) -> float:
-    """Dynamic time warping of numbers or of points (rows), by their distance; a row of the table is one running minimum over the row above."""
-    a, b = (np.asarray(x, float).reshape(len(x), -1) for x in (a, b))
-    row = np.full(len(b) + 1, np.inf)
-    row[0] = 0.0
-    for x in a:
-        cost = np.sqrt(((b - x) ** 2).sum(1))
-        above = np.minimum(row[1:], row[:-1])
-        new, left = np.empty(len(b) + 1), np.inf
-        new[0] = np.inf
-        for j in range(len(b)):
-            left = cost[j] + min(above[j], left)
-            new[j + 1] = left
-        row = new
-    return float(row[-1])
+    """The same of one pair of vectors, of numbers or of points (rows)."""
+    return float(dtw_many(*(np.asarray(x, float)[None] for x in (a, b)))[0])
 
 
 @F.pandas_udf(T.DoubleType())
 def dtw_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([dtw(np.asarray(x, float), np.asarray(y, float)) for x, y in zip(a, b, strict=True)])
+    """dtw_many of all pairs of a batch that have the same two lengths; null if either vector is."""
+    out = np.full(len(a), np.nan)
+    sizes = pd.DataFrame({"a": [-1 if x is None else len(x) for x in a], "b": [-1 if x is None else len(x) for x in b]})
+    for (n, m), at in sizes.groupby(["a", "b"]).indices.items():
+        if min(n, m) >= 0:
+            out[at] = dtw_many(*(np.array([v[i] for i in at], float).reshape(len(at), -1) for v in (a.to_numpy(), b.to_numpy())))
+    return pd.Series(out).where(~np.isnan(out), None)
 
 
-@F.pandas_udf(T.DoubleType())
-def dtw_least(a: pd.Series, b: pd.Series) -> pd.Series:
-    """No more than dtw_distance: each value of either vector is warped to some value of the other, the nearest at best."""
-    out = []
-    for x, y in zip(a, b, strict=True):
-        far = np.abs(np.subtract.outer(np.asarray(x, float), np.asarray(y, float)))
-        out.append(max(far.min(0).sum(), far.min(1).sum()) if far.size else 0.0)
-    return pd.Series(out, dtype=float)
+# ------------------------------------------------------------------ search
+
+#: Weights of the four similarities.
+EUCLIDEAN, COSINE, CORRELATION, WARPED = 0.30, 0.25, 0.20, 0.25
+#: Vectors of a piece and queries of a block, which are compared at once; candidates that are warped at once.
+PIECE, BLOCK, WARPS = 4000, 500, 64
+#: Scores are ranked to nine places.
+SLACK = 2e-9
+FOUND = "query_id long, id long, lookback long, euclidean double, cosine double, correlation double, ensemble double, compared long, warped long"
+
 
+def standard(v: np.ndarray) -> np.ndarray:
+    return (v - v.mean(1, keepdims=True)) / (v.std(1, keepdims=True) + 1e-9)
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, pool: int = 50, least: float = 0.0) -> DataFrame:
-    """The k most similar vectors of each query's label: vectors (id, label, v), queries (query_id, label, q).
 
-    Expressions rank all of a label, and the pool of each query goes through time warping for the ensemble. Of the others,
-    those go through it too whose score could reach the k-th of the pool, so the k found are those of all vectors. queries is
-    a stated set and not a table that grows, so it is the side that is sent around.
+def warp_least(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """No more than the warping distance of q and each row of v.
+
+    A path has a cell in each row and each column. A value is no nearer to what it is warped to than to the other's least and greatest
+    value, and the first and last values are warped to each other.
+    """
+    outside = lambda x, low, high: np.maximum(0.0, np.maximum(x - high, low - x))
+    rows, columns = outside(q[None], v.min(1, keepdims=True), v.max(1, keepdims=True)), outside(v, q.min(), q.max())
+    ends = np.abs(q[[0, -1]] - v[:, [0, -1]])
+    for x in (rows, columns):
+        x[:, [0, -1]] = np.maximum(x[:, [0, -1]], ends)
+    return np.maximum(rows.sum(1), columns.sum(1))
+
+
+def compared(v: np.ndarray, q: np.ndarray, ids: np.ndarray, query_ids: np.ndarray, k: int, least: float, by: str) -> Iterator[tuple]:
+    """For each query the k best rows of v: (query, row, euclidean, cosine, correlation, score, rows warped)."""
+    root = np.sqrt(v.shape[1])
+    zv, zq = standard(v), standard(q)
+    size = lambda z: (z * z).sum(1)
+    norms = np.sqrt(np.outer(size(zq), size(zv)))
+    dots = zq @ zv.T
+    cosine = np.divide(dots, norms, out=np.zeros_like(dots), where=norms > 0)
+    alike = np.clip((cosine + 1) / 2, 0, 1)
+    for j in range(len(q)):
+        euclidean = 1 / (1 + np.sqrt(((zv - zq[j]) ** 2).sum(1)) / root)
+        base = EUCLIDEAN * euclidean + (COSINE + CORRELATION) * alike[j] if by == "ensemble" else euclidean
+        reach = base + WARPED / (1 + warp_least(q[j], v) / root) if by == "ensemble" else base
+        reach = np.where((ids == query_ids[j]) | np.isnan(reach), -np.inf, reach)
+        best: list[tuple[float, int]] = []
+        warped = 0
+        order = np.argsort(-reach, kind="stable")
+        for start in range(0, len(order), WARPS):
+            at = order[start : start + WARPS]
+            floor = max(least, best[-1][0] if len(best) == k else -np.inf) - SLACK
+            at = at[(reach[at] >= floor) & (reach[at] > -np.inf)]
+            if not len(at):
+                break
+            score = base[at]
+            if by == "ensemble":
+                warped += len(at)
+                score = np.clip(score + WARPED / (1 + dtw_many(np.broadcast_to(q[j], (len(at), v.shape[1])), v[at]) / root), 0, 1)
+            best = sorted([*best, *((float(s), int(i)) for s, i in zip(score, at, strict=True) if s >= least)], key=lambda x: (-round(x[0], 9), ids[x[1]]))[:k]
+        yield from ((j, i, euclidean[i], alike[j, i], alike[j, i], s, 0) for s, i in best)
+        yield j, -1, None, None, None, None, warped
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, least: float = 0.0, by: str = "ensemble", effort: bool = False) -> DataFrame:
+    """The k most similar vectors (id, lookback, vector) of each query (query_id, lookback, vector): of its length, and its lookback unless that is null.
+
+    by: ensemble, of four similarities of which warping is of the values as they are and the others of z-scores, or euclidean. Vectors of
+    constant values have cosine 0 to all. A query's own id is no answer. Null and empty vectors are left out, and so are pairs whose score isn't a number.
+    Vectors of a length and lookback are dealt by hash to pieces, and queries to blocks; each piece and block are compared in a task by
+    matrix products. Warping is last, by order of a bound on the score, and ends when the bound falls under the k-th score, so the k are exact.
+    With effort, the numbers of pairs compared and warped for each query instead.
     """
-    v = vectors.select("id", "label", zscored(F.col("v")).alias("v"))
-    q = queries.select("query_id", "label", zscored(F.col("q")).alias("q"))
-    both = v.join(q, "label").where("id <> query_id").select("*", *(x.alias(n) for n, x in similarities(F.col("v"), F.col("q")).items()))
-    rank = lambda by: F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round(by, 9)), "id"))
-    both = both.withColumn("_base", 0.30 * F.col("euclidean") + 0.25 * F.col("cosine") + 0.20 * F.col("correlation"))
-    warped = lambda distance: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_base") + 0.25 / (1 + distance / F.sqrt(F.size("v")))))
-    near = both.withColumn("_r", rank("_base")).where(F.col("_r") <= pool).drop("_r").withColumn("ensemble", warped(dtw_distance("v", "q")))
-    # A query's last place in the pool, and its k-th score there, if there are so many; scores are compared to nine places.
-    last = near.groupBy("query_id").agg(F.max(F.struct(-F.round("_base", 9), F.col("id"))).alias("_last"), F.get(F.sort_array(F.collect_list("ensemble"), asc=False), F.lit(k - 1)).alias("_kth"))
-    rest = both.join(last, "query_id").where(F.struct(-F.round("_base", 9), F.col("id")) > F.col("_last"))
-    reach = F.coalesce("_kth", F.lit(0.0)) - 2e-9
-    rest = rest.where(F.col("_base") + 0.25 >= reach).withColumn("_most", warped(dtw_least("v", "q"))).where(F.col("_most") >= reach).drop("_last", "_kth", "_most")
-    found = near.unionByName(rest.withColumn("ensemble", warped(dtw_distance("v", "q"))))
-    return found.where(F.col("ensemble") >= least).withColumn("rank", rank("ensemble")).where(F.col("rank") <= k).drop("v", "q", "_base")
+    own = lambda d, x: d.where(F.size("vector") > 0).select(x, F.col("lookback").cast("long").alias("lookback"), F.size("vector").alias("length"), F.col("vector").cast("array<double>").alias("vector"))
+    v, q = own(vectors, "id").withColumn("_group", F.concat_ws(":", "length", "lookback")), own(queries, "query_id")
+    groups = v.groupBy("_group", F.col("lookback").alias("_lookback"), F.col("length").alias("_length")).agg(F.ceil(F.count("*") / PIECE).cast("int").alias("_pieces"))
+    fits = (F.col("length") == F.col("_length")) & (F.col("lookback").isNull() | (F.col("lookback") == F.col("_lookback")))
+    asked = q.join(groups, fits).select("query_id", "vector", "_group")  # groups are as many as lookbacks and lengths
+    blocks = asked.groupBy("_group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks")).join(groups, "_group")
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), n.cast("long")).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    unit = ["_group", "_lookback", "_piece", "_block"]
+    left = v.join(blocks, "_group").withColumn("_piece", dealt("id", F.col("_pieces"))).withColumn("_block", each(F.col("_blocks"))).select("id", "vector", *unit)
+    right = asked.join(blocks, "_group").withColumn("_block", dealt("query_id", F.col("_blocks"))).withColumn("_piece", each(F.col("_pieces"))).select("query_id", "vector", *(F.col(x).alias(f"_q{x}") for x in unit))
+
+    def run(key: tuple, own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(own) and len(asked):
+            ids, query_ids = own["id"].to_numpy(), asked["query_id"].to_numpy()
+            for j, i, *scores, warped in compared(np.array(own["vector"].tolist(), float), np.array(asked["vector"].tolist(), float), ids, query_ids, k, least, by):
+                rows.append((query_ids[j], None if i < 0 else ids[i], key[1], *scores, len(own) if i < 0 else 0, warped))
+        return pd.DataFrame(rows, columns=[x.split()[0] for x in FOUND.split(", ")]).astype({"id": "Int64", "lookback": "Int64"})
+
+    found = left.groupBy(*unit).cogroup(right.groupBy(*(f"_q{x}" for x in unit))).applyInPandas(run, FOUND)
+    if effort:
+        return found.where("id IS NULL").groupBy("query_id").agg(F.sum("compared").alias("compared"), F.sum("warped").alias("warped"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round(by, 9)), "id"))
+    out = found.where("id IS NOT NULL").drop("compared", "warped").withColumn("rank", rank).where(F.col("rank") <= k)
+    return out if by == "ensemble" else out.drop("ensemble")
+
+
+class VectorIndex:
+    """Vectors with a lookback and metadata in a Parquet table, in a folder for each lookback and length, that is only added to."""
+
+    SCHEMA = "id long, vector array<double>, metadata map<string,string>, lookback long, length int"
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+
+    def add(self, items: DataFrame) -> None:
+        """items: id, lookback, vector, and metadata (a map of strings) if there is any."""
+        metadata = F.col("metadata") if "metadata" in items.columns else F.lit(None).cast("map<string,string>")
+        rows = items.select(F.col("id").cast("long"), F.col("vector").cast("array<double>"), metadata.alias("metadata"), F.col("lookback").cast("long"), F.size("vector").alias("length"))
+        rows.where("length > 0").write.mode("append").partitionBy("lookback", "length").parquet(self.path)
+
+    def items(self) -> DataFrame:
+        try:
+            return self.spark.read.schema(self.SCHEMA).parquet(self.path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], self.SCHEMA)  # nothing was added yet
+
+    def search(self, queries: DataFrame, k: int = 10, minimum_similarity: float = 0.85, metadata: tuple[str, ...] = ()) -> DataFrame:
+        """search() among all items; the named metadata of each one found as columns."""
+        items = self.items()
+        found = search(items, queries, k, minimum_similarity)
+        if not metadata:
+            return found
+        told = items.select("id", F.col("lookback").alias("_lookback"), *(F.col("metadata")[x].alias(x) for x in metadata)).dropDuplicates(["id", "_lookback"])
+        return found.join(told, (found.id == told.id) & found.lookback.eqNullSafe(told._lookback), "left").drop(told.id, told._lookback)

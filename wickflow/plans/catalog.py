@@ -892,8 +892,9 @@ def cluster_of_matches(spark, sf_dir):
 
 
 def embedded(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), "label", F.col("embedding").cast("array<double>").alias("v"))
-    return e, e.where("id % 100 = 0").select(F.col("id").alias("query_id"), "label", F.col("v").alias("q"))
+    """All vectors, and those that ask; a vector's label stands for its lookback."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("label").alias("lookback"), F.col("embedding").alias("vector"))
+    return e, e.where("id % 100 = 0").withColumnRenamed("id", "query_id")
 
 
 VEC = "SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings"
@@ -903,16 +904,18 @@ VS = "SELECT q.vec_id AS query_id, v.vec_id AS id, 1 / (1 + sqrt(sum((v.z - q.z)
 
 @query(build("SELECT * EXCLUDE (n), n AS rank FROM (SELECT query_id, id, round(euclidean, 6) AS euclidean, round(cosine, 6) AS cosine, row_number() OVER (PARTITION BY query_id ORDER BY round(euclidean, 9) DESC, id) AS n FROM vs) WHERE n <= 10", ve=VEC, zv=ZV, vs=VS))
 def vector_similarity_topk(spark, sf_dir):
-    v, q = embedded(spark, sf_dir)
-    v, q = v.select("id", "label", vc.zscored(F.col("v")).alias("v")), q.select("query_id", "label", vc.zscored(F.col("q")).alias("q"))
-    both = v.join(q, "label").where("id <> query_id").select("query_id", "id", *(x.alias(n) for n, x in vc.similarities(F.col("v"), F.col("q")).items() if n != "correlation"))
-    return wd.top(both, 10, ["query_id"], "euclidean", "id").select("query_id", "id", "euclidean", "cosine", "rank")
+    return vc.search(*embedded(spark, sf_dir), by="euclidean").select("query_id", "id", "euclidean", "cosine", "rank")
 
 
 @query()
 def ensemble_search(spark, sf_dir):
-    v, q = embedded(spark, sf_dir)
-    return vc.search(v, q)
+    return vc.search(*embedded(spark, sf_dir)).withColumnRenamed("lookback", "label")
+
+
+@query()
+def ensemble_search_effort(spark, sf_dir):
+    """Pairs that ensemble_search compares and, of these, warps."""
+    return vc.search(*embedded(spark, sf_dir), effort=True)
 
 
 # ------------------------------------------------------------------ more views of the above
