@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.candles import SERIES
+from ..tables import scratch, written
 
 
 def nearest(centres: Column, v: Column) -> Column:
@@ -17,36 +15,24 @@ def nearest(centres: Column, v: Column) -> Column:
     return F.array_min(F.transform(centres, lambda c, i: F.struct(far(c).alias("distance"), i.alias("cluster"))))
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the folder that driver and executors share; in local mode without one, checkpointed in a new temporary folder."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        context = spark.sparkContext
-        if not context._jsc.sc().getCheckpointDir().isDefined():
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="wickflow-"))
-        return df.checkpoint()
-    path = f"{folder}/wickflow/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def kmeans(points: DataFrame, k: int = 8, rounds: int = 25) -> DataFrame:
     """(series, centres) of points (series, end, v), by Lloyd's rounds from evenly spaced points of each series; k at most as many as points.
 
     The points are written once. The centres of a series are k short arrays in one row; that table is joined on the series, by
     broadcast if Spark finds it small enough. Each round is one aggregate. It ends when no centre of any series moves.
     """
-    points = stored(points, "points")
+    with scratch(points.sparkSession) as keep:
+        return keep(rounds_of(written(points, "points"), k, rounds))
+
+
+def rounds_of(points: DataFrame, k: int, rounds: int) -> DataFrame:
     w, whole = Window.partitionBy(*SERIES).orderBy("end"), Window.partitionBy(*SERIES)
     ranked = points.withColumns({"_i": F.row_number().over(w) - 1, "_n": F.count("*").over(whole)})
     seeds = ranked.withColumn("_j", F.explode(F.sequence(F.lit(0), F.least(F.lit(k), "_n") - 1))).where(F.col("_i") == F.floor(F.col("_j") * F.coalesce(F.try_divide(F.col("_n") - 1, F.least(F.lit(k), "_n") - 1), F.lit(0.0))).cast("int"))
     centres = seeds.groupBy(*SERIES).agg(F.transform(F.array_sort(F.collect_list(F.struct("_j", "v"))), lambda x: x["v"]).alias("centres"))
     before = None
     for _ in range(rounds):
-        centres = stored(centres, "centres")
+        centres = written(centres, "centres")
         now = centres.agg(F.sum(F.xxhash64("centres").cast("decimal(38,0)"))).first()[0]
         if now == before:
             break
@@ -56,7 +42,7 @@ def kmeans(points: DataFrame, k: int = 8, rounds: int = 25) -> DataFrame:
         new = sums.groupBy(*SERIES, "cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("_v"))
         new = new.groupBy(*SERIES).agg(F.map_from_entries(F.collect_list(F.struct("cluster", "_v"))).alias("_new"))
         centres = centres.join(new, SERIES).select(*SERIES, F.transform("centres", lambda c, i: F.coalesce(F.try_element_at(F.col("_new"), i), c)).alias("centres"))
-    return stored(centres, "centres")
+    return written(centres, "centres")
 
 
 def assigned(points: DataFrame, centres: DataFrame) -> DataFrame:

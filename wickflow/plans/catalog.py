@@ -22,6 +22,7 @@ from ..operators import structure as st
 from ..operators import vectors as vc
 from ..operators import windows as wd
 from ..sources import candles as src
+from ..tables import scratch, written
 from .oracle import FEATURES, build, medians, summary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -725,16 +726,18 @@ def story_family_matrix(spark, sf_dir):
 
 def replayed(spark, sf_dir, mode: str) -> DataFrame:
     """Each of the best screened reference times with, for each timeframe, its window's story, family story and their similarity to the current."""
-    at = cu.stored(mt.synchronized(compared_all(spark, sf_dir), mode), "synchronized")
-    exact_only = at.where("synchronization = 'EXACT'").groupBy("symbol", "reference_timestamp").agg(F.avg("similarity").alias("candle_similarity"))
-    pool = wd.top(exact_only, POOL, ["symbol"], "candle_similarity", "reference_timestamp").withColumnRenamed("rank", "screen_rank")
-    at = cu.stored(at.drop("close_ts").join(pool, ["symbol", "reference_timestamp"]), "replayed")  # at most POOL times for each symbol
-    candles = src.all_series(spark, sf_dir)
-    last = candles.groupBy(*src.SERIES).agg(F.max("idx").alias("end"))
-    told = analysed(candles, at.select(*wd.KEYS).unionByName(last.select(*wd.KEYS)).distinct())
-    told = cu.stored(told.select(*wd.KEYS, "last", "tokens", sr.families(F.col("tokens")).alias("family")), "told")
-    now = told.where("end = last").select(*src.SERIES, F.col("family").alias("own"))
-    return cu.stored(at.join(told.drop("last"), wd.KEYS).join(now, src.SERIES).withColumn("story_similarity", sr.family_similarity("own", "family")), "replays")
+    with scratch(spark) as keep:
+        at = written(mt.synchronized(compared_all(spark, sf_dir), mode), "synchronized")
+        exact_only = at.where("synchronization = 'EXACT'").groupBy("symbol", "reference_timestamp").agg(F.avg("similarity").alias("candle_similarity"))
+        pool = wd.top(exact_only, POOL, ["symbol"], "candle_similarity", "reference_timestamp").withColumnRenamed("rank", "screen_rank")
+        at = written(at.drop("close_ts").join(pool, ["symbol", "reference_timestamp"]), "replayed")  # at most POOL times for each symbol
+        candles = src.all_series(spark, sf_dir)
+        last = candles.groupBy(*src.SERIES).agg(F.max("idx").alias("end"))
+        told = analysed(candles, at.select(*wd.KEYS).unionByName(last.select(*wd.KEYS)).distinct())
+        told = written(told.select(*wd.KEYS, "last", "tokens", sr.families(F.col("tokens")).alias("family")), "told")
+        now = told.where("end = last").select(*src.SERIES, F.col("family").alias("own"))
+        out = at.join(told.drop("last"), wd.KEYS).join(now, src.SERIES).withColumn("story_similarity", sr.family_similarity("own", "family"))
+        return keep(written(out, "replays"))
 
 
 def replay_matches(rows: DataFrame, mode: str, top_k: int = 25) -> DataFrame:
@@ -865,7 +868,7 @@ def fingerprinted(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows, cols = wd.ended(featured(spark, sf_dir), 20, own), list(own)
     history = (F.col("end") <= F.col("last") - 20) & ((F.col("end") - 19) % REGIME_STEP == 0)
     rows = rows.join(wd.spreads(rows.where(history), cols), src.SERIES)
-    rows = cu.stored(rows.select(*wd.KEYS, "last", F.array(*((F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}") for c in cols)).alias("v")), "windows")
+    rows = written(rows.select(*wd.KEYS, "last", F.array(*((F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}") for c in cols)).alias("v")), "windows")
     return rows.where(history), rows.where("end = last"), rows
 
 
