@@ -73,12 +73,15 @@ def letters(word: Column) -> Column:
 
 
 def entries(words: DataFrame) -> DataFrame:
-    """Each word of words (word, n) under the keys of its three rarest bigrams: word, n, size, bits, gram, at."""
+    """Each word of words (word, n) under the keys of its three rarest bigrams: word, n, size, bits, gram, at.
+
+    Words are of the letters of RUN without A-Z, which are 90, so there are 8100 bigrams at most, and their counts are sent around.
+    """
     places = F.sequence(F.lit(1), F.length("word") - 1)
     grams = F.transform(places, lambda i: F.struct(F.substring("word", i, F.lit(2)).alias("gram"), i.cast("int").alias("at")))
     each = words.select("word", "n", F.length("word").alias("size"), F.explode(grams).alias("_g")).select("word", "n", "size", "_g.*")
     often = each.groupBy("gram").agg(F.count("*").alias("often"))
-    ranked = join_hot(each, often, "gram")
+    ranked = each.join(F.broadcast(often), "gram")
     first = F.slice(F.sort_array(F.collect_list(F.struct("often", "gram", "at"))), 1, RAREST)
     kept = ranked.groupBy("word", "n", "size").agg(first.alias("_g")).withColumn("bits", letters(F.col("word")))
     return kept.select("word", "n", "size", "bits", F.explode("_g").alias("_g")).select("word", "n", "size", "bits", "_g.gram", "_g.at")
