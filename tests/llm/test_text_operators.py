@@ -275,48 +275,51 @@ def test_license_base_equals_brute_force(spark, sf, odd):
     assert got == want
 
 
-def fewest_edits(notice, text):
-    """For each end in text, the fewest edits of a piece that ends there, and the latest beginning of such a piece."""
-    row = [(i, 0) for i in range(len(notice) + 1)]
-    out = [row[-1]]
-    for j, c in enumerate(text, 1):
-        new = [(0, j)]
-        for i, x in enumerate(notice, 1):
-            options = [(row[i - 1][0] + (c != x), -row[i - 1][1]), (row[i][0] + 1, -row[i][1]), (new[i - 1][0] + 1, -new[i - 1][1])]
-            e, begin = min(options)
-            new.append((e, -begin))
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
         row = new
-        out.append(row[-1])
-    return out
+    return row[-1]
 
 
-def test_fuzzy_notices_equal_brute_force():
-    """Several notices in a text, edited at random: every place within the bound is found once, and nothing else."""
+def test_fuzzy_notices_equal_brute_force_on_whole_words():
+    """Several notices in a text, edited at random: every run of words within the bound that tells the license is found once, and nothing else."""
     rng = random.Random(8)
-    for _ in range(250):
+    for _ in range(150):
         notice = rng.choice(list(licenses.NOTICES))
         label, telling = licenses.NOTICES[notice]
         text = ""
-        for _ in range(rng.randint(1, 4)):
+        for _ in range(rng.randint(1, 3)):
             edited = list(notice)
             for _ in range(rng.choice([0, 1, licenses.edits(notice), licenses.edits(notice) + 2])):
                 i = rng.randrange(len(edited))
                 edited[i : i + 1] = rng.choice([[], [edited[i], "x"], ["y"]])
-            text += rng.choice(["", "lorem ipsum dolor sit "]) + "".join(edited) + " "
+            text += rng.choice(["", "lorem ipsum dolor sit ", "un", "x "]) + "".join(edited) + rng.choice([" ", " ", "ware "])
         text = " ".join(text.split())
-        k, best, places = licenses.edits(notice), fewest_edits(notice, text), []
-        for end, (e, begin) in sorted(enumerate(best), key=lambda x: (x[1][0], x[0])):
-            if e <= k and all(begin >= b or end <= a for a, b, _ in places):
+        k, found = licenses.edits(notice), []
+        bounds = [(m.start(), m.end()) for m in re.finditer("[^ ]+", text)]
+        for i, (begin, _) in enumerate(bounds):
+            for _, end in bounds[i:]:
+                if abs(end - begin - len(notice)) <= k and (e := distance(notice, text[begin:end])) <= k:
+                    own = iter(text[begin:end].split())
+                    if all(any(w == x for w in own) for x in telling.split()):
+                        found.append((e, begin, end))
+        places = []
+        for e, begin, end in sorted(found):
+            if all(begin >= b or end <= a for a, b, _ in places):
                 places.append((begin, end, e))
-        want = sorted((a, b, e) for a, b, e in places if licenses.tells(text, a, b, telling))
-        got = sorted((a, b, e) for found, a, b, e, _ in licenses.fuzzy_places(text, {notice: (label, telling)}))
-        assert len(got) == len(want), (notice, text, got, want)
-        assert all(min(b, d) - max(a, c) > len(notice) / 2 and abs(e - f) <= 1 for (a, b, e), (c, d, f) in zip(got, want, strict=True)), (text, got, want)
+        got = sorted((a, b, e) for _, a, b, e, _ in licenses.fuzzy_places(text, {notice: (label, telling)}))
+        assert len(got) == len(places), (notice, text, got, places)
+        assert all(min(b, d) - max(a, c) > len(notice) / 2 and abs(e - f) <= 1 for (a, b, e), (c, d, f) in zip(got, sorted(places), strict=True)), (text, got, places)
 
 
 @pytest.mark.parametrize(("text", "want"), [
     ("licensed under CC BY-SA 4.0", ["cc-by-sa-4.0"]), ("licensed under CC BY-ND 4.0", ["cc-by-nd-4.0"]), ("licensed under CC BY-NC 3.0", []), ("Licensed under the Apache License, Version 1.1", ["apache-1.1"]),
-    ("licensed undr the GNU General Public License version 2", ["gpl-2.0"]), ("released under the bsd license", []), ("relesed under the mit license released under the mit license released undr the mit license", ["mit"] * 3),
+    ("licensed undr the GNU General Public License version 2", ["gpl-2.0"]), ("released under the bsd license", []), ("unlicensed under the mit licenseware", []), ("Licensed under the Apache License 2.0", ["apache-2.0"]), ("GNU General Public License v3", ["gpl-3.0"]),
+    ("under GPLv3 or the MIT License", ["gpl-3.0", "mit"]), ("CC BY 3.0", ["cc-by-3.0"]), ("see Apache-2.0, not apache 2 01", ["apache-2.0"]), ("relesed under the mit license released under the mit license released undr the mit license", ["mit"] * 3),
 ])
 def test_other_licenses_are_no_misspelt_ones(text, want):
     found = [x["label"] for x in licenses.spans(text.encode(), licenses.PHRASES, licenses.NOTICES)[1] if not x["exact"]]
@@ -331,15 +334,15 @@ def test_license_search_is_linear(monkeypatch):
         def __init__(self, notice):
             self.of = real(notice)
 
-        def search(self, text, a, b):
-            seen.append(b - a)
-            return self.of.search(text, a, b)
+        def search(self, text):
+            seen.append(len(text))
+            return self.of.search(text)
 
     monkeypatch.setattr(licenses, "pattern", Counting)
     for n in (100, 400):
         seen.clear()
         assert len(licenses.fuzzy_places("released undr the mit license " * n, {"released under the mit license": ("mit", "mit")})) == n
-        assert len(seen) <= 4 * n and max(seen) <= 34
+        assert len(seen) <= 4 * n and max(seen) <= 36
 
 
 def test_license_scan_of_an_empty_table(empty):

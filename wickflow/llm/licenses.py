@@ -3,8 +3,9 @@
 A text becomes its lower-case words joined by one space. A notice with at most k edits holds one of k + 1 pieces of it
 unchanged (pigeonhole), so an Aho-Corasick automaton of all pieces locates places where a notice could stand, and the regex
 library's bounded-error matching decides at each of them, by itself, and gives the span. A window is hardly longer than its
-notice, so the best match in it is the one that its seed belongs to, and the work grows with the number of seeds. Of places
-of one notice that overlap, the one of fewest edits stays. Edits must leave a notice's telling words (the license's name, its
+notice, so the best match in it is the one that its seed belongs to, and the work grows with the number of seeds. A place begins and ends with
+a word: "unlicensed" doesn't begin a notice. Of places
+of one label that overlap, that of the longest notice stays, and of one notice that of fewest edits. Edits must leave a notice's telling words (the license's name, its
 variant and its version) as they are, in order: another license is not a misspelt one.
 
 Cases: null and empty texts have no words and score 0; equal places of one label are reported once for each place; rows
@@ -31,16 +32,36 @@ PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserv
 #: Short notices, as words: their labels, and the words that tell them from other licenses.
 NOTICES = {
     "licensed under the apache license version 2 0": ("apache-2.0", "apache 2 0"),
+    "licensed under the apache license 2 0": ("apache-2.0", "apache 2 0"),
+    "apache license version 2 0": ("apache-2.0", "apache 2 0"),
+    "apache license 2 0": ("apache-2.0", "apache 2 0"),
+    "apache 2 0": ("apache-2.0", "apache 2 0"),
     "licensed under the apache license version 1 1": ("apache-1.1", "apache 1 1"),
     "released under the mit license": ("mit", "mit"),
     "licensed under the mit license": ("mit", "mit"),
+    "the mit license": ("mit", "the mit license"),
+    "mit license": ("mit", "mit license"),
     "permission is hereby granted free of charge to any person obtaining a copy": ("mit", "granted free copy"),
     "licensed under the gnu general public license version 3": ("gpl-3.0", "general 3"),
+    "gnu general public license version 3": ("gpl-3.0", "general 3"),
+    "gnu general public license v3": ("gpl-3.0", "general v3"),
+    "gpl v3": ("gpl-3.0", "gpl v3"),
+    "gplv3": ("gpl-3.0", "gplv3"),
     "licensed under the gnu general public license version 2": ("gpl-2.0", "general 2"),
+    "gnu general public license version 2": ("gpl-2.0", "general 2"),
+    "gnu general public license v2": ("gpl-2.0", "general v2"),
+    "gpl v2": ("gpl-2.0", "gpl v2"),
+    "gplv2": ("gpl-2.0", "gplv2"),
     "licensed under the gnu lesser general public license": ("lgpl", "lesser"),
     "licensed under the gnu affero general public license": ("agpl", "affero"),
     "licensed under cc by 4 0": ("cc-by-4.0", "by 4 0"),
+    "cc by 4 0": ("cc-by-4.0", "cc by 4 0"),
+    "licensed under cc by 3 0": ("cc-by-3.0", "by 3 0"),
+    "cc by 3 0": ("cc-by-3.0", "cc by 3 0"),
     "licensed under cc by sa 4 0": ("cc-by-sa-4.0", "by sa 4 0"),
+    "cc by sa 4 0": ("cc-by-sa-4.0", "cc by sa 4 0"),
+    "licensed under cc by sa 3 0": ("cc-by-sa-3.0", "by sa 3 0"),
+    "cc by sa 3 0": ("cc-by-sa-3.0", "cc by sa 3 0"),
     "licensed under cc by nd 4 0": ("cc-by-nd-4.0", "by nd 4 0"),
     "licensed under cc by nc 4 0": ("cc-by-nc-4.0", "by nc 4 0"),
     "licensed under cc by nc sa 4 0": ("cc-by-nc-sa-4.0", "by nc sa 4 0"),
@@ -84,7 +105,7 @@ def automaton(notices: tuple[str, ...]) -> ahocorasick.Automaton:
 
 @cache
 def pattern(notice: str) -> regex.Pattern:
-    return regex.compile(f"(?b)(?:{regex.escape(notice, literal_spaces=True)}){{e<={edits(notice)}}}")
+    return regex.compile(f"(?b)(?<= )(?:{regex.escape(notice, literal_spaces=True)}){{e<={edits(notice)}}}(?= )")
 
 
 def exact_places(text: str, phrases: dict[str, str]) -> list[tuple[str, int, int]]:
@@ -98,34 +119,36 @@ def exact_places(text: str, phrases: dict[str, str]) -> list[tuple[str, int, int
     return found
 
 
-def tells(text: str, begin: int, end: int, telling: str) -> bool:
-    """Whether the words at text[begin:end], those cut by its bounds taken whole, have the telling ones, in order."""
-    first, stop = text.rfind(" ", 0, begin + 1) + 1, text.find(" ", max(begin, end - 1))
-    own = iter(text[first : len(text) if stop < 0 else stop].split())
+def tells(words: str, telling: str) -> bool:
+    """Whether words have the telling ones, in order."""
+    own = iter(words.split())
     return all(any(w == x for w in own) for x in telling.split())
 
 
 def fuzzy_places(text: str, notices: dict[str, tuple[str, str]]) -> list[tuple[str, int, int, int, float]]:
-    """(label, begin, end, edits, likeness) of each place of a notice."""
-    names, windows = tuple(notices), {}
+    """(label, begin, end, edits, likeness) of each place of a notice, which begins and ends with a word."""
+    names, windows, padded = tuple(notices), {}, f" {text} "
     for end, at in automaton(names).iter(text):
         for n, start, length in at:
             windows.setdefault(n, {})[end - length + 1 - start] = None  # where the notice would begin if nothing before the seed were edited
-    found = []
+    own: dict[str, set] = {}
     for n, begins in windows.items():
-        notice, k, own = names[n], edits(names[n]), set()
+        notice, k = names[n], edits(names[n])
         label, telling = notices[notice]
         for begin in begins:
-            m = pattern(notice).search(text, max(0, begin - k), min(len(text), begin + len(notice) + k))
-            if m and tells(text, *m.span(), telling):
-                own.add((sum(m.fuzzy_counts), *m.span()))
+            start = max(0, begin - k)  # in text; in padded the character before it
+            m = pattern(notice).search(padded[start : begin + len(notice) + k + 2])
+            if m and tells(m[0], telling):
+                own.setdefault(label, set()).add((-len(notice), sum(m.fuzzy_counts), start + m.start() - 1, start + m.end() - 1))
+    found = []
+    for label, at in own.items():
         taken: list[tuple[int, int]] = []  # sorted, apart from each other
-        for e, a, b in sorted(own):
+        for size, e, a, b in sorted(at):
             i = bisect(taken, (a, b))
             if (i == 0 or taken[i - 1][1] <= a) and (i == len(taken) or taken[i][0] >= b):
                 taken.insert(i, (a, b))
-                found.append((label, a, b, e, 1 - e / len(notice)))
-    return sorted(set(found))
+                found.append((label, a, b, e, 1 + e / size))
+    return sorted(found)
 
 
 def spans(data: bytes, phrases: dict[str, str], notices: dict[str, tuple[str, str]]) -> tuple[int, list[dict]]:
