@@ -32,3 +32,27 @@ def test_ids_that_repeat_with_other_texts_keep_their_links(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {(r.doc_id, r.component_id) for r in jaccard_join.join_components(docs, 4, 85).collect()}
     assert got == {(3, 3), (5, 3), (7, 3), (9, 9), (10, 9), (11, 11)}
+
+
+def test_a_text_beyond_the_budget_takes_nothing_from_others(monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", {1: 100, 0: 50})
+    ids = [(1, 1), (2, 1), (3, 0), (4, 1), (5, 0), (6, 1)]
+    assert sorted(toxicity.within(ids, {1: 5000, 2: 60, 3: 80, 4: 50, 5: 70, 6: 40})) == [(2,), (5,), (6,)]
+
+
+def test_one_huge_labelled_text_leaves_the_others_taught(spark, monkeypatch):
+    rows = [(i, "bad " * 20 if i % 2 else "good " * 20) for i in range(1, 80)] + [(1000 + i, "bad " * 30_000) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(text like 'bad%' as int) as toxic")
+    seen = []
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", {1: 100_000, 0: 100_000})
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels: seen.extend(texts))
+    monkeypatch.setattr(toxicity, "calibrate", lambda model, texts, labels, weights: seen.extend(texts))
+    toxicity.learned(docs, labels)
+    assert len(seen) == sum(1 for i, _ in rows[:79] if toxicity_fold(i)) and max(map(len, seen)) < 200
+
+
+def toxicity_fold(i):
+    import zlib
+
+    return zlib.crc32(str(i).encode()) % 5 != 0
