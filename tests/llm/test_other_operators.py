@@ -301,3 +301,30 @@ def test_pipeline_stages_of_odd_rows(spark, sf, odd, empty, tmp_path):
             assert all(t for _, t in kept)
         assert stage(spark, empty, sf).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).where("start = 0").count() == docs.count()
+
+
+def test_warc_ties_over_any_number_of_steps(spark):
+    """Chains, cycles and records named by others, against a walk in plain Python that doesn't pass through captures."""
+    edges = {  # what each record names
+        "request:a1": ["A"], "metadata:a2": ["request:a1"], "metadata:a3": ["metadata:a2"], "metadata:a4": ["metadata:a3"], "request:b1": ["metadata:b2"], "metadata:b2": ["metadata:b3"], "metadata:b3": ["request:b1"],
+        "response:B": ["request:b1"], "metadata:c1": [], "request:c2": ["metadata:c1", "C"], "metadata:d1": ["A", "C"], "metadata:e1": ["request:e2"], "request:e2": ["metadata:e1"], "response:A": [], "response:C": [],
+        "response:F": ["metadata:f1", "missing"], "metadata:f1": [], "metadata:g1": ["metadata:g1"],
+    }
+    rows = [(k.split(":")[0], k.split(":")[1], [x.split(":")[-1] for x in v]) for k, v in edges.items()]
+    kinds = {i: kind for kind, i, _ in rows}
+    both = {(i, x) for _, i, to in rows for x in to if x in kinds} | {(x, i) for _, i, to in rows for x in to if x in kinds}
+    want = set()
+    for start in (i for i, kind in kinds.items() if kind != "response"):
+        seen, left = {start}, [start]
+        while left:
+            at = left.pop()
+            for a, b in both:
+                if a == at and b not in seen:
+                    seen.add(b)
+                    if kinds[b] != "response":
+                        left.append(b)
+        want |= {(h, start) for h in seen if kinds[h] == "response"}
+    found = spark.createDataFrame([(k, i, None, to, None, None, None, [], "", None, None) for k, i, to in rows], warc.RECORD)
+    got = {(r.record_id, x.record_id) for r in warc.assemble(found).collect() for x in [*r.requests, *r.metadata]}
+    assert got == want
+    assert {r.record_id for r in warc.loose(found).collect()} == {"e1", "e2", "g1"}

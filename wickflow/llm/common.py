@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager, suppress
+from collections.abc import Callable
+from contextlib import suppress
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import scratch, shared_dir, shared_path, written  # noqa: F401  for the operators
+
 #: The white space of the contracts: U+0020 and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -39,65 +39,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's checkpoint folder, or a new one in local mode where none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        context = spark.sparkContext
-        if not context._jsc.sc().getCheckpointDir().isDefined():
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="wickflow-"))
-        found = context._jsc.sc().getCheckpointDir().get()
-    return found
-
-
-_scopes: list[list[str]] = []
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder. Inside scratch() it is removed at the end."""
-    path = f"{shared_dir(spark)}/wickflow/{name}-{uuid.uuid4().hex}"
-    if _scopes:
-        _scopes[-1].append(path)
-    return path
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, read again: cuts the lineage, survives the loss of executors, keeps column pruning."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch_path = path
-    return out
-
-
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """Tables written inside are removed at the end, but for those handed to the function that this yields.
-
-    Those belong to the scope around it: a result that is read later may still need them.
-    """
-    _scopes.append([])
-    kept: set[str] = set()
-
-    def keep(df: DataFrame) -> DataFrame:
-        kept.add(df._scratch_path)
-        return df
-
-    try:
-        yield keep
-    finally:
-        gone = _scopes.pop()
-        if _scopes:
-            _scopes[-1] += [x for x in gone if x in kept]
-        for x in gone:
-            if x not in kept:
-                path = spark._jvm.org.apache.hadoop.fs.Path(x)
-                path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-
 def words(text: Column) -> Column:
     """The words of a text as an array; empty for null and for text without words."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))

@@ -326,7 +326,7 @@ def contracted(near: DataFrame) -> DataFrame:
 
 
 def least_reachable(links: DataFrame) -> DataFrame:
-    """id and label (the least id reachable) of each id in links (a, b).
+    """id and label (the least id reachable) of each id in links (a, b) of any type that has an order.
 
     Each round every id points to its least neighbour, pointers are followed twice, and what points to one id becomes one:
     the links that are left lie between different ids, and are few after a round. Labels are put together backwards.
@@ -348,7 +348,7 @@ def least_reachable(links: DataFrame) -> DataFrame:
             edges = join_hot(edges, own.select(F.col("id").alias("b"), F.col("label").alias("_b")), "b")
             edges = written(ordered(edges, "_a", "_b"), "links")
         if not levels:
-            return spark.createDataFrame([], "id long, label long")
+            return spark.createDataFrame([], edges.select(F.col("a").alias("id"), F.col("b").alias("label")).schema)
         labels = levels.pop()
         while levels:
             labels = followed(levels.pop(), labels)

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import join_by_count, read, scratch, shared_path, written
+from .jaccard_join import least_reachable
 
 #: Payloads of fewer bytes are stored each time.
 LEAST_REVISITED = 1000
@@ -201,17 +202,24 @@ def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataF
 def tied(found: DataFrame) -> DataFrame:
     """(head, kind, record) of each request and metadata record and each capture that it belongs to.
 
-    A record that names another request or metadata record, or is named by it, belongs where that one does.
+    Requests and metadata that name each other, in either direction and over any number of steps, belong together, to every capture that
+    one of them names or that names one of them. A capture doesn't tie those together that it is named by.
     """
     record = F.struct("record_id", "headers", "block").alias("record")
     others = found.where("kind IN ('request', 'metadata')")
     heads = found.where(F.col("kind").isin(*HEADS))
-    names = others.select("kind", record, F.explode("concurrent_to").alias("to"))
-    named = heads.where(F.size("concurrent_to") > 0).select(F.col("record_id").alias("head"), F.explode("concurrent_to").alias("to")).distinct()
-    named = named.join(others.select(F.col("record_id").alias("to"), "kind", record), "to")
-    direct = names.select(F.col("to").alias("head"), "kind", "record").unionByName(named.select("head", "kind", "record"))
-    steps = direct.select(F.col("record.record_id").alias("to"), "head").distinct()
-    return direct.unionByName(names.join(steps, "to").select("head", "kind", "record"))
+    names = others.select("record_id", F.explode("concurrent_to").alias("to"))
+    named = heads.where(F.size("concurrent_to") > 0).select(F.col("record_id").alias("head"), F.explode("concurrent_to").alias("record_id")).select("record_id", "head")
+    links = names.join(others.select(F.col("record_id").alias("to")).distinct(), "to").select(F.col("record_id").alias("a"), F.col("to").alias("b"))
+    groups = least_reachable(links)
+    direct = names.select("record_id", F.col("to").alias("head")).unionByName(named)
+    of_group = direct.join(groups.withColumnRenamed("id", "record_id"), "record_id").select("label", "head").distinct()
+    far = groups.join(of_group, "label").select(F.col("id").alias("record_id"), "head")
+    more = written(named.unionByName(far).distinct(), "ties")
+    out = others.select(F.explode("concurrent_to").alias("head"), "kind", record)
+    if more.isEmpty():  # most archives: their records are not moved for it
+        return out
+    return out.unionByName(others.select("record_id", "kind", record).join(more, "record_id").select("head", "kind", "record"))
 
 
 def assemble(found: DataFrame) -> DataFrame:
