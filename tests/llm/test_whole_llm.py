@@ -56,3 +56,16 @@ def toxicity_fold(i):
     import zlib
 
     return zlib.crc32(str(i).encode()) % 5 != 0
+
+
+def test_differing_texts_under_one_id_all_stay(spark):
+    """Only what is near a text of lesser id (or hash, under one id) goes, whichever rows share an id; reruns keep the same rows."""
+    a, t, u, v = (" ".join(f"{x}{i}" for i in range(60)) for x in "atuv")
+    rows = [(1, a, "x"), (1, t, "x"), (2, f"{a} more", "x"), (3, f"{u} more", "x"), (3, u, "x"), (3, u, "y"), (4, v, "x"), (None, a, "x"), (None, a, "x"), (5, "", "x"), (5, None, "x"), (6, f"{t} end", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row string")
+    kept = [tuple(r) for r in jaccard_join.one_of_each(docs).collect()]
+    texts = [(i, x) for i, x, _ in kept]
+    assert sorted(x for x in texts if x[0] in (1, 2, 4, 6)) == [(1, a), (1, t), (4, v)]
+    assert [x for i, x in texts if i == 3] in ([u], [f"{u} more"]) and texts.count((None, a)) == 2 and len([x for x in texts if x[0] == 5]) == 1
+    for n in (1, 3):
+        assert sorted(map(str, jaccard_join.one_of_each(docs.repartition(n)).collect())) == sorted(map(str, jaccard_join.one_of_each(docs).collect()))

@@ -468,16 +468,37 @@ def across(texts: DataFrame, large: DataFrame, blocks: DataFrame, links: DataFra
 def one_of_each(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """docs without those that another one stands for: of each component the document of least id stays, as one row.
 
-    Rows with a null id and texts without words stay.
+    Rows with a null id stay, and so do texts without words. Where an id repeats, each of its differing texts is a document of its own, ordered by
+    the id and then the text's hash; of rows with one id and text the one of least hash of all columns stays, whatever task is run again.
     """
+    if not docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        with scratch(docs.sparkSession) as keep:
+            gone = keep(written(stood_for(join_components(docs, k, percent)), "gone"))
+        return docs.join(gone.withColumnRenamed("id", "doc_id").hint("shuffle_hash"), "doc_id", "left_anti")
     with scratch(docs.sparkSession) as keep:
-        found = keep(written(join_components(docs, k, percent), "links"))
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    out = docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti")
-    repeated = found.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if repeated.limit(1).count():
-        out = out.join(repeated, "doc_id", "left_anti").unionByName(out.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return out.select(*docs.columns)
+        own = keep(written(texts_apart(docs), "apart"))
+        gone = keep(written(stood_for(join_components(own, k, percent, "_sid", "_text")), "gone"))
+    left = own.join(gone.withColumnRenamed("id", "_sid").hint("shuffle_hash"), "_sid", "left_anti")
+    several = own.where("_sid IS NOT NULL").groupBy("_sid").count().where("count > 1").select("_sid")
+    kept = left.join(several, "_sid", "left_semi").groupBy("_sid").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row")).select("_row")
+    return left.join(several, "_sid", "left_anti").select("_row").unionByName(kept).select("_row.*")
+
+
+def stood_for(components: DataFrame) -> DataFrame:
+    """The ids that a lesser one stands for."""
+    id = components.columns[0]
+    return components.where(F.col("component_id") != F.col(id)).select(F.col(id).alias("id")).distinct()
+
+
+def texts_apart(docs: DataFrame) -> DataFrame:
+    """docs as rows of _sid, _text and _row: a number for each id and differing text, in their order (null for null ids)."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_hash"), F.col("text").alias("_text"), F.struct(*docs.columns).alias("_row"))
+    slim = rows.where("_id IS NOT NULL").select("_id", "_hash").distinct()
+    dealt = slim.repartitionByRange(partitions(docs.sparkSession), "_id", "_hash").withColumn("_pid", F.spark_partition_id())
+    placed = written(dealt.withColumn("_pos", F.row_number().over(Window.partitionBy("_pid").orderBy("_id", "_hash"))), "numbered")
+    before = placed.groupBy("_pid").count().select("_pid", F.coalesce(F.sum("count").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row for each partition
+    numbers = placed.join(F.broadcast(before), "_pid").select("_id", "_hash", (F.col("_before") + F.col("_pos")).alias("_sid"))
+    return rows.join(numbers.hint("shuffle_hash"), ["_id", "_hash"], "left").select("_sid", "_text", "_row")
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
