@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from wickflow.functions import features as ft
 from wickflow.operators import clusters, levels, mtf, outcomes, stories, structure, vectors, windows
 from wickflow.sources import candles as src
+from wickflow.sources import store
 from wickflow.streaming import ingest
 
 CLOSES = [100, 101, 102, 101, 99, 98, 99, 101, 103, 102, 104]
@@ -125,8 +126,6 @@ def test_story_tools(spark):
     df = spark.createDataFrame([(" A -> B ->  -> B",), (None,), ("INITIAL_X -> RANGE_EXPANSION -> RANGE_COMPRESSION -> HOLD_CLUSTER -> ODD",)], "s string")
     got = [(r.t, r.u, r.f) for r in df.select(stories.parsed(F.col("s")).alias("t"), stories.without_repeats(stories.parsed(F.col("s"))).alias("u"), stories.families(stories.parsed(F.col("s"))).alias("f")).collect()]
     assert got[0][0] == ["A", "B", "B"] and got[0][1] == ["A", "B"] and got[1] == ([], [], []) and got[2][2] == ["INITIAL_CONTEXT", "RANGE_CHANGE", "HOLD", "ODD"]
-    assert stories.sequence_similarity(["A"], ["A"]) == 1.0 and stories.sequence_similarity([], ["A"]) == 0.0
-    assert stories.weighted_distance(["REJECTION_CLUSTER"], ["HOLD_CLUSTER"], 0.35) == 0.35
     told = spark.createDataFrame([("S", 1, ["A", "B"], ["A"]), ("S", 2, ["A", "B"], ["A"]), ("S", 3, ["X", "Y", "Z"], None)], "symbol string, id int, one array<string>, two array<string>")
     got = {r.id: r for r in stories.leader_clusters(told, "id", "symbol", ["one", "two"]).collect()}
     assert [got[i].cluster for i in (1, 2, 3)] == [0, 0, 1] and got[2].distance == 0
@@ -173,6 +172,15 @@ def test_prefixes(spark):
     assert [(r.idx, r.signal) for r in got] == [(i, (i + 1) * 100 + CLOSES[i] - i) for i in (8, 9, 10)]
 
 
+def test_folded_signals_equal_those_of_prefixes(spark):
+    c = bars(spark, CLOSES)
+    c = c.unionByName(c.withColumn("symbol", F.lit("B")).where("idx < 4"))
+    start, update = (lambda: (0, 0.0, 0.0)), lambda s, c: (s[0] + 1, max(s[1], c.high), c.close)
+    got = outcomes.folded(c, start, update, lambda s: s[0] * 1000 + s[1] - s[2], "double", 2).collect()
+    want = outcomes.on_prefixes(c, lambda p, i: len(p) * 1000 + p.high.max() - p.close.iloc[-1], "double", 2).collect()
+    assert len(got) == 11 and sorted(got) == sorted(want)
+
+
 def test_zones(spark):
     r = spark.range(1).select(levels.zone_bounds(F.lit(100.0), F.lit(10.0)).alias("z")).first().z
     assert (r.low, r.high) == (98.0, 102.0)
@@ -205,7 +213,7 @@ def test_streams(spark, tmp_path):
     q = ingest.closed_candles(stream).writeStream.foreachBatch(ingest.merge_into(str(tmp_path / "out"))).option("checkpointLocation", str(tmp_path / "c")).start()
     q.processAllAvailable()
     q.stop()
-    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    got = store.CandleStore(spark, str(tmp_path / "out")).read().collect()
     assert len(got) == 1 and got[0].symbol == "ABC" and got[0].close in (1.5, 1.7)
     ticks = pd.DataFrame({"event_type": "A", "ts": pd.to_datetime(["2024-01-01 00:01", "2024-01-01 00:59", "2024-01-01 03:00"]), "value": [1.0, 2.0, 3.0], "event_id": [1, 2, 3]})
     spark.createDataFrame(ticks).coalesce(1).write.parquet(str(tmp_path / "ticks"))

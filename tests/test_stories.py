@@ -1,5 +1,6 @@
 """Levels, touches and stories against plain Python that shares no code with the library."""
 
+import random
 from statistics import mean, median
 
 import numpy as np
@@ -130,23 +131,39 @@ def test_stories(spark, sf, plain):
 CHEAP = [{"LEVEL_INTERACTION_CLUSTER", "REPEATED_TEST_CLUSTER"}, {"REJECTION_CLUSTER", "HOLD_CLUSTER"}, {"RANGE_EXPANSION", "BODY_EXPANSION"}, {"RANGE_COMPRESSION", "BODY_COMPRESSION"}, {"DIRECTIONAL_SHIFT", "DIRECTION_CHANGE_IN_CHARACTER"}]
 
 
+CHEAP_FAMILIES = [{"LEVEL_INTERACTION", "REJECTION"}, {"LEVEL_INTERACTION", "PULLBACK"}, {"LEVEL_INTERACTION", "EXPANSION_AFTER_TEST"}, {"REJECTION", "HOLD"}, {"RANGE_CHANGE", "BODY_CHANGE"}, {"DIRECTION_CHANGE", "BODY_CHANGE"}]
+
+
+def plain_edits(a, b, cheap, cost):
+    rows = [[max(i, j) if not i or not j else None for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i, x in enumerate(a, 1):
+        for j, y in enumerate(b, 1):
+            rows[i][j] = min(rows[i - 1][j] + 1, rows[i][j - 1] + 1, rows[i - 1][j - 1] + (0 if x == y else cost if {x, y} in cheap else 1))
+    return rows[-1][-1]
+
+
 def plain_likeness(a, b):
-    def edits(i, j, seen={}):  # noqa: B006
-        key = (tuple(a[i:]), tuple(b[j:]))
-        if key not in seen:
-            change = 0 if i < len(a) and j < len(b) and a[i] == b[j] else 0.35 if i < len(a) and j < len(b) and {a[i], b[j]} in CHEAP else 1
-            seen[key] = max(len(a) - i, len(b) - j) if i == len(a) or j == len(b) else min(edits(i + 1, j) + 1, edits(i, j + 1) + 1, edits(i + 1, j + 1) + change)
-        return seen[key]
-
-    x, y = np.linspace(0, 1, min(len(a), 16)), np.linspace(0, 1, min(len(b), 16))
+    if not a or not b:
+        return 0.0
+    x, y = (np.linspace(0, 1, n) if n > 1 else np.zeros(1) for n in (min(len(a), 16), min(len(b), 16)))
     k = min(len(x), len(y))
-    return 0.6 * (1 - edits(0, 0) / max(len(a), len(b))) + 0.25 * mean(p == q for p, q in zip(a[:k], b[:k], strict=True)) + 0.15 * (1 - np.abs(x[:k] - y[:k]).mean())
+    return 0.6 * (1 - plain_edits(a, b, CHEAP, 0.35) / max(len(a), len(b))) + 0.25 * mean(p == q for p, q in zip(a[:k], b[:k], strict=True)) + 0.15 * (1 - np.abs(x[:k] - y[:k]).mean())
 
 
-def test_likeness_of_stories():
+def test_likeness_of_stories(spark):
     from wickflow.operators import stories
 
-    assert stories.sequence_similarity(list("abc"), list("abcde")) == pytest.approx(plain_likeness(list("abc"), list("abcde"))) == pytest.approx(0.7225)
+    rng = random.Random(14)
+    tokens = sorted({x for p in CHEAP for x in p}) + ["ODD"]
+    kinds = sorted({x for p in CHEAP_FAMILIES for x in p}) + ["INITIAL_CONTEXT"]
+    some = lambda of, most: [rng.choice(of) for _ in range(rng.randrange(most))]
+    rows = [(list("abc"), list("abcde"), [], []), ([], [], ["HOLD"], ["HOLD"])] + [(some(tokens, 22), some(tokens, 22), some(kinds, 9), some(kinds, 9)) for _ in range(300)]
+    df = spark.createDataFrame(rows, "a array<string>, b array<string>, f array<string>, g array<string>")
+    got = df.select("*", stories.story_similarity("a", "b").alias("s"), stories.family_similarity("f", "g").alias("t")).collect()
+    assert got[0].s == pytest.approx(0.7225)
+    for r in got:
+        assert r.s == pytest.approx(plain_likeness(r.a, r.b), abs=1e-12)
+        assert r.t == pytest.approx(max(0.0, 1 - plain_edits(r.f, r.g, CHEAP_FAMILIES, 0.5) / max(len(r.f), len(r.g))) if r.f and r.g else 0.0, abs=1e-12)
 
 
 def test_matches_are_the_best_of_the_pool(spark, sf, plain):

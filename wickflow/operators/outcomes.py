@@ -157,6 +157,31 @@ def on_prefixes(candles: DataFrame, function, schema: str, start: int = 0) -> Da
     return candles.select(*columns).repartition(*SERIES).sortWithinPartitions(*SERIES, "open_time").mapInPandas(run, out)
 
 
+def folded(candles: DataFrame, start, update, result, schema: str, first: int = 0) -> DataFrame:
+    """A signal of each row from first on, as on_prefixes, from a state that doesn't grow: series, idx, open_time, signal.
+
+    start() is a series' state before its first candle, update(state, candle) that after a candle, result(state) the signal then. A task streams
+    through its series and holds one state, so the work is one step for each candle.
+    """
+    import pandas as pd
+
+    out = f"symbol string, timeframe string, idx long, open_time long, signal {schema}"
+
+    def run(batches):
+        key, state, idx = None, None, -1
+        for batch in batches:
+            rows = []
+            for candle in batch.itertuples(index=False):
+                if (candle.symbol, candle.timeframe) != key:
+                    key, state, idx = (candle.symbol, candle.timeframe), start(), -1
+                state, idx = update(state, candle), idx + 1
+                if idx >= first:
+                    rows.append((*key, idx, candle.open_time, result(state)))
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in out.split(", ")])
+
+    return candles.repartition(*SERIES).sortWithinPartitions(*SERIES, "open_time").mapInPandas(run, out)
+
+
 #: Candles that a reversal's episode has up to its confirmation; least distance of confirmations of matches.
 EPISODE, MIN_GAP = 20, 5
 

@@ -115,44 +115,48 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(either == 0, 1.0).otherwise(both / either)
 
 
-def weighted_distance(a: list[str], b: list[str], cost: float) -> float:
-    """Edit distance in which related tokens are exchanged at a lower cost."""
-    cheap = {frozenset(p) for p in RELATED[cost]}
-    row = np.arange(len(b) + 1, dtype=float)
-    for i, x in enumerate(a, 1):
-        before, row[0] = row.copy(), i
-        for j, y in enumerate(b, 1):
-            change = 0.0 if x == y else cost if frozenset((x, y)) in cheap else 1.0
-            row[j] = min(before[j] + 1, row[j - 1] + 1, before[j - 1] + change)
-    return float(row[-1])
+def weighted_distance(a: Column, b: Column, cost: float) -> Column:
+    """Edit distance of two token sequences, in which related tokens are exchanged at a lower cost: a fold over the rows of its table."""
+    cheap = F.lit([f"{x}|{y}" for pair in RELATED[cost] for x, y in (pair, pair[::-1])])
+    change = lambda x, y: F.when(x == y, 0.0).when(F.array_contains(cheap, F.concat(x, F.lit("|"), y)), cost).otherwise(1.0)
+    size, first = F.size(b), F.transform(F.sequence(F.lit(0), F.size(b)), lambda j: j.cast("double"))
+
+    def row(above: Column, x: Column) -> Column:
+        def cell(new: Column, j: Column) -> Column:
+            least = F.least(F.get(above, j) + 1, F.get(new, j - 1) + 1, F.get(above, j - 1) + change(x, F.get(b, j - 1)))
+            return F.concat(new, F.array(least))
+
+        begun = F.array(F.get(above, F.lit(0)) + 1)
+        return F.when(size == 0, begun).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), begun, cell))
+
+    return F.element_at(F.aggregate(a, first, row), -1)
 
 
 #: Tokens that are compared place by place.
 SIGNATURE = 16
 
 
-def sequence_similarity(a: list[str], b: list[str]) -> float:
-    """Weighted edits, identity by place and likeness of the places' spacing over the first tokens; 0 if either is empty."""
-    a, b = list(a), list(b)
-    if not a or not b:
-        return 0.0
-    edit = 1 - weighted_distance(a, b, 0.35) / max(len(a), len(b))
-    n, m = (min(len(x), SIGNATURE) for x in (a, b))
-    same = np.mean([x == y for x, y in zip(a[:n], b[:m], strict=False)])
-    k = np.arange(min(n, m))
-    spacing = 1 - np.mean(abs(k / max(n - 1, 1) - k / max(m - 1, 1)))
-    return float(np.clip(0.60 * edit + 0.25 * same + 0.15 * spacing, 0, 1))
+def clipped(score: Column) -> Column:
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
 
 
-@F.pandas_udf(T.DoubleType())
-def story_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([sequence_similarity(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
+def story_similarity(a: str, b: str) -> Column:
+    """Weighted edits, identity by place and likeness of the places' spacing over the first tokens; 0 if either is empty."""
+    a, b = F.col(a), F.col(b)
+    edit = 1 - weighted_distance(a, b, 0.35) / F.greatest(F.size(a), F.size(b))
+    n, m = (F.least(F.size(x), F.lit(SIGNATURE)) for x in (a, b))
+    places = F.sequence(F.lit(0), F.greatest(F.least(n, m) - 1, F.lit(0)))
+    mean = lambda v: F.aggregate(F.transform(places, v), F.lit(0.0), lambda t, x: t + x) / F.size(places)
+    same = mean(lambda k: (F.get(a, k) == F.get(b, k)).cast("double"))
+    spacing = 1 - mean(lambda k: F.abs(k / F.greatest(n - 1, F.lit(1)) - k / F.greatest(m - 1, F.lit(1))))
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(clipped(0.60 * edit + 0.25 * same + 0.15 * spacing))
 
 
-@F.pandas_udf(T.DoubleType())
-def family_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+def family_similarity(a: str, b: str) -> Column:
     """1 less the weighted edits of two family sequences by the longer's length; 0 if either is empty."""
-    return pd.Series([1 - weighted_distance(list(x), list(y), 0.5) / max(len(x), len(y)) if len(x) and len(y) else 0.0 for x, y in zip(a, b, strict=True)], dtype=float).clip(0)
+    a, b = F.col(a), F.col(b)
+    edit = 1 - weighted_distance(a, b, 0.5) / F.greatest(F.size(a), F.size(b))
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(clipped(edit))
 
 
 def aligned(score: Column) -> Column:

@@ -22,7 +22,10 @@ from ..operators import structure as st
 from ..operators import vectors as vc
 from ..operators import windows as wd
 from ..sources import candles as src
-from ..tables import scratch, written
+from ..sources import pages as pg
+from ..sources import store as cs
+from ..streaming import turns as tn
+from ..tables import scratch, shared_path, written
 from .oracle import FEATURES, build, medians, summary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,9 +90,9 @@ def candles_upsert_merge(spark, sf_dir):
 
 
 @query(build("""SELECT symbol, timeframe, CAST(0 AS BIGINT) AS duplicate_open_time, CAST(count_if(high < low) AS BIGINT) AS high_below_low, CAST(count_if(open > high OR open < low) AS BIGINT) AS open_outside_range, CAST(count_if(close > high OR close < low) AS BIGINT) AS close_outside_range,
-  CAST(count_if(least(open, high, low, close, volume) < 0) AS BIGINT) AS negative_values, CAST(count_if(gap > 3600000) AS BIGINT) AS gaps FROM (SELECT *, open_time - lag(open_time) OVER (PARTITION BY symbol ORDER BY open_time) AS gap FROM bars_1h) GROUP BY ALL"""))
+  CAST(count_if(least(open, high, low, close, volume) < 0) AS BIGINT) AS negative_values, CAST(count_if(gap > 3600000) AS BIGINT) AS gaps, concat_ws('; ', CASE WHEN high_below_low > 0 THEN 'high < low' END, CASE WHEN open_outside_range > 0 THEN 'open outside high/low' END, CASE WHEN close_outside_range > 0 THEN 'close outside high/low' END, CASE WHEN negative_values > 0 THEN 'negative OHLCV value' END, CASE WHEN gaps > 0 THEN 'missing timestamp gaps detected' END) AS messages FROM (SELECT *, open_time - lag(open_time) OVER (PARTITION BY symbol ORDER BY open_time) AS gap FROM bars_1h) GROUP BY ALL"""))
 def validate_report(spark, sf_dir):
-    return src.validate(src.series(spark, sf_dir), src.STEPS["1h"]).drop("errors")
+    return src.validate(src.series(spark, sf_dir), src.STEPS["1h"]).withColumn("messages", F.array_join("errors", "; ")).drop("errors")
 
 
 @query(build("""SELECT symbol, timeframe, open_time, round(close, 6) AS close FROM (SELECT *, max(CASE WHEN gap > 3600000 THEN open_time END) OVER (PARTITION BY symbol) AS since FROM
@@ -98,6 +101,32 @@ def latest_contiguous_segment(spark, sf_dir):
     return src.latest_contiguous(src.series(spark, sf_dir), src.STEPS["1h"]).select("symbol", "timeframe", "open_time", "close")
 
 
+@query(build(f"SELECT {BAR.format(step=3_600_000)} FROM bars_1h"))
+def stored_candles(spark, sf_dir):
+    """Candles after three merges into a store: early versions of all, the candles, and early versions of a third that come late, the last merge twice."""
+    store = cs.CandleStore(spark, shared_path(spark, "store"))
+    with scratch(spark):
+        c = written(src.series(spark, sf_dir).select(*src.COLUMNS), "offered")
+        early = c.withColumns({"close": F.col("close") * 2, "trades": F.col("trades") - 1})
+        for batch, rows in enumerate([early, c, early.where("open_time % 3 = 0")]):
+            store.merge(rows, "events", batch)
+        store.merge(early, "events", 2)
+    return store.read()
+
+
+@query(build(f"SELECT {BAR.format(step=3_600_000)} FROM bars_1h"))
+def paged_candles(spark, sf_dir):
+    """Candles as klines of a folder that stands for a server, fetched page by page in spans of time."""
+    c = src.series(spark, sf_dir)
+    kline = F.to_json(F.array(*(F.col(x).cast("string") for x in ("open_time", "open", "high", "low", "close", "volume", "close_time", "quote_volume", "trades"))))
+    folder = shared_path(spark, "server")
+    c.select(kline.alias("value"), *src.SERIES).write.partitionBy(*src.SERIES).text(folder)
+    about = c.agg(F.min("open_time"), F.max("open_time"), F.array_join(F.array_sort(F.collect_set("symbol")), ",")).first()
+    spark.dataSource.register(pg.KlinePages)
+    fetched = spark.read.format("klines").options(path=folder, symbols=about[2] or "", timeframes="1h", start=str(about[0] or 0), end=str(about[1] or 0), page="100", partitions="3").load()
+    return src.normalize_klines(fetched, 4_102_444_800_000).select(*src.COLUMNS)
+
+
 # ------------------------------------------------------------------ features
 
 ADDED = ["return", "log_return", "true_range", "volume_change", "momentum_10", "roc_20", "body_range_ratio", "upper_wick_ratio", "lower_wick_ratio", "close_position", "range_vs_mean", "volume_z", "atr_14", "volatility_20", "slope_20", "acceleration", "atr_pct"]
@@ -180,6 +209,12 @@ def zigzag_pivots(spark, sf_dir):
     return turns(spark, sf_dir)
 
 
+@query(build(f"SELECT symbol, timeframe, index, confirmation_index, direction, {r('price')} FROM turns"))
+def streamed_turns(spark, sf_dir):
+    """The same turns from candles that arrive in three spans of time, by a stream that is stopped and started between them."""
+    return tn.turns_in_batches(src.series(spark, sf_dir), THRESHOLD)
+
+
 @query(build(f"SELECT symbol, index, position, pivot_type, coalesce(bars_since_prev, 0) AS bars_since_prev, {r('swing_pct', 'leg_pct', 'normalized_price', 'previous_same_type_price')} FROM pivots"))
 def swing_structure(spark, sf_dir):
     return st.structure(turns(spark, sf_dir)).select("symbol", "index", "position", "pivot_type", F.coalesce("bars_since_prev", F.lit(0)).alias("bars_since_prev"), "swing_pct", "leg_pct", "normalized_price", "previous_same_type_price")
@@ -275,15 +310,13 @@ def target_rates_90(spark, sf_dir):
     return out.select("horizon", "samples", "target", low.alias("low"), high.alias("high"))
 
 
-def above_mean(prefix, i):
-    """Whether the last close of a prefix is above the mean of all of it."""
-    return bool(prefix.close.iloc[-1] > prefix.close.mean() + 1e-9)
-
-
 @query(build("SELECT symbol, idx, open_time, close > avg(close) OVER (PARTITION BY symbol ORDER BY idx) + 1e-9 AS signal FROM c_1h QUALIFY idx >= 20"))
 def prefix_signals(spark, sf_dir):
-    """A signal of each candle from all candles up to it."""
-    return oc.on_prefixes(src.series(spark, sf_dir), above_mean, "boolean", 20).drop("timeframe")
+    """Whether each candle's close is above the mean of all closes up to it."""
+    out = oc.folded(
+        src.series(spark, sf_dir).select(*src.SERIES, "open_time", "close"), start=lambda: (0, 0.0, 0.0), update=lambda s, c: (s[0] + 1, s[1] + c.close, c.close), result=lambda s: bool(s[2] > s[1] / s[0] + 1e-9), schema="boolean", first=20
+    )
+    return out.drop("timeframe")
 
 
 EV = "SELECT symbol, index, confirmation_index, direction, h.horizon, c.close AS p, arg_max(n.close, n.idx) AS cl, max(n.high) AS hi, min(n.low) AS lo FROM turns JOIN c_1h c USING (symbol) CROSS JOIN (SELECT unnest([5, 10, 20, 50])::BIGINT AS horizon) h JOIN c_1h n ON n.symbol = turns.symbol AND n.idx > confirmation_index AND n.idx <= confirmation_index + h.horizon WHERE c.idx = confirmation_index GROUP BY ALL"

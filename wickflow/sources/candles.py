@@ -174,6 +174,18 @@ def restore_csv(spark: SparkSession, path: str, stored: DataFrame | None = None)
     return found if stored is None else upsert(stored, found)
 
 
+def restored(spark: SparkSession, path: str, timeframes: list[str]) -> DataFrame:
+    """What there is to restore of exported candles: a row for each timeframe with its status (FILE NOT FOUND, EMPTY or RESTORED), rows and last open_time."""
+    found = restore_csv(spark, path).groupBy("timeframe").agg(F.count("*").alias("rows"), F.max("open_time").alias("last_open_time"))
+    there = []
+    for tf in timeframes:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_timeframe={tf}")
+        there.append((tf, bool(folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(folder))))
+    asked = spark.createDataFrame(there, "timeframe string, _there boolean")
+    status = F.when(F.col("rows").isNotNull(), "RESTORED").when(F.col("_there"), "EMPTY").otherwise("FILE NOT FOUND")
+    return asked.join(found, "timeframe", "left").select("timeframe", status.alias("status"), F.coalesce("rows", F.lit(0)).alias("rows"), "last_open_time")
+
+
 def increment(stored: DataFrame, offered: DataFrame, step: int, most: int | None = None) -> DataFrame:
     """stored after an update. A series that is new begins with the latest contiguous run of offered candles, most of them at most.
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.candles import COLUMNS, upsert
+from ..sources.candles import COLUMNS
+from ..sources.store import CandleStore
 
 #: The fields of a kline message, and the columns that they fill. Some differ by case alone, so they are read by path.
 FIELDS = {
@@ -22,35 +22,11 @@ def closed_candles(messages: DataFrame, column: str = "value") -> DataFrame:
     return messages.where(field("x") == "true").select(*(v.alias(c) for c, v in columns.items())).select(*COLUMNS)
 
 
-#: Days of candles in a folder of a stored table.
-FOLDER_MS = 30 * 86_400_000
-
-
-def merge_into(path: str):
-    """A foreachBatch function that merges each batch into a Parquet table under path, a folder for each timeframe and 30 days.
-
-    Only the folders that a batch has candles of are read and written anew. A batch that runs again writes the same candles; of
-    several messages on a candle in a batch the one with the most trades wins, which is the latest, and a batch wins over what is stored.
-    """
+def merge_into(path: str, stream: str = "klines"):
+    """A foreachBatch function that merges each batch into the candle store at path; a batch that runs again is merged once."""
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark: SparkSession = batch.sparkSession
-        keys = ["symbol", "timeframe", "open_time"]
-        rest = [c for c in COLUMNS if c not in keys]
-        order = F.struct(F.coalesce("trades", F.lit(-1)), F.struct(*rest))
-        new = batch.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_")).select(*keys, "_.*").select(*COLUMNS)
-        folder = F.floor(F.col("open_time") / FOLDER_MS).cast("long")
-        parts = new.select(F.col("timeframe").alias("_tf"), folder.alias("part")).distinct()
-        try:
-            stored = spark.read.parquet(path)
-        except AnalysisException:  # nothing is stored yet
-            stored = None
-        if stored is not None:
-            touched = [f"{t}/{p}" for t, p in parts.collect()]  # a batch spans few folders
-            kept = stored.where(F.concat_ws("/", "tf", F.col("part").cast("string")).isin(touched))
-            new = upsert(kept.select(*COLUMNS), new).checkpoint()
-        rows = new.withColumns({"tf": F.col("timeframe"), "part": folder})
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tf", "part").parquet(path)
+        CandleStore(batch.sparkSession, path).merge(batch, stream, batch_id)
 
     return merge
 
