@@ -17,6 +17,10 @@ WEIGHTS = {
 PATTERN = ["return", "body_range_ratio", "upper_wick_ratio", "lower_wick_ratio", "close_position", "range_vs_mean", "volume_z", "atr_pct", "momentum_10", "roc_20"]
 
 
+#: No feature of a candle depends on more candles before it: rolling medians of rolling ranges, and a step of these.
+REACH = 64
+
+
 def trailing(n: int) -> Window:
     return by_time().rowsBetween(1 - n, 0)
 

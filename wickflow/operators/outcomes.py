@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.candles import SERIES
+from ..sources.candles import SERIES, in_blocks
 
 #: Horizons in candles, target and stop in percent, and the normal quantile of 95 %.
 HORIZONS, TARGET_PCT, STOP_PCT = (5, 10, 20, 50), 2.0, 1.0
@@ -18,10 +18,11 @@ def forward_outcomes(candles: DataFrame, horizon: int) -> DataFrame:
     """Indexed candles with return, most and least of the next horizon candles (fewer at the end), as fractions of the close."""
     w = Window.partitionBy(*SERIES).orderBy("idx").rowsBetween(1, horizon)
     p = F.col("close")
-    return candles.withColumns({
+    measures = {
         "bars_available": F.count("*").over(w), "forward_return": F.try_divide(F.last("close").over(w), p) - 1,
         "mfe": F.try_divide(F.max("high").over(w), p) - 1, "mae": F.try_divide(F.min("low").over(w), p) - 1,
-    })
+    }
+    return in_blocks(candles, lambda c: c.withColumns(measures), 0, horizon)
 
 
 def measure(endpoints: DataFrame, candles: DataFrame, horizons=HORIZONS, target_pct: float = TARGET_PCT, stop_pct: float = STOP_PCT) -> DataFrame:
@@ -34,7 +35,8 @@ def measure(endpoints: DataFrame, candles: DataFrame, horizons=HORIZONS, target_
     w = lambda h: Window.partitionBy(*SERIES).orderBy("idx").rowsBetween(1, h)
     up, down, p = 1 + target_pct / 100, 1 - stop_pct / 100, F.col("close")
     bars = lambda h: F.collect_list(F.struct("high", "low")).over(w(h))
-    out = candles.select(*SERIES, F.col("idx").alias("endpoint_index"), "close", bars(max(horizons)).alias("_bars"), *(F.last("close").over(w(h)).alias(f"_last_{h}") for h in horizons))
+    looked = lambda c: c.select(*SERIES, F.col("idx").alias("endpoint_index"), "close", bars(max(horizons)).alias("_bars"), *(F.last("close").over(w(h)).alias(f"_last_{h}") for h in horizons))
+    out = in_blocks(candles, looked, 0, max(horizons), at="endpoint_index")
     out = endpoints.join(out, [*SERIES, "endpoint_index"])
 
     def row(h: int) -> Column:
@@ -219,7 +221,7 @@ def signed_forward(events: DataFrame, candles: DataFrame, horizons=HORIZONS) ->
     w = lambda h: Window.partitionBy(*SERIES).orderBy("idx").rowsBetween(1, h)
     p = F.col("close")
     per = [F.struct(F.lit(h).alias("horizon"), F.last("close").over(w(h)).alias("c"), F.max("high").over(w(h)).alias("h"), F.min("low").over(w(h)).alias("l")).alias(f"_{h}") for h in horizons]
-    out = candles.select(*SERIES, F.col("idx").alias("confirmation_index"), "close", *per)
+    out = in_blocks(candles, lambda c: c.select(*SERIES, F.col("idx").alias("confirmation_index"), "close", *per), 0, max(horizons), at="confirmation_index")
     out = events.join(out, [*SERIES, "confirmation_index"]).withColumn("_", F.explode(F.array(*(f"_{h}" for h in horizons)))).where("_.c IS NOT NULL")
     rise = F.col("direction") == "UP"
     return out.select(

@@ -1,7 +1,7 @@
 """Windows of n candles, their similarity, and descriptions of them.
 
-A window is a frame of rows that ends at a candle of its series, so all windows of a series are described in one sorted pass:
-one shuffle by series, whatever the number of measures. What pairs windows (with the current one of the series) is an
+A window is a frame of rows that ends at a candle of its series, so all windows are described in one sorted pass over blocks of a series:
+one shuffle, whatever the number of measures. What pairs windows (with the current one of the series) is an
 equi-join with one row for each series.
 """
 
@@ -17,15 +17,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.features import WEIGHTS
-from ..sources.candles import SERIES
+from ..sources.candles import SERIES, block_of, haloed
 
 FEATURES = list(WEIGHTS)
 KEYS = [*SERIES, "end"]
 
 
 def frame(n: int, a: int = 0, b: int | None = None) -> Window:
-    """The places a to b (not included, the end if None) of the window of n candles that ends at a row."""
-    return Window.partitionBy(*SERIES).orderBy("idx").rowsBetween(a - n + 1, (n if b is None else b) - n)
+    """The places a to b (not included, the end if None) of the window of n candles that ends at a row of ended()."""
+    return Window.partitionBy(*SERIES, "_block").orderBy("idx").rowsBetween(a - n + 1, (n if b is None else b) - n)
 
 
 def mean(c: str | Column, n: int, a: int = 0, b: int | None = None) -> Column:
@@ -33,9 +33,14 @@ def mean(c: str | Column, n: int, a: int = 0, b: int | None = None) -> Column:
 
 
 def ended(candles: DataFrame, n: int, columns: dict[str, Column]) -> DataFrame:
-    """A row for each full window of indexed candles: series, end (its last idx), last (the series' last idx) and columns over its frame."""
-    last = F.max("idx").over(Window.partitionBy(*SERIES))
-    return candles.select(*SERIES, F.col("idx").alias("end"), last.alias("last"), *(c.alias(k) for k, c in columns.items())).where(F.col("end") >= n - 1)
+    """A row for each full window of indexed candles: series, end (its last idx), last (the series' last idx) and columns over its frame.
+
+    A series is dealt to tasks by blocks of candles, each with the n - 1 before it.
+    """
+    last = candles.groupBy(*SERIES).agg(F.max("idx").alias("last"))
+    last = last.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), block_of(F.col("last")))))  # joined by block, as the frames are dealt
+    rows = haloed(candles, n - 1).select(*SERIES, "_block", F.col("idx").alias("end"), "_home", *(c.alias(k) for k, c in columns.items()))
+    return rows.where(F.col("_home") & (F.col("end") >= n - 1)).join(last, [*SERIES, "_block"]).select(*SERIES, "end", "last", *columns)
 
 
 def last_candles(candles: DataFrame, n: int) -> DataFrame:

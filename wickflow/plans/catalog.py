@@ -55,7 +55,11 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def featured(spark: SparkSession, sf_dir: str, timeframe: str = "1h") -> DataFrame:
-    return ft.candle_features(src.series(spark, sf_dir, timeframe))
+    return src.in_blocks(src.series(spark, sf_dir, timeframe), ft.candle_features, ft.REACH)
+
+
+def behaved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return src.in_blocks(src.series(spark, sf_dir), ft.behaviour, ft.REACH)
 
 
 def turns(spark: SparkSession, sf_dir: str, threshold: float = THRESHOLD) -> DataFrame:
@@ -147,7 +151,7 @@ A3 = "SELECT *, atr_14 / (abs(close) + 2.220446049250313e-16) AS atr_pct FROM a2
 
 @query(build("SELECT symbol, open_time, " + ", ".join(f'round("{x}", 4) + 0.0 AS "{x}"' for x in ADDED) + " FROM a3", a1=A1, a2=A2, a3=A3))
 def add_features(spark, sf_dir):
-    out = ft.add_features(src.series(spark, sf_dir))
+    out = src.in_blocks(src.series(spark, sf_dir), ft.add_features, ft.REACH)
     return out.select("symbol", "open_time", *((F.round(x, 4) + 0.0).alias(x) for x in ADDED))
 
 
@@ -155,7 +159,7 @@ def add_features(spark, sf_dir):
   FROM (SELECT symbol, idx, """ + ", ".join(f'coalesce("{x}", 0) AS v_{i}' for i, x in enumerate(ft.PATTERN)) + """ FROM a3 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY idx DESC) <= 20)) WHERE true GROUP BY ALL""", a1=A1, a2=A2, a3=A3).replace("round(sum(z), 3) + 0.0", "round(sum(z * z), 2)"))
 def pattern_vector_last(spark, sf_dir):
     """Length and a weighted sum of squares of each vector, row by row."""
-    v = ft.pattern_vectors(ft.add_features(src.series(spark, sf_dir)), 20)
+    v = ft.pattern_vectors(src.in_blocks(src.series(spark, sf_dir), ft.add_features, ft.REACH), 20)
     rows = F.transform(F.sequence(F.lit(0), (F.size("vector") / 10 - 1).cast("int")), lambda i: sum((F.element_at("vector", (i * 10 + k + 1).cast("int")) * (k + 1) for k in range(10)), F.lit(0.0)))
     return v.select("symbol", F.size("vector").cast("long").alias("length"), F.round(F.aggregate(rows, F.lit(0.0), lambda a, x: a + x * x), 2).alias("total"))
 
@@ -178,12 +182,12 @@ B = {"b1": B1, "b2": B2, "b3": B3, "b4": B4}
 
 @query(build(f"SELECT symbol, idx, behaviour_state, {r(*BEHAVED)} FROM b4", **B))
 def behaviour_prepare(spark, sf_dir):
-    return ft.behaviour(src.series(spark, sf_dir)).select("symbol", "idx", "behaviour_state", *BEHAVED)
+    return behaved(spark, sf_dir).select("symbol", "idx", "behaviour_state", *BEHAVED)
 
 
 @query(build("SELECT symbol, behaviour_state, count(*) AS candles FROM b4 GROUP BY ALL", **B))
 def state_counts(spark, sf_dir):
-    return ft.behaviour(src.series(spark, sf_dir)).groupBy("symbol", "behaviour_state").agg(F.count("*").alias("candles"))
+    return behaved(spark, sf_dir).groupBy("symbol", "behaviour_state").agg(F.count("*").alias("candles"))
 
 
 @query(build("""SELECT symbol, idx, concat_ws('|', CASE WHEN direction > 0 THEN 'BULLISH' WHEN direction < 0 THEN 'BEARISH' ELSE 'DOJI' END, CASE WHEN body_pct < 0.25 THEN 'SMALL_BODY' WHEN body_pct >= 0.6 THEN 'LARGE_BODY' ELSE 'MEDIUM_BODY' END,
@@ -526,7 +530,7 @@ STEP = "CASE timeframe " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in src.STEPS
 
 
 def featured_all(spark, sf_dir) -> DataFrame:
-    return ft.candle_features(src.all_series(spark, sf_dir))
+    return src.in_blocks(src.all_series(spark, sf_dir), ft.candle_features, ft.REACH)
 
 
 @query(build(f"SELECT {BAR.format(step=STEP)} FROM bars_all"))
@@ -643,7 +647,7 @@ PL_FIELDS = ", ".join(r(x) if x.endswith(("third", "shift")) else x for x in lv.
 
 
 def prior_interactions(spark, sf_dir) -> DataFrame:
-    return lv.prior_interactions(ft.raw_anatomy(featured(spark, sf_dir)))
+    return lv.prior_interactions(anatomy(src.series(spark, sf_dir)))
 
 
 @query(build(f"SELECT symbol, off, source, level_type, event, {r('level')} FROM pl WHERE wend = last", **PL))
@@ -679,9 +683,13 @@ def prior_level_table(spark, sf_dir):
     return out.select("symbol", "rank", F.col("end").alias("candidate_end"), F.col("off").alias("local_index"), "open_time", *LEVELS)
 
 
+def anatomy(candles: DataFrame) -> DataFrame:
+    return src.in_blocks(candles, lambda c: ft.raw_anatomy(ft.candle_features(c)), ft.REACH)
+
+
 def analysed(candles: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """Levels and stories of every window of indexed candles, or of those in keys."""
-    windows = lv.windows_of(ft.raw_anatomy(ft.candle_features(candles)))
+    windows = lv.windows_of(anatomy(candles))
     return sr.told(lv.level_rows(windows if keys is None else windows.join(keys, wd.KEYS, "left_semi")))
 
 
@@ -705,7 +713,7 @@ POOL = 100
 
 def screened(spark, sf_dir) -> DataFrame:
     """Every window but the current one with its similarity to that by 22 half means in units of price."""
-    rows, cols = wd.vectors(ft.raw_anatomy(featured(spark, sf_dir)), 20, wd.SCREEN)
+    rows, cols = wd.vectors(anatomy(src.series(spark, sf_dir)), 20, wd.SCREEN)
     return wd.by_quartiles(rows, cols, F.col("end") == F.col("last")).select(*wd.KEYS, "last", "similarity")
 
 
@@ -1011,7 +1019,7 @@ HEAT = ["body_pct", "upper_wick_pct", "lower_wick_pct", "range_vs_median", "effi
 
 @query(build("SELECT symbol, idx, " + ", ".join(f"round(coalesce({x}, 0.0), 6) + 0.0 AS {x}" for x in HEAT[:3]) + ", round(coalesce(least(greatest(range_vs_median, 0.0), 3.0) / 3 * 100, 0.0), 6) + 0.0 AS range_vs_median, round(coalesce(least(greatest(efficiency, 0.0), 1.0) * 100, 0.0), 6) + 0.0 AS efficiency FROM b4", **B))
 def anatomy_heat(spark, sf_dir):
-    return ft.heat_scaled(ft.behaviour(src.series(spark, sf_dir))).select("symbol", "idx", *HEAT)
+    return ft.heat_scaled(behaved(spark, sf_dir)).select("symbol", "idx", *HEAT)
 
 
 @query(build(f"SELECT symbol, timeframe, open_time, open_time + 3600000 - 1 AS close_time, {r('open', 'high', 'low', 'close', 'volume', 'quote_volume')}, trades, (open_time + 3600000 <= 1706000000000)::BIGINT AS is_closed FROM bars_1h"))

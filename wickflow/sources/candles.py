@@ -38,8 +38,43 @@ def resample(ticks: DataFrame, timeframe: str, symbol: str | Column = "event_typ
     return out.withColumns({"timeframe": F.lit(timeframe), "close_time": F.col("open_time") + step - 1, "is_closed": F.lit(1)}).select(*COLUMNS)
 
 
+#: Candles of a series that one task numbers (a span of time), and that one task looks at with their neighbours (a block of places).
+SPAN_MS, BLOCK = 30 * 86_400_000, 50_000
+#: Between a symbol and the number of a block.
+MARK = "\x1f"
+
+
 def indexed(candles: DataFrame) -> DataFrame:
-    return candles.withColumn("idx", F.row_number().over(by_time()) - 1)
+    """candles with idx, the place in their series: the place in a span of time, and how many candles the spans before it have."""
+    span = candles.withColumn("_span", F.floor(F.col("open_time") / SPAN_MS))
+    so_far = Window.partitionBy(*SERIES).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    before = span.groupBy(*SERIES, "_span").count().select(*SERIES, "_span", F.coalesce(F.sum("count").over(so_far), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy(*SERIES, "_span").orderBy("open_time"))
+    return span.withColumn("_n", own).join(before, [*SERIES, "_span"]).withColumn("idx", (F.col("_before") + F.col("_n") - 1).cast("int")).select(*candles.columns, "idx")
+
+
+def block_of(place: Column) -> Column:
+    return F.floor(place / BLOCK)
+
+
+def haloed(candles: DataFrame, before: int, after: int = 0) -> DataFrame:
+    """Indexed candles with _block and _home: each in its own block of BLOCK places, and again, not at home, in those whose candles look at it.
+
+    A candle at home in a block finds before candles before it and after candles after it there, or all there are.
+    """
+    blocks = F.sequence(block_of(F.greatest(F.col("idx") - after, F.lit(0))), block_of(F.col("idx") + before))
+    return candles.withColumn("_block", F.explode(blocks)).withColumn("_home", F.col("_block") == block_of(F.col("idx")))
+
+
+def in_blocks(candles: DataFrame, function: Callable[[DataFrame], DataFrame], before: int, after: int = 0, at: str = "idx") -> DataFrame:
+    """function(candles) by blocks, for a function whose rows are those of candles (their idx in the column at) and depend on so many neighbours at most.
+
+    To the function each block is a series of its own.
+    """
+    keyed = haloed(candles, before, after).withColumn("symbol", F.concat("symbol", F.lit(MARK), F.col("_block").cast("string"))).drop("_block", "_home")
+    out = function(keyed)
+    block = F.substring_index("symbol", MARK, -1).cast("long")
+    return out.where(block == block_of(F.col(at))).withColumn("symbol", F.substring_index("symbol", MARK, 1))
 
 
 def coarser(candles: DataFrame, timeframes: list[str]) -> DataFrame:
