@@ -47,20 +47,27 @@ class Zigzag:
 
 def zigzag_turns(candles: DataFrame, threshold_pct: float) -> DataFrame:
     """Turns of indexed candles, as (index, confirmation_index, direction, price): DOWN ends a rise, UP ends a fall."""
+    return turns_of_each(candles, [threshold_pct]).drop("threshold")
+
+
+def turns_of_each(candles: DataFrame, thresholds_pct: list[float]) -> DataFrame:
+    """zigzag_turns with threshold, for several thresholds in one pass."""
+    names = [x.split()[0] for x in TURNS.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, machine = None, None
+        key, machines = None, []
         for batch in batches:
             out = []
             for symbol, timeframe, idx, close in batch.itertuples(index=False, name=None):
                 if (symbol, timeframe) != key:
-                    key, machine = (symbol, timeframe), Zigzag(threshold_pct / 100)
-                if turn := machine.push(idx, close):
-                    out.append((*key, *turn))
-            yield pd.DataFrame(out, columns=[x.split()[0] for x in TURNS.split(", ")])
+                    key, machines = (symbol, timeframe), [(x, Zigzag(x / 100)) for x in thresholds_pct]
+                for threshold, machine in machines:
+                    if turn := machine.push(idx, close):
+                        out.append((*key, *turn, threshold))
+            yield pd.DataFrame(out, columns=[*names, "threshold"])
 
     rows = candles.select(*SERIES, F.col("idx").cast("long").alias("idx"), "close").where("close IS NOT NULL AND close <> 0")
-    return rows.repartition(*SERIES).sortWithinPartitions(*SERIES, "idx").mapInPandas(run, TURNS)
+    return rows.repartition(*SERIES).sortWithinPartitions(*SERIES, "idx").mapInPandas(run, f"{TURNS}, threshold double")
 
 
 def structure(turns: DataFrame) -> DataFrame:

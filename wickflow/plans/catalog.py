@@ -7,7 +7,6 @@ places, in Spark and in SQL.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -356,10 +355,10 @@ EVT = EV.replace("SELECT symbol", "SELECT t.threshold, t.symbol", 1).replace("FR
 
 @query(build("SELECT threshold, horizon, count(*) AS n, round(avg(signed_return), 6) AS mean, round(median(signed_return), 6) AS median, CAST(count_if(signed_return > 0) AS BIGINT) AS positive, CAST(count_if(signed_return < 0) AS BIGINT) AS negative, round(count_if(signed_return > 0) * 100.0::DOUBLE / count(*), 6) AS positive_share_pct FROM rv GROUP BY ALL", ev=EVT, rv=RV.replace("SELECT symbol", "SELECT threshold, symbol", 1)))
 def reversal_summary(spark, sf_dir):
-    """What followed reversals of several sizes."""
-    x = F.col("signed_return")
-    rows = [reversals(spark, sf_dir, t).where("confirmation_index >= 19").withColumn("threshold", F.lit(t)) for t in THRESHOLDS]
-    out = reduce(DataFrame.unionByName, rows).groupBy("threshold", "horizon")
+    """What followed reversals of several sizes, all found in one pass."""
+    x, candles = F.col("signed_return"), src.series(spark, sf_dir)
+    found = oc.signed_forward(st.turns_of_each(candles, list(THRESHOLDS)).where("confirmation_index >= 19"), candles)
+    out = found.groupBy("threshold", "horizon")
     return out.agg(F.count("*").alias("n"), F.avg(x).alias("mean"), F.percentile(x, F.lit(0.5)).alias("median"), F.count_if(x > 0).alias("positive"), F.count_if(x < 0).alias("negative"), (F.count_if(x > 0) * 100.0 / F.count("*")).alias("positive_share_pct"))
 
 
@@ -689,7 +688,11 @@ def anatomy(candles: DataFrame) -> DataFrame:
 
 def analysed(candles: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """Levels and stories of every window of indexed candles, or of those in keys."""
-    windows = lv.windows_of(anatomy(candles))
+    return told_of(anatomy(candles), keys)
+
+
+def told_of(described: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    windows = lv.windows_of(described)
     return sr.told(lv.level_rows(windows if keys is None else windows.join(keys, wd.KEYS, "left_semi")))
 
 
@@ -711,18 +714,20 @@ def story_tokens(spark, sf_dir):
 POOL = 100
 
 
-def screened(spark, sf_dir) -> DataFrame:
+def screened(described: DataFrame) -> DataFrame:
     """Every window but the current one with its similarity to that by 22 half means in units of price."""
-    rows, cols = wd.vectors(anatomy(src.series(spark, sf_dir)), 20, wd.SCREEN)
+    rows, cols = wd.vectors(described, 20, wd.SCREEN)
     return wd.by_quartiles(rows, cols, F.col("end") == F.col("last")).select(*wd.KEYS, "last", "similarity")
 
 
 @query()
 def story_matches(spark, sf_dir):
-    """Coarse ranking of all windows first; stories and level features only for the pool that it leaves."""
-    pool = wd.top(screened(spark, sf_dir), POOL).select(*wd.KEYS, "last", F.col("similarity").alias("screen_similarity"))
+    """Coarse ranking of all windows first; stories and level features only for the pool that it leaves. The candles are described once."""
+    with scratch(spark) as keep:
+        described = keep(written(anatomy(src.series(spark, sf_dir)), "described"))
+        pool = keep(written(wd.top(screened(described), POOL).select(*wd.KEYS, "last", F.col("similarity").alias("screen_similarity")), "pool"))
     keys = pool.select(*wd.KEYS).unionByName(pool.select(*src.SERIES, F.col("last").alias("end")).distinct())
-    told = analysed(src.series(spark, sf_dir), keys)
+    told = told_of(described, keys)
     own = told.where("end = last").select(*src.SERIES, F.col("tokens").alias("own"), *(F.col(c).alias(f"own_{c}") for c in lv.STORY_FEATURES))
     both = pool.drop("last").join(told, wd.KEYS).join(own, src.SERIES)
     both = both.withColumns({"sequence_similarity": sr.story_similarity("own", "tokens"), "feature_similarity": sr.feature_similarity(lv.STORY_FEATURES)})
@@ -1037,7 +1042,7 @@ QS = {"qs": "SELECT symbol, timeframe, " + ", ".join(f"quantile_cont(x{i}, 0.75)
 @query(build("SELECT symbol, wend AS window_end, rank, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY round(similarity, 9) DESC, wend) AS rank FROM sc) WHERE rank <= 100", **QS))
 def screened_windows(spark, sf_dir):
     """The pool that stories are told of: windows most like the last one by 22 half means."""
-    return wd.top(screened(spark, sf_dir), POOL).select("symbol", F.col("end").alias("window_end"), "rank", "similarity")
+    return wd.top(screened(anatomy(src.series(spark, sf_dir))), POOL).select("symbol", F.col("end").alias("window_end"), "rank", "similarity")
 
 
 @query()
