@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 
 from ..functions.features import WEIGHTS
 from ..sources.candles import SERIES, block_of, haloed
+from ..tables import scratch, written
+from .quantiles import quantiles
 
 FEATURES = list(WEIGHTS)
 KEYS = [*SERIES, "end"]
@@ -32,15 +34,15 @@ def mean(c: str | Column, n: int, a: int = 0, b: int | None = None) -> Column:
     return F.avg(c).over(frame(n, a, b))
 
 
-def ended(candles: DataFrame, n: int, columns: dict[str, Column]) -> DataFrame:
-    """A row for each full window of indexed candles: series, end (its last idx), last (the series' last idx) and columns over its frame.
+def ended(candles: DataFrame, n: int, columns: dict[str, Column], least: int | None = None) -> DataFrame:
+    """A row for each full window of indexed candles (of least candles at the series' start): series, end (its last idx), last (the series' last idx) and columns over its frame.
 
     A series is dealt to tasks by blocks of candles, each with the n - 1 before it.
     """
     last = candles.groupBy(*SERIES).agg(F.max("idx").alias("last"))
     last = last.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), block_of(F.col("last")))))  # joined by block, as the frames are dealt
     rows = haloed(candles, n - 1).select(*SERIES, "_block", F.col("idx").alias("end"), "_home", *(c.alias(k) for k, c in columns.items()))
-    return rows.where(F.col("_home") & (F.col("end") >= n - 1)).join(last, [*SERIES, "_block"]).select(*SERIES, "end", "last", *columns)
+    return rows.where(F.col("_home") & (F.col("end") >= (least or n) - 1)).join(last, [*SERIES, "_block"]).select(*SERIES, "end", "last", *columns)
 
 
 def last_candles(candles: DataFrame, n: int) -> DataFrame:
@@ -98,6 +100,33 @@ def similarities(featured: DataFrame, n: int = 20) -> DataFrame:
     return differences(featured, n).withColumn("similarity", F.exp(-distance))
 
 
+def likeness(a: str = "{}", b: str = "_c_{}") -> Column:
+    """The similarity of two windows' scaled features, in columns named by their patterns; null if the windows differ in length."""
+    total = sum(WEIGHTS.values())
+    of = lambda c: (F.col(a.format(c)), F.col(b.format(c)))
+    distance = sum((rmse(*of(c)) * (w / total) for c, w in WEIGHTS.items()), F.lit(0.0))
+    return F.when(F.size(of(FEATURES[0])[0]) == F.size(of(FEATURES[0])[1]), F.exp(-distance))
+
+
+def centred(featured: DataFrame, centres: DataFrame, radius: int) -> DataFrame:
+    """For each centre (series, centre) the window of radius candles on either side, fewer at the series' ends, with each feature as a scaled array; first and candles."""
+    at = centres.select(*SERIES, "centre").distinct().withColumn("idx", F.explode(F.sequence(F.col("centre") - radius, F.col("centre") + radius)))
+    rows = at.join(featured.select(*SERIES, F.col("idx").cast(at.schema["idx"].dataType).alias("idx"), *FEATURES), [*SERIES, "idx"])
+    out = rows.groupBy(*SERIES, "centre").agg(F.array_sort(F.collect_list(F.struct("idx", *FEATURES))).alias("_w"))
+    return out.select(*SERIES, "centre", F.col("_w")[0]["idx"].alias("first"), F.size("_w").alias("candles"), *(scaled(F.col("_w")[c]).alias(c) for c in FEATURES))
+
+
+def compared_to_centre(featured: DataFrame, centres: DataFrame, radius: int) -> DataFrame:
+    """Windows that end between radius and 2 radius before each series' centre (one each), and before the window around it, with their similarity to that: end, start."""
+    n = 2 * radius + 1
+    now = centred(featured, centres, radius).select(*SERIES, "centre", F.col("first").alias("_first"), F.col("candles").alias("_n"), *(F.col(c).alias(f"_c_{c}") for c in FEATURES))
+    rows = ended(featured, n, {c: F.collect_list(c).over(frame(n)) for c in FEATURES}, least=1).join(now, SERIES)
+    start = F.col("end") - F.col("_n") + 1
+    rows = rows.where((F.col("end") >= radius) & (F.col("end") <= F.greatest(F.lit(radius), F.col("centre") - 2 * radius)) & (start >= 0) & (F.col("end") < F.col("_first")))
+    rows = rows.withColumns({c: scaled(F.slice(c, F.size(c) - F.col("_n") + 1, F.col("_n"))) for c in FEATURES})
+    return rows.select(*KEYS, start.alias("start"), likeness().alias("similarity"))
+
+
 def top(scored: DataFrame, k: int, by: list[str] = SERIES, score: str = "similarity", tie: str = "end") -> DataFrame:
     """The k rows of greatest score in each group, equal scores (to nine places) by the tie column."""
     w = Window.partitionBy(*by).orderBy(F.desc(F.round(score, 9)), tie)
@@ -174,10 +203,13 @@ def fingerprint_measures(n: int) -> dict[str, Column]:
 
 def spreads(rows: DataFrame, columns: list[str], by: list[str] = SERIES) -> DataFrame:
     """Of each group the median of each column (_m_) and 1.4826 times its median absolute deviation (_s_; 1 where that vanishes)."""
-    half = F.lit(0.5)
-    middle = rows.groupBy(*by).agg(*(F.percentile(c, half).alias(f"_m_{c}") for c in columns))
-    mad = rows.join(middle, by).groupBy(*by).agg(*((F.percentile(F.abs(F.col(c) - F.col(f"_m_{c}")), half) * 1.4826).alias(f"_s_{c}") for c in columns))
-    return middle.join(mad, by).withColumns({f"_s_{c}": F.when(F.col(f"_s_{c}") < 1e-6, 1.0).otherwise(F.col(f"_s_{c}")) for c in columns})
+    with scratch(rows.sparkSession) as keep:
+        rows = written(rows.select(*by, *columns), "columns")
+        middle = quantiles(rows, by, columns, [0.5]).select(*by, *(F.col(c)[0].alias(f"_m_{c}") for c in columns))
+        away = rows.join(middle, by).select(*by, *(F.abs(F.col(c) - F.col(f"_m_{c}")).alias(c) for c in columns))
+        mad = quantiles(away, by, columns, [0.5]).select(*by, *((F.col(c)[0] * 1.4826).alias(f"_s_{c}") for c in columns))
+        out = middle.join(mad, by).withColumns({f"_s_{c}": F.when(F.col(f"_s_{c}") < 1e-6, 1.0).otherwise(F.col(f"_s_{c}")) for c in columns})
+        return keep(written(out, "spreads"))
 
 
 def by_medians(rows: DataFrame, now: DataFrame, columns: list[str], by: list[str] = SERIES, factor: float = 1.0) -> DataFrame:
@@ -189,7 +221,7 @@ def by_medians(rows: DataFrame, now: DataFrame, columns: list[str], by: list[str
 
 def by_quartiles(rows: DataFrame, columns: list[str], is_query: Column, by: list[str] = SERIES) -> DataFrame:
     """rows other than the group's query with similarity 1 / (1 + root mean square difference), each column by its group's quartile range."""
-    q = rows.groupBy(*by).agg(*(F.percentile(c, F.lit([0.25, 0.75])).alias(f"_q_{c}") for c in columns))
+    q = quantiles(rows, by, columns, [0.25, 0.75]).select(*by, *(F.col(c).alias(f"_q_{c}") for c in columns))
     now = rows.where(is_query).select(*by, *(F.col(c).alias(f"_c_{c}") for c in columns))
     both = rows.where(~is_query).join(q.join(now, by), by)
     scale = lambda c: F.greatest(F.col(f"_q_{c}")[1] - F.col(f"_q_{c}")[0], F.lit(1e-9))

@@ -521,6 +521,50 @@ def neighbour_context(spark, sf_dir):
     return out.withColumnsRenamed({f"{x}_range_level": f"{x}_range" for x in ("before", "matched", "after")}).withColumn("before_bullish", F.coalesce("before_bullish", F.lit(0.0)))
 
 
+# Windows of up to eight candles on either side of a pivot, each scaled by its own medians.
+RADIUS = 8
+
+
+def centred_sql(places: str) -> dict[str, str]:
+    """CTEs from places (symbol, key, a, b), the bounds of windows: ctz has their scaled features by place."""
+    return {
+        "ct": places, "ctw": "SELECT t.symbol, t.key, f.idx - t.a AS place, " + ", ".join(f"f.{x}" for x in FEATURES) + " FROM ct t JOIN f_1h f ON f.symbol = t.symbol AND f.idx BETWEEN t.a AND t.b",
+        "ctm": "SELECT symbol, key, count(*) AS n, " + ", ".join(f"median({x}) AS m_{x}" for x in FEATURES) + " FROM ctw GROUP BY ALL",
+        "cts": "SELECT symbol, key, " + ", ".join(f"median(abs({x} - m_{x})) * 1.4826 AS s_{x}" for x in FEATURES) + " FROM ctw JOIN ctm USING (symbol, key) GROUP BY ALL",
+        "ctz": "SELECT symbol, key, place, n, " + ", ".join(f"({x} - m_{x}) / CASE WHEN s_{x} < 1e-6 THEN 1.0 ELSE s_{x} END AS {x}" for x in FEATURES) + " FROM ctw JOIN ctm USING (symbol, key) JOIN cts USING (symbol, key)",
+    }
+
+
+ALIKE = "exp(-(" + " + ".join(f"sqrt(avg(pow(a.{x} - b.{x}, 2))) * {w / sum(FEATURES.values())!r}" for x, w in FEATURES.items()) + "))"
+CENTRE = f"SELECT p.symbol, p.index AS centre, greatest(p.index - {RADIUS}, 0) AS a, least(p.index + {RADIUS}, l.last) AS b FROM pivots p JOIN last_pivot t ON t.symbol = p.symbol AND t.target = p.position JOIN (SELECT symbol, max(idx) AS last FROM c_1h GROUP BY symbol) l ON l.symbol = p.symbol"
+BEST5 = "SELECT p.symbol, p.rank, p.similarity, p.candidate_end_index, p.pivot_type_sequence FROM pairs_top p JOIN last_pivot USING (symbol, target) WHERE p.rank <= 5"
+
+
+def last_pivots(pivots: DataFrame) -> DataFrame:
+    return pivots.groupBy(*src.SERIES).agg(F.max("position").alias("end_position"), F.max_by("index", "position").alias("centre"))
+
+
+@query(build(f"SELECT m.symbol, m.rank AS structural_rank, round(m.similarity, 6) AS structural_similarity, round(s.candle_similarity, 6) AS candle_similarity, m.candidate_end_index AS candle_end, m.pivot_type_sequence FROM b5 m LEFT JOIN (SELECT b.symbol, b.key, {ALIKE} AS candle_similarity FROM ctz a JOIN ctz b ON a.symbol = b.symbol AND a.place = b.place AND a.n = b.n JOIN cc ON cc.symbol = a.symbol AND cc.centre = a.key GROUP BY ALL) s ON s.symbol = m.symbol AND s.key = m.candidate_end_index",
+    cc=CENTRE, b5=BEST5, **centred_sql(f"SELECT symbol, centre AS key, a, b FROM cc UNION SELECT m.symbol, m.candidate_end_index, greatest(m.candidate_end_index - {RADIUS}, 0), least(m.candidate_end_index + {RADIUS}, l.last) FROM b5 m JOIN (SELECT symbol, max(idx) AS last FROM c_1h GROUP BY symbol) l USING (symbol)")))
+def structural_candle_compare(spark, sf_dir):
+    """The five runs of pivots most like the last one, with the likeness of the candles around their last pivots to those around the last of all."""
+    pivots, f = st.structure(turns(spark, sf_dir)), featured(spark, sf_dir)
+    now = last_pivots(pivots)
+    found = st.match_structures(pivots, now, top_k=5, scales=SCALES).withColumn("centre", F.col("candidate_end_index"))
+    w = wd.centred(f, found.select(*src.SERIES, "centre").unionByName(now.select(*src.SERIES, "centre")), RADIUS)
+    own = now.join(w, [*src.SERIES, "centre"]).select(*src.SERIES, *(F.col(c).alias(f"_c_{c}") for c in FEATURES))
+    out = found.join(w, [*src.SERIES, "centre"]).join(own, src.SERIES)
+    return out.select("symbol", F.col("rank").alias("structural_rank"), F.col("similarity").alias("structural_similarity"), wd.likeness().alias("candle_similarity"), F.col("centre").alias("candle_end"), "pivot_type_sequence")
+
+
+@query(build(f"SELECT * FROM (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY round(similarity, 9) DESC, key) AS rank, key - n + 1 AS candidate_start, key AS candidate_end, round(similarity, 6) AS similarity FROM (SELECT b.symbol, b.key, b.n, {ALIKE} AS similarity FROM ctz a JOIN ctz b ON a.symbol = b.symbol AND a.place = b.place AND a.key = -1 AND b.key >= 0 GROUP BY ALL)) WHERE rank <= 5",
+    cc=CENTRE, **centred_sql(f"SELECT symbol, CAST(-1 AS BIGINT) AS key, a, b FROM cc UNION ALL SELECT c.symbol, c.idx, c.idx - (cc.b - cc.a), c.idx FROM c_1h c JOIN cc USING (symbol) WHERE c.idx BETWEEN {RADIUS} AND greatest({RADIUS}, cc.centre - {2 * RADIUS}) AND c.idx - (cc.b - cc.a) >= 0 AND c.idx < cc.a")))
+def centred_candle_matches(spark, sf_dir):
+    """The five earlier windows whose candles are most like those around each series' last pivot."""
+    found = wd.compared_to_centre(featured(spark, sf_dir), last_pivots(st.structure(turns(spark, sf_dir))), RADIUS)
+    return wd.top(found, 5).select("symbol", "rank", F.col("start").alias("candidate_start"), F.col("end").alias("candidate_end"), "similarity")
+
+
 # ------------------------------------------------------------------ timeframes
 # All events are one symbol here, in eight timeframes.
 
