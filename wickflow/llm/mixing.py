@@ -97,7 +97,7 @@ def mix(docs: DataFrame, text: str = "text") -> DataFrame:
     with scratch(docs.sparkSession) as keep:
         sizes = written(keyed(docs.select("doc_id", "source", text), text).select("source", "_key", "_unit", n_words(F.col(text)).alias("size")), "sizes")
         taken = keep(written(copies(sizes, targets(sizes)).where("_copies > 0").select("_key", "_unit", "_copies"), "taken"))
-    out = rows.join(taken, ["_key", "_unit"])
+    out = rows.join(taken.hint("shuffle_hash"), ["_key", "_unit"])  # it grows with docs, and at no size is sent around
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("_row.*")
 
 
