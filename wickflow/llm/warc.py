@@ -78,19 +78,19 @@ def write_archives(pages: DataFrame, path: str) -> None:
     p = planned(pages)
     url = F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), r"[\r\n]", " ")
     sized = lambda body: F.octet_length(body).cast("string")
-    block = F.when(F.col("_revisits"), F.lit(HTTP)).otherwise(F.concat(F.lit(HTTP), F.col("html")))
+    body = F.when(F.col("_revisits"), "").otherwise(F.col("html"))
+    length = (F.lit(len(HTTP)) + F.when(F.col("_revisits"), 0).otherwise(F.col("_bytes"))).cast("string")
     asked = F.concat(F.lit("GET "), F.when(url == "", "/").otherwise(F.regexp_replace(url, r"\s", "%20")), F.lit(" HTTP/1.1\r\n\r\n"))
     noted = F.concat(F.lit("payload-bytes: "), F.col("_bytes").cast("string"), F.lit("\r\n"))
     digest = F.concat(F.lit("sha1:"), F.col("_digest"))
-    common = [("WARC-Record-ID", F.col("_id")), ("WARC-Target-URI", url), ("WARC-Payload-Digest", digest), ("Content-Type", "application/http;msgtype=response"), ("Content-Length", sized(block))]
-    capture = F.when(
-        F.col("_revisits"),
-        F.concat(head("revisit", ("WARC-Refers-To", F.col("_to")), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), *common), block),
-    ).otherwise(F.concat(head("response", *common), block))
-    request = F.concat(head("request", ("WARC-Record-ID", record_id(F.col("page_id"), F.col("url"), F.col("_digest"), "request")), ("WARC-Concurrent-To", F.col("_id")), ("WARC-Target-URI", url), ("Content-Type", "application/http;msgtype=request"), ("Content-Length", sized(asked))), asked)
-    metadata = F.concat(head("metadata", ("WARC-Record-ID", record_id(F.col("page_id"), F.col("url"), F.col("_digest"), "metadata")), ("WARC-Concurrent-To", F.col("_id")), ("Content-Type", "application/warc-fields"), ("Content-Length", sized(noted))), noted)
-    # Spark's text writer ends each value with the line separator, which makes the second of the two CRLF after a block.
-    rows = p.select(F.explode(F.array(request, capture, metadata)).alias("value")).select(F.concat("value", F.lit("\r\n")).alias("value"))
+    common = [("WARC-Record-ID", F.col("_id")), ("WARC-Target-URI", url), ("WARC-Payload-Digest", digest), ("Content-Type", "application/http;msgtype=response"), ("Content-Length", length)]
+    revisit = head("revisit", ("WARC-Refers-To", F.col("_to")), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), *common)
+    # Each text is put together once, a page's html copied once. A record ends with two CRLF, of which Spark's writer sets the second.
+    end = F.lit("\r\n")
+    capture = F.concat(F.when(F.col("_revisits"), revisit).otherwise(head("response", *common)), F.lit(HTTP), body, end)
+    request = F.concat(head("request", ("WARC-Record-ID", record_id(F.col("page_id"), F.col("url"), F.col("_digest"), "request")), ("WARC-Concurrent-To", F.col("_id")), ("WARC-Target-URI", url), ("Content-Type", "application/http;msgtype=request"), ("Content-Length", sized(asked))), asked, end)
+    metadata = F.concat(head("metadata", ("WARC-Record-ID", record_id(F.col("page_id"), F.col("url"), F.col("_digest"), "metadata")), ("WARC-Concurrent-To", F.col("_id")), ("Content-Type", "application/warc-fields"), ("Content-Length", sized(noted))), noted, end)
+    rows = p.select(F.explode(F.array(request, capture, metadata)).alias("value"))
     rows.write.option("lineSep", "\r\n").option("maxRecordsPerFile", RECORDS_A_FILE).option("compression", "gzip").text(path)
 
 
