@@ -104,3 +104,36 @@ def test_index_is_added_to_and_filtered(spark, tmp_path):
     assert [(r.id, r.lookback, r.side) for r in got] == [(1, 20, "UP"), (5, 20, None)] and got[0].ensemble == pytest.approx(1)
     assert [r.id for r in index.search(ask(None)).orderBy("rank").collect()] == [1, 4, 5]
     assert {r.id for r in index.search(ask(20), minimum_similarity=0.0).collect()} == {1, 2, 5}
+
+
+def test_pairs_out_of_reach_are_left_and_others_have_their_distance():
+    rng = random.Random(12)
+    for n, m in ((1, 1), (1, 5), (24, 24), (24, 17), (40, 64)):
+        scale = [10.0 ** rng.randrange(-3, 4) for _ in range(50)]
+        a, b = (vectors.np.array([[x * rng.gauss(0, 1) for _ in range(size)] for x in scale]) for size in (n, m))
+        want = vectors.np.array([warped(list(x), list(y)) for x, y in zip(a, b, strict=True)])
+        most = want * vectors.np.array([rng.choice([0.05, 0.5, 0.95, 1.0 + 1e-9, 2.0]) for _ in want])
+        got = vectors.dtw_many(a, b, most)
+        near = want <= most
+        assert got[near] == pytest.approx(want[near], rel=1e-12) and (got[~near] > most[~near]).all()
+        found = vectors.in_reach(a, b, most)
+        assert found[near].all() and not found[want > 3 * most + scale].any()
+
+
+def test_few_pairs_are_warped_in_double_precision_to_the_end(spark, monkeypatch):
+    whole, warp = [], vectors.dtw_many
+
+    def seen(a, b, most=None):
+        if most is None:
+            whole.append(len(a))
+        return warp(a, b, most)
+
+    monkeypatch.setattr(vectors, "dtw_many", seen)
+    rng = vectors.np.random.default_rng(13)  # noise, of which the bounds on warping say little
+    v, ids = rng.normal(0, 0.125, (1500, 64)), vectors.np.arange(1500)
+    rows = list(vectors.compared(v, v[:10], ids, ids[:10], 10, 0.0, "ensemble"))
+    assert len(rows) == 110 and sum(whole) < 10 * 1500 / 20
+    for j in (0, 9):
+        want = sorted((-round(ensemble(list(v[j]), list(x)), 9), i) for i, x in enumerate(v[:40]) if i != j)[:3]
+        near = list(vectors.compared(v[:40], v[j : j + 1], ids[:40], ids[j : j + 1], 3, 0.0, "ensemble"))[:3]
+        assert [(-round(r[5], 9), r[1]) for r in near] == want

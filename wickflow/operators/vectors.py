@@ -33,25 +33,43 @@ def similarities(a: Column, b: Column) -> dict[str, Column]:
     return {"euclidean": 1 / (1 + distance / F.sqrt(n)), "cosine": clip((F.coalesce(cosine, F.lit(0.0)) + 1) / 2), "correlation": clip((F.coalesce(cosine, F.lit(0.0)) + 1) / 2)}
 
 
-def dtw_many(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+#: Diagonals after which pairs that are out of reach are left.
+LOOKS = 8
+
+
+def dtw_many(a: np.ndarray, b: np.ndarray, most: np.ndarray | None = None) -> np.ndarray:
     """Dynamic time warping of rows of a with the same rows of b: points (pairs, length, dimensions), or numbers without the last axis.
 
-    The table's antidiagonals depend on the two before them alone, so each is one step for all pairs.
+    The table's antidiagonals depend on the two before them alone, so each is one step for all pairs. A pair's last axis is that of memory.
+    Distances beyond a pair's most may be infinite: a path has a cell in one of any two neighbouring diagonals, so a pair is left when all cells of both are beyond it.
     """
-    a, b = (x.reshape(*x.shape[:2], -1) for x in (a, b))
     pairs, n, m = len(a), a.shape[1], b.shape[1]
     if not n or not m:
         return np.full(pairs, 0.0 if n == m else np.inf)
-    before, last = (np.full((pairs, n + 1), np.inf) for _ in "12")  # by place in a, from 1; the two diagonals before
-    before[:, 0] = 0.0
+    a, b = (np.ascontiguousarray(np.moveaxis(x.reshape(*x.shape[:2], -1), 0, -1)) for x in (a, b[:, ::-1]))  # (length, dimensions, pairs), b backwards
+    out, at = np.full(pairs, np.inf), np.arange(pairs)
+    before, last, now = (np.full((n + 1, pairs), np.inf, a.dtype) for _ in "123")  # by place in a, from 1; the two diagonals before, and the next
+    before[0] = 0.0
     for k in range(n + m - 1):
         low, high = max(0, k - m + 1), min(n, k + 1)
-        places = np.arange(low, high)
-        cost = np.sqrt(((a[:, places] - b[:, k - places]) ** 2).sum(-1))
-        now = np.full((pairs, n + 1), np.inf)
-        now[:, low + 1 : high + 1] = cost + np.minimum(np.minimum(last[:, low:high], last[:, low + 1 : high + 1]), before[:, low:high])
-        before, last = last, now
-    return last[:, n]
+        apart = a[low:high] - b[m - 1 - k + low : m - 1 - k + high]
+        cost = np.abs(apart[:, 0]) if apart.shape[1] == 1 else np.sqrt((apart**2).sum(1))
+        cells = now[low + 1 : high + 1]
+        np.minimum(last[low:high], last[low + 1 : high + 1], out=cells)
+        np.minimum(cells, before[low:high], out=cells)
+        np.add(cells, cost, out=cells)
+        now[low], now[high + 1 : high + 2] = np.inf, np.inf
+        if most is not None and k % LOOKS == LOOKS - 1:
+            near = np.minimum(cells.min(0), last[max(0, k - m) + 1 : min(n, k) + 1].min(0)) <= most
+            if np.count_nonzero(near) < 0.8 * len(near):
+                at, most = at[near], most[near]
+                if not len(at):
+                    return out
+                a, b, last, now = (x[..., near] for x in (a, b, last, now))
+                before = np.full_like(now, np.inf)
+        before, last, now = last, now, before
+    out[at] = last[n]
+    return out
 
 
 def dtw(a: np.ndarray, b: np.ndarray) -> float:
@@ -74,8 +92,8 @@ def dtw_distance(a: pd.Series, b: pd.Series) -> pd.Series:
 
 #: Weights of the four similarities.
 EUCLIDEAN, COSINE, CORRELATION, WARPED = 0.30, 0.25, 0.20, 0.25
-#: Vectors of a piece and queries of a block, which are compared at once; candidates that are warped at once.
-PIECE, BLOCK, WARPS = 4000, 500, 64
+#: Vectors of a piece and queries of a block, which are compared at once; pairs that are warped at once.
+PIECE, BLOCK, WARPS = 2000, 500, 512
 #: Scores are ranked to nine places.
 SLACK = 2e-9
 FOUND = "query_id long, id long, lookback long, euclidean double, cosine double, correlation double, ensemble double, compared long, warped long"
@@ -99,36 +117,103 @@ def warp_least(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return np.maximum(rows.sum(1), columns.sum(1))
 
 
+def in_reach(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """False for rows of a and b whose warping distance is beyond most; true for all others, and for few besides.
+
+    Warps in single precision. Values are by the pair's largest, so that with L cells at most a path's sum, at most 2 L, is off by L (L + 1) / 2^23 at most.
+    """
+    scale = np.maximum(np.abs(a).max(1), np.abs(b).max(1))
+    scale = np.where(scale > 0, scale, 1.0)
+    cells = a.shape[1] + b.shape[1] - 1
+    most = most / scale + cells * (cells + 1) / 2**23
+    return dtw_many(*((x / scale[:, None]).astype(np.float32) for x in (a, b)), most) <= most
+
+
 def compared(v: np.ndarray, q: np.ndarray, ids: np.ndarray, query_ids: np.ndarray, k: int, least: float, by: str) -> Iterator[tuple]:
-    """For each query the k best rows of v: (query, row, euclidean, cosine, correlation, score, rows warped)."""
-    root = np.sqrt(v.shape[1])
+    """For each query the k best rows of v: (query, row, euclidean, cosine, correlation, score, rows warped).
+
+    A product of matrices gives a bound on each pair's score. The exact scores of the 2 k rows of the best bounds set a floor, and of the others
+    only rows whose bound is above it are warped, in single precision and as far as they stay in reach of it; what is left has its exact score.
+    """
+    n, warps = v.shape[1], by == "ensemble"
+    root = np.sqrt(n)
     zv, zq = standard(v), standard(q)
-    size = lambda z: (z * z).sum(1)
-    norms = np.sqrt(np.outer(size(zq), size(zv)))
+    sizes, asked = ((z * z).sum(1) for z in (zv, zq))
     dots = zq @ zv.T
-    cosine = np.divide(dots, norms, out=np.zeros_like(dots), where=norms > 0)
-    alike = np.clip((cosine + 1) / 2, 0, 1)
+
+    def alike(j: int) -> np.ndarray:
+        norms = np.sqrt(asked[j] * sizes)
+        return np.clip((np.divide(dots[j], norms, out=np.zeros_like(norms), where=norms > 0) + 1) / 2, 0, 1)
+
+    def bounds(j: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each row no less than its score without warping, and than its score; -inf for those that are no answer."""
+        far = asked[j] + sizes - 2 * dots[j] - 4e-15 * n * (asked[j] + sizes)  # less what rounding can add
+        base = 1 / (1 + np.sqrt(np.maximum(far, 0.0)) / root)
+        reach = base
+        if warps:
+            base = EUCLIDEAN * base + (COSINE + CORRELATION) * alike(j)
+            ends = np.abs(q[j, 0] - v[:, 0])
+            if n > 1:
+                ends += np.abs(q[j, -1] - v[:, -1])
+            reach = base + WARPED / (1 + ends / root)
+        return base, np.where((ids == query_ids[j]) | np.isnan(reach), -np.inf, reach)
+
+    def scored(j: np.ndarray, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Euclidean similarity and score of pairs."""
+        near, score = np.empty(len(j)), np.empty(len(j))
+        for s in (slice(x, x + WARPS) for x in range(0, len(j), WARPS)):
+            near[s] = 1 / (1 + np.sqrt(((zv[i[s]] - zq[j[s]]) ** 2).sum(1)) / root)
+            if warps:
+                same = np.array([likeness[x][y] for x, y in zip(j[s], i[s], strict=True)])
+                base = EUCLIDEAN * near[s] + (COSINE + CORRELATION) * same
+                score[s] = np.clip(base + WARPED / (1 + dtw_many(q[j[s]], v[i[s]]) / root), 0, 1)
+            else:
+                score[s] = near[s]
+        return near, score
+
+    likeness = [alike(j) for j in range(len(q))]
+    best: list[list[tuple]] = [[] for _ in q]
+    warped = np.zeros(len(q), int)
+
+    def add(pairs: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        j, i = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        for row in zip(j.tolist(), i.tolist(), *(x.tolist() for x in scored(j, i)), strict=True):
+            if row[3] >= least:
+                best[row[0]].append(row[1:])
+        for x in np.unique(j):
+            best[x] = sorted(best[x], key=lambda r: (-round(r[2], 9), ids[r[0]]))[:k]
+
+    first = []
+    for j in range(len(q)):
+        _, reach = bounds(j)
+        at = np.argpartition(-reach, min(2 * k, len(reach)) - 1)[: 2 * k]
+        at = at[(reach[at] >= least - SLACK) & (reach[at] > -np.inf)]
+        first.append((np.full(len(at), j), at))
+        warped[j] += len(at) * warps
+    add(first)
+    rest, within = [], []
+    for j in range(len(q)):
+        base, reach = bounds(j)
+        reach[first[j][1]] = -np.inf
+        floor = max(least, best[j][-1][2] if len(best[j]) == k else -np.inf) - SLACK
+        at = np.flatnonzero((reach >= floor) & (reach > -np.inf))
+        if warps and len(at):
+            at = at[base[at] + WARPED / (1 + warp_least(q[j], v[at]) / root) >= floor]
+            need = floor - base[at]
+            within.append(np.where(need > 0, root * (WARPED / np.maximum(need, 1e-300) - 1), np.inf))
+            warped[j] += len(at)
+        rest.append((np.full(len(at), j), at))
+    if warps and within:
+        j, i = (np.concatenate(x) for x in zip(*rest, strict=True))
+        most = np.concatenate(within)
+        order = np.argsort(most)  # those that are left early are left together
+        kept = [x[in_reach(q[j[x]], v[i[x]], most[x])] for x in (order[s : s + WARPS] for s in range(0, len(order), WARPS))]
+        kept = np.concatenate([*kept, order[:0]])
+        rest = [(j[kept], i[kept])]
+    add(rest)
     for j in range(len(q)):
-        euclidean = 1 / (1 + np.sqrt(((zv - zq[j]) ** 2).sum(1)) / root)
-        base = EUCLIDEAN * euclidean + (COSINE + CORRELATION) * alike[j] if by == "ensemble" else euclidean
-        reach = base + WARPED / (1 + warp_least(q[j], v) / root) if by == "ensemble" else base
-        reach = np.where((ids == query_ids[j]) | np.isnan(reach), -np.inf, reach)
-        best: list[tuple[float, int]] = []
-        warped = 0
-        order = np.argsort(-reach, kind="stable")
-        for start in range(0, len(order), WARPS):
-            at = order[start : start + WARPS]
-            floor = max(least, best[-1][0] if len(best) == k else -np.inf) - SLACK
-            at = at[(reach[at] >= floor) & (reach[at] > -np.inf)]
-            if not len(at):
-                break
-            score = base[at]
-            if by == "ensemble":
-                warped += len(at)
-                score = np.clip(score + WARPED / (1 + dtw_many(np.broadcast_to(q[j], (len(at), v.shape[1])), v[at]) / root), 0, 1)
-            best = sorted([*best, *((float(s), int(i)) for s, i in zip(score, at, strict=True) if s >= least)], key=lambda x: (-round(x[0], 9), ids[x[1]]))[:k]
-        yield from ((j, i, euclidean[i], alike[j, i], alike[j, i], s, 0) for s, i in best)
-        yield j, -1, None, None, None, None, warped
+        yield from ((j, i, near, likeness[j][i], likeness[j][i], score, 0) for i, near, score in best[j])
+        yield j, -1, None, None, None, None, int(warped[j])
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, least: float = 0.0, by: str = "ensemble", effort: bool = False) -> DataFrame:
@@ -137,7 +222,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, least: float = 0
     by: ensemble, of four similarities of which warping is of the values as they are and the others of z-scores, or euclidean. Vectors of
     constant values have cosine 0 to all. A query's own id is no answer. Null and empty vectors are left out, and so are pairs whose score isn't a number.
     Vectors of a length and lookback are dealt by hash to pieces, and queries to blocks; each piece and block are compared in a task by
-    matrix products. Warping is last, by order of a bound on the score, and ends when the bound falls under the k-th score, so the k are exact.
+    matrix products. Warping is last, and only of pairs whose bound on the score isn't under the piece's k-th score so far, so the k are exact.
     With effort, the numbers of pairs compared and warped for each query instead.
     """
     own = lambda d, x: d.where(F.size("vector") > 0).select(x, F.col("lookback").cast("long").alias("lookback"), F.size("vector").alias("length"), F.col("vector").cast("array<double>").alias("vector"))
