@@ -6,9 +6,11 @@ from statistics import mean, median
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from wickflow.plans import catalog
 from wickflow.sources import candles as src
+from wickflow.tables import scratch, written
 
 N, HALF = 20, 10
 
@@ -249,3 +251,25 @@ def test_replays_combine_candles_and_stories(spark, sf):
         assert r.story_similarity == pytest.approx(np.mean(exact), abs=2e-6) and r.candle_similarity == pytest.approx(candles.combined_similarity[r.reference_timestamp], abs=2e-6)
         assert r.combined_similarity == pytest.approx(0.6 * r.candle_similarity + 0.4 * r.story_similarity, abs=2e-6)
     assert pd.Series(rows["rank"]).tolist() == sorted(rows["rank"])
+
+
+def test_windows_of_keys_are_told_as_among_all(spark, sf):
+    with scratch(spark):
+        candles = written(catalog.src.series(spark, sf), "candles")
+        last = candles.groupBy("symbol", "timeframe").agg(F.max("idx").alias("end"))
+        keys = last.unionByName(candles.where("idx % 37 = 0").select("symbol", "timeframe", F.col("idx").alias("end"))).distinct()
+        assert catalog.wd.seen_from(candles, last, 83).count() == sum(min(r.end, 83) + 1 for r in last.collect())
+        columns = ["symbol", "end", "last", "tokens", "level_story", "range_shift", "level_count"]
+        own = catalog.analysed(candles, keys).select(columns).collect()
+        whole = catalog.analysed(candles).join(keys, ["symbol", "timeframe", "end"], "left_semi").select(columns).collect()
+        assert len(own) > last.count() and sorted(own) == sorted(whole)
+
+
+def test_windows_of_all_timeframes_are_compared_once(spark, sf, monkeypatch):
+    names = []
+    real = catalog.written
+    monkeypatch.setattr(catalog, "written", lambda df, name: (names.append(name), real(df, name))[1])
+    with scratch(spark):
+        found = catalog.compared_all(spark, sf)
+        assert names == ["windows", "compared"]  # and what is read next is a table
+        assert "Window" not in found._jdf.queryExecution().executedPlan().toString() and found.count() > 0
