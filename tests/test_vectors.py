@@ -137,3 +137,17 @@ def test_few_pairs_are_warped_in_double_precision_to_the_end(spark, monkeypatch)
         want = sorted((-round(ensemble(list(v[j]), list(x)), 9), i) for i, x in enumerate(v[:40]) if i != j)[:3]
         near = list(vectors.compared(v[:40], v[j : j + 1], ids[:40], ids[j : j + 1], 3, 0.0, "ensemble"))[:3]
         assert [(-round(r[5], 9), r[1]) for r in near] == want
+
+
+def test_effort_counts_pairs_of_all_pieces_once_and_warps_none_twice(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "PIECE", 50)
+    reach = vectors.in_reach
+    rng = vectors.np.random.default_rng(14)
+    v, ids = rng.normal(0, 0.125, (300, 64)), vectors.np.arange(300)
+    seen = []
+    monkeypatch.setattr(vectors, "in_reach", lambda a, b, most: (seen.append(len(a)), reach(a, b, most))[1])
+    warped = sum(r[6] for r in vectors.compared(v, v[:5], ids, ids[:5], 3, 0.0, "ensemble"))
+    assert warped == sum(seen) + 5 * 2 * 3  # those of the best bounds, and those that go through single precision
+    given = spark.createDataFrame([(i, 1, x.tolist()) for i, x in enumerate(v)], SCHEMA)
+    effort = vectors.search(given, given.where("id < 5").withColumnRenamed("id", "query_id"), k=3, effort=True).collect()
+    assert len(effort) == 5 and all(r.compared == 300 and 0 < r.warped < 300 for r in effort)
