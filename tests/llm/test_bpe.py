@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from wickflow.llm import bpe
+from wickflow.llm import bpe, encoding
 
 FILES = ["word_bpe_49k.json", "byte_bpe_50k.json"]
 ODD = ["", " ", "a", "aaaaaaaaaaaaaaaaaaaaaaa", "don't I'LL it's", "<|endoftext|>x<|startoftext|> <|endoftext|", "İstanbul ﬁ naïve é", "\U0001f600\U0001f468‍\U0001f469", "tab\tnew\nline  two   ", "日本語のテキスト", "12345 6.7", "x" * 5000, "ha" * 3000, "\x00�​", "word " * 3000]
@@ -70,3 +70,21 @@ def test_whole_table_equals_the_library(spark, sf):
 def test_odd_and_empty_tables(odd, odd_rows, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     assert bpe.encode(odd, path).count() == len(odd_rows) and bpe.encode(empty, path).count() == 0
+
+
+def test_a_task_keeps_one_python_process(spark, sf, odd):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plan = bpe.op12_bpe_round_trip(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.ids)
+    assert sorted(bpe.round_trip(odd, path).collect(), key=key) == sorted(bpe.decode(bpe.encode(odd, path), path).collect(), key=key)
+
+
+@pytest.mark.parametrize("kind", [encoding.Encoder, bpe.Speculative])
+def test_long_pieces_are_forgotten_by_their_bytes(monkeypatch, kind):
+    monkeypatch.setattr(encoding, "CACHE_BYTES", 50_000, raising=False)
+    own, rng, model = kind(public_tokenizers.path(FILES[0])), random.Random(6), Tokenizer.from_file(public_tokenizers.path(FILES[0]))
+    for _ in range(40):
+        texts = ["".join(rng.choice("etaoin123") for _ in range(2000)) for _ in range(4)]
+        assert [x.tolist() for x in own.encode(texts)] == [x.ids for x in model.encode_batch(texts, add_special_tokens=False)]
+        assert sum(map(len, own.first)) + own.ids.nbytes < 50_000 + 4 * 2000 * 5

@@ -254,20 +254,39 @@ def coder(path: str) -> Speculative:
     return _coders[path]
 
 
+def encoded(own: Speculative, whole: pa.RecordBatch, id: str):
+    """Batches of id and ids for a batch of id and text."""
+    for b in text_batches(whole, 1):
+        found = own.encode(b.column(1).to_pylist())
+        ends = np.cumsum([0, *map(len, found)])
+        values = pa.array(np.concatenate(found).astype(np.int32) if len(found) else [], pa.int32())
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], names=[id, "ids"])
+
+
+def decoded(own: Speculative, whole: pa.RecordBatch, ids: str):
+    """The batch in parts of about BATCH_IDS ids, with the column decoded."""
+    at = whole.schema.get_field_index(ids)
+    sizes = np.cumsum(whole.column(at).value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    cuts = [0, *(np.flatnonzero(np.diff(sizes // BATCH_IDS)) + 1).tolist(), whole.num_rows]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        part = whole.slice(a, b - a)
+        yield part.append_column("decoded", own.decode(part.column(at)))
+
+
+def mapped(docs: DataFrame, id: str, text: str, run, more: str = "") -> DataFrame:  # noqa: ANN001
+    rows = docs.select(F.col(id), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    return rows.mapInArrow(run, f"{id} {docs.schema[id].dataType.simpleString()}, ids array<int>{more}")
+
+
 def encode(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text") -> DataFrame:
     """id, and ids: the tokens of each row's whole text."""
 
     def run(batches):
         own = coder(tokenizer)
         for whole in batches:
-            for b in text_batches(whole, 1):
-                found = own.encode(b.column(1).to_pylist())
-                ends = np.cumsum([0, *map(len, found)])
-                values = pa.array(np.concatenate(found).astype(np.int32) if len(found) else [], pa.int32())
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], names=[id, "ids"])
+            yield from encoded(own, whole, id)
 
-    rows = docs.select(F.col(id), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    return rows.mapInArrow(run, f"{id} {docs.schema[id].dataType.simpleString()}, ids array<int>")
+    return mapped(docs, id, text, run)
 
 
 def decode(rows: DataFrame, tokenizer: str, ids: str = "ids") -> DataFrame:
@@ -276,20 +295,27 @@ def decode(rows: DataFrame, tokenizer: str, ids: str = "ids") -> DataFrame:
     def run(batches):
         own = coder(tokenizer)
         for whole in batches:
-            sizes = np.cumsum(whole.column(whole.schema.get_field_index(ids)).value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-            cuts = [0, *(np.flatnonzero(np.diff(sizes // BATCH_IDS)) + 1).tolist(), whole.num_rows]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                part = whole.slice(a, b - a)
-                yield part.append_column("decoded", own.decode(part.column(part.schema.get_field_index(ids))))
+            yield from decoded(own, whole, ids)
 
     return rows.mapInArrow(run, StructType([*rows.schema.fields]).add("decoded", StringType()))
 
 
+def round_trip(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """decode(encode(docs)) in one pass: a task keeps one Python process, with one coder, for both ways."""
+
+    def run(batches):
+        own = coder(tokenizer)
+        for whole in batches:
+            for b in encoded(own, whole, id):
+                yield from decoded(own, b, "ids")
+
+    return mapped(docs, id, text, run, ", decoded string")
+
+
 def op12_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    tokenizer = public_tokenizers.path("word_bpe_49k.json")
-    out = decode(encode(read(spark, sf_dir, "documents"), tokenizer), tokenizer)
+    out = round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return out.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.transform("ids", lambda x: x.cast("string")), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )

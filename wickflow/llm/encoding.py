@@ -13,6 +13,7 @@ import hashlib
 import json
 import os
 import re
+import sys
 from itertools import chain
 
 import numpy as np
@@ -21,6 +22,8 @@ from .common import sole_cache
 
 #: Pieces that a cache holds before it starts anew; about 200 bytes each.
 CACHE_PIECES = 1_000_000
+#: Bytes of their text and ids, which long pieces reach first.
+CACHE_BYTES = 100_000_000
 #: Pieces of letters that are encoded at once.
 JOINED = 500
 #: Marks that are tokens of their own after letters, in both families; last characters of a sentence.
@@ -82,7 +85,7 @@ class Encoder:
 
     def clear(self) -> None:
         """Forgets all pieces. Of the new ones, letters has the places of those of letters alone, joint the two parts of others."""
-        self.known, self.new, self.letters, self.joint = 0, [], {"": [], " ": []}, {}
+        self.known, self.held, self.new, self.letters, self.joint = 0, 0, [], {"": [], " ": []}, {}
         self.first, self.inner = Pieces("", self), Pieces(" ", self)
         self.ids, self.starts, self.closes = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, bool)
 
@@ -118,6 +121,7 @@ class Encoder:
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))])
         self.closes = np.concatenate([self.closes, np.fromiter((x[-1:] in CLOSING for x in self.new), bool, len(self.new))])
         self.known += len(self.new)
+        self.held += sum(map(sys.getsizeof, self.new))
         self.new, self.letters, self.joint = [], {"": [], " ": []}, {}
 
     def encoded_letters(self) -> list[list[int] | None]:
@@ -136,7 +140,7 @@ class Encoder:
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         """The piece numbers of each text; they hold until the next batch."""
-        if len(self.first) + len(self.inner) > CACHE_PIECES:
+        if len(self.first) + len(self.inner) > CACHE_PIECES or self.held + self.ids.nbytes > CACHE_BYTES:
             self.clear()
         gc.disable()  # many lists live for a moment, and none in cycles
         try:
