@@ -8,6 +8,9 @@ Two texts link when the Jaccard similarity of their sets of word shingles reache
    (empty, or of common shingles alone), more than s of those, which a prefix filter finds. d follows from the sizes,
    which are taken in classes of neighbouring sizes. Texts that share a digest fall into one neighbourhood, whose members
    are found by passing on the least id. Which shingles are common changes the size of neighbourhoods only, never a result.
+   By chance alone texts share digests in proportion to the square of their number, so that neighbourhoods grow together.
+   Those of over LOOSE texts are taken apart: of texts with a digest in common, only those stay neighbours whose sketches
+   (parities of hashed tokens) differ in no more places than sets that link may differ in tokens. That loses no link.
 3. In a neighbourhood the token-group matrix decides. Texts of similar sets are partitioned into groups of at most GROUP;
    a group's tokens are united. A text's overlap with the union bounds its overlap with each member, so only groups whose
    bound reaches the threshold are opened, and of those none that the text is already linked with through others.
@@ -41,6 +44,10 @@ MOST, MOST_TOKENS = 1000, 3_000_000
 #: A shingle is common if a COMMON_IN-th of all texts have it, and COMMON_LEAST of a block; tokens of a block.
 #: There are at most 2 * COMMON_IN times as many as a text has on average, whatever the number of texts.
 COMMON_IN, COMMON_LEAST, BLOCK_TOKENS = 1500, 5, 1_500_000
+#: Neighbourhoods of more texts are taken apart by sketches.
+LOOSE = 200
+#: Signatures are of one text of each class if over one in so many rows is a copy: that moves all texts once.
+COPIES_IN = 4
 #: Signatures that a task holds at once, about 40 bytes each.
 BLOCK_SIGNATURES = 1_000_000
 CACHE_WORDS = 250_000
@@ -144,6 +151,38 @@ def signatures(sets: list[np.ndarray], percent: int, common: np.ndarray) -> tupl
     return np.array(keep)[np.concatenate(owners)], np.concatenate(found)
 
 
+# ------------------------------------------------------------------ sketches
+
+
+def sketch(tokens: np.ndarray) -> bytes:
+    """For each of 2 to 4 bits a token, whether an odd number of tokens falls on it. A token more or less changes one bit."""
+    n = 1 << max(6, int(2 * len(tokens) - 1).bit_length())
+    at = (mixed(tokens + B1) & np.uint64(n - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=n).astype(np.uint8) & 1).tobytes()
+
+
+def folded(bits: np.ndarray, n: int) -> np.ndarray:
+    """A sketch of n words in place of more: the parities of bits that fall together."""
+    while len(bits) > n:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
+def neighbours(sizes: np.ndarray, sketches: list[bytes], percent: int) -> np.ndarray:
+    """A label for each set: linked sets have one label, and so have others only if a chain of sets that may link lies between them."""
+    found = [np.frombuffer(x, np.uint64) for x in sketches]
+    n = min(len(x) for x in found)
+    rows, labels = np.stack([folded(x, n) for x in found]), np.arange(len(found))
+    for q in range(len(found) - 1):
+        later = q + 1 + np.flatnonzero(labels[q + 1 :] != labels[q])
+        for part in np.split(later, range(10_000, len(later), 10_000)):
+            apart = np.bitwise_count(rows[part] ^ rows[q]).sum(1, dtype=np.int64)
+            near = np.unique(labels[part[apart * (100 + percent) <= (sizes[part] + sizes[q]) * (100 - percent)]])
+            if len(near):
+                labels[np.isin(labels, near)] = labels[q]
+    return labels
+
+
 # ------------------------------------------------------------------ the matrix
 
 
@@ -355,6 +394,83 @@ def least_reachable(links: DataFrame) -> DataFrame:
         return keep(labels)
 
 
+def shared_signatures(rows: DataFrame) -> DataFrame:
+    """(flock, id): the ids that a signature of (signature, id) is shared by, once for all signatures of the same ids."""
+
+    def run(batches):
+        held = [np.zeros(0, np.int64)] * 2
+
+        def done(keys, ids):
+            new = np.concatenate([np.ones(min(1, len(keys)), bool), (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])])
+            keys, ids = keys[new], ids[new]
+            starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
+            lengths = np.diff(np.append(starts, len(keys)))
+            sums = mixed(np.add.reduceat(mixed(ids.view(np.uint64) + B1), starts) + lengths.astype(np.uint64)) if len(keys) else np.zeros(0, np.uint64)
+            keep = np.repeat(lengths > 1, lengths)
+            flock, ids = np.repeat(sums, lengths)[keep], ids[keep]
+            order = np.lexsort((ids, flock))
+            flock, ids = flock[order], ids[order]
+            new = np.concatenate([np.ones(min(1, len(ids)), bool), (flock[1:] != flock[:-1]) | (ids[1:] != ids[:-1])])
+            return pa.RecordBatch.from_arrays([pa.array(flock[new].view(np.int64)), pa.array(ids[new])], names=["flock", "id"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys, ids = (np.concatenate([x, b.column(i).to_numpy(zero_copy_only=False)]) for i, x in enumerate(held))
+            last = int(np.searchsorted(keys, keys[-1]))  # the last signature may go on in the next batch
+            yield done(keys[:last], ids[:last])
+            held = [keys[last:], ids[last:]]
+        yield done(*held)
+
+    dealt = rows.repartition(partitions(rows.sparkSession), "signature").sortWithinPartitions("signature", "id")
+    return dealt.mapInArrow(run, "flock long, id long").distinct()
+
+
+def taken_apart(texts: DataFrame, k: int, percent: int, common: np.ndarray) -> DataFrame:
+    """(a, b) of (id, text): pairs that connect all linked ids, and others only by sets that share a signature and have close sketches."""
+
+    def signed(batches):
+        for whole in batches:
+            for b in text_batches(whole, 1):
+                sets = [shingles(x.as_py() or b"", k) for x in b.column(1).cast(pa.binary())]
+                ids = b.column(0).to_numpy(zero_copy_only=False)
+                who, found = signatures(sets, percent, common)
+                some = np.flatnonzero([len(x) > 0 for x in sets])
+                keys = pa.concat_arrays([pa.array(found.view(np.int64)), pa.nulls(len(some), pa.int64())])
+                sizes = pa.concat_arrays([pa.nulls(len(found), pa.int64()), pa.array([len(sets[i]) for i in some], pa.int64())])
+                bits = pa.concat_arrays([pa.nulls(len(found), pa.binary()), pa.array([sketch(sets[i]) for i in some], pa.binary())])
+                yield pa.RecordBatch.from_arrays([keys, pa.array(np.concatenate([ids[who], ids[some]])), sizes, bits], names=["signature", "id", "n", "bits"])
+
+    def near(batches):
+        now, ids, sizes, bits = None, [], [], []
+
+        def done():
+            labels = neighbours(np.array(sizes), bits, percent)
+            least = np.full(len(ids), np.iinfo(np.int64).max)
+            own = np.array(ids)
+            np.minimum.at(least, labels, own)
+            out = least[labels] < own
+            return pa.RecordBatch.from_arrays([pa.array(own[out]), pa.array(least[labels][out])], names=["a", "b"])
+
+        for batch in batches:
+            for flock, id_, n, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if flock != now:
+                    if ids:
+                        yield done()
+                    now, ids, sizes, bits = flock, [], [], []
+                ids.append(id_)
+                sizes.append(n)
+                bits.append(x)
+        if ids:
+            yield done()
+
+    rows = written(texts.select("id", "text").mapInArrow(signed, "signature long, id long, n long, bits binary"), "signed")
+    flocks = shared_signatures(rows.where("signature IS NOT NULL").select("signature", "id"))
+    flocks = flocks.join(rows.where("signature IS NULL").select("id", "n", "bits"), "id").select("flock", "id", "n", "bits")
+    dealt = flocks.repartition(partitions(texts.sparkSession), "flock").sortWithinPartitions("flock", "id")
+    return dealt.mapInArrow(near, "a long, b long").distinct()
+
+
 UNIT = "id long, label long"
 
 
@@ -420,14 +536,23 @@ def linked_ids(docs: DataFrame, sized: DataFrame, k: int, percent: int, common:
     classes = written(own.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("_n"), F.max("n_shingles").alias("_tokens")), "classes")
     copies = join_by_count(own.select("digest", "doc_id"), classes.where("_n > 1").drop("_tokens"), "digest", "_n", "inner").where("doc_id <> rep")
     copies = written(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "copies")
-    near = written(contracted(hubs(docs, k, percent, common)), "near")
     # Ids of copies give way to those that stand for them, so each set is compared once; ids with other sets too stay.
     sole = own.groupBy("doc_id").agg(F.min("digest").alias("_d"), F.max("digest").alias("_e")).where("_d = _e").select(F.col("doc_id").alias("id"))
     stands = written(copies.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("rep")).join(sole, "id", "left_semi"), "stands")
+    seen = docs
+    if stands.count() * COPIES_IN > sized.count():
+        seen = docs.join(stands.select(F.col("id").alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_anti")
+    near = written(contracted(hubs(seen, k, percent, common)), "near")
     for side in ("a", "b"):
         near = join_hot(near, stands.withColumnRenamed("id", side), side, "left").withColumn(side, F.coalesce("rep", side)).drop("rep")
     near = near.where("a <> b").distinct()
     pods = least_reachable(near).withColumnRenamed("label", "pod")
+    counts = written(pods.groupBy("pod").count(), "counts")
+    if counts.where(F.col("count") > LOOSE).limit(1).count():
+        pods = written(join_hot(pods, counts, "pod"), "loose")
+        loose = with_text(docs.withColumnRenamed("doc_id", "id"), pods.where(F.col("count") > LOOSE).select("id"))
+        apart = least_reachable(taken_apart(loose, k, percent, common)).withColumnRenamed("label", "pod")
+        pods = pods.where(F.col("count") <= LOOSE).select("id", "pod").unionByName(apart)
     pods = pods.join(classes.groupBy(F.col("rep").alias("id")).agg(F.sum("_tokens").alias("_tokens")), "id")
     blocks = F.ceil(F.greatest(F.count("*") / most, F.sum("_tokens") / MOST_TOKENS)).cast("int")
     pods = written(join_hot(pods, pods.groupBy("pod").agg(blocks.alias("_blocks")), "pod"), "pods")
