@@ -253,6 +253,23 @@ def test_replays_combine_candles_and_stories(spark, sf):
     assert pd.Series(rows["rank"]).tolist() == sorted(rows["rank"])
 
 
+def test_every_reference_time_is_replayed(spark, monkeypatch):
+    """A time whose candles are less like the current ones may have a story that is more so: no time is left out before stories are told."""
+    monkeypatch.setattr(catalog, "POOL", 5)
+    sf = "/root/testdata/sf0.01"
+    with scratch(spark):
+        rows = catalog.replayed(spark, sf, "1h")
+        times = catalog.mt.synchronized(catalog.compared_all(spark, sf), "1h").where("synchronization = 'EXACT'").groupBy("reference_timestamp").agg(F.avg("similarity").alias("s")).collect()
+        best = catalog.replay_matches(rows, "1h").collect()
+        told = rows.where("synchronization = 'EXACT'").groupBy("reference_timestamp").agg(F.avg("story_similarity").alias("t")).collect()
+    own = {r.reference_timestamp: r.s for r in times}
+    assert len(own) > 5 and {r.reference_timestamp for r in told} == {*own}
+    want = sorted((0.6 * own[r.reference_timestamp] + 0.4 * r.t for r in told), reverse=True)[:25]
+    assert [r.combined_similarity for r in sorted(best, key=lambda r: r.rank)] == pytest.approx(want, abs=1e-9)
+    place = {t: i for i, t in enumerate(sorted(own, key=lambda t: (-round(own[t], 9), t)), 1)}
+    assert all(r.screen_rank == place[r.reference_timestamp] for r in best) and max(r.screen_rank for r in best) > 5
+
+
 def test_windows_of_keys_are_told_as_among_all(spark, sf):
     with scratch(spark):
         candles = written(catalog.src.series(spark, sf), "candles")
